@@ -104,3 +104,137 @@ BOT_PATTERN = r"(^| )([a-z0-9]+bot)( |$)"
 LINK_WORD_PATTERN = r"(^| )(https?|www|com|co|t|ly|amp)( |$)"
 WEATHER_PATTERN = r"(area|forecast|discussion).*(afd|airnow|aqi)"
 DETAIL_PATTERN = r"(additional|details) here"
+
+# --- fixed values: narrative label vocabularies -----------------------------------
+NARRATIVE_STOP_WORDS = (
+    "the and for with this that from into your their about after before there where which what when while just more "
+    "some over under than then they them have will would could should news reddit thread post today yesterday people "
+    "because through still being new best good like show shows says said most very here look gets getting take takes "
+    "using used first across discussion discussing company companies update updates breaking latest reaction reactions "
+    "general internet online community communities communitys question questions thought thoughts opinion opinions "
+    "story stories video videos photo photos image images article articles comment comments threads companys thing "
+    "things anyone everyone something anything many much around another others going went come comes came made make "
+    "makes may might also really maybe seems seem down via"
+).split()
+NARRATIVE_WEAK_WORDS = (
+    "access advice against any are back been begin begins behind being but build building can change coming day daily "
+    "das don did do does done dozen dozens dont even eles ever else explain explainer every everything full game get "
+    "guys hey going hard happening has help her hello hi how his ive know last let move need needs note now not "
+    "objective official one only once own part por play please product read right rolling seek seeks set sets should "
+    "somebody someone sao share thank thanks taking there these theyre teaser though three think those time today "
+    "tomorrow track tool tools trailer trying try uncover urge user watching want welcome were whats who why wrong "
+    "year you away again auf bom dia important"
+).split()
+NARRATIVE_WEAK_PHRASES = (
+    "are not", "are you", "been building", "can explain", "can you explain", "casual off topic", "everything coming",
+    "daily welcome", "don get", "don know", "did you", "done all", "early access", "even though", "estado unido",
+    "every day", "finished watching", "full time", "has else", "his own", "last year", "long term", "middle east",
+    "need advice", "need help", "now but", "off topic", "play game", "official teaser", "official teaser trailer",
+    "official trailer", "only one", "part three", "real time", "read share", "right now", "shut down", "trying get",
+    "thank you", "those who", "united state", "user uncover who", "was hard", "what is going on", "what going on",
+    "you can", "you ever", "you guy", "you guys", "you think",
+)
+NARRATIVE_ACRONYMS = "ai api gpu cpu wsb usa uk eu btc eth".split()
+NARRATIVE_DISPLAY = {
+    "airpods": "AirPods", "ai": "AI", "api": "API", "btc": "BTC", "cpu": "CPU", "dlc": "DLC", "dlss": "DLSS",
+    "eth": "ETH", "eu": "EU", "gpu": "GPU", "gta": "GTA", "jit": "JIT", "nato": "NATO", "pokemon": "Pokemon",
+    "uk": "UK", "usa": "USA", "wsb": "WSB",
+}
+NARRATIVE_TOKEN_ALIASES = {
+    "agents": "agent", "airpod": "airpods", "models": "model", "chips": "chip", "tariffs": "tariff",
+    "elections": "election", "memes": "meme", "memecoins": "memecoin", "tokens": "token", "videos": "video",
+    "politics": "politic", "markets": "market", "companies": "company", "conflicts": "conflict", "wars": "war",
+    "trumps": "trump", "irans": "iran", "israels": "israel", "chats": "chat", "llms": "llm", "usa": "us",
+    "america": "us",
+}
+PLATFORM_LABEL_WORDS = (
+    "account accounts app bsky channel channels com comment comments did feed feeds follow follows following ingest "
+    "interaction interactions live network plc post posts profile profiles reddit reply replies repost reposts social "
+    "stream telegram thread threads user users video videos watch www youtube bluesky"
+).split()
+PLATFORM_LABEL_PHRASES = (
+    "app bsky profile", "bsky social", "bluesky live ingest", "bluesky post", "bluesky posts", "bluesky social",
+    "com www youtube", "social live",
+)
+TEMPORAL_LABEL_WORDS = (
+    "aedt aest jan january feb february mar march apr april may jun june jul july aug august sep sept september oct "
+    "october nov november dec december monday mst tuesday pdt pst wednesday thursday friday saturday sunday utc gmt "
+    "est edt cst cdt cet cest ist jst kst"
+).split()
+FRAGMENT_LEADS = "dear done even hard hey help her his hi need needs official only own though was were".split()
+FRAGMENT_TAILS = "advice again all done hard help here one own teaser there though today tomorrow trailer".split()
+FRAGMENT_LABEL_PATTERNS = (
+    r"^(dear|hey|hi)\s+[a-z0-9]+(\s+[a-z0-9]+)?$", r"^(need|needs)\s+(help|advice)\b", r"^(even though)\b",
+    r"^(his|her|their|our|my)\s+own\b", r"^(done all)\b", r"^(early access)$",
+    r"^(official\s+(teaser|trailer))(\s+(trailer|video))?$", r"^(only one)$", r"^(the only one)$",
+    r"^(was|were)\s+hard\b",
+)
+QUESTION_LABEL_PATTERN = r"^(how|why|what|when|where|who|can|should|would|could)\b"
+URL_LABEL_WORDS = "app bsky com gg http https net org profile status tv watch www".split()
+QUESTION_OPENERS = (
+    r"(?i)^(what|why|how|when|where|who|are|is|can|could|would|should|do|does|did|have|has|will|anyone|someone|"
+    r"does anyone|can anyone)\b"
+)
+GENERIC_THREAD_PATTERN = (
+    r"(?i)(\bdaily discussion\b|\bdiscussion thread\b|\bmegathread\b|\bopen thread\b|\boff[ -]?topic\b|"
+    r"\bcasual conversation\b|\bpromote your business\b|\bwhat are your moves tomorrow\b|\bwhat are you working on\b)"
+)
+MEME_KEYWORDS = "meme memecoin token coin crypto shitpost viral dank doge solana pepe wallstreetbets wsb".split()
+URL_DROP_KEYS = "utm_source utm_medium utm_campaign utm_term utm_content fbclid gclid si ref ref_src".split()
+URL_INTERNAL_HOSTS = "bsky.app staging.bsky.app bsky.social".split()
+
+# --- fixed values: cluster label vocabularies ------------------------------------------
+LABEL_STOP_WORDS = "a an and are as at by for from in into is of on or the to with".split()
+LABEL_GENERIC_WORDS = (
+    "affairs alerts analysis article articles brief briefing briefings cluster clusters commentary content context "
+    "conversation conversations coverage current daily debate debates detail details discussion discussions file files "
+    "identification issue issues mixed narrative narratives news policy post posts public references related reports "
+    "roundup scanner series signal signals story stories summary thread threads update updates"
+).split()
+LABEL_TEMPORAL_WORDS = (
+    "apr april aug august day dec december feb february friday jan january jul july jun june mar march may monday "
+    "month nov november oct october saturday sep sept september sunday thursday today tomorrow tuesday wednesday "
+    "yesterday"
+).split()
+LABEL_FRAGMENT_PATTERNS = (
+    r"^(dear|hey|hi)\s+[a-z0-9]+(\s+[a-z0-9]+)?$", r"^(need|needs)\s+(help|advice)\b",
+    r"^(official\s+(teaser|trailer))(\s+(trailer|video))?$", r"^(only one)$", r"^(published on)\b",
+    r"^([a-z]?h?mouds|epublicans|itchen|niverse|onate|alaxy)$",
+)
+LABEL_GENERIC_PATTERNS = (
+    r"^(march|april|monday|tuesday|wednesday|thursday|friday|saturday|sunday)$",
+    r"^(current affairs|mixed discussion cluster|public safety updates)$",
+)
+
+# --- fixed values: stored-name rules -------------------------------------------------------
+NAME_GENERIC_PHRASES = (
+    "broad discussion", "general conversation", "general discussion", "generic discussion", "mixed discussion",
+    "mixed discussion cluster", "online conversation", "recent posts", "social discussion", "social media discussion",
+    "trend discussion",
+)
+NAME_GENERIC_WORDS = (
+    "about broad cluster content conversation discussion event general mixed miscellaneous narrative online posts "
+    "recent social topic trend update updates"
+).split()
+NAME_NARRATIVE_WORDS = (
+    "appeals backlash campaign controversy debate discourse escalation fallout fight fundraising movie policy "
+    "reactions response responses rhetoric rumor rumors speculation trial vote"
+).split()
+NAME_FRAGMENT_PATTERN = r"(apital|eneral|etting|hased|arket|tion|ment|ally|ized)$"
+NAME_SHORT_OK = "ai uk us eu".split()
+
+# --- fixed values: title rules -----------------------------------------------------------------
+TITLE_GENERIC_WORDS = (
+    "attention analysis board breaking coverage debate debates dashboard discussion discourse headline headlines "
+    "internet latest media narrative narratives news online speculation story stories today topic topics trend trends "
+    "update updates viral"
+).split()
+TITLE_PUNCTUATION = r"[:;?!]|\.{2,}|…|[\"“”]"
+TITLE_HEADLINE_WORDS = r"(?i)\b(analysts|because|breaking|explainer|how|latest|report|reports|says|watch|why)\b"
+
+# --- fixed values: board overlap vocabularies ----------------------------------------------------
+BOARD_GENERIC_WORDS = (
+    "analysis board coverage debate discussion headline internet latest media moment narrative news story topic trend "
+    "update viral wave"
+).split()
+BOARD_WEAK_WORDS = "chaos crew duo energy era frenzy hype mania momentum saga storm vibes".split()

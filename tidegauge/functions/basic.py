@@ -63,10 +63,16 @@ def words(items) -> list[str]:
     return sorted(set(items))
 
 
+def one_of(token: Col, items) -> Column:
+    """Token is in a fixed word list, tested as ``|token|`` in one literal ``|a|b|c|``.
+
+    One literal instead of hundreds keeps plans small: these tests sit inside lambdas and are repeated a lot."""
+    return F.contains(F.lit("|" + "|".join(words(items)) + "|"), F.concat(F.lit("|"), c(token), F.lit("|")))
+
+
 def count_in(tokens: Col, items) -> Column:
-    """How many tokens are in a literal word list (hash-set test inside the lambda, no join)."""
-    listed = words(items)
-    return F.size(F.filter(c(tokens), lambda t: t.isin(listed)))
+    """How many tokens are in a fixed word list."""
+    return F.size(F.filter(c(tokens), lambda t: one_of(t, items)))
 
 
 def count_true(cond: Column) -> Column:
@@ -95,3 +101,15 @@ def age_hours(as_of: Col, ts: Col) -> Column:
 def day_list(start: Col, end: Col) -> Column:
     """Every calendar day touched by [start, end]."""
     return F.sequence(F.to_date(c(start)), F.to_date(c(end)))
+
+
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it inside nested lambdas (a plain column would be inlined there)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def barrier(df):
+    """Keep later filters and projections from being merged into (and multiplying) the expressions below.
+
+    A one-element inline: a narrow operator, no shuffle, no extra pass."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(x) for x in df.columns]))))

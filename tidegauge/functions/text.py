@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, functions as F
 
 from tidegauge import fixed
-from tidegauge.functions.basic import Col, c, clamp, count_in, words
+from tidegauge.functions.basic import Col, bind, c, clamp, count_in, words, one_of
 
 # apostrophe look-alikes folded to a plain one
 _APOSTROPHES = "[`’‘´ʼʹ]"
@@ -46,7 +46,7 @@ def tokens(x: Col, stop=None) -> Column:
         _all(F.lower(c(x)), fixed.WORD_PATTERN), lambda t: F.regexp_replace(t, r"^[._-]+|[._-]+$", "")
     )
     return F.array_distinct(
-        F.filter(raw, lambda t: (F.length(t) >= 2) & ~t.rlike("^[0-9]+$") & ~t.isin(dropped))
+        F.filter(raw, lambda t: (F.length(t) >= 2) & ~t.rlike("^[0-9]+$") & ~one_of(t, dropped))
     )
 
 
@@ -84,30 +84,30 @@ def topic_tokens(x: Col) -> Column:
 
 
 def sentiment(x: Col) -> Column:
-    """struct(positive, negative, neutral, label): weighted lexicon sums over ``[a-z']+`` words."""
-    toks = _all(F.lower(c(x)), "([a-z']+)")
+    """struct(positive, negative, neutral, label): weighted lexicon sums over ``[a-z']+`` words.
 
-    def total(lexicon: dict[str, int]) -> Column:
-        by_weight: dict[int, list[str]] = {}
-        for word, weight in lexicon.items():
-            by_weight.setdefault(weight, []).append(word)
-        parts = [count_in(toks, group) * F.lit(weight) for weight, group in sorted(by_weight.items())]
-        return sum(parts[1:], parts[0]).cast("long")
+    The text is split once; words outside the three lexicons drop out before the sums."""
+    lexicons = (fixed.POSITIVE_WORDS, fixed.NEGATIVE_WORDS, fixed.NEUTRAL_WORDS)
+    known = words([w for lexicon in lexicons for w in lexicon])
+    hits = F.filter(_all(F.lower(c(x)), "([a-z']+)"), lambda t: one_of(t, known))
 
-    pos, neg = total(fixed.POSITIVE_WORDS), total(fixed.NEGATIVE_WORDS)
-    return F.struct(
-        pos.alias("positive"),
-        neg.alias("negative"),
-        total(fixed.NEUTRAL_WORDS).alias("neutral"),
-        F.when(pos > neg, "positive").when(neg > pos, "negative").otherwise("neutral").alias("label"),
-    )
+    def totals(found: Column) -> Column:
+        def total(lexicon: dict[str, int]) -> Column:
+            weights = F.create_map(*[F.lit(v) for kv in lexicon.items() for v in kv])
+            return F.aggregate(found, F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.try_element_at(weights, t), F.lit(0)))
+
+        return F.struct(*[total(lex).alias(n) for lex, n in zip(lexicons, ("positive", "negative", "neutral"))])
+
+    sums = F.get(F.transform(F.array(hits), totals), F.lit(0))
+    label = lambda s: F.when(s["positive"] > s["negative"], "positive").when(s["negative"] > s["positive"], "negative").otherwise("neutral")
+    return F.get(F.transform(F.array(sums), lambda s: s.withField("label", label(s))), F.lit(0))
 
 
 def rule_tags(text: Col, toks: Col, tags: Col, cash: Col, doms: Col) -> Column:
     low = F.lower(c(text))
 
     def hits(items) -> Column:
-        return F.exists(c(toks), lambda t: t.isin(words(items)))
+        return F.exists(c(toks), lambda t: one_of(t, items))
 
     meme_text = low.contains("meme coin") | low.contains("meme-coin") | low.contains("memecoin")
     drop_text = low.contains("drop shipping")
@@ -138,7 +138,7 @@ def token_profile(key: Col) -> Column:
     listed = words(fixed.WEAK_WORDS + fixed.TOPIC_NOISE + fixed.NUMBER_WORDS + fixed.URL_DEBRIS)
     acr = words(fixed.ACRONYMS)
     informative = F.size(
-        F.filter(toks, lambda t: (t != "") & ~t.isin(listed) & ((F.length(t) >= 4) | t.isin(acr)))
+        F.filter(toks, lambda t: (t != "") & ~one_of(t, listed) & ((F.length(t) >= 4) | one_of(t, acr)))
     )
     return F.struct(
         F.when(c(key) == "", 0).otherwise(F.size(toks)).alias("n"),
@@ -165,7 +165,7 @@ def stored_confidence(key: Col, kind: Col, quality: Col, alias_confidence: Col,
     """Confidence of a stored mention (acronym bonus .12, no entity or informative bonus)."""
     p = c(profile)
     n = F.nullif(p["n"], F.lit(0)).cast("double")
-    is_acr = c(key).isin(words(fixed.ACRONYMS))
+    is_acr = one_of(c(key), fixed.ACRONYMS)
     score = (
         _by_type(kind, fixed.TYPE_BASE, 0.40)
         + c(quality) * 0.20
@@ -182,30 +182,32 @@ def stored_confidence(key: Col, kind: Col, quality: Col, alias_confidence: Col,
 
 def candidate_score(key: Col, kind: Col, quality: Col, alias_confidence: Col) -> Column:
     """Score of a topic candidate found in a text (entity bonus .14, informative bonus .08, single-token penalties)."""
-    toks = topic_tokens(key)
-    n = F.size(toks)
-    one = F.element_at(toks, 1)
     listed = words(fixed.WEAK_WORDS + fixed.TOPIC_NOISE + fixed.NUMBER_WORDS + fixed.URL_DEBRIS)
     acr = words(fixed.ACRONYMS)
     known = words(list(fixed.ENTITIES) + fixed.ACRONYMS)
-    informative = F.size(F.filter(toks, lambda t: ~t.isin(listed) & ((F.length(t) >= 4) | t.isin(acr))))
-    share = lambda items: count_in(toks, items) / F.greatest(F.lit(1), n)
-    score = (
-        _by_type(F.lower(c(kind)), fixed.TYPE_BASE, 0.40)
-        + clamp(c(quality), 0.0, 1.0) * 0.20
-        + clamp(c(alias_confidence), 0.0, 1.0) * 0.18
-        + F.when(n >= 2, 0.12).otherwise(0.0)
-        + F.when(F.exists(toks, lambda t: t.isin(known)), 0.14).otherwise(0.0)
-        + F.when(informative >= 2, 0.08).otherwise(0.0)
-        - share(fixed.WEAK_WORDS) * 0.48
-        - share(fixed.TOPIC_NOISE) * 0.70
-        - share(fixed.URL_DEBRIS) * 1.00
-        - F.when((n == 1) & one.isin(words(fixed.WEAK_WORDS)), 0.40).otherwise(0.0)
-        - F.when((n == 1) & one.isin(words(fixed.URL_DEBRIS)), 0.60).otherwise(0.0)
-        - F.when((n == 1) & (F.length(one) < 4) & ~one.isin(acr), 0.32).otherwise(0.0)
-    )
-    dead = (n == 0) | (n > 5) | (count_in(toks, fixed.NUMBER_WORDS) == n)
-    return F.when(dead, 0.0).otherwise(clamp(score, 0.0, 1.0))
+
+    def score(toks: Column) -> Column:
+        n, one = F.size(toks), F.get(toks, F.lit(0))
+        strong = F.size(F.filter(toks, lambda t: ~one_of(t, listed) & ((F.length(t) >= 4) | one_of(t, acr))))
+        share = lambda items: count_in(toks, items) / F.greatest(F.lit(1), n)
+        total = (
+            _by_type(F.lower(c(kind)), fixed.TYPE_BASE, 0.40)
+            + clamp(c(quality), 0.0, 1.0) * 0.20
+            + clamp(c(alias_confidence), 0.0, 1.0) * 0.18
+            + F.when(n >= 2, 0.12).otherwise(0.0)
+            + F.when(F.exists(toks, lambda t: one_of(t, known)), 0.14).otherwise(0.0)
+            + F.when(strong >= 2, 0.08).otherwise(0.0)
+            - share(fixed.WEAK_WORDS) * 0.48
+            - share(fixed.TOPIC_NOISE) * 0.70
+            - share(fixed.URL_DEBRIS) * 1.00
+            - F.when((n == 1) & one_of(one, fixed.WEAK_WORDS), 0.40).otherwise(0.0)
+            - F.when((n == 1) & one_of(one, fixed.URL_DEBRIS), 0.60).otherwise(0.0)
+            - F.when((n == 1) & (F.length(one) < 4) & ~one_of(one, acr), 0.32).otherwise(0.0)
+        )
+        dead = (n == 0) | (n > 5) | (count_in(toks, fixed.NUMBER_WORDS) == n)
+        return F.when(dead, 0.0).otherwise(clamp(total, 0.0, 1.0))
+
+    return bind(topic_tokens(key), score)
 
 
 def alias_lookup() -> dict[str, tuple[str, str, float]]:

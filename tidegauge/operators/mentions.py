@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge import fixed
 from tidegauge.functions import text as tx
-from tidegauge.functions.basic import blank_to_null, c, count_in, words
+from tidegauge.functions.basic import blank_to_null, c, count_in, words, one_of
 from tidegauge.operators.windows import best
 
 
@@ -31,7 +31,7 @@ def canonicalise(df: DataFrame, aliases: DataFrame) -> DataFrame:
     active = aliases.where("is_active").select("alias_key", "canonical_key", "canonical_label", "confidence")
     keyed = df.withColumn("spelled", tx.topic_key_stored("normalized_topic"))
     joined = keyed.join(active, keyed.spelled == active.alias_key, "left")
-    own = F.when(F.col("spelled").isin(words(fixed.ACRONYMS)), F.upper("spelled")).otherwise(
+    own = F.when(one_of(F.col("spelled"), fixed.ACRONYMS), F.upper("spelled")).otherwise(
         F.coalesce(blank_to_null("topic_text"), tx.initcap("spelled"))
     )
     return joined.select(
@@ -114,11 +114,11 @@ def is_garbage(key: str = "topic_key", confidence: str = "topic_confidence") ->
     toks = F.split(k, " ")
     listed = words(fixed.WEAK_WORDS + fixed.TOPIC_NOISE + fixed.NUMBER_WORDS + fixed.URL_DEBRIS)
     acr = words(fixed.ACRONYMS)
-    informative = F.exists(toks, lambda t: (t != "") & ~t.isin(listed) & ((F.length(t) >= 4) | t.isin(acr)))
+    informative = F.exists(toks, lambda t: (t != "") & ~one_of(t, listed) & ((F.length(t) >= 4) | one_of(t, acr)))
     return (
         (F.trim(k) == "") | k.isin(*fixed.BLOCKED_KEYS) | (F.coalesce(c(confidence), F.lit(0.0)) < 0.20)
         | k.rlike(fixed.BOT_PATTERN) | k.rlike(fixed.LINK_WORD_PATTERN) | k.rlike(fixed.WEATHER_PATTERN)
-        | k.rlike(fixed.DETAIL_PATTERN) | ((F.size(toks) == 1) & k.isin(listed))
+        | k.rlike(fixed.DETAIL_PATTERN) | ((F.size(toks) == 1) & one_of(k, listed))
         | (count_in(toks, fixed.NUMBER_WORDS) == F.size(toks)) | ~informative
     )
 
@@ -154,7 +154,7 @@ def minute_mentions(topics: DataFrame, processed: DataFrame, aliases: DataFrame)
         topic_ok("normalized_topic") & ~k.rlike(fixed.BOT_PATTERN) & ~k.rlike(fixed.WEATHER_PATTERN)
         & ~k.rlike(fixed.DETAIL_PATTERN)
         & (count_in(toks, weak_or_noise) <= F.greatest(F.lit(1), F.size(toks) - 1))
-        & F.exists(toks, lambda t: ~t.isin(words(weak_or_noise)) & (F.length(t) >= 4))
+        & F.exists(toks, lambda t: ~one_of(t, weak_or_noise) & (F.length(t) >= 4))
     ).withColumn(
         "sentiment_label",
         F.when(F.col("sentiment_label").isin("positive", "negative", "neutral"), F.col("sentiment_label")).otherwise("neutral"),
@@ -166,7 +166,7 @@ def topic_ok(key: str) -> Column:
     k = c(key)
     noise = [w for w in fixed.TOPIC_NOISE if w != "digit"]
     return (
-        (k != "") & ~k.isin("all", "general") & ~k.isin(words(fixed.WEAK_WORDS))
+        (k != "") & ~k.isin("all", "general") & ~one_of(k, fixed.WEAK_WORDS)
         & (F.length(F.replace(k, F.lit(" "), F.lit(""))) >= 2)
         & ~F.arrays_overlap(F.split(k, " "), F.array(*[F.lit(w) for w in noise]))
     )
