@@ -108,8 +108,7 @@ def _(spark, sf):
     return se.time_window_mean(df, ["subject"], "bucket_ts", 7200).select("subject", "i", "moving_average", "window_mean")
 
 
-def _r1(x):
-    return f"(floor(({x}) * 10 + 0.5) / 10)"
+from tidegauge.catalog.sqlkit import r1 as _r1  # noqa: E402
 
 
 def _pc(a, b):

@@ -19,6 +19,11 @@ def r6(expr: str) -> str:
     return f"round(CAST({expr} AS DOUBLE) + 1e-9, 6) + 0.0"
 
 
+def r1(expr: str) -> str:
+    """Half-up rounding to one digit, ties decided on nine digits."""
+    return f"(floor(round(CAST(({expr}) * 10 AS DOUBLE), 9) + 0.5) / 10)"
+
+
 def big(expr: str) -> str:
     return f"CAST({expr} AS BIGINT)"
 

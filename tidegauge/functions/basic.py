@@ -27,7 +27,7 @@ def clamp(x: Col, low, high) -> Column:
 def round_half_up(x: Col, digits: int = 0) -> Column:
     """Rounds halves towards plus infinity (also for negatives)."""
     scale = float(10 ** digits)
-    return F.floor(c(x) * scale + 0.5) / F.lit(scale)
+    return F.floor(F.round(c(x) * scale, 9) + 0.5) / F.lit(scale)  # nine digits: summation order must not decide ties
 
 
 def round1(x: Col) -> Column:
