@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.catalog import query
 from tidegauge.catalog.series import TOTALS_SQL, TRUST_SQL, topic_totals, week, week_sql
-from tidegauge.catalog.sqlkit import arr, big, r1, r6, ts
+from tidegauge.catalog.sqlkit import arr, big, r1, r6, split_list as _split, ts
 from tidegauge.functions import scores as sc
 from tidegauge.operators import ranking as rk, series as se
 from tidegauge.plans import standins as st
@@ -50,19 +50,6 @@ def rows(spark, sf):
     return df.withColumn("confidence", sc.adjusted_confidence("raw_confidence", "freshness", "freshness_state"))
 
 
-def _split(text):
-    """Top-level comma split of a SQL select list."""
-    out, depth, cur = [], 0, ""
-    for ch in text:
-        depth += {"(": 1, ")": -1}.get(ch, 0)
-        if ch == "," and depth == 0:
-            out.append(cur)
-            cur = ""
-        else:
-            cur += ch
-    return out + [cur]
-
-
 @query("confidence_scores", f"WITH {ROWS} SELECT k, {r6('raw_confidence')} AS raw_confidence, {r6('confidence')} AS confidence, {r6('growth_rate')} AS growth_rate FROM trend")
 def _(spark, sf):
     return rows(spark, sf).select("k", "raw_confidence", "confidence", "growth_rate")

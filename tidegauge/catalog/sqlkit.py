@@ -148,3 +148,16 @@ all_mentions AS (SELECT * FROM (SELECT * FROM direct UNION ALL SELECT * FROM fal
   AND len(list_filter(string_split(normalized_topic, ' '), lambda t: NOT list_contains({weak_noise}, t) AND length(t) >= 4)) > 0),
 counted AS (SELECT *, CASE WHEN sentiment_label IN ('positive','negative','neutral') THEN sentiment_label ELSE 'neutral' END AS mood
   FROM all_mentions)"""
+
+
+def split_list(text):
+    """Top-level comma split of a SQL select list."""
+    out, depth, cur = [], 0, ""
+    for ch in text:
+        depth += {"(": 1, ")": -1}.get(ch, 0)
+        if ch == "," and depth == 0:
+            out.append(cur)
+            cur = ""
+        else:
+            cur += ch
+    return out + [cur]

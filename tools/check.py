@@ -39,7 +39,7 @@ def main() -> int:
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     bad = 0
-    for name, fn in catalog.QUERIES.items():
+    for name, fn in list(catalog.QUERIES.items()):
         if picks and not any(p in name for p in picks):
             continue
         try:
