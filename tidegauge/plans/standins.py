@@ -38,7 +38,11 @@ ACTIONS_SQL = "actions AS (SELECT *, CAST(json_extract_string(props, '$.k') AS B
 
 
 def processed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return actions(spark, sf_dir).selectExpr(
+    return processed_of(actions(spark, sf_dir))
+
+
+def processed_of(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr(
         "event_id AS raw_post_id", "event_id AS processed_post_id", "event_type AS platform",
         "CAST(user_id AS STRING) AS author_id", "ts AS source_created_at",
         "date_trunc('minute', ts) AS bucket_minute",
@@ -61,8 +65,12 @@ PROCESSED_SQL = f"""processed AS (SELECT event_id AS raw_post_id, event_id AS pr
 
 
 def post_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics_of(actions(spark, sf_dir))
+
+
+def topics_of(rows: DataFrame) -> DataFrame:
     """Two topic records for every third event, none for every thirteenth, one for the others."""
-    base = actions(spark, sf_dir).where("event_id % 13 <> 0")
+    base = rows.where("event_id % 13 <> 0")
     case = _TOPIC_CASE.format(k="k", g="CAST(k DIV 10 AS STRING)")
     records = F.expr(
         f"""filter(array(struct({case} AS topic_text, {_KIND_CASE} AS topic_type),
