@@ -235,20 +235,19 @@ def short_sha1(x: Col, n: int) -> Column:
     return F.substring(F.sha1(c(x)), 1, n)
 
 
-def ngrams(toks: Col, sizes=(2, 3, 4), head: int = 18) -> Column:
-    """All contiguous phrases of the given sizes over the first ``head`` tokens."""
-    first = F.slice(c(toks), 1, head)
-    per_size = [
-        F.when(
-            F.size(first) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(first) - (n - 1), F.lit(1))),
-                lambda i, n=n: F.concat_ws(" ", F.slice(first, i, n)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in sizes
-    ]
-    return F.concat(*per_size)
+def ngrams(toks: Col, sizes=(2, 3, 4), head: int | None = None) -> Column:
+    """All contiguous phrases of the given sizes; ``head`` limits them to the first words of a list."""
+    first = c(toks) if head is None else F.slice(c(toks), 1, head)
+
+    def runs(words_: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words_) - (n - 1), F.lit(1)))
+        phrases = F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words_, i, n)))
+        return F.when(F.size(words_) >= n, phrases).otherwise(F.array().cast("array<string>"))
+
+    def build(words_: Column) -> Column:
+        return F.flatten(F.array(*[runs(words_, n) for n in sizes]))
+
+    return bind(first, build)
 
 
 def jaccard(a: Col, b: Col) -> Column:

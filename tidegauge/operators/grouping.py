@@ -19,7 +19,7 @@ def phrase_rows(docs: DataFrame, doc: str, text: str, keep: list[str], sizes=(2,
     """Distinct (document, phrase key, label) rows of a whole text's informative n-grams."""
     toks = lb.informative_tokens(lb.narrative_tokens(text))
     base = docs.select(doc, *keep, toks.alias("__toks"))
-    rows = base.select(doc, *keep, F.explode(F.array_distinct(tx.ngrams("__toks", sizes, 1_000_000))).alias("phrase"))
+    rows = base.select(doc, *keep, F.explode(F.array_distinct(tx.ngrams("__toks", sizes))).alias("phrase"))
     # every word of an n-gram is informative already, so the key is the sorted distinct words
     key = F.concat_ws(" ", F.slice(F.array_sort(F.array_distinct(F.split("phrase", " "))), 1, 4))
     return rows.withColumn("key", key)
@@ -202,7 +202,7 @@ def capped_selection(rows: DataFrame, order: list[Column], root: str, author: st
 
     The walk depends on its own picks; its input is bounded by the limit, not by the data."""
     pool = rows.orderBy(*order).limit(limit * 4).withColumn("__one", F.lit(1))
-    pool = top_n(pool, ["__one"], order, limit * 4, "place").drop("__one")
+    pool = top_n(pool, ["__one"], order, limit * 4, "place")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
@@ -216,14 +216,14 @@ def capped_selection(rows: DataFrame, order: list[Column], root: str, author: st
                 authors[a] = authors.get(a, 0) + 1
         return pdf.iloc[keep]
 
-    return pool.groupBy(F.lit(1)).applyInPandas(walk, pool.schema)
+    return pool.groupBy("__one").applyInPandas(walk, pool.schema).drop("__one")
 
 
 def channel_selection(rows: DataFrame, order: list[Column], channel: str, text_key: str, per_channel: int, limit: int) -> DataFrame:
     """Newest rows with a cap per channel; a text counts as seen only when its row was kept."""
     scan = max(limit * 8, per_channel * 20, 500)
     pool = rows.orderBy(*order).limit(scan).withColumn("__one", F.lit(1))
-    pool = top_n(pool, ["__one"], order, scan, "place").drop("__one")
+    pool = top_n(pool, ["__one"], order, scan, "place")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
@@ -238,7 +238,7 @@ def channel_selection(rows: DataFrame, order: list[Column], channel: str, text_k
             counts[ch] = counts.get(ch, 0) + 1
         return pdf.iloc[keep]
 
-    return pool.groupBy(F.lit(1)).applyInPandas(walk, pool.schema)
+    return pool.groupBy("__one").applyInPandas(walk, pool.schema).drop("__one")
 
 
 def representative_posts(posts: DataFrame, topic: str, per_topic: int = 120, limit: int = 10, threshold: float = 0.92) -> DataFrame:
@@ -331,7 +331,7 @@ def overlap_board(rows: DataFrame, key: str, order: list[Column], sets: dict[str
 
     ``pool`` bounds the walk and is a board-size parameter (a board holds tens of rows)."""
     top = rows.orderBy(*order).limit(pool).withColumn("__one", F.lit(1))
-    top = top_n(top, ["__one"], order, pool, "place").drop("__one")
+    top = top_n(top, ["__one"], order, pool, "place")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place").reset_index(drop=True)
@@ -345,4 +345,4 @@ def overlap_board(rows: DataFrame, key: str, order: list[Column], sets: dict[str
                 kept.append(i)
         return pdf.iloc[kept]
 
-    return top.groupBy(F.lit(1)).applyInPandas(walk, top.schema)
+    return top.groupBy("__one").applyInPandas(walk, top.schema).drop("__one")
