@@ -1,0 +1,63 @@
+from pyspark.sql import functions as F
+
+from tidegauge.functions import labels as lb, text as tx
+from tidegauge.operators import topics as tp
+
+POST = "New $DOGE memecoin drop + dropshipping product idea https://example.com #Crypto @alice"
+
+
+def one(spark, col, text):
+    return spark.createDataFrame([(text,)], "t string").select(col.alias("x")).first()["x"]
+
+
+def test_sentiment_scenario(spark):
+    m = one(spark, tx.sentiment("t"), "I love this but hate the bad execution, still ok overall.")
+    assert (m["positive"], m["negative"], m["neutral"], m["label"]) == (3, 4, 1, "negative")
+
+
+def test_post_scenario(spark):
+    df = spark.createDataFrame([(1, POST)], "id long, text string")
+    row = tp.post_features(df, "text", F.lit(0)).first()
+    assert row["mentions"] == ["alice"] and row["domains"] == ["example.com"] and row["hashtags"] == ["crypto"] and row["cashtags"] == ["doge"]
+    assert {"crypto", "memecoin", "dropshipping", "product", "link", "hashtagged"} <= set(row["tags"])
+
+
+def test_topic_candidates_follow_the_rules(spark):
+    df = spark.createDataFrame([
+        (1, POST), (2, "Talks between Donald Trump and Bank of England continue. Yesterday Apple fell. The IRAN deal; Apple again"),
+        (3, "breaking news about openai and ethereum wallets"), (4, "Protest #NoKings in Portland today, Elon Musk of Tesla said."), (5, ""), (6, "the and of"),
+    ], "id long, text string")
+    got = {}
+    for r in tp.topic_candidates(df, "id", "text").orderBy("id", "position").collect():
+        got.setdefault(r["id"], []).append((r["topic_type"], r["topic_key"]))
+    assert got[1][0][0] == "cashtag" and len(got[1][0][1].split()) == 2
+    assert ("entity", "donald trump") in got[2] and ("entity", "bank england") in got[2]
+    assert not any("yesterday" in k for _, k in got[2])  # first word of a sentence, used once
+    assert {t for t, _ in got[3]} == {"keyword"}  # only without better candidates
+    assert ("hashtag", "no kings") in got[4]
+    assert 5 not in got and 6 not in got
+
+
+def test_candidate_score_table(spark):
+    rows = [("climate summit", "entity", 0.56 + 0.12 + 0.08), ("trump", "entity", 0.56 + 0.14), ("one two", "entity", 0.0), ("the", "keyword", 0.0)]
+    df = spark.createDataFrame(rows, "k string, t string, want double")
+    for r in df.withColumn("got", tx.candidate_score("k", "t", F.lit(0.0), F.lit(0.0))).collect():
+        assert abs(r["got"] - r["want"]) < 1e-9, r
+
+
+def test_topic_key(spark):
+    assert one(spark, tx.topic_key("t"), "  Trump’s  #No_Kings!! ") == "trumps #no kings"
+    assert one(spark, tx.initcap("t"), "no-kings rally") == "No-Kings Rally"
+
+
+def test_fragment_variant(spark):
+    df = spark.createDataFrame([("itchen", "kitchen", True), ("market", "markets", True), ("abcd", "wxyz", False), ("iran", "iran", False),
+                                ("republic", "republican", True)], "a string, b string, want boolean")
+    for r in df.withColumn("got", lb.fragment_variant("a", "b")).collect():
+        assert r["got"] == r["want"], r
+
+
+def test_whole_texts_are_used(spark):
+    text = " ".join(f"word{i}" for i in range(5000)) + " scam"
+    assert one(spark, F.size(tx.tokens("t")), text) == 5001
+    assert one(spark, tx.sentiment("t")["negative"], text) == 2
