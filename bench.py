@@ -13,7 +13,7 @@ from tidegauge.session import build_session  # noqa: E402
 HEADLINE = [
     "topic_mentions", "topic_minutes", "topic_day_totals", "topic_day_series_5m", "topic_rolling_24h", "cluster_totals", "series_shape_signals",
     "series_halves_and_trust", "post_features", "post_topic_candidates", "snapshot_deltas", "cascade_leaders", "interaction_scores", "established_scores",
-    "emerging_board", "leaderboard_attention", "near_duplicate_pairs", "connected_components", "market_momentum", "market_run_board", "topic_asset_links",
+    "emerging_board", "leaderboard_attention", "near_duplicate_texts", "connected_components", "market_momentum", "market_run_board", "topic_asset_links",
     "runs_expensive_topics", "stream_tumbling_1m", "stream_mentions_publish",
 ]
 

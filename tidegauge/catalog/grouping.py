@@ -55,15 +55,15 @@ def _(spark, sf):
 _TOKSETS = f"sets AS (SELECT doc_id, list_sort(list_distinct({_TOK.format(x='text')})) AS tk FROM documents)"
 
 
-@query(
-    "near_duplicate_pairs",
-    f"""WITH {_TOKSETS}, r AS (SELECT min(doc_id) AS rep, tk FROM sets WHERE len(tk) > 0 GROUP BY tk),
-    w AS (SELECT rep, len(tk) AS n, unnest(tk) AS t FROM r), p AS (SELECT x.rep AS a, y.rep AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS k FROM w x JOIN w y ON x.t = y.t AND x.rep < y.rep GROUP BY 1, 2)
-    SELECT a, b, {r6('k / (na + nb - k)')} AS similarity FROM p WHERE k / (na + nb - k) >= 0.6 UNION ALL SELECT rep, doc_id, 1.0 FROM sets JOIN r USING (tk) WHERE doc_id <> rep""",
-)
-def _(spark, sf):
-    sets = st.table(spark, sf, "documents").select("doc_id", tx.tokens("text").alias("tk"))
-    return gr.near_duplicates(sets, "doc_id", "tk", 0.6)
+# .92 is the threshold of the text dedupe, .6 that of topic grouping
+for _name, _t in (("near_duplicate_pairs", 0.6), ("near_duplicate_texts", 0.92)):
+    query(
+        _name,
+        f"""WITH {_TOKSETS}, r AS (SELECT min(doc_id) AS rep, tk FROM sets WHERE len(tk) > 0 GROUP BY tk),
+        w AS (SELECT rep, len(tk) AS n, unnest(tk) AS t FROM r), p AS (SELECT x.rep AS a, y.rep AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS k FROM w x JOIN w y ON x.t = y.t AND x.rep < y.rep GROUP BY 1, 2)
+        SELECT a, b, {r6('k / (na + nb - k)')} AS similarity FROM p WHERE k / (na + nb - k) >= {_t} UNION ALL SELECT rep, doc_id, 1.0 FROM sets JOIN r USING (tk) WHERE doc_id <> rep""",
+    )(lambda spark, sf, t=_t: gr.near_duplicates(
+        st.table(spark, sf, "documents").select("doc_id", tx.tokens("text").alias("tk")), "doc_id", "tk", t))
 
 
 _EDGES = f"{st.ACTIONS_SQL}, e AS (SELECT DISTINCT concat('u', user_id) AS u, concat('s', k) AS v FROM actions WHERE value > 150)"

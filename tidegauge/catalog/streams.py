@@ -6,6 +6,7 @@ from tidegauge.catalog import query
 from tidegauge.catalog.sqlkit import MENTIONS, big, r6, ts
 from tidegauge.operators import mentions as mn
 from tidegauge.plans import standins as st
+from tidegauge.session import spread
 from tidegauge.streaming import jobs
 
 
@@ -90,7 +91,7 @@ def _(spark, sf):
 def _(spark, sf):
     # the batch transforms are reused unchanged on every micro-batch
     def publish(batch, batch_id, out):
-        actions = batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        actions = spread(batch).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
         facts = mn.sync_mentions(st.topics_of(actions), st.processed_of(actions), mn.alias_rules(batch.sparkSession))
         jobs.write_batch(facts, batch_id, out)
 

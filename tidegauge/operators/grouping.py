@@ -106,8 +106,12 @@ def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(sets: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
-    """Pairs between distinct token sets plus one link per copy."""
-    reps, links = collapse_equal(sets.where(F.size(tokens) > 0), key, tokens)
+    """Pairs between distinct token sets plus one link per copy.
+
+    The sets are written once: five plans below read them, and none should tokenise the texts again."""
+    stored = materialise(sets.where(F.size(tokens) > 0).select(key, tokens), "token-sets")
+    reps, links = collapse_equal(stored, key, tokens)
+    reps = materialise(reps, "representatives")
     return similar_pairs(reps, threshold).unionByName(
         links.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge import fixed
 from tidegauge.functions import text as tx
-from tidegauge.functions.basic import blank_to_null, c, count_in, words, one_of
+from tidegauge.functions.basic import barrier, blank_to_null, c, count_in, one_of, words
 from tidegauge.operators.windows import best
 
 
@@ -29,7 +29,7 @@ def with_processed(topics: DataFrame, processed: DataFrame) -> DataFrame:
 def canonicalise(df: DataFrame, aliases: DataFrame) -> DataFrame:
     """Alias lookup on the stored spelling; unknown keys keep their own label."""
     active = aliases.where("is_active").select("alias_key", "canonical_key", "canonical_label", "confidence")
-    keyed = df.withColumn("spelled", tx.topic_key_stored("normalized_topic"))
+    keyed = barrier(df.withColumn("spelled", tx.topic_key_stored("normalized_topic")))
     joined = keyed.join(active, keyed.spelled == active.alias_key, "left")
     own = F.when(one_of(F.col("spelled"), fixed.ACRONYMS), F.upper("spelled")).otherwise(
         F.coalesce(blank_to_null("topic_text"), tx.initcap("spelled"))
@@ -43,7 +43,8 @@ def canonicalise(df: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def score(df: DataFrame) -> DataFrame:
-    out = df.withColumn("profile", tx.token_profile("topic_key"))
+    # each stage is computed once: the gate below reads these columns many times
+    out = barrier(barrier(df).withColumn("profile", tx.token_profile("topic_key")))
     return out.withColumn(
         "topic_confidence",
         tx.stored_confidence("topic_key", "topic_type", "quality_score", "alias_confidence", "profile"),
@@ -82,7 +83,7 @@ def sync_mentions(topics: DataFrame, processed: DataFrame, aliases: DataFrame, s
         F.coalesce("is_repost", F.lit(False)).alias("is_repost"), F.coalesce("is_reply", F.lit(False)).alias("is_reply"),
         F.coalesce("has_link", F.lit(False)).alias("has_link"),
     )
-    kept = score(canonicalise(df, aliases)).where(gate())
+    kept = barrier(score(canonicalise(df, aliases))).where(gate())
     rows = best(
         kept, ["raw_post_id", "platform", "topic_key"],
         [F.col("topic_confidence").desc(), F.col("quality_score").desc(), F.col("event_timestamp").desc(),
@@ -133,11 +134,11 @@ def minute_mentions(topics: DataFrame, processed: DataFrame, aliases: DataFrame)
     merged = ("nokings", "no king", "no kings", "no kings s", "no kingss")  # spellings of one movement
     fold = lambda k: F.when(k.isin(*merged), "no kings").otherwise(k)
     facts = ["author_id", "quality_score", "is_repost", "is_reply", "has_link", "sentiment_label"]
-    direct = with_processed(topics, processed).select(
+    direct = barrier(with_processed(topics, processed).select(
         F.date_trunc("minute", "bucket_minute").alias("bucket_minute"), "platform",
         fold(spell("normalized_topic")).alias("normalized_topic"), "raw_post_id", *facts,
         F.coalesce(*[F.when(F.col("topic_type") == t, r) for t, r in fixed.TYPE_RANK.items()], F.lit(9)).alias("topic_priority"),
-    ).where(topic_ok("normalized_topic"))
+    )).where(topic_ok("normalized_topic"))
     direct = best(
         direct, ["raw_post_id", "platform", "normalized_topic"],
         [F.col("topic_priority").asc(), F.col("quality_score").desc()],
@@ -147,7 +148,7 @@ def minute_mentions(topics: DataFrame, processed: DataFrame, aliases: DataFrame)
         fold(spell("topic_key_candidate")).alias("normalized_topic"), "raw_post_id", "author_id", "quality_score",
         "is_repost", "is_reply", (F.size("urls") > 0).alias("has_link"), "sentiment_label", F.lit(9).alias("topic_priority"),
     ).where(F.coalesce("normalized_topic", F.lit("")) != "")
-    all_rows = direct.unionByName(fallback)
+    all_rows = direct.unionByName(barrier(fallback))
     k, toks = F.col("normalized_topic"), F.split("normalized_topic", " ")
     weak_or_noise = fixed.WEAK_WORDS + [w for w in fixed.TOPIC_NOISE if w != "digit"]
     return all_rows.where(

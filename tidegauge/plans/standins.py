@@ -14,7 +14,7 @@ AS_OF = "2024-01-30 12:00:00"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name == "documents" else df
+    return spread(df) if name in ("documents", "events", "lineitem") else df
 
 
 def as_of_lit(text: str = AS_OF):
