@@ -180,17 +180,17 @@ def _(spark, sf):
 
 @query(
     "enrichment_nearest_window",
-    f"""WITH {RUNS_SQL} SELECT topic_key, id, {ts('generated_at')} AS generated_at FROM runs WHERE abs(floor(epoch(generated_at)) - floor(epoch({_T}))) <= 90 * 86400
+    f"""WITH {RUNS_SQL} SELECT topic_key, id, {ts('generated_at')} AS generated_at FROM runs WHERE abs(floor(epoch(generated_at)) - floor(epoch({_T}))) <= 180 * 60
     QUALIFY row_number() OVER (PARTITION BY topic_key ORDER BY total_tokens DESC, runs.generated_at DESC, id DESC) = 1""",
 )
 def _(spark, sf):
-    return dg.nearest_window(runs(spark, sf), "topic_key", end(), "generated_at", 90 * 1440,
+    return dg.nearest_window(runs(spark, sf), "topic_key", end(), "generated_at", 180,
                              [F.col("total_tokens").desc(), F.col("generated_at").desc(), F.col("id").desc()]).select("topic_key", "id", "generated_at")
 
 
 @query(
     "live_status",
-    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'disconnected' WHEN o_custkey % 10 = 0 THEN 'stale' WHEN o_custkey % 500 <= 60 THEN 'live' WHEN o_custkey % 500 <= 300 THEN 'delayed' ELSE 'stale' END AS state FROM orders",
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'disconnected' WHEN o_custkey % 10 = 0 THEN 'stale' WHEN o_custkey % 500 <= 30 THEN 'live' WHEN o_custkey % 500 <= 120 THEN 'delayed' ELSE 'stale' END AS state FROM orders",
 )
 def _(spark, sf):
     age = F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey") % 500)

@@ -162,3 +162,12 @@ def _(spark, sf):
     rows = st.table(spark, sf, "lineitem").groupBy("l_partkey").agg(
         F.round(F.sum("l_extendedprice"), 2).alias("score"), F.sort_array(F.collect_set(F.date_format("l_shipdate", "yyyy-MM"))).alias("evidence"))
     return gr.overlap_board(rows, "l_partkey", [F.col("score").desc(), F.col("l_partkey").asc()], {"evidence": 0.34}, 40).drop("evidence")
+
+
+@query("curated_board")
+def _(spark, sf):
+    rows = st.table(spark, sf, "lineitem").groupBy("l_partkey").agg(
+        F.round(F.avg("l_discount") * 1000, 2).alias("quality"), F.max("l_linenumber").alias("lines"),
+        F.sort_array(F.collect_set(F.date_format("l_shipdate", "yyyy-MM"))).alias("months"))
+    rows = rows.selectExpr("l_partkey", "quality", "concat('a', l_partkey % 6) AS archetype", "l_partkey % 3 = 0 AS dry", "l_partkey % 5 = 0 AS watch", "lines < 7 AS low_visual", "months")
+    return gr.curated_board(rows, "l_partkey", [F.col("quality").desc(), F.col("l_partkey").asc()], "quality", "archetype", "dry", "watch", "low_visual", "months", 25).drop("months")

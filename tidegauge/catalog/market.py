@@ -28,13 +28,13 @@ def coins(spark, sf):
 
 
 _REJ = """CASE WHEN coalesce(url, '') = '' THEN 'missing_url' WHEN name = '' THEN 'broken_metadata'
- WHEN NOT (liquidity >= 1500 AND ((volume_24h >= 1000 OR volume_6h >= 400 OR volume_1h >= 180) OR (txns_24h >= 4 OR txns_6h >= 2 OR txns_1h >= 1)) AND (buys + sells > 0 OR (txns_24h >= 4 OR txns_6h >= 2 OR txns_1h >= 1))) THEN 'no_basic_market_presence'
- WHEN price <= 0 THEN 'broken_metadata' WHEN volume_24h / liquidity > 45 OR abs(change_24h) >= 1600 THEN 'anti_rug_failed'
- WHEN liquidity <= 300 AND volume_24h <= 400 AND volume_6h <= 80 AND txns_24h <= 3 AND txns_6h <= 2 AND buys + sells <= 4 THEN 'liquidity_drained'
- WHEN age_hours >= 24 AND liquidity <= 1200 AND volume_24h <= 400 AND volume_6h <= 80 AND txns_24h <= 3 AND txns_6h <= 2 AND buys + sells <= 4 THEN 'dead_pair_activity'
- WHEN change_24h <= -72 AND sells >= greatest(8, buys * 2) AND volume_6h <= 120 AND txns_6h <= 2 AND liquidity <= 1200 THEN 'rug_pull_signature' END"""
+ WHEN NOT (liquidity >= 750 AND ((volume_24h >= 400 OR volume_6h >= 160 OR volume_1h >= 72) OR (txns_24h >= 2 OR txns_6h >= 1 OR txns_1h >= 1)) AND (buys + sells > 0 OR (txns_24h >= 2 OR txns_6h >= 1 OR txns_1h >= 1))) THEN 'no_basic_market_presence'
+ WHEN price <= 0 THEN 'broken_metadata' WHEN volume_24h / liquidity > 180 OR abs(change_24h) >= 1600 THEN 'anti_rug_failed'
+ WHEN liquidity <= 350 AND volume_24h <= 1200 AND volume_6h <= 180 AND txns_24h <= 3 AND txns_6h <= 2 AND buys + sells <= 4 THEN 'liquidity_drained'
+ WHEN age_hours >= 24 AND liquidity <= 2500 AND volume_24h <= 1200 AND volume_6h <= 180 AND txns_24h <= 3 AND txns_6h <= 2 AND buys + sells <= 4 THEN 'dead_pair_activity'
+ WHEN change_24h <= -94 AND sells >= greatest(8, buys * 2) AND volume_6h <= 240 AND txns_6h <= 2 AND liquidity <= 2500 THEN 'rug_pull_signature' END"""
 _PEN = lambda x, want, base, span: f"CASE WHEN {x} < {want} THEN round({base}::DOUBLE + (1 - least(1, greatest(0, {x} / {want}::DOUBLE))) * {span}::DOUBLE, 3) ELSE 0 END"
-_PENS = [("liquidity", 15000.0, 1.2, 2.6), ("volume_24h", 10000.0, 1.0, 2.4), ("txns_24h", 30, 0.8, 2.0), ("age_hours", 2.0, 0.4, 1.2), ("fit", 12.0, 0.35, 1.4)]
+_PENS = [("liquidity", 6000.0, 1.2, 2.6), ("volume_24h", 2500.0, 1.0, 2.4), ("txns_24h", 6, 0.8, 2.0), ("age_hours", 1.5, 0.4, 1.2), ("fit", 4.0, 0.35, 1.4)]
 _PSUM = " + ".join(_PEN(*p) for p in _PENS)
 _PCNT = " + ".join(f"CASE WHEN {p[0]} < {p[1]} THEN 1 ELSE 0 END" for p in _PENS)
 
@@ -42,7 +42,7 @@ _PCNT = " + ".join(f"CASE WHEN {p[0]} < {p[1]} THEN 1 ELSE 0 END" for p in _PENS
 @query(
     "market_gates",
     f"""WITH {COINS} SELECT id, {_REJ} AS reject_reason, {r6('least(28.0::DOUBLE, log10(liquidity + 1) * 10) + least(22.0::DOUBLE, log10(volume_24h + 1) * 8) + least(16.0::DOUBLE, ln(1 + txns_24h) * 3.2::DOUBLE) + least(10.0::DOUBLE, CASE WHEN volume_24h > 0 THEN volume_1h / volume_24h ELSE 0 END * 85) + CASE WHEN age_hours >= 1 THEN 3.0 WHEN age_hours >= 0.1 THEN 1.5 ELSE 0 END::DOUBLE')} AS health,
-    {big(_PCNT)} AS penalties, {r6(f"round(market_score * 0.6::DOUBLE + fit * 0.25::DOUBLE + CASE WHEN {_PCNT} = 0 THEN 1 ELSE 0 END + CASE WHEN liquidity >= 15000 THEN 1 ELSE 0 END + CASE WHEN volume_24h >= 10000 THEN 1 ELSE 0 END + CASE WHEN txns_24h >= 30 THEN 0.6 ELSE 0 END::DOUBLE + least(4.0::DOUBLE, links * 1.2::DOUBLE) - round({_PSUM}, 3), 3)")} AS force_fill FROM coins""",
+    {big(_PCNT)} AS penalties, {r6(f"round(market_score * 0.6::DOUBLE + fit * 0.25::DOUBLE + CASE WHEN {_PCNT} = 0 THEN 1 ELSE 0 END + CASE WHEN liquidity >= 6000 THEN 1 ELSE 0 END + CASE WHEN volume_24h >= 2500 THEN 1 ELSE 0 END + CASE WHEN txns_24h >= 6 THEN 0.6 ELSE 0 END::DOUBLE + least(4.0::DOUBLE, links * 1.2::DOUBLE) - round({_PSUM}, 3), 3)")} AS force_fill FROM coins""",
 )
 def _(spark, sf):
     df = coins(spark, sf).withColumn("pens", mk.soft_penalties())
@@ -159,14 +159,16 @@ _TXT = lambda c: f"list_distinct({_TOK.format(x=c)})"
     tw AS (SELECT topic, unnest({_TXT('topic')}) AS w FROM t), aw AS (SELECT asset, unnest({_TXT('txt')}) AS w FROM a), na AS (SELECT topic, count(*) AS n FROM tw GROUP BY 1), nb AS (SELECT asset, count(*) AS n FROM aw GROUP BY 1),
     s AS (SELECT topic, asset, count(*) AS shared FROM tw JOIN aw USING (w) GROUP BY 1, 2), x AS (SELECT topic, asset, shared, round(shared / least(na.n, nb.n) * 0.6::DOUBLE + shared / (na.n + nb.n - shared) * 0.4::DOUBLE, 6) AS lex FROM s JOIN na USING (topic) JOIN nb USING (asset))
     SELECT topic, asset, shared, {r6('lex')} AS lexical, row_number() OVER (PARTITION BY topic ORDER BY lex DESC, shared DESC, asset) AS place,
-      CASE WHEN shared >= 2 AND lex >= 0.7 THEN 'strong' WHEN shared >= 2 AND lex >= 0.45 THEN 'likely' WHEN shared >= 2 THEN 'possible' ELSE 'hidden' END AS tier FROM x WHERE lex >= 0.25 QUALIFY place <= 5""",
+      CASE WHEN shared >= 2 THEN 2 ELSE 1 END::BIGINT AS match_priority, shared >= 2 OR lex >= 0.46 AS plausible FROM x WHERE lex >= 0.25 QUALIFY place <= 5""",
 )
 def _(spark, sf):
     part = st.table(spark, sf, "part")
     topics = part.select(F.col("p_name").alias("topic")).distinct()
     assets = part.selectExpr("p_partkey AS asset", "concat(p_name, ' ', p_type, ' ', replace(p_brand, '#', ' ')) AS txt")
     out = mk.topic_asset_links(topics, assets, "topic", "topic", "asset", "txt")
-    return out.withColumn("tier", mk.link_tier("lexical", F.col("shared") >= 2)).select("topic", "asset", "shared", "lexical", "place", "tier")
+    kind = F.when(F.col("shared") >= 2, "strong_narrative").otherwise("fallback")
+    ok = mk.link_plausible(kind, F.when(F.col("shared") >= 2, 1).otherwise(0), "lexical", F.lit(0), F.lit(0.0))
+    return out.select("topic", "asset", "shared", "lexical", "place", mk.match_type_priority(kind).alias("match_priority"), ok.alias("plausible"))
 
 
 @query(

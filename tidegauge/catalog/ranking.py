@@ -244,8 +244,10 @@ def _(spark, sf):
 
 @query(
     "relevance_bands",
-    f"""WITH {EST}, r AS (SELECT k, attention_score, row_number() OVER (ORDER BY attention_score DESC, k) AS n FROM est)
-    SELECT k, n AS attention_rank, CASE WHEN n <= 10 AND attention_score >= 60 THEN 'high' WHEN n <= 25 AND attention_score >= 35 THEN 'medium' ELSE 'low' END AS band FROM r""",
+    f"""WITH {EST}, r AS (SELECT k, attention_score AS s, row_number() OVER (ORDER BY attention_score DESC, k) AS n, count(*) OVER () AS c FROM est),
+    l AS (SELECT *, CASE WHEN c >= 100 THEN 48 ELSE greatest(greatest(1, floor(c * 0.25 + 0.5)), floor(c * 0.52 + 0.5)) END AS hm, CASE WHEN c >= 100 THEN 45 ELSE c - greatest(1, floor(c * 0.25 + 0.5)) END AS mm FROM r),
+    h AS (SELECT *, s >= 50 AND row_number() OVER (PARTITION BY s >= 50 ORDER BY n) <= hm AS high FROM l)
+    SELECT k, n AS attention_rank, CASE WHEN high THEN 'high' WHEN s >= 34 AND row_number() OVER (PARTITION BY high, s >= 34 ORDER BY n) <= mm THEN 'medium' ELSE 'low' END AS band FROM h""",
 )
 def _(spark, sf):
     from tidegauge.operators.windows import global_rank
@@ -267,3 +269,23 @@ def _(spark, sf):
         "p_partkey", "p_size * 2 AS meme", "p_partkey % 100 AS visual", "p_partkey % 10 / 10.0D AS conf", "p_partkey % 80 AS dry",
         "p_size % 5 AS evidence", "p_size % 3 AS sources", f"{_ARCH} AS arch", "p_partkey % 90 AS age_h")
     return df.select("p_partkey", rk.narrative_quality("meme", "visual", "conf", "dry", "evidence", "sources", "arch", "age_h").alias("quality"))
+
+
+_BUCKETS = list(rk.CATEGORY_BONUS)
+_BUCKET = "CASE p_partkey % 13 " + " ".join(f"WHEN {i} THEN '{b}'" for i, b in enumerate(_BUCKETS)) + " ELSE 'other' END"
+_case = lambda table: "CASE b " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + " ELSE 0 END"
+
+
+@query(
+    "matching_priority_parts",
+    f"""WITH t AS (SELECT p_partkey, p_size, {_BUCKET} AS b FROM part) SELECT p_partkey, b AS bucket, {r6(_case(rk.CATEGORY_BONUS))} AS category_bonus,
+    {r6(f"least(18.0::DOUBLE, p_size % 4 * 1.8::DOUBLE + least(8.0::DOUBLE, p_size % 9 * 1.2::DOUBLE) + {_case(rk.CULTURE_BONUS)} + CASE WHEN p_size % 15 >= 10 THEN 3.0 WHEN p_size % 15 >= 6 THEN 1.5 ELSE 0 END::DOUBLE)")} AS culture_bonus,
+    {r6("CASE WHEN p_partkey % 5 = 0 THEN 18 ELSE 0 END + CASE WHEN p_partkey % 10 = 0 THEN 8 WHEN p_partkey % 10 < 2 THEN 6 ELSE 0 END + CASE WHEN p_size % 15 <= 2 THEN 10 WHEN p_size % 15 <= 4 THEN 6 WHEN p_size % 15 <= 6 THEN 2 ELSE 0 END + CASE WHEN p_partkey % 7 = 0 THEN 6 ELSE 0 END + CASE WHEN p_partkey % 6 = 0 THEN 16 + CASE WHEN p_size % 9 = 0 THEN 8 ELSE 0 END ELSE 0 END + CASE WHEN b IN ('politics','macro','finance','news') THEN 6 ELSE 0 END")} AS penalty FROM t""",
+)
+def _(spark, sf):
+    df = st.table(spark, sf, "part").selectExpr(
+        "p_partkey", f"{_BUCKET} AS bucket", "p_size % 4 AS hits", "p_size % 9 AS entities", "p_size % 15 AS posts", "p_partkey % 10 / 10.0D AS conf")
+    m = lambda n: F.col("p_partkey") % n == 0
+    return df.select(
+        "p_partkey", "bucket", rk.category_bonus("bucket").alias("category_bonus"), rk.culture_bonus("hits", "entities", "bucket", "posts").alias("culture_bonus"),
+        rk.topic_quality_penalty("conf", "posts", m(6), "entities", m(7), m(5), "bucket").alias("penalty"))

@@ -122,7 +122,7 @@ def nearest_window(rows: DataFrame, key: str, target: Column, window_end: str, d
     return best(rows.where(gap <= drift_minutes * 60), [key], order)
 
 
-def live_status(alive: Column, age_seconds: Column, live: int = 60, delayed: int = 300) -> Column:
+def live_status(alive: Column, age_seconds: Column, live: int = 30, delayed: int = 120) -> Column:
     return (
         F.when(~alive, "disconnected").when(age_seconds.isNull(), "stale").when(age_seconds <= live, "live")
         .when(age_seconds <= delayed, "delayed").otherwise("stale")

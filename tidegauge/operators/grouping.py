@@ -350,3 +350,32 @@ def overlap_board(rows: DataFrame, key: str, order: list[Column], sets: dict[str
         return pdf.iloc[kept]
 
     return top.groupBy("__one").applyInPandas(walk, top.schema).drop("__one")
+
+
+def curated_board(rows: DataFrame, key: str, order: list[Column], quality: str, archetype: str, dry: str, watch: str, low_visual: str,
+                  overlap: str, limit: int, pool: int = 400) -> DataFrame:
+    """Board whose picks change the value of the rest: repeated archetypes and dry rows sink after every pick.
+
+    ``overlap`` is an array column; rows sharing half of it with a kept row are out.  The walk sees the best ``pool``
+    rows only (a board-size parameter)."""
+    top = rows.orderBy(*order).limit(pool).withColumn("__one", F.lit(1))
+    top = top_n(top, ["__one"], order, pool, "place")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place").reset_index(drop=True)
+        sets = [frozenset(x) for x in pdf[overlap]]
+        base = pdf[quality] - pdf[watch] * 4.0 - pdf[low_visual] * 6.0
+        left, kept, seen, dry_n = list(range(len(pdf))), [], {}, 0
+        clash = lambda i, j: bool(sets[i] and sets[j]) and len(sets[i] & sets[j]) / max(len(sets[i]), len(sets[j])) >= 0.5
+        while left and len(kept) < limit:
+            value = lambda i: base[i] - 10.0 * seen.get(pdf.at[i, archetype], 0) - (18 + 6 * dry_n if pdf.at[i, dry] and dry_n >= 2 else 0)
+            pick = max(left, key=lambda i: (value(i), -i))
+            kept.append(pick)
+            seen[pdf.at[pick, archetype]] = seen.get(pdf.at[pick, archetype], 0) + 1
+            dry_n += int(pdf.at[pick, dry])
+            left = [i for i in left if i != pick and not clash(pick, i)]
+        out = pdf.iloc[kept].copy()
+        out["place"] = range(1, len(out) + 1)
+        return out
+
+    return top.groupBy("__one").applyInPandas(walk, top.schema).drop("__one")

@@ -45,9 +45,9 @@ def merge_hints(hints: DataFrame, key: list[str]) -> DataFrame:
 
 # --- fixed values: gate thresholds ---------------------------------------------------------
 GATES = {
-    "basic_liquidity": 1500.0, "basic_volume": 1000.0, "basic_txns": 4, "max_ratio": 45.0, "dead_volume": 400.0, "dead_txns": 3,
-    "drained_liquidity": 300.0, "dead_liquidity": 1200.0, "dead_age_hours": 24.0, "rug_drop_pct": 72.0,
-    "min_liquidity": 15000.0, "min_volume": 10000.0, "min_txns": 30, "new_pair_hours": 2.0, "min_fit": 12.0,
+    "basic_liquidity": 750.0, "basic_volume": 400.0, "basic_txns": 2, "max_ratio": 180.0, "dead_volume": 1200.0, "dead_txns": 3,
+    "drained_liquidity": 350.0, "dead_liquidity": 2500.0, "dead_age_hours": 24.0, "rug_drop_pct": 94.0,
+    "min_liquidity": 6000.0, "min_volume": 2500.0, "min_txns": 6, "new_pair_hours": 1.5, "min_fit": 4.0,
 }
 
 
@@ -249,8 +249,14 @@ def topic_asset_links(topics: DataFrame, assets: DataFrame, topic: str, topic_te
     return top_n(scored, [topic], [F.col("lexical").desc(), F.col("shared").desc(), F.col(asset).asc()], per_topic, "place")
 
 
-def link_tier(score: str, plausible: Column) -> Column:
-    return F.when(plausible & (F.col(score) >= 0.7), "strong").when(plausible & (F.col(score) >= 0.45), "likely").when(plausible, "possible").otherwise("hidden")
+def link_plausible(match_type: Col, overlaps: Column, name_similarity: Col, support: Col, score: Col) -> Column:
+    """A link may be shown: explicit origin, any overlap or supporting post, a close name, or a high score."""
+    return (c(match_type) == "explicit_origin") | (overlaps > 0) | (c(support) > 0) | (c(name_similarity) >= 0.46) | (c(score) >= 16)
+
+
+def match_type_priority(match_type: Col) -> Column:
+    m = F.lower(F.trim(c(match_type)))
+    return F.when(m == "explicit_origin", 3).when(m == "strong_narrative", 2).when(m == "fallback", 1).otherwise(0)
 
 
 def capped_board(rows: DataFrame, token: str, order: list[Column], flag: str, flag_cap: int, theme: str, theme_cap: int, size: int) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions import scores as sc
-from tidegauge.functions.basic import c, clamp, pct_change, round1
-from tidegauge.operators.windows import global_rank, normalise_to_max, top_n
+from tidegauge.functions.basic import c, clamp, round1
+from tidegauge.operators.windows import global_rank, top_n
+from tidegauge.session import materialise
 
 
 def established(rows: DataFrame) -> DataFrame:
@@ -224,12 +225,27 @@ def rotating_slice(df: DataFrame, rank: str, total: int, offset: int, k: int) ->
 # --- relevance bands -----------------------------------------------------------------------------
 
 
-def relevance_bands(rows: DataFrame, rank: str, score: str, high: int = 10, medium: int = 25, high_floor: float = 60.0,
-                    medium_floor: float = 35.0) -> DataFrame:
-    """high / medium / low by place, each band with a minimum score."""
-    r, s = F.col(rank), F.col(score)
-    band = F.when((r <= high) & (s >= high_floor), "high").when((r <= medium) & (s >= medium_floor), "medium").otherwise("low")
-    return rows.withColumn("band", band)
+def relevance_bands(rows: DataFrame, rank: str, score: str, high_floor: float = 50.0, medium_floor: float = 34.0) -> DataFrame:
+    """high / medium / low: the first eligible rows fill the high band, the next eligible ones the medium band.
+
+    Band sizes follow from the number of rows (48 and 45 on boards of a hundred or more)."""
+    rows = materialise(rows, "bands")  # a board, read several times below
+    n = rows.agg(F.count(F.lit(1))).scalar()
+    df = rows.withColumn("__n", n).withColumn("__h", F.col(score) >= high_floor)
+    half_up = lambda x: F.floor(x + 0.5)
+    high_min = F.when(F.col("__n") >= 100, 30).otherwise(F.greatest(F.lit(1), half_up(F.col("__n") * 0.25)))
+    high_max = F.when(F.col("__n") >= 100, 48).otherwise(F.greatest(high_min, half_up(F.col("__n") * 0.52)))
+    low_max = F.when(F.col("__n") >= 100, 25).otherwise(F.ceil(F.col("__n") * 0.25))
+    medium_min = F.when(F.col("__n") >= 100, 32).otherwise(F.greatest(F.lit(0), F.col("__n") - high_min - low_max))
+    medium_max = F.when(F.col("__n") >= 100, 45).otherwise(F.greatest(medium_min, F.col("__n") - high_min))
+    step = -F.floor(-F.col(rank) / 50)
+    one = global_rank(df.where("__h"), step, [F.col(rank).asc()], "__place").unionByName(df.where("NOT __h").withColumn("__place", F.lit(None).cast("long")))
+    one = one.withColumn("__high", F.coalesce(F.col("__place") <= high_max, F.lit(False))).drop("__place")
+    open_ = ~F.col("__high") & (F.col(score) >= medium_floor)
+    two = global_rank(one.where(open_), step, [F.col(rank).asc()], "__place").unionByName(
+        one.where(~open_).withColumn("__place", F.lit(None).cast("long")))
+    band = F.when(F.col("__high"), "high").when(F.col("__place") <= medium_max, "medium").otherwise("low")
+    return two.withColumn("band", band).drop("__n", "__h", "__high", "__place")
 
 
 def narrative_quality(meme: str, visual: str, conf: str, dry: str, evidence: str, sources: str, archetype: str, age_h: str) -> Column:
@@ -243,3 +259,38 @@ def narrative_quality(meme: str, visual: str, conf: str, dry: str, evidence: str
         c(meme) * 0.48 + c(visual) * 0.2 + c(conf) * 100 * 0.18 + F.least(F.lit(20), c(evidence) * 4 + c(sources) * 2) + bonus + recent
         - c(dry) * 0.22
     )
+
+
+# --- fixed values: category and culture bonuses of the matching priority ----------------------
+CATEGORY_BONUS = {
+    "meme": 20.0, "internet_culture": 18.0, "crypto_spillover": 17.0, "entertainment": 16.0, "gaming": 16.0, "creator": 14.0, "ai_tech": 14.0,
+    "memeified_politics": 10.0, "politics": -18.0, "macro": -12.0, "finance": -12.0, "news": -8.0,
+}
+CULTURE_BONUS = {
+    "meme": 8.0, "internet_culture": 7.0, "crypto_spillover": 7.0, "gaming": 7.0, "entertainment": 6.0, "creator": 6.0, "ai_tech": 5.0,
+    "memeified_politics": 4.0,
+}
+
+
+def _lookup(x: str, table: dict[str, float]) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), F.col(x)), F.lit(0.0))
+
+
+def category_bonus(bucket: str) -> Column:
+    return _lookup(bucket, CATEGORY_BONUS)
+
+
+def culture_bonus(hits: str, entities: str, bucket: str, posts: str) -> Column:
+    active = F.when(c(posts) >= 10, 3.0).when(c(posts) >= 6, 1.5).otherwise(0.0)
+    return F.least(F.lit(18.0), c(hits) * 1.8 + F.least(F.lit(8.0), c(entities) * 1.2) + _lookup(bucket, CULTURE_BONUS) + active)
+
+
+def topic_quality_penalty(confidence: str, posts: str, generic: Column, entities: str, failed: Column, weak_status: Column, bucket: str) -> Column:
+    """Penalty of weakly supported, generically named or newsy topics."""
+    conf = F.when(c(confidence) <= 0, 8.0).when(c(confidence) < 0.2, 6.0).otherwise(0.0)
+    few = sc.ladder(posts, ((2, 10.0), (4, 6.0), (6, 2.0)), 0.0)
+    pts = lambda cond, x: F.when(cond, x).otherwise(0.0)
+    return (
+        pts(weak_status, 18.0) + conf + few + pts(failed, 6.0) + pts(generic, 16.0) + pts(generic & (c(entities) == 0), 8.0)
+        + pts(c(bucket).isin("politics", "macro", "finance", "news"), 6.0)
+    )
