@@ -218,7 +218,8 @@ def _(spark, sf):
     CAST(floor((row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) - 1) / 3) AS BIGINT) AS chunk FROM supplier""",
 )
 def _(spark, sf):
-    df = rk.round_robin(st.table(spark, sf, "supplier"), "s_nationkey", [F.col("s_acctbal").desc(), F.col("s_suppkey").asc()])
+    df = rk.round_robin(st.table(spark, sf, "supplier"), "s_nationkey", [F.col("s_acctbal").desc(), F.col("s_suppkey").asc()],
+                        -F.floor(F.col("s_acctbal") / 1000))
     return df.select("s_suppkey", "s_nationkey", "turn", rk.chunk_number("turn", 3).alias("chunk"))
 
 

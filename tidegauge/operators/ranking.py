@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions import scores as sc
 from tidegauge.functions.basic import c, clamp, round1
-from tidegauge.operators.windows import global_rank, top_n
+from tidegauge.operators.windows import chunked_rank, global_rank, top_n
 from tidegauge.session import materialise
 
 
@@ -202,11 +202,11 @@ def series_seeds(rows: DataFrame, key: str, limit: int, min_mentions: int = 8, m
 # --- ordered queues ----------------------------------------------------------------------------
 
 
-def round_robin(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
-    """Place inside the own group; reading by (place, group) interleaves the groups."""
-    from pyspark.sql import Window
+def round_robin(df: DataFrame, group: str, order: list[Column], chunk: Column) -> DataFrame:
+    """Place inside the own group; reading by (place, group) interleaves the groups.
 
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    ``chunk`` ascending must agree with ``order``: a large group is numbered chunk by chunk."""
+    return chunked_rank(df, [group], chunk, order, "turn")
 
 
 def repeat_by_weight(df: DataFrame, weight: str) -> DataFrame:
