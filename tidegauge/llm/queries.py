@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import mixing, quality, tokens
-from tidegauge.llm.shared import file_store, given, materialise
+from tidegauge.llm import mixing, pseudonyms, quality, secret_scan, tokens, warc
+from tidegauge.llm.shared import file_store, given, materialise, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,3 +56,33 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(mixing.prepared(docs).drop("text", "source"), "sizes")
     mixed = mixing.apply(rows, mixing.plan(rows))
     return mixed.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("copies") * F.col("__size")).alias("taken"))
+
+
+@query("op2_pseudonyms")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with pseudonyms, n_values changed, of every document."""
+    docs = given(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return pseudonyms.pseudonymised(docs).select("doc_id", "text", "n_values")
+
+
+@query("op9_secret_spans")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document, through a ledger of its own."""
+    docs = given(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = secret_scan.scan_paths(docs, secret_scan.Ledger(spark, scratch_path(spark, "ledger")), ["doc_id"])
+    return found.select(
+        "doc_id", *[F.size(r.kind).cast("long").alias(f"n_{r.kind}") for r in secret_scan.BASE_RULES],
+        F.sha2(secret_scan.joined_spans(secret_scan.BASE_RULES).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.joined_spans(secret_scan.RULES).alias("spans"))
+
+
+@query("op10_warc_index", """
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+           CASE WHEN n >= 1000 AND page_id < m THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 1000 AND page_id < m THEN m END AS refers_to
+    FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest,
+                 max(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS m FROM pages)""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, from the merged index of its archives."""
+    index = warc.capture_index(given(spark, sf_dir, "pages"), file_store(spark, "warc"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -32,7 +32,7 @@ class FileStore:
         """Context-free writer: call ``commit`` with the same arguments after closing the stream."""
         system, root = self._at()
         system.create_dir(root, recursive=True)
-        return system.open_output_stream(f"{root}/_{attempt}-{name}")
+        return system.open_output_stream(f"{root}/_{attempt}-{name}", compression=None)
 
     def commit(self, name: str, attempt: str) -> None:
         """A finished file gets its name in one step, so a repeated task replaces a file by an equal one."""
