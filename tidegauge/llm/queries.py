@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import mixing, pseudonyms, quality, secret_scan, tokens, warc
+from tidegauge.llm import collision_ann, decontaminate, mixing, ngram_join, pseudonyms, quality, secret_scan, spans, tokens, warc
 from tidegauge.llm.shared import file_store, given, materialise, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(tokens.write_shards(given(spark, sf_dir, "documents"), store, tokenizer_file()), store)
 
 
+@query("op3_benchmark_hits")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, containment of every document and benchmark item it contains."""
+    found = decontaminate.contained_items(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "containment")
+
+
+@query("op4_repeated_spans")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text without repeated spans, n_removed sentences, of every document."""
+    docs = given(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return spans.removed(docs)
+
+
+@query("op5_near_copies")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies of every document."""
+    return ngram_join.classes(given(spark, sf_dir, "documents")).withColumnRenamed("rid", "doc_id")
+
+
 @query("op6_quality_scores")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
@@ -46,9 +66,6 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_table(table, model, ["doc_id"]).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-_OP7 = ("doc_id", "size", "source_size", "target", "taken")
-
-
 @query("op7_source_mix")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
@@ -65,6 +82,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymised(docs).select("doc_id", "text", "n_values")
 
 
+@query("op8_nearest_vectors")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the ten nearest vectors of every query vector."""
+    vectors = collision_ann.usable(given(spark, sf_dir, "embeddings"))
+    return collision_ann.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 @query("op9_secret_spans")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document, through a ledger of its own."""

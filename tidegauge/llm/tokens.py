@@ -3,7 +3,7 @@
 A shard is a pair of files in Arrow's stream format, without compression, so a memory map of either is usable as it is:
 
 * ``tokens``: one row per sequence of ``length`` tokens, ``ids`` fixed_size_list<uint16 or uint32> and ``mask``
-  fixed_size_list<uint8> (1 token, 2 end of a document, 0 padding after the last document of the shard);
+  fixed_size_list<bool> (false: padding after the last document of the shard);
 * ``docs``: doc_id, place of its first token in the shard, number of tokens with the end id.
 
 Ids take 16 bits when the whole vocabulary fits, else 32.  Documents are in ascending id order over all shards
@@ -28,34 +28,65 @@ END_ID = 0
 LENGTH = 2048
 ROWS = 128  # sequences of a record batch
 SHARD_TOKENS = 1 << 26  # a shard is closed at the first document beyond
-CACHE = 400_000  # pieces kept by a worker
+CACHE = 600_000  # pieces, and parts of pieces, that a worker keeps (about 100 MB each)
+
+# Fixed value: where this vocabulary's words begin, before any merge.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class PieceEncoder:
     """Whole-text encoding by the tokenizers library, with one call per new piece.
 
-    Byte-level BPE never merges over a single space between two other characters, so a text is cut there and each distinct
-    piece is encoded once.  Texts where a cut could matter (runs of white space, the library's added tokens) go to the
-    library whole."""
+    Byte-level BPE never merges over a single space between two other characters, so a text is cut there; a piece not met before is
+    cut further at the boundaries of the vocabulary's own pattern, and new parts are encoded many at a time.  Texts where a cut could
+    matter (runs of white space, the library's added tokens) go to the library whole."""
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = id_type(self.tokenizer.get_vocab_size())
+        self.pattern = regex.compile(PATTERN)
         self.pieces: dict[str, bytes | None] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _learn_parts(self, new: set[str]) -> None:
+        """Parts that begin with a space are encoded as one text: each is one word of the library's own split."""
+        together, alone = [], []
+        for part in new:
+            (together if part[0] == " " and len(part) > 1 else alone).append(part)
+        for part in alone:
+            self.parts[part] = self._ids(part)
+        for at in range(0, len(together), 4096):
+            chunk = together[at:at + 4096]
+            code = self.tokenizer.encode("".join(chunk), add_special_tokens=False)
+            ids, words = np.array(code.ids, self.kind), np.array(code.word_ids)
+            ends = np.flatnonzero(np.diff(words, append=-1)) + 1
+            if len(ends) != len(chunk):
+                for part in chunk:
+                    self.parts[part] = self._ids(part)
+                continue
+            data, size = ids.tobytes(), self.kind.itemsize
+            start = 0
+            for part, end in zip(chunk, (ends * size).tolist()):
+                self.parts[part] = data[start:end]
+                start = end
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
         # a piece with white space at either end stands at a cut that the library would not make
-        plain = [p for p in new if p.strip(" ") and not p[-1].isspace() and not p.lstrip(" ")[0].isspace() and p[:2] != "  "]
+        cut = {p: self.pattern.findall(p) for p in new if p.strip(" ") and not p[-1].isspace() and not p.lstrip(" ")[0].isspace()}
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        self._learn_parts({x for parts in cut.values() for x in parts}.difference(self.parts))
+        get = self.parts.__getitem__
         for piece in new:
-            self.pieces[piece] = None
-        for piece, code in zip(plain, self.tokenizer.encode_batch(plain, add_special_tokens=False)):
-            self.pieces[piece] = np.array(code.ids, self.kind).tobytes()
+            self.pieces[piece] = b"".join(map(get, cut[piece])) if piece in cut else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace(" ", "\0 ").split("\0") if t and t[0] != " " and "\0" not in t else None for t in texts]
@@ -70,18 +101,29 @@ class PieceEncoder:
         for text, pieces in zip(texts, cut):
             codes = list(map(get, pieces)) if pieces else [None]
             if None in codes or any(a in text for a in self.added):
-                codes = [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()] if text else []
+                codes = [self._ids(text)] if text else []
             out.append(b"".join(codes))
         return out
 
 
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder_of(model: str) -> PieceEncoder:
+    """One encoder per worker process, kept from task to task."""
+    if model not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[model] = PieceEncoder(model)
+    return _ENCODERS[model]
+
+
 def id_type(vocabulary: int):
     return np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
 
 
 def schemas(kind, length: int) -> tuple[pa.Schema, pa.Schema]:
     ids = pa.list_(pa.from_numpy_dtype(kind), length)
-    return (pa.schema([("ids", ids), ("mask", pa.list_(pa.uint8(), length))]),
+    return (pa.schema([("ids", ids), ("mask", pa.list_(pa.bool_(), length))]),
             pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]))
 
 
@@ -95,14 +137,12 @@ class ShardWriter:
         self.out = pa.ipc.new_stream(self.files[0], self.schema)
         self.doc_out = pa.ipc.new_stream(self.files[1], self.doc_schema)
         self.kept: list[bytes] = []
-        self.masks: list[bytes] = []
         self.docs: list[tuple] = []
         self.waiting = self.n_tokens = self.n_docs = 0
 
     def add(self, doc_id: int | None, code: bytes) -> None:
         n = len(code) // self.kind.itemsize + 1
         self.kept += [code, np.array([END_ID], self.kind).tobytes()]
-        self.masks += [b"\1" * (n - 1), b"\2"]
         self.docs.append((doc_id, self.n_tokens, n))
         self.n_tokens += n
         self.n_docs += 1
@@ -113,18 +153,18 @@ class ShardWriter:
             self._flush_docs()
 
     def _flush(self, last: bool) -> None:
-        ids, mask = np.frombuffer(b"".join(self.kept), self.kind), np.frombuffer(b"".join(self.masks), np.uint8)
-        size = ROWS * self.length
-        if last and len(ids) % self.length:
-            pad = self.length - len(ids) % self.length
-            ids, mask = np.concatenate([ids, np.zeros(pad, self.kind)]), np.concatenate([mask, np.zeros(pad, np.uint8)])
+        ids = np.frombuffer(b"".join(self.kept), self.kind)
+        size, tokens = ROWS * self.length, len(ids)
+        if last and tokens % self.length:
+            ids = np.concatenate([ids, np.zeros(self.length - tokens % self.length, self.kind)])
         at = 0
         while len(ids) - at >= size or last and at < len(ids):
-            part, marks = ids[at:at + size], mask[at:at + size]
+            part = ids[at:at + size]
+            mask = np.arange(at, at + len(part)) < tokens
             self.out.write_batch(pa.record_batch(
-                [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((part, marks), self.schema)], self.schema))
+                [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((part, mask), self.schema)], self.schema))
             at += len(part)
-        self.kept, self.masks, self.waiting = [ids[at:].tobytes()], [mask[at:].tobytes()], len(ids) - at
+        self.kept, self.waiting = [ids[at:].tobytes()], len(ids) - at
 
     def _flush_docs(self) -> None:
         if self.docs:
@@ -155,9 +195,8 @@ def write_shards(docs: DataFrame, store: FileStore, tokenizer_file: str, doc_id:
     def write(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         part, attempt, seq, shard, out = task.partitionId(), f"a{task.taskAttemptId()}", 0, None, []
-        encoder = None
         for batch in stream:
-            encoder = encoder or PieceEncoder(model.value)
+            encoder = encoder_of(model.value)
             ids, texts = batch.column("doc_id"), batch.column("text")
             for at in range(0, batch.num_rows, 256):
                 for key, code in zip(ids[at:at + 256].to_pylist(), encoder.encode(texts[at:at + 256].to_pylist())):
@@ -218,13 +257,14 @@ def read_documents(shards: DataFrame, store: FileStore) -> DataFrame:
 
 
 def sequence(store: FileStore, name: str, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence ``i`` of a shard and its mask, as views of the mapped file."""
+    """Sequence ``i`` of a shard, a view of the mapped file, and its mask."""
     system, root = store._at()
     local = f"{root}/{name}.tokens.arrows"
     source = pa.memory_map(local) if system.type_name == "local" else store.read(f"{name}.tokens.arrows")
     for at, batch in enumerate(pa.ipc.open_stream(source)):
         if at == i // ROWS:
-            return tuple(c[i % ROWS].values.to_numpy(zero_copy_only=True) for c in batch.columns)
+            ids, mask = (c[i % ROWS].values for c in batch.columns)
+            return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
     raise IndexError(i)
 
 
