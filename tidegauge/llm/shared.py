@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.session import materialise, scratch_path
 
-__all__ = ["FileStore", "broadcast_if_small", "file_store", "given", "materialise", "row_key", "scratch_path"]
+ARROW_BYTES = 8 << 20
+
+__all__ = ["FileStore", "bounded", "file_store", "given", "materialise", "row_key", "scratch_path"]
 
 
 class FileStore:
@@ -48,6 +47,14 @@ def file_store(spark: SparkSession, label: str) -> FileStore:
     return FileStore(scratch_path(spark, label))
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df; from now on its session hands Python batches of at most ``ARROW_BYTES`` (a longer row comes alone).
+
+    Batches exist on both sides of the pipe for every running task, outside of the heap."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df
+
+
 def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -55,21 +62,3 @@ def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def row_key(doc_id: str = "doc_id", text: str = "text"):
     """The integer id; rows without one are told apart by their text."""
     return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.lit("no id"), F.col(text)))
-
-
-def batches(rows: Iterator[pa.RecordBatch], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Re-chunk small result batches."""
-    kept, n = [], 0
-    for batch in rows:
-        kept.append(batch)
-        n += batch.num_rows
-        if n >= size:
-            yield from pa.Table.from_batches(kept, schema).combine_chunks().to_batches()
-            kept, n = [], 0
-    if n:
-        yield from pa.Table.from_batches(kept, schema).combine_chunks().to_batches()
-
-
-def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Broadcast hint only for a counted side of at most ``limit`` rows; beyond it the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df

@@ -16,95 +16,121 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidegauge.llm.shared import FileStore, batches, materialise
+from tidegauge.llm.arrays import parts
+from tidegauge.llm.shared import FileStore, materialise
 
 END_ID = 0
 LENGTH = 2048
 ROWS = 128  # sequences of a record batch
 SHARD_TOKENS = 1 << 26  # a shard is closed at the first document beyond
-CACHE = 600_000  # pieces, and parts of pieces, that a worker keeps (about 100 MB each)
-
-# Fixed value: where this vocabulary's words begin, before any merge.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+ENCODE_BYTES = 16 << 20  # texts encoded at once
+CACHE = 1_000_000  # pieces that a worker keeps (about 40 MB)
 
 
 class PieceEncoder:
-    """Whole-text encoding by the tokenizers library, with one call per new piece.
+    """Whole-text encoding by the tokenizers library, with each different piece encoded once.
+
+    Byte-level BPE never merges over a single space or line end between two other characters, so texts are cut there.  Known pieces
+    and their ids are two Arrow arrays: a batch is looked up, and its ids are put together, without touching single pieces in
+    Python.  New pieces are encoded as the lines of one text, where every line end is a token of its own; marks behind a letter or digit
+    are a word of their own, so a piece that ends in marks is its front and its tail.  Texts where a cut could matter (runs of
+    white space, white space first, the library's added tokens) go to the library whole.
 
-    Byte-level BPE never merges over a single space between two other characters, so a text is cut there; a piece not met before is
-    cut further at the boundaries of the vocabulary's own pattern, and new parts are encoded many at a time.  Texts where a cut could
-    matter (runs of white space, the library's added tokens) go to the library whole."""
+    A piece that begins with a line end stands for the text behind it without a space; every text is given one in front."""
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = id_type(self.tokenizer.get_vocab_size())
-        self.pattern = regex.compile(PATTERN)
-        self.pieces: dict[str, bytes | None] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn_parts(self, new: set[str]) -> None:
-        """Parts that begin with a space are encoded as one text: each is one word of the library's own split."""
-        together, alone = [], []
-        for part in new:
-            (together if part[0] == " " and len(part) > 1 else alone).append(part)
-        for part in alone:
-            self.parts[part] = self._ids(part)
-        for at in range(0, len(together), 4096):
-            chunk = together[at:at + 4096]
-            code = self.tokenizer.encode("".join(chunk), add_special_tokens=False)
-            ids, words = np.array(code.ids, self.kind), np.array(code.word_ids)
-            ends = np.flatnonzero(np.diff(words, append=-1)) + 1
-            if len(ends) != len(chunk):
-                for part in chunk:
-                    self.parts[part] = self._ids(part)
-                continue
-            data, size = ids.tobytes(), self.kind.itemsize
-            start = 0
-            for part, end in zip(chunk, (ends * size).tolist()):
-                self.parts[part] = data[start:end]
-                start = end
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.line_code = np.array([self.line_end], self.kind).tobytes()
+        self.known, self.coded = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.whole, self.used = np.zeros(0, bool), np.zeros(0, bool)  # pieces that need their whole text; pieces met since the last clean-up
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        # a piece with white space at either end stands at a cut that the library would not make
-        cut = {p: self.pattern.findall(p) for p in new if p.strip(" ") and not p[-1].isspace() and not p.lstrip(" ")[0].isspace()}
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        self._learn_parts({x for parts in cut.values() for x in parts}.difference(self.parts))
-        get = self.parts.__getitem__
-        for piece in new:
-            self.pieces[piece] = b"".join(map(get, cut[piece])) if piece in cut else None
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace(" ", "\0 ").split("\0") if t and t[0] != " " and "\0" not in t else None for t in texts]
-        new = {p for pieces in cut if pieces for p in pieces}.difference(self.pieces)
-        if new:
-            if len(self.pieces) + len(new) > CACHE:
-                new = {p for pieces in cut if pieces for p in pieces}
-                self.pieces.clear()
-            self._learn(new)
-        get = self.pieces.__getitem__
-        out = []
-        for text, pieces in zip(texts, cut):
-            codes = list(map(get, pieces)) if pieces else [None]
-            if None in codes or any(a in text for a in self.added):
-                codes = [self._ids(text)] if text else []
-            out.append(b"".join(codes))
+    def _encode_lines(self, texts: list[str]) -> list[bytes]:
+        out, size = [], self.kind.itemsize
+        for at in range(0, len(texts), 8192):
+            chunk = texts[at:at + 8192]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(chunk) + "\n"], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(ids == self.line_end)
+            if len(ends) != len(chunk):
+                out += [self._ids(t) for t in chunk]
+                continue
+            data, ends = ids.tobytes(), ends * size
+            starts = np.concatenate([[0], ends[:-1] + size])
+            out += map(data.__getitem__, map(slice, starts.tolist(), ends.tolist()))
         return out
 
+    def _add(self, pieces: list[str], codes: list[bytes | None]) -> None:
+        self.known = pa.concat_arrays([self.known, pa.array(pieces, pa.large_string())])
+        self.coded = pa.concat_arrays([self.coded, pa.array([c or b"" for c in codes], pa.large_binary())])
+        self.whole = np.concatenate([self.whole, [c is None for c in codes]])
+        self.used = np.concatenate([self.used, np.ones(len(codes), bool)])
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.known) + len(new) > CACHE:
+            keep = pa.array(self.used)
+            self.known, self.coded, self.whole = self.known.filter(keep), self.coded.filter(keep), self.whole[self.used]
+            self.used = np.zeros(len(self.known), bool)
+        fronts = [p.rstrip(punctuation) for p in new]
+        cut = [(p, f, p[len(f):]) for p, f in zip(new, fronts) if len(f) != len(p) and len(f) > (f[:1] == "\n") and f[-1].isalnum()]
+        pieces = dict.fromkeys(p for p, f in zip(new, fronts) if len(f) == len(p) or len(f) <= (f[:1] == "\n") or not f[-1].isalnum())
+        parts_ = list(dict.fromkeys(x for _, f, t in cut for x in (f, "\n" + t)))
+        at = pc.index_in(pa.array(parts_, pa.large_string()), value_set=self.known)
+        have = dict(zip(parts_, self.coded.take(at).to_pylist()))
+        pieces.update((p, None) for p in parts_ if have[p] is None)
+        # a piece with white space at either end, or none, stands at a cut that the library would not make
+        good = [p for p in pieces if p and p != "\n" and not p[-1].isspace() and not p[p[0] == "\n"].isspace()]
+        for p, code in zip(good, self._encode_lines([p[1:] if p[0] == "\n" else " " + p for p in good])):
+            pieces[p] = self.line_code + code if p[0] == "\n" else code
+        skip = len(self.line_code)
+        whole = {}
+        for p, front, tail in cut:
+            a, b = have.get(front) or pieces.get(front), have.get("\n" + tail) or pieces.get("\n" + tail)
+            whole[p] = a + b[skip:] if a and b else None
+        pieces.update(whole)
+        self._add(list(pieces), list(pieces.values()))
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes | memoryview]:
+        """Ids of each text, in order."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        empty, line = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
+        lists = pc.split_pattern(pc.binary_join_element_wise(empty, pc.replace_substring(texts, "\n", " \n"), line), " ")
+        values, at = lists.values, lists.offsets.to_numpy()
+        index = pc.index_in(values, value_set=self.known)
+        if index.null_count:
+            self.used[index.drop_null().to_numpy()] = True
+            self._learn(values.filter(pc.is_null(index)).unique().to_pylist())
+            index = pc.index_in(values, value_set=self.known)
+        index = index.to_numpy().astype(np.int64)
+        self.used[index] = True
+        marks = np.concatenate([[0], np.cumsum(self.whole[index])])
+        by_library = marks[at[1:]] > marks[at[:-1]]
+        for token in self.added:
+            by_library |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        taken = self.coded.take(pa.array(index))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset:][at]
+        data, skip = memoryview(taken.buffers()[2]), len(self.line_code)
+        for i, low, high in zip(range(len(texts)), ends[:-1].tolist(), ends[1:].tolist()):
+            if by_library[i]:
+                yield self._ids(texts[i].as_py())
+            else:
+                yield data[low + skip:high]
+
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -140,7 +166,7 @@ class ShardWriter:
         self.docs: list[tuple] = []
         self.waiting = self.n_tokens = self.n_docs = 0
 
-    def add(self, doc_id: int | None, code: bytes) -> None:
+    def add(self, doc_id: int | None, code: bytes | memoryview) -> None:
         n = len(code) // self.kind.itemsize + 1
         self.kept += [code, np.array([END_ID], self.kind).tobytes()]
         self.docs.append((doc_id, self.n_tokens, n))
@@ -198,8 +224,8 @@ def write_shards(docs: DataFrame, store: FileStore, tokenizer_file: str, doc_id:
         for batch in stream:
             encoder = encoder_of(model.value)
             ids, texts = batch.column("doc_id"), batch.column("text")
-            for at in range(0, batch.num_rows, 256):
-                for key, code in zip(ids[at:at + 256].to_pylist(), encoder.encode(texts[at:at + 256].to_pylist())):
+            for first, end, _, _ in parts(texts, ENCODE_BYTES):
+                for key, code in zip(ids[first:end].to_pylist(), encoder.encode(texts[first:end])):
                     if shard is None:
                         shard = ShardWriter(store, f"{part:06d}-{seq:04d}", attempt, encoder.kind, length)
                     shard.add(key, code)
@@ -268,4 +294,4 @@ def sequence(store: FileStore, name: str, i: int) -> tuple[np.ndarray, np.ndarra
     raise IndexError(i)
 
 
-__all__ = ["PieceEncoder", "batches", "documents_of", "read_documents", "sequence", "write_shards"]
+__all__ = ["PieceEncoder", "documents_of", "read_documents", "sequence", "write_shards"]
