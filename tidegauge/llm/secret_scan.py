@@ -93,7 +93,8 @@ class Ledger:
         except AnalysisException as err:
             if err.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], LEDGER)
+            none = self.spark.range(0)  # an empty ledger that needs no Python worker
+            return none.selectExpr("CAST(NULL AS STRING) AS blob", "CAST(NULL AS STRING) AS rule", "CAST(NULL AS INT) AS version", f"CAST(NULL AS {SPAN}) AS spans")
 
     def unseen(self, docs: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame:
         """(blob, text, todo): blobs of docs with rule versions that the ledger does not have; one row per blob."""
@@ -121,7 +122,7 @@ def scan_paths(docs: DataFrame, ledger: Ledger, paths: list[str], text: str = "t
     found = ledger.findings(rules)
     where = docs.select(*paths, blob_id(text).alias("__blob"))
     out = where.join(found, where["__blob"] == found["blob"], "left")
-    return out.select(*[F.col(p) for p in paths], F.col("__blob").alias("blob"), *[F.coalesce(F.col(r.kind), F.array().cast(SPAN)).alias(r.kind) for r in rules])
+    return out.select(*[where[p] for p in paths], where["__blob"].alias("blob"), *[F.coalesce(found[r.kind], F.array().cast(SPAN)).alias(r.kind) for r in rules])
 
 
 def joined_spans(rules: Sequence[Rule]) -> Column:
