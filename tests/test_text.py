@@ -61,3 +61,13 @@ def test_whole_texts_are_used(spark):
     text = " ".join(f"word{i}" for i in range(5000)) + " scam"
     assert one(spark, F.size(tx.tokens("t")), text) == 5001
     assert one(spark, tx.sentiment("t")["negative"], text) == 2
+
+
+def test_name_runs_of_a_very_long_capitalised_text(spark):
+    from pyspark.sql import functions as F
+
+    from tidegauge.operators import topics as tp
+
+    text = " ".join(f"Solar{chr(97 + i % 26)} Storm{chr(97 + i % 7)}" for i in range(10_000))
+    row = spark.createDataFrame([(text,)], "t string").select(F.size(tp.name_runs("t", [])).alias("n")).first()
+    assert row["n"] == 4000  # names of five words

@@ -61,7 +61,7 @@ def phrase_label(phrase: Col) -> Column:
         F.split(c(phrase), " "),
         lambda t: F.coalesce(
             F.try_element_at(display, t),
-            F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 100000)),
+            F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t))),
         ),
     ))
 

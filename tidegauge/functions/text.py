@@ -228,7 +228,7 @@ def alias_lookup() -> dict[str, tuple[str, str, float]]:
 def initcap(x: Col) -> Column:
     """Capitalises after every non-alphanumeric character, not only after blanks."""
     parts = F.regexp_extract_all(F.lower(c(x)), F.lit(r"([a-z0-9]+|[^a-z0-9]+)"), F.lit(1))
-    return F.concat_ws("", F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 100000))))
+    return F.concat_ws("", F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))))
 
 
 def short_sha1(x: Col, n: int) -> Column:

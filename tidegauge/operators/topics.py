@@ -32,7 +32,7 @@ def _alias(key: Col, part: int) -> Column:
 def is_proper(t: Column, key: Column, weak: list[str]) -> Column:
     """A capitalised or mixed-case token that can carry a name."""
     upper_only = t == F.upper(t)
-    rest = F.substring(t, 2, 1000)
+    rest = F.substring(t, F.lit(2), F.length(t))
     return (
         (key != "") & ~one_of(key, fixed.STOPWORDS + fixed.TOPIC_BLOCKLIST) & ~one_of(key, NOISE)
         & (~one_of(key, weak) | one_of(key, ENT)) & ((F.length(key) >= 3) | one_of(key, ACR))
@@ -44,76 +44,69 @@ def is_proper(t: Column, key: Column, weak: list[str]) -> Column:
     )
 
 
-# maximal stretch of words with a capital letter, joined by gaps without sentence marks or by one connector word
-_CAP = r"[A-Za-z][A-Za-z0-9&'-]*"
-_NAME = r"(?=[A-Za-z0-9&'-]*[A-Z])" + _CAP
-_GAP = r"[^A-Za-z.!?;:]+"
-_LINK = r"(?:" + "|".join(w for w in fixed.CONNECTORS if w != "&") + r")(?![A-Za-z0-9&'-])"
-STRETCH = (
-    rf"((?<![A-Za-z0-9&'-]){_NAME}(?:{_GAP}{_NAME}|{_GAP}{_LINK}[^A-Za-z]+{_NAME})*)"
-)
+# one word, and what stands before it; a flat pattern: repeated groups would recurse once per word
+_WORD = r"([^A-Za-z]*)([A-Za-z][A-Za-z0-9&'-]*)"
+_LINKS = [w for w in fixed.CONNECTORS if w != "&"]
 
 
-def _split_run(run: Column, repeated: Column, weak: list[str]) -> Column:
-    """One stretch -> names: at most five words, weak or noise words end a name, a plain capitalised first word of a
-    sentence starts one only when the text repeats it."""
-    lead = F.regexp_extract(run, r"^([.!?;:]?\s*)", 1)
-    pattern = r"([^A-Za-z]*)([A-Za-z][A-Za-z0-9&'-]*)"
-    body = F.regexp_replace(run, r"^[.!?;:]?\s*", "")
+def name_runs(text: Col, weak: list[str]) -> Column:
+    """array<string>: adjacent proper words of a whole text joined into names.
+
+    A stretch is a series of words with a capital letter, parted by gaps without sentence marks or by one connector word.
+    Inside a stretch a name has at most five words, weak or noise words end it, and a plain capitalised first word of a sentence
+    starts one only when the text repeats it.  Words are taken and flagged once, then folded once, so a text of any length is fine."""
+    marked = F.concat(F.lit("#"), F.ltrim(c(text)))  # '#': start of text counts as a sentence start
     zipped = F.arrays_zip(
-        F.regexp_extract_all(body, F.lit(pattern), F.lit(1)).alias("gap"),
-        F.regexp_extract_all(body, F.lit(pattern), F.lit(2)).alias("tok"),
-    )
+        F.regexp_extract_all(marked, F.lit(_WORD), F.lit(1)).alias("gap"), F.regexp_extract_all(marked, F.lit(_WORD), F.lit(2)).alias("tok"))
+    lower = F.array_sort(F.regexp_extract_all(F.lower(c(text)), F.lit(r"([a-z][a-z0-9&'-]*)"), F.lit(1)))
+    repeated = bind(lower, lambda ks: F.array_distinct(F.filter(ks, lambda k, i: (i > 0) & (F.get(ks, i - 1) == k))))
+
+    def flags(z: Column, rep: Column) -> Column:
+        t, gap = z["tok"], z["gap"]
 
-    def flags(z: Column, i: Column) -> Column:
         def with_key(k: Column) -> Column:
-            t = z["tok"]
-            rest = F.substring(t, 2, 1000)
-            plain = t.rlike("^[A-Z]") & rest.rlike("[a-z]") & ~rest.rlike("[A-Z]")
+            plain = t.rlike("^[A-Z]") & t.rlike("^.[^A-Z]*[a-z]") & ~t.rlike("^.+[A-Z]")
             proper = is_proper(t, k, weak)
-            leading = (i == 0) & run.rlike(r"^(#|[.!?;:])")
-            skip = leading & plain & ~F.array_contains(repeated, F.lower(t)) & ~one_of(k, ENT) & ~one_of(k, ACR)
+            lead = gap.rlike(r"(^#|[.!?;:])\s*$")
+            skip = lead & plain & ~F.array_contains(rep, F.lower(t)) & ~one_of(k, ENT) & ~one_of(k, ACR)
             return F.struct(
-                t.alias("tok"), proper.alias("proper"), (proper & ~skip).alias("starts"),
-                z["gap"].rlike(r"[.!?;:]").alias("stop"), one_of(k, NOISE).alias("noise"),
-                k.isin(*fixed.CONNECTORS).alias("link"),
-            )
+                t.alias("tok"), F.lit(True).alias("name"), F.lit(False).alias("joins"), (~gap.rlike(r"[.!?;:]")).alias("near"),
+                (~gap.rlike("[0-9&'-]$")).alias("opens"), proper.alias("proper"), (proper & ~skip).alias("first"),
+                one_of(k, NOISE).alias("noise"), k.isin(*fixed.CONNECTORS).alias("link"))
 
-        return bind(tx.topic_key(z["tok"]), with_key)
+        other = F.struct(
+            t.alias("tok"), F.lit(False).alias("name"), t.isin(*_LINKS).alias("joins"), (~gap.rlike(r"[.!?;:]")).alias("near"), F.lit(False).alias("opens"),
+            F.lit(False).alias("proper"), F.lit(False).alias("first"), F.lit(False).alias("noise"), F.lit(True).alias("link"))
+        return F.when(t.rlike("[A-Z]"), bind(tx.topic_key(t), with_key)).otherwise(other)
 
     def fold(fl: Column) -> Column:
-        marked = F.transform(fl, lambda z, i: z.withField("next_proper", F.coalesce(F.get(fl, i + 1)["proper"], F.lit(False))))
+        def ahead(z: Column, i: Column) -> Column:
+            n = F.get(fl, i + 1)
+            return z.withField("next_name", F.coalesce(n["name"], F.lit(False))).withField(
+                "next_proper", F.coalesce(n["proper"] & (z["joins"] | n["near"]), F.lit(False)))
+
         empty = F.array().cast("array<string>")
-        zero = F.struct(empty.alias("done"), empty.alias("cur"), F.lit(False).alias("force"))
+        # at: 0 outside of stretches, 1 after a word of one, 2 after a connector inside one
+        zero = F.struct(empty.alias("done"), empty.alias("cur"), F.lit(False).alias("force"), F.lit(0).alias("at"))
+        closed = lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["done"], F.array(F.concat_ws(" ", a["cur"])))).otherwise(a["done"])
 
         def step(a: Column, z: Column) -> Column:
-            room = (F.size(a["cur"]) > 0) & (F.size(a["cur"]) < 5) & ~z["stop"] & ~z["noise"]
-            grow = (F.size(a["cur"]) > 0) & (a["force"] | (room & z["proper"]))
+            goes_on = (z["name"] & (((a["at"] == 1) & z["near"]) | (a["at"] == 2))) | (z["joins"] & (a["at"] == 1) & z["near"] & z["next_name"])
+            begins = ~goes_on & z["name"] & z["opens"]
+            room = goes_on & (F.size(a["cur"]) > 0) & (F.size(a["cur"]) < 5) & z["near"] & ~z["noise"]
+            grow = goes_on & (F.size(a["cur"]) > 0) & (a["force"] | (room & z["proper"]))
             link = ~grow & room & z["link"] & z["next_proper"]
-            closed = F.when(F.size(a["cur"]) > 0, F.concat(a["done"], F.array(F.concat_ws(" ", a["cur"])))).otherwise(a["done"])
+            start = F.when(goes_on, z["proper"]).otherwise(begins & z["first"])
             return F.struct(
-                F.when(grow | link, a["done"]).otherwise(closed).alias("done"),
+                F.when(grow | link, a["done"]).otherwise(closed(a)).alias("done"),
                 F.when(grow, F.concat(a["cur"], F.array(z["tok"]))).when(link, F.concat(a["cur"], F.array(F.lower(z["tok"])))).otherwise(
-                    F.when(z["starts"], F.array(z["tok"])).otherwise(empty)).alias("cur"),
-                link.alias("force"),
-            )
+                    F.when(start, F.array(z["tok"])).otherwise(empty)).alias("cur"),
+                link.alias("force"), F.when(goes_on & z["joins"], 2).when(goes_on | begins, 1).otherwise(0).alias("at"))
 
-        end = lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["done"], F.array(F.concat_ws(" ", a["cur"])))).otherwise(a["done"])
-        return F.aggregate(marked, zero, step, end)
+        return F.aggregate(F.transform(fl, ahead), zero, step, closed)
 
-    return bind(F.transform(zipped, flags), fold)
-
-
-def name_runs(text: Col, weak: list[str]) -> Column:
-    """array<string>: adjacent proper words of a whole text joined into names."""
-    marked = F.concat(F.lit("#"), F.ltrim(c(text)))  # '#': start of text counts as a sentence start
-    stretches = F.regexp_extract_all(marked, F.lit(r"(?s)((?:(?:^#|[.!?;:])\s*)?" + STRETCH[1:-1] + ")"), F.lit(1))
-    lower = F.array_sort(F.regexp_extract_all(F.lower(c(text)), F.lit(r"([a-z][a-z0-9&'-]*)"), F.lit(1)))
-    repeated = bind(lower, lambda ks: F.array_distinct(F.filter(ks, lambda k, i: (i > 0) & (F.get(ks, i - 1) == k))))
-    return bind(
-        F.struct(stretches.alias("runs"), repeated.alias("rep")),
-        lambda s: F.flatten(F.transform(s["runs"], lambda r: _split_run(r, s["rep"], weak))),
-    )
+    return bind(F.struct(zipped.alias("words"), repeated.alias("rep")),
+                lambda s: bind(F.transform(s["words"], lambda z: flags(z, s["rep"])), fold))
 
 
 def informative(t: Column, weak: list[str]) -> Column:
@@ -141,7 +134,7 @@ def keyword_rank(t: Column, weak: list[str]) -> Column:
 
 def show(t: Column) -> Column:
     """Display form of one topic token."""
-    cap = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1000))
+    cap = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))
     parts = F.filter(F.split(t, "-"), lambda p: p != "")
     return F.when(one_of(t, ACR), F.upper(t)).when(t.contains("-"), F.concat_ws("-", F.transform(parts, cap))).otherwise(cap(t))
 
