@@ -33,18 +33,18 @@ def _phrases(spark, sf):
     return gr.phrase_rows(docs(spark, sf), "doc_id", "text", ["source", "author", "root", "weight"])
 
 
-def _stats(spark, sf):
-    return gr.phrase_stats(_phrases(spark, sf), "doc_id", "weight", "root", "author", "source", 80, False)
+def _stats(spark, sf, limit=None):
+    return gr.phrase_stats(_phrases(spark, sf), "doc_id", "weight", "root", "author", "source", limit, False)
 
 
 @query("phrase_statistics", f"WITH {_PH} SELECT key, docs, roots, authors, sources, {r6('score')} AS score FROM top")
 def _(spark, sf):
-    return _stats(spark, sf).select("key", "docs", "roots", "authors", "sources", "score")
+    return _stats(spark, sf, 80).select("key", "docs", "roots", "authors", "sources", "score")
 
 
 @query(
     "phrase_groups",
-    f"""WITH {_PH}, win AS (SELECT doc_id, key FROM (SELECT DISTINCT doc_id, key FROM ph) JOIN top USING (key) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, key) = 1)
+    f"""WITH {_PH}, win AS (SELECT doc_id, key FROM (SELECT DISTINCT doc_id, key FROM ph) JOIN stats USING (key) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, key) = 1)
     SELECT doc_id, coalesce(key, 'lang:' || lang) AS group_key, key IS NOT NULL AS by_phrase FROM d LEFT JOIN win USING (doc_id)""",
 )
 def _(spark, sf):
@@ -66,17 +66,19 @@ for _name, _t in (("near_duplicate_pairs", 0.6), ("near_duplicate_texts", 0.92))
         st.table(spark, sf, "documents").select("doc_id", tx.tokens("text").alias("tk")), "doc_id", "tk", t))
 
 
-_EDGES = f"{st.ACTIONS_SQL}, e AS (SELECT DISTINCT concat('u', user_id) AS u, concat('s', k) AS v FROM actions WHERE value > 150)"
+# an actor and the subject it acted on inside its circle of three actors; every event is an edge
+_EDGES = f"{st.ACTIONS_SQL}, e AS (SELECT DISTINCT concat('u', user_id) AS u, concat('s', k // 4, ':', user_id // 3) AS v FROM actions)"
 
 
 @query(
     "connected_components",
-    f"""WITH RECURSIVE {_EDGES}, b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(a, n) AS (SELECT u, u FROM b UNION SELECT r.a, b.v FROM r JOIN b ON r.n = b.u)
-    SELECT a AS node, min(n) AS component FROM r GROUP BY 1""",
+    f"""WITH RECURSIVE {_EDGES}, b AS MATERIALIZED (SELECT u, v FROM e UNION SELECT v, u FROM e),
+    cc(node, component) USING KEY (node) AS (SELECT DISTINCT u, u FROM b UNION (SELECT b.u, min(r.component) FROM cc AS r JOIN b ON b.v = r.node
+      JOIN recurring.cc AS mine ON mine.node = b.u GROUP BY b.u, mine.component HAVING min(r.component) < mine.component))
+    SELECT node, component FROM cc""",
 )
 def _(spark, sf):
-    strong = st.actions(spark, sf).where("value > 150")
-    return gr.components(strong.selectExpr("concat('u', user_id) AS u", "concat('s', k) AS v"))
+    return gr.components(st.actions(spark, sf).selectExpr("concat('u', user_id) AS u", "concat('s', k DIV 4, ':', user_id DIV 3) AS v"))
 
 
 @query("topic_clusters")
@@ -136,16 +138,36 @@ def _(spark, sf):
     return gr.assign_ladder(e, "template", "semantic", "url", own="event_id").select("event_id", "topic_key", "rung")
 
 
-@query("capped_selection")
+def greedy_sql(source: str, order: str, carry: dict[str, str], allowed: str, limit: int, out: str) -> str:
+    """A walk in SQL: one recursion step per row, lists carry the picks."""
+    lists = ", ".join(carry)
+    grow = ", ".join(f"CASE WHEN {allowed} THEN list_append(w.{n}, {v}) ELSE w.{n} END" for n, v in carry.items())
+    first = next(iter(carry))
+    return f"""WITH RECURSIVE {source}, o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {order}) AS n FROM src),
+    w(n, {lists}) AS (SELECT 0::BIGINT, {', '.join(f"(SELECT list({v}) FROM o WHERE n < 0)" for v in carry.values())}
+      UNION ALL SELECT o.n, {grow} FROM w JOIN o ON o.n = w.n + 1 WHERE coalesce(len(w.{first}), 0) < {limit}),
+    p AS (SELECT {first} AS ids FROM w ORDER BY n DESC LIMIT 1), q AS (SELECT unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS place FROM p)
+    SELECT {out} FROM q JOIN o ON o.id = q.id"""
+
+
+_count = lambda name, value: f"coalesce(len(list_filter(w.{name}, lambda t: t = {value})), 0)"
+
+
+@query("capped_selection", greedy_sql(
+    f"{st.ACTIONS_SQL}, src AS (SELECT event_id AS id, event_id, k, user_id, value, ts FROM actions)", "value DESC, ts DESC, event_id",
+    {"ids": "id", "ks": "k", "us": "user_id"}, f"{_count('ks', 'o.k')} < 2 AND {_count('us', 'o.user_id')} < 6", 520,
+    "event_id, k, user_id, " + r6("value") + " AS value, place"))
 def _(spark, sf):
     a = st.actions(spark, sf).select("event_id", "k", "user_id", "value", "ts")
-    return gr.capped_selection(a, [F.col("value").desc(), F.col("ts").desc(), F.col("event_id").asc()], "k", "user_id", 2, 6, 520).drop("ts")
+    return gr.capped_selection(a, [F.col("value").desc(), F.col("ts").desc(), F.col("event_id").asc()], "event_id", "k", "user_id", 2, 6, 520).drop("ts")
 
 
-@query("channel_selection")
+@query("channel_selection", greedy_sql(
+    "src AS (SELECT doc_id AS id, doc_id, source, left(sha1(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))), 24) AS text_key FROM documents)", "doc_id DESC",
+    {"ids": "id", "cs": "source", "ts": "text_key"}, f"{_count('cs', 'o.source')} < 12 AND {_count('ts', 'o.text_key')} < 1", 200, "doc_id, source, text_key, place"))
 def _(spark, sf):
     d = st.table(spark, sf, "documents").select("doc_id", "source", tx.short_sha1(F.lower(tx.collapse_ws("text")), 24).alias("text_key"))
-    return gr.channel_selection(d, [F.col("doc_id").desc()], "source", "text_key", 12, 200)
+    return gr.channel_selection(d, [F.col("doc_id").desc()], "doc_id", "source", "text_key", 12, 200)
 
 
 @query("representative_posts")
@@ -157,7 +179,10 @@ def _(spark, sf):
     return gr.representative_posts(d, "topic")
 
 
-@query("diversified_board")
+@query("diversified_board", greedy_sql(
+    "src AS (SELECT l_partkey AS id, l_partkey, round(sum(l_extendedprice), 2) AS score, list_sort(list(DISTINCT strftime(l_shipdate, '%Y-%m'))) AS evidence FROM lineitem GROUP BY l_partkey)",
+    "score DESC, l_partkey", {"ids": "id", "es": "evidence"},
+    "coalesce(len(list_filter(w.es, lambda e: len(list_intersect(e, o.evidence)) / greatest(len(e), len(o.evidence)) >= 0.34)), 0) = 0", 40, "l_partkey, " + r6("score") + " AS score, place"))
 def _(spark, sf):
     rows = st.table(spark, sf, "lineitem").groupBy("l_partkey").agg(
         F.round(F.sum("l_extendedprice"), 2).alias("score"), F.sort_array(F.collect_set(F.date_format("l_shipdate", "yyyy-MM"))).alias("evidence"))

@@ -1,7 +1,8 @@
-"""Phrase statistics, similarity joins, connected components, greedy selections of bounded size."""
+"""Phrase statistics, similarity joins, connected components, greedy selections."""
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 import pandas as pd
@@ -198,86 +199,131 @@ def topic_clusters(topics: DataFrame, key: str, label: str, weight: str) -> Data
     return named.join(lead, "component").select("topic", F.col("canonical").alias("cluster"))
 
 
-# -- greedy selections over a bounded number of rows -------------------------------------------------
+# -- greedy selections ------------------------------------------------------------------------------
+#
+# A selection depends on its own picks, but everything a pick rules out can be said as a filter.  So the best rows that are still
+# possible are fetched a chunk at a time, the walk goes on over them, and what it ruled out goes into the filter of the next chunk.
+# The first row of a chunk can always be picked, every row of the data stays in play until it is ruled out, and the driver
+# holds a few times the size of the selection.
 
 
-def capped_selection(rows: DataFrame, order: list[Column], root: str, author: str, per_root: int, per_author: int, limit: int) -> DataFrame:
-    """Walk the best 4 x limit rows and keep at most so many per root and per author.
+def _none_of(col: str, values) -> Column:
+    values = [v for v in values if v is not None]
+    return F.lit(True) if not values else (F.col(col).isNull() | ~F.col(col).isin(*values))
 
-    The walk depends on its own picks; its input is bounded by the limit, not by the data."""
-    pool = rows.orderBy(*order).limit(limit * 4).withColumn("__one", F.lit(1))
-    pool = top_n(pool, ["__one"], order, limit * 4, "place")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        roots, authors, keep = {}, {}, []
-        for i, (r, a) in enumerate(zip(pdf[root], pdf[author])):
-            if len(keep) >= limit:
-                break
-            if roots.get(r, 0) < per_root and authors.get(a, 0) < per_author:
-                keep.append(i)
-                roots[r] = roots.get(r, 0) + 1
-                authors[a] = authors.get(a, 0) + 1
-        return pdf.iloc[keep]
+def _walk(rows: DataFrame, order: list[Column], limit: int, chunk: int, visit, possible) -> DataFrame:
+    """visit(row) -> picked?; possible() -> filter of the rows that can still be picked."""
+    picked: list = []
+    while len(picked) < limit:
+        batch = rows.where(possible(picked)).orderBy(*order).limit(chunk).collect()
+        for row in batch:
+            if len(picked) < limit and visit(row):
+                picked.append(row)
+        if len(batch) < chunk:
+            break
+    schema = rows.schema.add("place", "long")
+    return rows.sparkSession.createDataFrame([(*row, i + 1) for i, row in enumerate(picked)], schema)
+
+
+def capped_selection(rows: DataFrame, order: list[Column], key: str, root: str, author: str, per_root: int, per_author: int, limit: int) -> DataFrame:
+    """Best rows first, at most so many per root and per author; ``place`` counts the picks."""
+    roots, authors = Counter(), Counter()
 
-    return pool.groupBy("__one").applyInPandas(walk, pool.schema).drop("__one")
+    def visit(row) -> bool:
+        if roots[row[root]] >= per_root or authors[row[author]] >= per_author:
+            return False
+        roots[row[root]] += 1
+        authors[row[author]] += 1
+        return True
 
+    def possible(picked: list) -> Column:
+        full = lambda counts, most: [v for v, n in counts.items() if n >= most]
+        nulls = F.lit(True)
+        for col, counts, most in ((root, roots, per_root), (author, authors, per_author)):
+            if counts[None] >= most:
+                nulls = nulls & F.col(col).isNotNull()
+        return nulls & _none_of(key, [r[key] for r in picked]) & _none_of(root, full(roots, per_root)) & _none_of(author, full(authors, per_author))
 
-def channel_selection(rows: DataFrame, order: list[Column], channel: str, text_key: str, per_channel: int, limit: int) -> DataFrame:
+    return _walk(rows, order, limit, 2 * limit, visit, possible)
+
+
+def channel_selection(rows: DataFrame, order: list[Column], key: str, channel: str, text_key: str, per_channel: int, limit: int) -> DataFrame:
     """Newest rows with a cap per channel; a text counts as seen only when its row was kept."""
-    scan = max(limit * 8, per_channel * 20, 500)
-    pool = rows.orderBy(*order).limit(scan).withColumn("__one", F.lit(1))
-    pool = top_n(pool, ["__one"], order, scan, "place")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        counts, seen, keep = {}, set(), []
-        for i, (ch, key) in enumerate(zip(pdf[channel], pdf[text_key])):
-            if len(keep) >= limit:
-                break
-            if counts.get(ch, 0) >= per_channel or key in seen:
-                continue
-            keep.append(i)
-            seen.add(key)
-            counts[ch] = counts.get(ch, 0) + 1
-        return pdf.iloc[keep]
-
-    return pool.groupBy("__one").applyInPandas(walk, pool.schema).drop("__one")
-
-
-def representative_posts(posts: DataFrame, topic: str, per_topic: int = 120, limit: int = 10, threshold: float = 0.92) -> DataFrame:
+    return capped_selection(rows, order, key, channel, text_key, per_channel, 1, limit)
+
+
+def keep_best(pairs: DataFrame, ranked: DataFrame, key: str, rank: str, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
+    """Rows of ``ranked`` that a walk in rank order keeps when a row similar to a kept one is left out.
+
+    Rounds over pairs: a row without an undecided better neighbour is kept, and its neighbours go.  Same result as the walk."""
+    r = ranked.select(key, rank)
+    edges = pairs.join(r.toDF(a, "__ra"), a).join(r.toDF(b, "__rb"), b).select(
+        F.when(F.col("__ra") < F.col("__rb"), F.col(a)).otherwise(F.col(b)).alias("better"),
+        F.when(F.col("__ra") < F.col("__rb"), F.col(b)).otherwise(F.col(a)).alias("worse"))
+    state = materialise(edges.distinct(), "undecided")
+    gone = None
+    for _ in range(max_rounds):
+        if state.isEmpty():
+            break
+        kept = state.select(F.col("better").alias("k")).join(state.select(F.col("worse").alias("k")).distinct(), "k", "left_anti").distinct()
+        out = materialise(state.join(kept, F.col("better") == F.col("k"), "left_semi").select(F.col("worse").alias("k")).distinct(), "left-out")
+        gone = out if gone is None else gone.unionByName(out)
+        rest = state.join(out, F.col("worse") == F.col("k"), "left_anti").join(out, F.col("better") == F.col("k"), "left_anti")
+        state = materialise(rest, "undecided")
+    else:
+        raise RuntimeError("selection did not settle")
+    return ranked if gone is None else ranked.join(gone.withColumnRenamed("k", key), key, "left_anti")
+
+
+def representative_posts(posts: DataFrame, topic: str, limit: int = 10, threshold: float = 0.92) -> DataFrame:
     """Per topic: near-duplicate removal in rank order, then picks by engagement, recency, centrality and a blend.
 
     Needs post_id, author, engagement, quality, event_s (epoch seconds), fingerprint, tokens (array).
-    The best ``per_topic`` rows of a topic form the pool (trimmed before the shuffle), so a group is bounded."""
+    Copies go first, over all posts.  The picks of a topic can only come from the first rows of each order, two per author, so a
+    topic of any size brings at most 12 x limit rows to its pick."""
     order = [F.col("engagement").desc(), F.col("quality").desc(), F.col("event_s").desc(), F.col("post_id").asc()]
     unique = best(posts, [topic, "fingerprint"], order)
-    pool = top_n(unique, [topic], order, per_topic, "place")
+    # of equal word sets the walk can keep the best row only (no words: never similar)
+    words = F.when(F.size("tokens") > 0, F.array_join(F.array_sort(F.array_distinct("tokens")), "\u0001")).otherwise(F.concat(F.lit("\u0001"), F.col("post_id").cast("string")))
+    unique = best(unique.withColumn("__w", F.sha2(words, 256)), [topic, "__w"], order).drop("__w")
+    unique = materialise(unique, "unique-posts")
+    sets = unique.select("post_id", F.concat(F.col("tokens"), F.array(F.concat(F.lit("\u0001"), F.col(topic).cast("string")))).alias("t"), topic)
+    # the topic is one more word: sets of different topics stay apart, similar ones of a topic stay above the threshold
+    similar = near_duplicates(sets, "post_id", "t", threshold).join(
+        unique.select(F.col("post_id").alias("a"), F.col(topic).alias("__ta"), F.col("tokens").alias("__xa")), "a").join(
+        unique.select(F.col("post_id").alias("b"), F.col(topic).alias("__tb"), F.col("tokens").alias("__xb")), "b")
+    exact = F.size(F.array_intersect("__xa", "__xb")) / F.size(F.array_union("__xa", "__xb"))
+    pairs = similar.where(F.col("__ta").eqNullSafe(F.col("__tb")) & (exact >= threshold - 1e-12)).select("a", "b")
+    ranked = unique.withColumn("__rank", F.struct((-F.col("engagement")).alias("e"), (-F.col("quality")).alias("q"), (-F.col("event_s")).alias("s"), "post_id"))
+    kept = materialise(keep_best(pairs, ranked, "post_id", "__rank").drop("__rank"), "kept-posts")
+    central = token_centrality(kept, topic, "post_id", "tokens")
+    span = kept.groupBy(topic).agg(F.min("event_s").alias("__lo"), F.max("event_s").alias("__hi"))
+    full = kept.join(central, [topic, "post_id"], "left").join(span, topic).withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
+    recency = (F.col("event_s") - F.col("__lo")) / F.greatest(F.lit(1.0), (F.col("__hi") - F.col("__lo")).cast("double"))
+    full = full.withColumn("blend", F.col("engagement") * 0.45 + F.col("centrality") * 8 + recency * 8 + F.col("quality") * 5).drop("__lo", "__hi")
+    full = materialise(full.select(topic, "post_id", "author", "engagement", "quality", "event_s", "tokens", "centrality", "blend"), "posts-to-pick")
+    firsts = None
+    for by in ("engagement", "event_s", "centrality", "blend"):
+        line = [F.round(by, 9).desc(), *order]
+        two = top_n(full, [topic, "author"], line, 2)
+        some = top_n(two, [topic], line, 3 * limit).select("post_id")
+        firsts = some if firsts is None else firsts.union(some)
+    pool = full.join(firsts.distinct(), "post_id")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        kept: list[int] = []
-        sets = [frozenset(t) for t in pdf["tokens"]]
-        for i, s in enumerate(sets):
-            if not any(s and sets[j] and len(s & sets[j]) / len(s | sets[j]) >= threshold for j in kept):
-                kept.append(i)
-        pdf, sets = pdf.iloc[kept].reset_index(drop=True), [sets[i] for i in kept]
-        freq = pd.Series([t for s in sets for t in s]).value_counts()
-        pdf["centrality"] = [float(freq[list(s)].mean()) if s else 0.0 for s in sets]
-        span = max(1.0, float(pdf["event_s"].max() - pdf["event_s"].min()))
-        recency = (pdf["event_s"] - pdf["event_s"].min()) / span
-        pdf["blend"] = pdf["engagement"] * 0.45 + pdf["centrality"] * 8 + recency * 8 + pdf["quality"] * 5
+        pdf = pdf.sort_values(["engagement", "quality", "event_s", "post_id"], ascending=[False, False, False, True]).reset_index(drop=True)
+        sets_ = [frozenset(t) for t in pdf["tokens"]]
         chosen: list[int] = []
-        per_author: dict = {}
+        per_author: Counter = Counter()
 
         def extend(by: str, target: int) -> None:
-            for i in pdf.sort_values([by, "place"], ascending=[False, True]).index:
+            for i in pdf[by].round(9).sort_values(ascending=False, kind="stable").index:
                 if len(chosen) >= target:
                     return
-                a = pdf.at[i, "author"]
-                if i not in chosen and per_author.get(a, 0) < 2:
+                if i not in chosen and per_author[pdf.at[i, "author"]] < 2:
                     chosen.append(i)
-                    per_author[a] = per_author.get(a, 0) + 1
+                    per_author[pdf.at[i, "author"]] += 1
 
         e, r, z = min(limit, 4), min(limit, 3), min(limit, 3)
         extend("engagement", e)
@@ -285,21 +331,15 @@ def representative_posts(posts: DataFrame, topic: str, per_topic: int = 120, lim
         extend("centrality", max(len(chosen), e + r) + z)
         extend("blend", limit)
         chosen = chosen[:limit]
-        total, pairs = 0.0, 0
-        for x in range(len(chosen)):
-            for y in range(x + 1, len(chosen)):
-                if pairs < 45:
-                    p, q = sets[chosen[x]], sets[chosen[y]]
-                    total += len(p & q) / len(p | q) if p and q else 0.0
-                    pairs += 1
+        pairs_ = [(sets_[x], sets_[y]) for i, x in enumerate(chosen) for y in chosen[i + 1:]][:45]
+        total = sum(len(p & q) / len(p | q) if p and q else 0.0 for p, q in pairs_)
         out = pdf.loc[chosen, [topic, "post_id", "author", "engagement", "centrality"]].copy()
         out["pick"] = range(1, len(out) + 1)
-        out["coherence"] = 0.5 if len(chosen) <= 1 else round(total / max(1, pairs), 4)
+        out["coherence"] = 0.5 if len(chosen) <= 1 else round(total / max(1, len(pairs_)), 4)
         return out
 
     schema = pool.select(topic, "post_id", "author", "engagement").schema.add("centrality", "double").add("pick", "long").add("coherence", "double")
-    slim = pool.select(topic, "post_id", "author", "engagement", "quality", "event_s", "tokens", "place")
-    return slim.groupBy(topic).applyInPandas(pick, schema)
+    return pool.groupBy(topic).applyInPandas(pick, schema)
 
 
 def token_centrality(rows: DataFrame, group: str, key: str, tokens: str) -> DataFrame:
@@ -330,52 +370,69 @@ def assign_ladder(rows: DataFrame, *columns: str, own: str) -> DataFrame:
         "rung", source.otherwise("singleton"))
 
 
-def overlap_board(rows: DataFrame, key: str, order: list[Column], sets: dict[str, float], limit: int, pool: int = 400) -> DataFrame:
-    """Greedy board: best first, skipping rows that overlap a kept one in any of the given arrays.
+def _shares(col: str, values, threshold: float) -> Column:
+    """The array shares so much of the larger side with a given one."""
+    given = F.array(*[F.lit(v) for v in values])
+    return (F.size(col) > 0) & (F.size(F.array_intersect(F.col(col), given)) / F.greatest(F.size(col), F.lit(len(values))) >= F.lit(threshold))
+
+
+def _overlap(p, q) -> float:
+    p, q = frozenset(p or ()), frozenset(q or ())
+    return len(p & q) / max(len(p), len(q)) if p and q else 0.0
+
 
-    ``pool`` bounds the walk and is a board-size parameter (a board holds tens of rows)."""
-    top = rows.orderBy(*order).limit(pool).withColumn("__one", F.lit(1))
-    top = top_n(top, ["__one"], order, pool, "place")
+def overlap_board(rows: DataFrame, key: str, order: list[Column], sets: dict[str, float], limit: int) -> DataFrame:
+    """Greedy board over all rows: best first, skipping rows that overlap a kept one in any of the given arrays (without repeats)."""
+    kept: list = []
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place").reset_index(drop=True)
-        cols = {name: [frozenset(x) for x in pdf[name]] for name in sets}
-        share = lambda p, q: len(p & q) / max(len(p), len(q)) if p and q else 0.0
-        kept: list[int] = []
-        for i in range(len(pdf)):
-            if len(kept) >= limit:
-                break
-            if not any(share(cols[n][i], cols[n][j]) >= t for n, t in sets.items() for j in kept):
-                kept.append(i)
-        return pdf.iloc[kept]
+    def visit(row) -> bool:
+        if any(_overlap(row[n], other[n]) >= t for n, t in sets.items() for other in kept):
+            return False
+        kept.append(row)
+        return True
 
-    return top.groupBy("__one").applyInPandas(walk, top.schema).drop("__one")
+    def possible(picked: list) -> Column:
+        out = _none_of(key, [r[key] for r in picked])
+        for row in picked:
+            for name, threshold in sets.items():
+                if row[name]:
+                    out = out & ~F.coalesce(_shares(name, row[name], threshold), F.lit(False))
+        return out
+
+    return _walk(rows, order, limit, 4 * limit, visit, possible)
 
 
 def curated_board(rows: DataFrame, key: str, order: list[Column], quality: str, archetype: str, dry: str, watch: str, low_visual: str,
-                  overlap: str, limit: int, pool: int = 400) -> DataFrame:
+                  overlap: str, limit: int) -> DataFrame:
     """Board whose picks change the value of the rest: repeated archetypes and dry rows sink after every pick.
 
-    ``overlap`` is an array column; rows sharing half of it with a kept row are out.  The walk sees the best ``pool``
-    rows only (a board-size parameter)."""
-    top = rows.orderBy(*order).limit(pool).withColumn("__one", F.lit(1))
-    top = top_n(top, ["__one"], order, pool, "place")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place").reset_index(drop=True)
-        sets = [frozenset(x) for x in pdf[overlap]]
-        base = pdf[quality] - pdf[watch] * 4.0 - pdf[low_visual] * 6.0
-        left, kept, seen, dry_n = list(range(len(pdf))), [], {}, 0
-        clash = lambda i, j: bool(sets[i] and sets[j]) and len(sets[i] & sets[j]) / max(len(sets[i]), len(sets[j])) >= 0.5
+    ``overlap`` is an array column; rows sharing half of it with a kept row are out.  Rows of one archetype and dryness sink
+    together, so the best row is always the first possible one of such a group: the walk sees each group's first rows, and
+    asks again when it has used up what it saw of a group."""
+    base = F.col(quality) - F.col(watch).cast("double") * 4.0 - F.col(low_visual).cast("double") * 6.0
+    valued = rows.withColumn("__base", base)
+    kept: list = []
+    seen: Counter = Counter()
+    while len(kept) < limit:
+        possible = _none_of(key, [r[key] for r in kept])
+        for row in kept:
+            if row[overlap]:
+                possible = possible & ~F.coalesce(_shares(overlap, row[overlap], 0.5), F.lit(False))
+        depth = 2 * limit
+        pool = top_n(valued.where(possible), [archetype, dry], [F.col("__base").desc(), *order], depth, "__n").orderBy(*order).collect()
+        whole = {g: n < depth for g, n in Counter((r[archetype], r[dry]) for r in pool).items()}
+        left = list(enumerate(pool))
         while left and len(kept) < limit:
-            value = lambda i: base[i] - 10.0 * seen.get(pdf.at[i, archetype], 0) - (18 + 6 * dry_n if pdf.at[i, dry] and dry_n >= 2 else 0)
-            pick = max(left, key=lambda i: (value(i), -i))
+            dry_n = sum(bool(r[dry]) for r in kept)
+            value = lambda r: r["__base"] - 10.0 * seen[r[archetype]] - (18 + 6 * dry_n if r[dry] and dry_n >= 2 else 0)
+            _, pick = max(left, key=lambda x: (value(x[1]), -x[0]))
             kept.append(pick)
-            seen[pdf.at[pick, archetype]] = seen.get(pdf.at[pick, archetype], 0) + 1
-            dry_n += int(pdf.at[pick, dry])
-            left = [i for i in left if i != pick and not clash(pick, i)]
-        out = pdf.iloc[kept].copy()
-        out["place"] = range(1, len(out) + 1)
-        return out
-
-    return top.groupBy("__one").applyInPandas(walk, top.schema).drop("__one")
+            seen[pick[archetype]] += 1
+            left = [(i, r) for i, r in left if r[key] != pick[key] and _overlap(r[overlap], pick[overlap]) < 0.5]
+            have = {(r[archetype], r[dry]) for _, r in left}
+            if any(not done and g not in have for g, done in whole.items()):
+                break  # of one group everything seen is used up, but not everything there is
+        else:
+            break
+    names = rows.columns
+    return rows.sparkSession.createDataFrame([(*[r[c] for c in names], i + 1) for i, r in enumerate(kept)], rows.schema.add("place", "long"))
