@@ -77,7 +77,7 @@ def _(spark, sf):
     row_number() OVER (ORDER BY prior DESC, k) - row_number() OVER (ORDER BY current DESC, k) AS position_change FROM trend""",
 )
 def _(spark, sf):
-    return rk.rank_change(rows(spark, sf), "k", "current", "prior", 50.0).select("k", "rank_now", "rank_before", "position_change")
+    return rk.rank_change(rows(spark, sf), "k", "current", "prior").select("k", "rank_now", "rank_before", "position_change")
 
 
 _MOM = lambda x, s: r1(_CL(f"50 + {x} * {s}::DOUBLE"))
@@ -98,7 +98,7 @@ def _(spark, sf):
     from tidegauge.operators.windows import global_rank
 
     df = rk.established(rows(spark, sf))
-    df = global_rank(df, -F.floor("attention_score"), [F.col("attention_score").desc(), F.col("k").asc()], "attention_rank")
+    df = global_rank(df, [F.col("attention_score").desc(), F.col("k").asc()], "attention_rank")
     return rk.emerging_from_established(df).select("k", "attention_rank", "emerging_score")
 
 
@@ -218,8 +218,7 @@ def _(spark, sf):
     CAST(floor((row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) - 1) / 3) AS BIGINT) AS chunk FROM supplier""",
 )
 def _(spark, sf):
-    df = rk.round_robin(st.table(spark, sf, "supplier"), "s_nationkey", [F.col("s_acctbal").desc(), F.col("s_suppkey").asc()],
-                        -F.floor(F.col("s_acctbal") / 1000))
+    df = rk.round_robin(st.table(spark, sf, "supplier"), "s_nationkey", [F.col("s_acctbal").desc(), F.col("s_suppkey").asc()])
     return df.select("s_suppkey", "s_nationkey", "turn", rk.chunk_number("turn", 3).alias("chunk"))
 
 
@@ -234,13 +233,13 @@ def _(spark, sf):
 
 @query(
     "queue_rotating_slice",
-    "SELECT c_custkey, c_mktsegment, n FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n FROM customer) WHERE (n - 1 - 7 + 1000000 * 20) % 20 < 6 AND n <= 20",
+    "SELECT c_custkey, c_mktsegment, n FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n, count(*) OVER (PARTITION BY c_mktsegment) AS m FROM customer) WHERE (n - 1 - 7 + 1000 * m) % m < 6",
 )
 def _(spark, sf):
-    from tidegauge.operators.windows import top_n
+    from tidegauge.operators.windows import chunked_rank
 
-    ring = top_n(st.table(spark, sf, "customer"), ["c_mktsegment"], [F.col("c_custkey").asc()], 20, "n")
-    return rk.rotating_slice(ring, "n", 20, 7, 6).select("c_custkey", "c_mktsegment", "n")
+    ring = chunked_rank(st.table(spark, sf, "customer"), ["c_mktsegment"], [F.col("c_custkey").asc()], "n")
+    return rk.rotating_slice(ring, "c_mktsegment", "n", 7, 6).select("c_custkey", "c_mktsegment", "n")
 
 
 @query(
@@ -254,7 +253,7 @@ def _(spark, sf):
     from tidegauge.operators.windows import global_rank
 
     df = rk.established(rows(spark, sf))
-    df = global_rank(df, -F.floor("attention_score"), [F.col("attention_score").desc(), F.col("k").asc()], "attention_rank")
+    df = global_rank(df, [F.col("attention_score").desc(), F.col("k").asc()], "attention_rank")
     return rk.relevance_bands(df, "attention_rank", "attention_score").select("k", "attention_rank", "band")
 
 

@@ -11,26 +11,26 @@ from tidegauge.plans import standins as st
 @query("split_rank_per_key", "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS place FROM events")
 def _(spark, sf):
     e = st.table(spark, sf, "events")
-    return wi.chunked_rank(e, ["event_type"], F.to_date("ts"), [F.col("ts").asc(), F.col("event_id").asc()], "place").select("event_id", "event_type", "place")
+    return wi.chunked_rank(e, ["event_type"], [F.col("ts").asc(), F.col("event_id").asc()], "place").select("event_id", "event_type", "place")
 
 
 @query("split_running_sum", f"SELECT event_id, {r6('sum(value) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING)')} AS running FROM events")
 def _(spark, sf):
     e = st.table(spark, sf, "events")
-    return wi.chunked_running_sum(e, ["event_type"], F.to_date("ts"), [F.col("ts").asc()], "value", "running").select("event_id", "running")
+    return wi.chunked_running_sum(e, ["event_type"], [F.col("ts").asc()], "value", "running").select("event_id", "running")
 
 
 @query("split_previous_row", f"SELECT event_id, {ts('lag(ts) OVER w')} AS prev_ts, {r6('lag(value) OVER w')} AS prev_value FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)")
 def _(spark, sf):
     e = st.table(spark, sf, "events")
-    return wi.chunked_lag(e, ["event_type"], F.to_date("ts"), ["ts"], ["ts", "value"]).select("event_id", "prev_ts", "prev_value")
+    return wi.chunked_lag(e, ["event_type"], ["ts"], ["ts", "value"]).select("event_id", "prev_ts", "prev_value")
 
 
 @query("split_global_rank", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS place FROM lineitem")
 def _(spark, sf):
     li = st.table(spark, sf, "lineitem")
     order = [F.col("l_extendedprice").desc(), F.col("l_orderkey").asc(), F.col("l_linenumber").asc(), F.col("l_partkey").asc()]
-    return wi.global_rank(li, -F.floor(F.col("l_extendedprice") / 500), order, "place").select("l_orderkey", "l_linenumber", "place")
+    return wi.global_rank(li, order, "place").select("l_orderkey", "l_linenumber", "place")
 
 
 @query("latest_row_per_key", f"SELECT l_partkey, l_orderkey, l_linenumber, {ts('l_shipdate')} AS l_shipdate FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY lineitem.l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) = 1")

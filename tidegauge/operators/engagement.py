@@ -56,8 +56,8 @@ def actor_activity(posts: DataFrame, interactions: DataFrame, actor: str, target
 def snapshot_deltas(snaps: DataFrame, key: str, ts: str, counters: list[str]) -> DataFrame:
     """Change of every counter against the previous snapshot (never below zero) and minutes between them.
 
-    A key is cut into days, so an item with very many snapshots is not one task."""
-    df = chunked_lag(snaps, [key], F.to_date(ts), [ts], [ts, *counters])
+    An item with very many snapshots is cut into ranges of time and is not one task."""
+    df = chunked_lag(snaps, [key], [ts], [ts, *counters])
     gap = F.when(F.col(f"prev_{ts}").isNotNull(), F.round((epoch(ts) - epoch(f"prev_{ts}")) / 60, 1)).otherwise(0.0)
     return df.select(
         *snaps.columns, gap.alias("delta_minutes"),

@@ -224,11 +224,13 @@ def run_board(runs: DataFrame, results: DataFrame, assets: DataFrame, snapshots:
 def fallback_match(links: DataFrame, assets: DataFrame, rungs: list[str], link_key: str, asset_key: str) -> DataFrame:
     """Match by the first rung that fits (address, pair, URL, symbol), always inside the chain.
 
-    Both sides become (rung, chain, value) rows: one equi join instead of four."""
+    Both sides become (rung, chain, value) rows: one equi join instead of four, with one asset per value."""
     keys = F.array_compact(F.array(*[
         F.when(F.coalesce(r, F.lit("")) != "", F.struct(F.lit(i).alias("rung"), F.lower(r).alias("value"))) for i, r in enumerate(rungs)]))
     a = links.select(link_key, F.lower("chain").alias("chain"), F.explode(keys).alias("x")).select(link_key, "chain", "x.*")
     b = assets.select(asset_key, F.lower("chain").alias("chain"), F.explode(keys).alias("x")).select(asset_key, "chain", "x.*")
+    # only the smallest asset of a value can win, so a symbol that very many share is one row
+    b = b.groupBy("chain", "rung", "value").agg(F.min(asset_key).alias(asset_key))
     return best(a.join(b, ["chain", "rung", "value"]), [link_key], [F.col("rung").asc(), F.col(asset_key).asc()]).select(link_key, asset_key, "rung")
 
 
@@ -236,8 +238,8 @@ def topic_asset_links(topics: DataFrame, assets: DataFrame, topic: str, topic_te
                       floor: float = 0.25) -> DataFrame:
     """Best assets per topic by shared words, weighted by how rare a word is among assets.
 
-    Words are the join key (no pair loop).  A pair's overlap is a count over shared words, so a common word only adds
-    rows for pairs it really links; the partial count runs before the shuffle."""
+    Words are the join key (no pair loop).  A pair's overlap is a count over shared words; a word in n topics and m assets makes n x m rows
+    inside the join, which the partial count folds before the shuffle, so topics should be a board, not every topic there is."""
     words = lambda df, key, text: df.select(F.col(key), F.explode(tx.tokens(text)).alias("w"))
     a, b = words(topics, topic, topic_text), words(assets, asset, asset_text)
     size_a = a.groupBy(topic).agg(F.count(F.lit(1)).alias("na"))

@@ -182,8 +182,7 @@ def unique_slugs(rows: DataFrame, title: str, key: str) -> DataFrame:
 
     slug = F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     base = rows.withColumn("base", F.when(slug == "", "narrative").otherwise(slug))
-    # a very common title is numbered in chunks of its keys, not in one task
-    numbered = chunked_rank(base, ["base"], F.floor(F.col(key) / 1000), [F.col(key).asc()], "n")
+    numbered = chunked_rank(base, ["base"], [F.col(key).asc()], "n")
     return numbered.withColumn("slug", F.when(F.col("n") > 1, F.concat_ws("-", "base", F.col("n").cast("string"))).otherwise(F.col("base"))).drop("base", "n")
 
 

@@ -36,13 +36,10 @@ def established(rows: DataFrame) -> DataFrame:
     )).drop("__live", "__dom", "__top")
 
 
-def rank_change(rows: DataFrame, key: str, now: str, before: str, step: float = 1.0) -> DataFrame:
-    """Places gained between the earlier and the current window.
-
-    Both ranks are computed inside value bands of width ``step``: no single-task sort."""
-    band = lambda x: -F.floor(F.col(x) / F.lit(step))
-    a = global_rank(rows, band(now), [F.col(now).desc(), F.col(key).asc()], "rank_now")
-    b = global_rank(a, band(before), [F.col(before).desc(), F.col(key).asc()], "rank_before")
+def rank_change(rows: DataFrame, key: str, now: str, before: str) -> DataFrame:
+    """Places gained between the earlier and the current window; keys break ties, so equal values are split over ranges too."""
+    a = global_rank(rows, [F.col(now).desc(), F.col(key).asc()], "rank_now")
+    b = global_rank(a, [F.col(before).desc(), F.col(key).asc()], "rank_before")
     return b.withColumn("position_change", F.col("rank_before") - F.col("rank_now"))
 
 
@@ -202,11 +199,9 @@ def series_seeds(rows: DataFrame, key: str, limit: int, min_mentions: int = 8, m
 # --- ordered queues ----------------------------------------------------------------------------
 
 
-def round_robin(df: DataFrame, group: str, order: list[Column], chunk: Column) -> DataFrame:
-    """Place inside the own group; reading by (place, group) interleaves the groups.
-
-    ``chunk`` ascending must agree with ``order``: a large group is numbered chunk by chunk."""
-    return chunked_rank(df, [group], chunk, order, "turn")
+def round_robin(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """Place inside the own group; reading by (place, group) interleaves the groups."""
+    return chunked_rank(df, [group], order, "turn")
 
 
 def repeat_by_weight(df: DataFrame, weight: str) -> DataFrame:
@@ -217,9 +212,11 @@ def chunk_number(rank: str, size: int) -> Column:
     return F.floor((F.col(rank) - 1) / F.lit(size)).cast("long")
 
 
-def rotating_slice(df: DataFrame, rank: str, total: int, offset: int, k: int) -> DataFrame:
-    """k consecutive entries of a ring, starting at ``offset``."""
-    return df.where(F.pmod(F.col(rank) - 1 - F.lit(offset), F.lit(total)) < k)
+def rotating_slice(df: DataFrame, ring: str, rank: str, offset: int, k: int) -> DataFrame:
+    """k consecutive entries of each whole ring, starting at ``offset``; a ring's length is its number of entries."""
+    sizes = df.groupBy(ring).agg(F.count(F.lit(1)).alias("__size"))
+    joined = df.join(sizes.withColumnRenamed(ring, "__ring"), F.col(ring).eqNullSafe(F.col("__ring")))
+    return joined.where(F.pmod(F.col(rank) - 1 - F.lit(offset), F.col("__size")) < k).drop("__ring", "__size")
 
 
 # --- relevance bands -----------------------------------------------------------------------------
@@ -238,11 +235,10 @@ def relevance_bands(rows: DataFrame, rank: str, score: str, high_floor: float =
     low_max = F.when(F.col("__n") >= 100, 25).otherwise(F.ceil(F.col("__n") * 0.25))
     medium_min = F.when(F.col("__n") >= 100, 32).otherwise(F.greatest(F.lit(0), F.col("__n") - high_min - low_max))
     medium_max = F.when(F.col("__n") >= 100, 45).otherwise(F.greatest(medium_min, F.col("__n") - high_min))
-    step = -F.floor(-F.col(rank) / 50)
-    one = global_rank(df.where("__h"), step, [F.col(rank).asc()], "__place").unionByName(df.where("NOT __h").withColumn("__place", F.lit(None).cast("long")))
+    one = global_rank(df.where("__h"), [F.col(rank).asc()], "__place").unionByName(df.where("NOT __h").withColumn("__place", F.lit(None).cast("long")))
     one = one.withColumn("__high", F.coalesce(F.col("__place") <= high_max, F.lit(False))).drop("__place")
     open_ = ~F.col("__high") & (F.col(score) >= medium_floor)
-    two = global_rank(one.where(open_), step, [F.col(rank).asc()], "__place").unionByName(
+    two = global_rank(one.where(open_), [F.col(rank).asc()], "__place").unionByName(
         one.where(~open_).withColumn("__place", F.lit(None).cast("long")))
     band = F.when(F.col("__high"), "high").when(F.col("__place") <= medium_max, "medium").otherwise("low")
     return two.withColumn("band", band).drop("__n", "__h", "__high", "__place")

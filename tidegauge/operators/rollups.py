@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidegauge import fixed
 from tidegauge.functions.basic import blank_to_null, count_true, floor_minutes
 from tidegauge.functions.text import initcap
-from tidegauge.operators.windows import best, chunked_running_sum, modal_label
+from tidegauge.operators.windows import best, modal_label
 
 
 def platform_metrics(posts: DataFrame, unit: str) -> DataFrame:

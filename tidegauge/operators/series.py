@@ -62,9 +62,12 @@ def inferred_step(points: DataFrame, keys: list[str], ts: str, fallback: int) ->
     """Upper median of the positive gaps between a series' points, in seconds."""
     w = Window.partitionBy(*keys).orderBy(ts)
     gaps = points.select(*keys, (epoch(ts) - F.lag(epoch(ts)).over(w)).alias("gap"))
-    return gaps.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.when(F.col("gap") > 0, F.col("gap")))).alias("g")
-    ).select(*keys, F.when(F.size("g") > 0, F.element_at("g", (F.floor(F.size("g") / 2) + 1).cast("int"))).otherwise(fallback).alias("step"))
+    # gaps are counted by length, so a long series brings a few rows to its median
+    sizes = gaps.groupBy(*keys, F.when(F.col("gap") > 0, F.col("gap")).alias("gap")).agg(F.count("gap").alias("n"))
+    upto = Window.partitionBy(*keys).orderBy("gap").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy(*keys))})
+    return sizes.groupBy(*keys).agg(
+        F.coalesce(F.min(F.when(F.col("gap").isNotNull() & (F.col("upto") >= F.floor(F.col("all") / 2) + 1), F.col("gap"))), F.lit(fallback)).alias("step"))
 
 
 def rebucket(points: DataFrame, keys: list[str], ts: str, value: str, fallback: int = 300) -> DataFrame:
@@ -77,12 +80,11 @@ def rebucket(points: DataFrame, keys: list[str], ts: str, value: str, fallback:
         .groupBy(*keys, F.floor((epoch(ts) - F.col("lo")) / F.col("step")).cast("long").alias("i"))
         .agg(F.sum(F.greatest(F.lit(0.0), F.col(value))).alias("value"))
     )
-    packed = slots.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("__m"))
-    return packed.join(frame, keys).select(
-        *keys, "__m", "lo", "step",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("hi") - F.col("lo")) / F.col("step")).cast("long"))).alias("i"),
-    ).select(
-        *keys, "i", F.coalesce(F.col("__m")[F.col("i")], F.lit(0.0)).alias("value"),
+    grid = frame.select(
+        *keys, "lo", "step",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("hi") - F.col("lo")) / F.col("step")).cast("long"))).alias("i"))
+    return grid.join(slots, [*keys, "i"], "left").select(
+        *keys, "i", F.coalesce("value", F.lit(0.0)).alias("value"),
         F.timestamp_seconds(F.col("lo") + F.col("i") * F.col("step")).cast("timestamp_ntz").alias("bucket_ts"),
     )
 

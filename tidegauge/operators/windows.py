@@ -1,8 +1,9 @@
 """Per-key ordering operators that stay safe when one key holds a large part of all rows.
 
 ``top_n`` filters on a rank directly, so Spark trims every key to n rows inside each task before the shuffle
-(window group limit).  The ``chunked_*`` operators never bring a whole key to one task: a key is cut into ordered
-chunks (days, hours, value bands), work happens inside a chunk, and one summary row per chunk carries over.
+(window group limit).  The ``chunked_*`` operators never bring a whole key to one task: rows are dealt by range over key and
+order columns, so a hot key is many ranges of even size; work happens inside a range, and one summary row per key and range
+carries over.  The dealt rows are written once, so every use sees the same ranges.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidegauge.session import materialise
+
 RANK = "__rank"
 CHUNK = "__chunk"
 
@@ -25,6 +28,12 @@ def best(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_n(df, keys, order, 1)
 
 
+def _dealt(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Rows by range over (keys, order), with the number of the range."""
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialise(df.repartitionByRange(n, *keys, *order).withColumn(CHUNK, F.spark_partition_id()), "ranges")
+
+
 def _chunk_offsets(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
     """Sum of ``value`` over all earlier chunks of the key (one input row per key and chunk)."""
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -43,9 +52,9 @@ def _with_chunk(left: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame
     return joined
 
 
-def chunked_rank(df: DataFrame, keys: list[str], chunk: Column, order: list[Column], rank_col: str) -> DataFrame:
-    """row_number per key.  Chunks ascending must agree with ``order``."""
-    base = df.withColumn(CHUNK, chunk)
+def chunked_rank(df: DataFrame, keys: list[str], order: list[Column], rank_col: str) -> DataFrame:
+    """row_number per key; ``order`` must be total for a repeatable answer."""
+    base = _dealt(df, keys, order)
     inner = base.withColumn(RANK, F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(*order)))
     carry = _chunk_offsets(base, keys, F.count(F.lit(1)), "__before")
     out = _with_chunk(inner, carry, keys)
@@ -53,9 +62,9 @@ def chunked_rank(df: DataFrame, keys: list[str], chunk: Column, order: list[Colu
 
 
 def chunked_running_sum(
-    df: DataFrame, keys: list[str], chunk: Column, order: list[Column], value: str, out_col: str
+    df: DataFrame, keys: list[str], order: list[Column], value: str, out_col: str
 ) -> DataFrame:
-    base = df.withColumn(CHUNK, chunk)
+    base = _dealt(df, keys, order)
     frame = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inner = base.withColumn("__run", F.sum(value).over(frame))
     carry = _chunk_offsets(base, keys, F.sum(value), "__before")
@@ -64,10 +73,10 @@ def chunked_running_sum(
 
 
 def chunked_lag(
-    df: DataFrame, keys: list[str], chunk: Column, order: list[str], cols: list[str], prefix: str = "prev_"
+    df: DataFrame, keys: list[str], order: list[str], cols: list[str], prefix: str = "prev_"
 ) -> DataFrame:
     """Previous row's values per key in ascending ``order``."""
-    base = df.withColumn(CHUNK, chunk)
+    base = _dealt(df, keys, order)
     payload = F.struct(*cols)
     inner = base.withColumn("__prev", F.lag(payload).over(Window.partitionBy(*keys, CHUNK).orderBy(*order)))
     last = base.groupBy(*keys, CHUNK).agg(F.max_by(payload, F.struct(*order)).alias("__last"))
@@ -78,19 +87,17 @@ def chunked_lag(
     return out.drop(CHUNK, "__prev", "__carry")
 
 
-def global_rank(df: DataFrame, band: Column, order: list[Column], rank_col: str) -> DataFrame:
-    """Position in one total order over all rows, without a single-task sort: ranks inside value bands plus
-    the number of rows in earlier bands.  ``band`` ascending must agree with ``order``; bands should be many."""
-    base = df.withColumn(CHUNK, band)
-    inner = base.withColumn(RANK, F.row_number().over(Window.partitionBy(CHUNK).orderBy(*order)))
-    sizes = base.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("__n"))
-    # prefix sums as one small sorted array: bands are few, rows are not
-    prefix = sizes.agg(F.sort_array(F.collect_list(F.struct(CHUNK, "__n"))).alias("__bands"))
-    earlier = F.aggregate(
-        F.filter(F.col("__bands"), lambda b: b[CHUNK] < F.col(CHUNK)), F.lit(0).cast("long"), lambda a, b: a + b["__n"]
-    )
-    out = inner.withColumn("__bands", prefix.scalar())
-    return out.withColumn(rank_col, (earlier + F.col(RANK)).cast("long")).drop(CHUNK, RANK, "__bands")
+def global_rank(df: DataFrame, order: list[Column], rank_col: str) -> DataFrame:
+    """Position in one total order over all rows, without a single-task sort.
+
+    Rows are dealt by range over all order columns, so equal leading values are split by the tie columns; a rank inside each range
+    plus the number of rows in earlier ranges is the position.  Counts come back by a join on the range (one row per range).
+    ``order`` must be total and cheap (columns): the ranges are written, so ranks and counts see the same ones."""
+    dealt = _dealt(df, [], order)
+    inner = dealt.withColumn(RANK, F.row_number().over(Window.partitionBy(CHUNK).orderBy(*order)))
+    before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = dealt.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    return inner.join(sizes, CHUNK).withColumn(rank_col, (F.col("__before") + F.col(RANK)).cast("long")).drop(CHUNK, RANK, "__before")
 
 
 def modal_label(df: DataFrame, keys: list[str], label: str, out_col: str) -> DataFrame:
