@@ -9,7 +9,7 @@ from tidegauge.streaming import jobs
 
 def test_refresh_bounds():
     now = dt.datetime(2024, 1, 30, 12, 0, 30)
-    assert rm.bounds(now, None) == (dt.datetime(2024, 1, 28, 12), dt.datetime(2024, 1, 30, 11, 57))
+    assert rm.bounds(now, None) == (rm.FIRST, dt.datetime(2024, 1, 30, 11, 57))
     assert rm.bounds(now, dt.datetime(2024, 1, 30, 11, 0))[0] == dt.datetime(2024, 1, 30, 10, 15)
     start, end = rm.bounds(now, dt.datetime(2024, 1, 30, 13, 0))
     assert start < end
@@ -46,3 +46,33 @@ def test_late_and_repeated_events_match_batch(spark, tmp_path):
     unique = jobs.deduplicated(stream, ["event_id"], "ts", "1 day")
     out = jobs.run_to_end(unique, "late")
     assert out.count() == 300 and out.select("event_id").distinct().count() == 300
+
+
+def test_a_stopped_stream_resumes(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    schema = "event_id long, ts timestamp, kind string, value double"
+    folder, out, log = (str(tmp_path / x) for x in ("in", "out", "log"))
+    land = lambda ids: spark.createDataFrame([(i, base + dt.timedelta(minutes=i), f"k{i % 3}", 1.0) for i in ids], schema).coalesce(1).write.mode("append").json(folder)
+
+    def run():
+        stream = spark.readStream.schema(schema).json(folder)
+        jobs.run_batches(jobs.cumulative_counts(stream, "kind", "kind", ["k0", "k1", "k2"], "ts"), "counts", "update", jobs.write_batch, out, log)
+
+    land(range(100))
+    run()
+    land(range(100, 150))
+    run()
+    run()  # nothing new
+    got = jobs.totals_of_counts(jobs.latest_state(spark, out, "kind", "span_start"), "kind", ["k0", "k1", "k2"]).orderBy("kind").collect()
+    assert [(r["k0"], r["k1"], r["k2"]) for r in got] == [(50, 0, 0), (0, 50, 0), (0, 0, 50)]
+
+
+def test_replace_days_removes_emptied_days(spark, tmp_path):
+    from tidegauge.sources import datasets as ds
+
+    path = str(tmp_path / "t")
+    t = lambda d, h=1: dt.datetime(2024, 1, d, h)
+    rows = spark.createDataFrame([(1, t(1)), (2, t(2)), (3, t(3, 1)), (4, t(3, 20))], "id long, ts timestamp_ntz")
+    ds.replace_days(ds.stored_table(spark, path), rows, path, "ts", F.lit(t(1, 0)).cast("timestamp_ntz"), F.lit(t(4, 0)).cast("timestamp_ntz"))
+    ds.replace_days(ds.stored_table(spark, path), rows.limit(0), path, "ts", F.lit(t(2, 0)).cast("timestamp_ntz"), F.lit(t(3, 12)).cast("timestamp_ntz"))
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 4]

@@ -12,16 +12,16 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 _MODULES = ("mentions", "rollups", "series", "texts", "engagement", "ranking", "grouping", "market", "joins",
-            "windows", "storage", "diagnostics", "streams", "remaining")
+            "windows", "storage", "diagnostics", "streams", "remaining", "support")
 
 
 def portable(df: DataFrame) -> DataFrame:
-    """Values that compare the same in any engine: second-precision time text, six-digit doubles, joined arrays."""
+    """Values that compare the same in any engine: time text to the microsecond, six-digit doubles, joined arrays."""
     out = []
     for field in df.schema.fields:
         col, kind = F.col(f"`{field.name}`"), field.dataType
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            col = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+            col = F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(kind, T.DateType):
             col = col.cast("string")
         elif isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):

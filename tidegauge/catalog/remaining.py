@@ -132,13 +132,11 @@ def _(spark, sf):
 
 @query(
     "meme_scope",
-    f"SELECT doc_id FROM documents WHERE len(list_filter(string_split(lower(text), ' '), lambda t: list_contains({arr(fixed.MEME_KEYWORDS + ['the'])}, t))) > 0",
+    f"SELECT event_id FROM ({st.MEME_SQL}) WHERE len(list_filter(string_split(lower(text), ' '), lambda t: list_contains({arr(fixed.MEME_KEYWORDS)}, t))) > 0",
 )
 def _(spark, sf):
-    d = st.table(spark, sf, "documents")
-    # the keyword list is a parameter; 'the' is added so that the invented prose has members
-    words = F.array(*[F.lit(w) for w in fixed.MEME_KEYWORDS + ["the"]])
-    return d.where(F.arrays_overlap(F.split(F.lower("text"), " ", -1), words)).select("doc_id")
+    words = F.array(*[F.lit(w) for w in fixed.MEME_KEYWORDS])
+    return st.meme_posts(spark, sf).where(F.arrays_overlap(F.split(F.lower("text"), " ", -1), words)).select("event_id")
 
 
 @query("board_fill")

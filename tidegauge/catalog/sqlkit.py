@@ -12,7 +12,7 @@ def arr(items) -> str:
 
 
 def ts(col: str) -> str:
-    return f"strftime({col}, '%Y-%m-%d %H:%M:%S')"
+    return f"strftime({col}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
 def r6(expr: str) -> str:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidegauge.catalog import query
 from tidegauge.catalog.sqlkit import MENTIONS, big, r6, ts
 from tidegauge.operators import mentions as mn
+from tidegauge.operators.windows import best
 from tidegauge.plans import standins as st
 from tidegauge.session import spread
 from tidegauge.streaming import jobs
@@ -60,7 +61,7 @@ _KINDS = ["view", "click", "error", "signup", "purchase"]
 def _(spark, sf):
     df = jobs.cumulative_counts(stream(spark, sf), "k", "event_type", _KINDS, "ts")
     out, _ = jobs.run_batches(df, "counts", "update", jobs.write_batch)
-    return jobs.latest_state(spark, out, "k")
+    return jobs.totals_of_counts(jobs.latest_state(spark, out, "k", "span_start"), "k", _KINDS)
 
 
 @query(
@@ -71,7 +72,7 @@ def _(spark, sf):
 def _(spark, sf):
     w = F.expr("CASE event_type WHEN 'click' THEN 3.0D WHEN 'error' THEN 4.0D WHEN 'purchase' THEN 4.5D ELSE 1.0D END")
     out, _ = jobs.run_batches(jobs.actor_profiles(stream(spark, sf), "user_id", "ts", w, "k"), "profiles", "update", jobs.write_batch)
-    return jobs.latest_state(spark, out, "user_id")
+    return jobs.totals_of_profiles(jobs.latest_state(spark, out, "user_id", "span_start"), "user_id")
 
 
 @query(
@@ -96,7 +97,10 @@ def _(spark, sf):
         jobs.write_batch(facts, batch_id, out)
 
     out, _ = jobs.run_batches(stream(spark, sf), "mentions", "append", publish)
-    return spark.read.option("basePath", out).parquet(f"{out}/batch=*").select("raw_post_id", "platform", "topic_key", "topic_confidence")
+    published = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    # the same fact can be published by two batches; the later batch wins
+    facts = best(published, ["raw_post_id", "platform", "topic_key"], [F.col("batch").desc()])
+    return facts.select("raw_post_id", "platform", "topic_key", "topic_confidence")
 
 
 @query("stream_progress", f"SELECT {big('count(*)')} AS input_rows FROM events")

@@ -111,3 +111,12 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW_POSTS_SQL = """raw_posts AS (SELECT doc_id, source, lang, concat(text, ' #', source, ' $', upper(lang), 'COIN @user',
  CAST(doc_id % 17 AS VARCHAR), ' https://www.', source, '.example/p/', CAST(doc_id AS VARCHAR), '?utm_source=x&id=',
  CAST(doc_id % 5 AS VARCHAR), '.') AS text, n_chars FROM documents)"""
+
+
+# posts whose wording follows the event: some name a keyword of the scope
+_MEME_TEXT = """concat('Post ', event_id, CASE event_id % 6 WHEN 0 THEN ' memecoin drop' WHEN 1 THEN ' a new Meme template' WHEN 2 THEN ' viral clip' ELSE ' plain words' END)"""
+MEME_SQL = f"SELECT event_id, {_MEME_TEXT} AS text FROM events"
+
+
+def meme_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr("event_id", f"{_MEME_TEXT} AS text")

@@ -27,9 +27,11 @@ def build_session(master: str | None = None, app: str = "tidegauge", **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``, else a local test folder."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``.  Only a local session gets one of its own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidegauge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -46,7 +48,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a CPU-heavy text stage every core when its input has too few splits (one small file); no-op otherwise."""
+    """Give a CPU-heavy text stage every core when its input is fewer files than cores; larger inputs are many files and pass."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if not df.isStreaming and 0 < len(df.inputFiles()) < cores // 2 else df

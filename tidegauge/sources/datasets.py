@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidegauge.session import scratch_path
+from tidegauge.session import drop_scratch, scratch_path
 
 # explicit schemas of the landed datasets; nothing is inferred
 SCHEMAS = {
@@ -94,18 +94,34 @@ def publish_run(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
         df.write.mode("overwrite").parquet(f"{root}/{name}/run_id={run_id}")
 
 
-def replace_days(stored: DataFrame, fresh: DataFrame, path: str, ts: str, start: Column, end: Column) -> None:
-    """DELETE [start, end) + INSERT as an overwrite of only the touched day partitions.
+def replace_days(stored: DataFrame | None, fresh: DataFrame, path: str, ts: str, start: Column, end: Column) -> None:
+    """DELETE [start, end) + INSERT as an overwrite of only the touched day partitions; days left without rows are removed.
 
-    Rows of a touched day outside the range are read back and kept."""
+    Rows of a touched day outside the range are read back and kept.  ``stored`` is None before the first write."""
+    if stored is None:
+        stored = fresh.limit(0)
     day = F.to_date(ts)
     kept = stored.where((day >= F.to_date(start)) & (day <= F.to_date(end)) & ((F.col(ts) < start) | (F.col(ts) >= end)))
     rows = kept.select(*fresh.columns).unionByName(fresh).withColumn("day", day)
     # staged first: the target's partitions are both read and replaced
     stage = scratch_path(fresh.sparkSession, "replace")
     rows.write.parquet(stage)
-    out = fresh.sparkSession.read.schema(rows.schema).parquet(stage)
+    spark = fresh.sparkSession
+    out = spark.read.schema(rows.schema).parquet(stage)
+    # days that had rows in the range and have none now: dynamic overwrite would leave them
+    had = stored.where((F.col(ts) >= start) & (F.col(ts) < end)).select(day.alias("day")).distinct()
+    emptied = [r["day"] for r in had.join(out.select("day").distinct(), "day", "left_anti").collect()]  # a few days
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    for gone in emptied:
+        drop_scratch(spark, f"{path}/day={gone}")
+    drop_scratch(spark, stage)
+
+
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, or None where nothing was written yet."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.parquet(path) if there else None
 
 
 def health_document(posts: DataFrame, comments: DataFrame, n_posts: int = 50) -> DataFrame:

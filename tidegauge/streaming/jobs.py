@@ -35,10 +35,11 @@ def broker_options(servers: str, topic: str, lag_seconds: float, limit_seconds:
     return options
 
 
-def run_to_end(df: DataFrame, label: str, mode: str = "append", partition_by: str | None = None) -> DataFrame:
-    """Process everything available into a parquet folder and read it back."""
+def run_to_end(df: DataFrame, label: str, mode: str = "append", partition_by: str | None = None, out: str | None = None,
+               log: str | None = None) -> DataFrame:
+    """Process everything available into a parquet folder and read it back.  A job that must resume names its target and checkpoint."""
     spark = df.sparkSession
-    out, log = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
+    out, log = out or scratch_path(spark, label), log or scratch_path(spark, f"{label}-checkpoint")
     writer = df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", log)
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -47,10 +48,11 @@ def run_to_end(df: DataFrame, label: str, mode: str = "append", partition_by: st
     return spark.read.parquet(out)
 
 
-def run_batches(df: DataFrame, label: str, mode: str, publish: Callable[[DataFrame, int, str], None]) -> tuple[str, list]:
+def run_batches(df: DataFrame, label: str, mode: str, publish: Callable[[DataFrame, int, str], None], out: str | None = None,
+                log: str | None = None) -> tuple[str, list]:
     """foreachBatch until everything available is processed; returns the target folder and the progress reports."""
     spark = df.sparkSession
-    out, log = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
+    out, log = out or scratch_path(spark, label), log or scratch_path(spark, f"{label}-checkpoint")
     query = (
         df.writeStream.outputMode(mode).option("checkpointLocation", log)
         .foreachBatch(lambda batch, batch_id: publish(batch, batch_id, out)).trigger(availableNow=True).start()
@@ -88,23 +90,36 @@ def deduplicated(events: DataFrame, key: list[str], ts: str, horizon: str) -> Da
     return events.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(key)
 
 
-def cumulative_counts(events: DataFrame, key: str, kind: str, kinds: list[str], ts: str) -> DataFrame:
-    """Running counters per key (update mode): every batch reports the new totals of the keys it touched."""
-    return events.groupBy(key).agg(
-        *[F.count_if(F.col(kind) == k).alias(k) for k in kinds], F.max(ts).alias("last_at"))
+def cumulative_counts(events: DataFrame, key: str, kind: str, kinds: list[str], ts: str, span: str = "1 day", lag: str = "1 hour") -> DataFrame:
+    """Counters per key and event-time span (update mode).  Spans leave the state once the watermark has passed their end, so state
+    is bounded by the keys of a span; ``totals_of_counts`` adds the published spans up."""
+    return events.withWatermark(ts, lag).groupBy(key, F.window(ts, span)).agg(
+        *[F.count_if(F.col(kind) == k).alias(k) for k in kinds], F.max(ts).alias("last_at")).select(
+        key, F.col("window.start").alias("span_start"), *kinds, "last_at")
 
 
-def actor_profiles(events: DataFrame, actor: str, ts: str, weight: Column, target: str) -> DataFrame:
-    return events.groupBy(actor).agg(
+def totals_of_counts(spans: DataFrame, key: str, kinds: list[str]) -> DataFrame:
+    return spans.groupBy(key).agg(*[F.sum(k).alias(k) for k in kinds], F.max("last_at").alias("last_at"))
+
+
+def actor_profiles(events: DataFrame, actor: str, ts: str, weight: Column, target: str, span: str = "1 day", lag: str = "1 hour") -> DataFrame:
+    """Activity per actor and event-time span; state as in ``cumulative_counts``."""
+    return events.withWatermark(ts, lag).groupBy(actor, F.window(ts, span)).agg(
         F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), F.sum(weight).alias("amplification"),
-        F.max_by(target, ts).alias("last_target"))
+        F.max_by(target, ts).alias("last_target")).select(actor, F.col("window.start").alias("span_start"), "first_at", "last_at", "amplification", "last_target")
+
+
+def totals_of_profiles(spans: DataFrame, actor: str) -> DataFrame:
+    return spans.groupBy(actor).agg(
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("amplification").alias("amplification"),
+        F.max_by("last_target", "last_at").alias("last_target"))
 
 
-def latest_state(spark: SparkSession, out: str, key: str) -> DataFrame:
+def latest_state(spark: SparkSession, out: str, *key: str) -> DataFrame:
     """Newest report per key from the batch folders of an update-mode job."""
     rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
-    others = [c for c in rows.columns if c not in (key, "batch")]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*others), "batch").alias("s")).select(key, "s.*")
+    others = [c for c in rows.columns if c not in (*key, "batch")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*others), "batch").alias("s")).select(*key, "s.*")
 
 
 def progress_table(spark: SparkSession, reports: list) -> DataFrame:
