@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.llm.arrays import Words, distinct_per_row, fold, parts
-from tidegauge.llm.shared import materialise
+from tidegauge.llm.shared import bounded, materialise
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -120,7 +120,7 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
         wanted = np.unique(np.array([r[0] for r in marks.select("value").distinct().collect()], np.int64).view(np.uint64))
         if not len(wanted):
             wanted = np.zeros(1, np.uint64)
-    rows = docs.where(F.col(key).isNotNull())
+    rows = bounded(docs).where(F.col(key).isNotNull())
     found = probes(rows, key, text, wanted, least, k)
     pairs = found.join(marks.withColumnRenamed("n", "m"), "value").where(
         F.col("n") >= F.ceil(F.col("m") * F.lit(threshold) - F.lit(1e-9))).select("doc", "item").distinct()

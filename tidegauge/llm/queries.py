@@ -20,6 +20,13 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def shingles_sql(table: str, key: str) -> str:
+    """Five-word shingles of a table in the oracle's SQL: (key, list of different ones)."""
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+    return f"""(SELECT {key}, list_sort(list_distinct(CASE WHEN len(w) > 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM (SELECT {key}, {words} AS w FROM {table}))"""
+
+
 def query(name: str, sql: str | None = None):
     def register(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -37,7 +44,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(tokens.write_shards(given(spark, sf_dir, "documents"), store, tokenizer_file()), store)
 
 
-@query("op3_benchmark_hits")
+@query("op3_benchmark_hits", f"""
+    WITH d AS (SELECT doc_id, unnest(g) AS s FROM {shingles_sql('documents', 'doc_id')}),
+    b AS (SELECT item_id, len(g) AS n, unnest(g) AS s FROM {shingles_sql('benchmark', 'item_id')})
+    SELECT doc_id, item_id, count(*) / any_value(n) AS containment FROM d JOIN b USING (s) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n) - 1e-9""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, containment of every document and benchmark item it contains."""
     found = decontaminate.contained_items(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark"))
@@ -51,7 +61,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.removed(docs)
 
 
-@query("op5_near_copies")
+@query("op5_near_copies", f"""
+    WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, g FROM {shingles_sql('documents', 'doc_id')}),
+    r AS MATERIALIZED (SELECT g, min(doc_id) AS rep, count(*) AS m FROM t WHERE len(g) > 0 GROUP BY g),
+    x AS (SELECT rep, len(g) AS n, unnest(g) AS s FROM r),
+    p AS MATERIALIZED (SELECT a.rep AS u, b.rep AS v FROM x a JOIN x b ON a.s = b.s AND a.rep < b.rep GROUP BY ALL
+      HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
+    e AS MATERIALIZED (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+    cc(node, c) USING KEY (node) AS (SELECT DISTINCT u, u FROM e UNION (SELECT e.u, min(o.c) FROM cc AS o JOIN e ON e.v = o.node
+      JOIN recurring.cc AS mine ON mine.node = e.u GROUP BY e.u, mine.c HAVING min(o.c) < mine.c)),
+    l AS (SELECT u, count(*) AS n FROM e GROUP BY u)
+    SELECT doc_id, coalesce(c, rep, doc_id) AS class_id, coalesce(l.n, 0) AS n_links, coalesce(m, 1) - 1 AS n_copies
+    FROM t LEFT JOIN r ON len(t.g) > 0 AND r.g = t.g LEFT JOIN cc ON cc.node = r.rep LEFT JOIN l ON l.u = r.rep""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id, n_links, n_copies of every document."""
     return ngram_join.classes(given(spark, sf_dir, "documents")).withColumnRenamed("rid", "doc_id")
@@ -72,7 +93,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = given(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     rows = materialise(mixing.prepared(docs).drop("text", "source"), "sizes")
     mixed = mixing.apply(rows, mixing.plan(rows))
-    return mixed.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("copies") * F.col("__size")).alias("taken"))
+    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
+                        F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
 @query("op2_pseudonyms")

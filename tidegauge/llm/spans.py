@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.llm.arrays import Words, mix, parts
-from tidegauge.llm.shared import materialise, row_key
+from tidegauge.llm.shared import bounded, materialise, row_key
 
 LEAST = 50  # words of a span; a passage of more, in whole sentences, is always found
 
@@ -94,7 +94,7 @@ def span_table(docs: DataFrame, key: str, text: str, least: int = LEAST) -> Data
                 yield pa.record_batch([pa.array(s.a.view(np.int64)), pa.array(s.b.view(np.int64)), batch.column("doc").take(pa.array(s.row + first)),
                                        pa.array(s.first.astype(np.int32)), pa.array(s.last.astype(np.int32))], ["a", "b", "doc", "first", "last"])
 
-    return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(cut, "a long, b long, doc long, first int, last int")
+    return bounded(docs).select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(cut, "a long, b long, doc long, first int, last int")
 
 
 def repeated(spans: DataFrame) -> DataFrame:
@@ -110,9 +110,9 @@ def repeated(spans: DataFrame) -> DataFrame:
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, count: str = "n_removed") -> DataFrame:
     """docs with covered sentences taken out of the text, and the number of sentences taken out."""
     keyed = docs.withColumn("__doc", row_key(key, text))
-    covered = repeated(materialise(span_table(keyed, "__doc", text, least), "spans")).withColumnRenamed("doc", "__doc")
+    covered = repeated(materialise(span_table(keyed, "__doc", text, least), "spans")).toDF("__doc", "__covered")
     fields = docs.schema.fields
-    joined = keyed.join(covered, "__doc", "left").select(*docs.columns, F.col("covered.first").alias("__first"), F.col("covered.last").alias("__last"))
+    joined = keyed.join(covered, "__doc", "left").select(*docs.columns, F.col("__covered.first").alias("__first"), F.col("__covered.last").alias("__last"))
 
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:

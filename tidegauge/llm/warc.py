@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidegauge.llm.shared import FileStore, materialise
+from tidegauge.llm.shared import FileStore, bounded, materialise
 
 LEAST = 1000  # payload bytes from which copies become revisits
 ARCHIVE_BYTES = 64 << 20  # an archive is closed beyond; one archive's captures are sorted in memory
@@ -53,16 +53,16 @@ def url_key(url: str | None) -> str:
 
 
 def deduplicated(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """pages with payload (binary), digest (hex SHA-1) and refers_to (null: response).
+    """pages with __digest (hex SHA-1 of the payload) and __refers_to (null: response).
 
     Only payloads that occur twice are kept in the table that pages join; it is written, so its size is known to the planner."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.withColumn("digest", F.sha1(payload))
-    copies = rows.where(F.octet_length(html) >= LEAST).groupBy("digest").agg(
-        F.max(F.col(page_id).cast("long")).alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1 and original is not null").drop("n")
+    rows = pages.withColumn("__digest", F.sha1(payload))
+    copies = rows.where(F.octet_length(html) >= LEAST).groupBy("__digest").agg(
+        F.max(F.col(page_id).cast("long")).alias("__original"), F.count(F.lit(1)).alias("n")).where("n > 1 and __original is not null").drop("n")
     copies = materialise(copies, "page-copies")
-    refers = F.when(F.col("original").isNotNull() & ~F.col("original").eqNullSafe(F.col(page_id)), F.col("original"))
-    return rows.join(copies, "digest", "left").withColumn("refers_to", refers).drop("original")
+    refers = F.when(F.col("__original").isNotNull() & ~F.col("__original").eqNullSafe(F.col(page_id)), F.col("__original"))
+    return rows.join(copies, "__digest", "left").withColumn("__refers_to", refers).drop("__original")
 
 
 def record(page_id: int | None, url: str | None, date: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -95,9 +95,10 @@ def gzip_member(data: bytes) -> bytes:
 def write_archives(pages: DataFrame, store: FileStore, page_id: str = "page_id", url: str = "url", html: str = "html",
                    timestamp: str | None = None) -> DataFrame:
     """Writes the archives; returns their stored list (name, records)."""
+    pages = bounded(pages).select(*dict.fromkeys((page_id, url, html, *([timestamp] if timestamp else []))))
     rows = deduplicated(pages, page_id, html).select(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"),
-        "digest", "refers_to", (F.unix_seconds(F.col(timestamp).cast("timestamp")) if timestamp else F.lit(None).cast("long")).alias("seconds"))
+        "__digest", "__refers_to", (F.unix_seconds(F.col(timestamp).cast("timestamp")) if timestamp else F.lit(None).cast("long")).alias("seconds"))
 
     def write(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
