@@ -234,3 +234,121 @@ _W3 = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: leng
 def _(spark, sf):
     d = st.table(spark, sf, "documents").withColumn("weight", 1 + F.log10(F.col("n_chars") + 1))
     return qu.breakout_phrases(d, "text", "source", "weight", _STOP)
+
+
+_RAW = """o_orderkey AS id, CASE WHEN o_orderkey % 10 > 0 THEN o_orderstatus END AS platform, CASE WHEN o_orderkey % 3 = 0 THEN concat('s', o_orderkey) END AS source_post_id,
+ CASE WHEN o_orderkey % 4 > 0 THEN concat('p', o_orderkey) END AS post_id, CAST(o_orderdate AS TIMESTAMP{n}) AS created_at, CASE WHEN o_orderkey % 2 = 0 THEN concat('raw ', o_custkey) END AS raw_text, concat('text ', o_custkey) AS text_content, CASE WHEN o_custkey % 5 = 0 THEN 'x' END AS reply_parent_id"""
+
+
+@query(
+    "processed_refresh",
+    f"""SELECT id AS raw_post_id, platform, coalesce(source_post_id, post_id) AS source_post_id, {ts("date_trunc('minute', created_at)")} AS bucket_minute, coalesce(raw_text, text_content) AS clean_text, reply_parent_id IS NOT NULL AS is_reply, 'general' AS tags
+    FROM (SELECT {_RAW.format(n='')} FROM orders) WHERE platform IS NOT NULL AND coalesce(source_post_id, post_id) IS NOT NULL""",
+)
+def _(spark, sf):
+    from tidegauge.catalog.sqlkit import split_list
+    from tidegauge.operators import merges as me
+
+    raw = st.table(spark, sf, "orders").selectExpr(*split_list(_RAW.format(n="_NTZ"))).selectExpr(
+        "*", "CAST(NULL AS STRING) AS author_id", "CAST(NULL AS TIMESTAMP_NTZ) AS ingested_at", "CAST(NULL AS ARRAY<STRING>) AS hashtags", "CAST(NULL AS ARRAY<STRING>) AS urls", "CAST(NULL AS STRING) AS repost_of_uri")
+    return me.refresh_processed(raw).select("raw_post_id", "platform", "source_post_id", "bucket_minute", "clean_text", "is_reply", "tags").withColumn(
+        "bucket_minute", F.col("bucket_minute").cast("timestamp_ntz"))
+
+
+@query(
+    "source_catalog",
+    """WITH b AS (SELECT p_name AS name, 'own' AS category, p_size AS priority, 0 AS found FROM part WHERE p_partkey % 4 = 0 UNION ALL
+      SELECT CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE concat(p_name, ' ', p_brand) END, p_type, p_size + 5, 1 FROM (SELECT *, p_retailprice * 20 AS subs, p_size / 4.0 AS per_day FROM part) WHERE p_type IN (SELECT DISTINCT p_type FROM part ORDER BY 1 LIMIT 3)
+        AND p_partkey % 9 > 0 AND NOT (subs < 15000 AND per_day < 5) AND NOT (p_partkey % 2 = 0 AND subs < 100000 AND per_day < 12))
+    SELECT lower(name) AS key, name, category, priority, found FROM b QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY found, category, priority DESC, name) = 1""",
+)
+def _(spark, sf):
+    from tidegauge.operators import merges as me
+
+    part = st.table(spark, sf, "part")
+    kinds = [r[0] for r in part.select("p_type").distinct().orderBy("p_type").limit(3).collect()]  # the categories in use: three names
+    found = part.selectExpr("CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE concat(p_name, ' ', p_brand) END AS name", "p_type AS category", "p_size + 5 AS priority", "p_retailprice * 20 AS subscribers", "CAST(p_size / 4.0 AS DOUBLE) AS posts_per_day",
+                            "p_partkey % 9 = 0 AS blocked", "p_partkey % 2 = 0 AS spam_prone")
+    own = part.where("p_partkey % 4 = 0").selectExpr("p_name AS name", "'own' AS category", "p_size AS priority")
+    return me.source_catalog(own, found, kinds).select("key", "name", "category", "priority", "found")
+
+
+@query(
+    "channel_diagnostics",
+    f"""SELECT n_name AS channel_ref, coalesce(k, 0) AS channel_id, k IS NOT NULL AS resolved, CASE WHEN k IS NOT NULL THEN coalesce(m, 0) END AS messages, {ts('latest')} AS latest_at, CASE WHEN k IS NOT NULL THEN s END AS last_status FROM nation
+    LEFT JOIN (SELECT n_name AS r, n_nationkey AS k FROM nation WHERE n_nationkey % 4 > 0) ON r = n_name LEFT JOIN (SELECT c_nationkey, count(*) AS m, max(o_orderdate) AS latest FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey % 6 > 0 GROUP BY 1) ON c_nationkey = k
+    LEFT JOIN (SELECT s_nationkey, CASE WHEN sum(s_acctbal) > 0 THEN 'ok' ELSE 'failed' END AS s FROM supplier GROUP BY 1) ON s_nationkey = k""",
+)
+def _(spark, sf):
+    from tidegauge.operators import merges as me
+
+    nation = st.table(spark, sf, "nation")
+    messages = st.table(spark, sf, "orders").join(st.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("c_nationkey % 6 > 0").selectExpr("c_nationkey AS channel_id", "o_orderdate AS at")
+    state = st.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("channel_id")).agg(F.when(F.sum("s_acctbal") > 0, "ok").otherwise("failed").alias("last_status"))
+    out = me.channel_diagnostics(nation.selectExpr("n_name AS channel_ref"), nation.where("n_nationkey % 4 > 0").selectExpr("n_name AS channel_ref", "n_nationkey AS channel_id"), state, messages)
+    return out.withColumn("latest_at", F.col("latest_at").cast("timestamp_ntz"))
+
+
+_MEMBER = """p_brand AS cluster, p_name AS label, p_size AS weight, CASE WHEN p_partkey % 3 > 0 THEN concat('Name ', p_partkey) END AS name, p_partkey % 5 = 0 AS trusted, CASE WHEN p_partkey % 2 = 0 THEN 'ok' ELSE 'mixed' END AS status, concat('about ', p_partkey) AS description, p_type AS e"""
+
+
+@query(
+    "cluster_synthesis",
+    f"""WITH m AS (SELECT {_MEMBER} FROM part), le AS (SELECT cluster, description, status AS ls FROM m WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, label, name) = 1),
+    su AS (SELECT cluster, name AS sure_name FROM m WHERE name IS NOT NULL AND trusted QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, label, name) = 1),
+    en AS (SELECT cluster, lower(x) AS k, count(*) AS n, min(x) AS e FROM (SELECT cluster, unnest([e, label]) AS x FROM m) GROUP BY 1, 2), ke AS (SELECT cluster, string_agg(e, '|' ORDER BY n DESC, k) AS key_entities FROM (SELECT * FROM en QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, k) <= 6) GROUP BY 1)
+    SELECT c.cluster, description, sure_name, key_entities, CASE WHEN sure_name IS NOT NULL THEN 'mixed' ELSE coalesce(ls, 'insufficient_evidence') END AS status FROM (SELECT DISTINCT cluster FROM m) c LEFT JOIN le USING (cluster) LEFT JOIN su USING (cluster) LEFT JOIN ke USING (cluster)""",
+)
+def _(spark, sf):
+    from tidegauge.catalog.sqlkit import split_list
+    from tidegauge.operators import merges as me
+
+    m = st.table(spark, sf, "part").selectExpr(*split_list(_MEMBER)).withColumn("entities", F.array("e"))
+    return me.cluster_synthesis(m, "cluster", "label", "weight", "trusted", "entities").select("cluster", "description", "sure_name", "key_entities", "status")
+
+
+_READ = """p_partkey AS root, CASE WHEN p_partkey % 6 > 0 THEN p_size END AS author, CASE WHEN p_partkey % 4 > 0 THEN concat('Key-', p_brand) END AS semantic_key, p_name AS label, p_retailprice / 30 AS quality, p_partkey % 7 = 0 AS is_template, p_size / 60.0 AS spam"""
+
+
+@query(
+    "semantic_candidates",
+    f"""WITH r AS (SELECT {_READ}, p_type AS s1, p_brand AS s2 FROM part), n AS (SELECT *, nullif(trim(regexp_replace(lower(coalesce(semantic_key, label)), '[^a-z0-9]+', ' ', 'g')), '') AS k, trim(regexp_replace(lower(s1), '[^a-z0-9]+', ' ', 'g')) AS k1, trim(regexp_replace(lower(s2), '[^a-z0-9]+', ' ', 'g')) AS k2 FROM r),
+    o AS (SELECT *, list_filter(CASE WHEN k1 = k2 THEN [k1] ELSE [k1, k2] END, lambda x: x <> '' AND x IS DISTINCT FROM k) AS other FROM n)
+    SELECT root, 'ai:' || k AS key, 'ai_semantic' AS kind, {r6('quality')} AS quality, 580 AS priority FROM o WHERE k IS NOT NULL UNION ALL
+    SELECT root, 'ai:' || other[i], 'ai_semantic', {r6('greatest(0, quality - i * 4)')}, 520 - (i - 1) * 12 FROM (SELECT *, unnest(range(1, len(other) + 1)) AS i FROM o) UNION ALL
+    SELECT root, 'template:' || trim(regexp_replace(lower(author || ' ' || coalesce(semantic_key, label)), '[^a-z0-9]+', ' ', 'g')), 'author_template', {r6('greatest(0, least(100, quality - 8))')}, 560 FROM o WHERE author IS NOT NULL AND (is_template OR spam >= 0.72)""",
+)
+def _(spark, sf):
+    from tidegauge.catalog.sqlkit import split_list
+    from tidegauge.operators import merges as me
+
+    part = st.table(spark, sf, "part")
+    rows = part.selectExpr(*split_list(_READ), "array(p_type, p_brand) AS secondary_keys")
+    read = rows.selectExpr("root", "semantic_key", "label", "quality", "is_template", "CAST(spam AS DOUBLE) AS spam_likelihood", "0.0D AS template_likelihood", "secondary_keys")
+    return me.semantic_candidates(rows.select("root", "author"), read, "root", "author")
+
+
+@query(
+    "representative_counts",
+    """SELECT p_partkey, 1 AS posts, CAST(greatest(2, floor(greatest(0, floor(p_retailprice + 0.5)) / 90 + 0.5)) AS BIGINT) AS reposts, CAST(greatest(1, least(greatest(1, p_size), greatest(1, p_partkey % 6) * 2)) AS BIGINT) AS comments, CAST(floor(p_retailprice + 0.5) AS BIGINT) AS likes FROM part""",
+)
+def _(spark, sf):
+    from tidegauge.operators import merges as me
+
+    p = st.table(spark, sf, "part")
+    return p.select("p_partkey", me.representative_counts("p_retailprice", "p_size", F.col("p_partkey") % 6).alias("r")).select("p_partkey", "r.*")
+
+
+@query(
+    "mapped_groups",
+    f"""WITH g AS (SELECT p_type AS key, count(*) AS posts, {big('sum(p_size)')} AS likes, list_sort(list(DISTINCT p_brand)) AS brands FROM part GROUP BY 1), m AS (SELECT DISTINCT p_type AS k, upper(left(p_type, 2)) AS cl FROM part WHERE p_size > 25),
+    j AS (SELECT *, coalesce(cl, key) AS cluster FROM g LEFT JOIN m ON k = key)
+    SELECT cluster, arg_max(key, {{'a': posts, 'b': key}}) AS lead, count(*) AS groups, {big('sum(posts)')} AS posts, {big('sum(likes)')} AS likes, array_to_string(list_sort(list_distinct(flatten(list(brands)))), '|') AS brands FROM j GROUP BY 1""",
+)
+def _(spark, sf):
+    from tidegauge.operators import merges as me
+
+    part = st.table(spark, sf, "part")
+    groups = part.groupBy(F.col("p_type").alias("key")).agg(F.count(F.lit(1)).alias("posts"), F.sum("p_size").alias("likes"), F.sort_array(F.collect_set("p_brand")).alias("brands"))
+    mapping = part.where("p_size > 25").select(F.col("p_type").alias("key"), F.upper(F.substring("p_type", 1, 2)).alias("cluster")).distinct()
+    return me.apply_mapping(groups, mapping, "key", ["posts", "likes"], ["brands"])
