@@ -41,6 +41,6 @@ def test_matches_oracle(spark, con, sf_dir, name):
     assert got == want
 
 
-def test_every_query_reads_given_tables():
+def test_oracles_belong_to_queries():
     assert len(catalog.QUERIES) > 200
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)

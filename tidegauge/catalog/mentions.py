@@ -97,3 +97,27 @@ def _(spark, sf):
     return mn.minute_mentions(st.post_topics(spark, sf), st.processed_posts(spark, sf), mn.alias_rules(spark)).select(
         "raw_post_id", "platform", "normalized_topic", "topic_priority", "sentiment_label", "bucket_minute", "quality_score"
     )
+
+
+@query("text_topic_totals")
+def _(spark, sf):
+    """The whole chain: texts -> topic candidates -> mention facts -> minute buckets -> day totals."""
+    from tidegauge.functions import text as tx
+    from tidegauge.operators import rollups as ru, topics as tp
+    from tidegauge.session import materialise
+
+    at = st.as_of_lit() - F.make_interval(mins=(F.col("doc_id") % 2880).cast("int"))
+    posts = st.raw_posts(spark, sf).withColumns({"at": at, "platform": F.lower("source")})
+    found = tp.topic_candidates(posts, "doc_id", "text", F.lit(0.5))
+    minute = F.date_trunc("minute", "at").cast("timestamp_ntz")
+    topics = found.join(posts.select(F.col("doc_id").alias("d"), "at", "platform"), F.col("doc_id") == F.col("d")).select(
+        F.col("doc_id").alias("raw_post_id"), F.col("doc_id").alias("processed_post_id"), "platform", F.col("at").alias("source_created_at"),
+        minute.alias("bucket_minute"), "topic_text", "topic_type", F.col("topic").alias("normalized_topic"))
+    processed = posts.select(
+        F.col("doc_id").alias("raw_post_id"), F.col("doc_id").alias("processed_post_id"), "platform", (F.col("doc_id") % 97).cast("string").alias("author_id"),
+        F.col("at").alias("source_created_at"), minute.alias("bucket_minute"), F.col("at").alias("processed_at"), tx.sentiment("text")["label"].alias("sentiment_label"),
+        F.lit(0.5).alias("quality_score"), F.lit(False).alias("is_repost"), F.lit(False).alias("is_reply"), tx.urls("text").alias("urls"),
+        F.lit(None).cast("string").alias("topic_key_candidate"))
+    facts = materialise(mn.sync_mentions(topics, processed, mn.alias_rules(spark), platform="bluesky"), "mention-facts")  # written once, read by both rollups
+    totals = ru.day_totals(ru.final_minutes(facts), facts)
+    return totals.select(F.col("day").cast("string").alias("day"), "topic_key", "topic_label", "total_mentions", "unique_posts", "unique_authors")

@@ -66,15 +66,15 @@ def gate(key: str = "topic_key", raw_text: str = "topic_text") -> Column:
     )
 
 
-def sync_mentions(topics: DataFrame, processed: DataFrame, aliases: DataFrame, since: Column | None = None) -> DataFrame:
-    """post topics -> immutable mention facts, unique on (raw_post_id, platform, topic_key)."""
+def sync_mentions(topics: DataFrame, processed: DataFrame, aliases: DataFrame, since: Column | None = None, platform: str = "unknown") -> DataFrame:
+    """post topics -> immutable mention facts, unique on (raw_post_id, platform, topic_key).  ``platform`` stands for a missing one."""
     if since is not None:
         topics = topics.where(F.col("source_created_at") >= since)
     df = with_processed(topics, processed)
     sentiment = F.col("sentiment_label")
     df = df.select(
         "raw_post_id", "processed_post_id",
-        F.coalesce(blank_to_null("platform"), F.lit("unknown")).alias("platform"),
+        F.coalesce(blank_to_null("platform"), F.lit(platform)).alias("platform"),
         "normalized_topic", "topic_text", F.lower(F.coalesce("topic_type", F.lit("entity"))).alias("topic_type"),
         F.coalesce("source_created_at", "bucket_minute", "pp_created", "processed_at").alias("event_timestamp"),
         F.col("processed_at").alias("ingested_at"), blank_to_null("author_id").alias("author_id"),
