@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20  # bytes hashed at once; words are never cut
-BATCH_BYTES = 4 << 20  # texts handled at once (one longer text is handled alone)
+BATCH_BYTES = 1 << 19  # texts handled at once (one longer text is handled alone); what numpy works on stays in the cache
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)

@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm.arrays import Words, distinct_per_row, parts, reduce_rows
+from tidegauge.llm.arrays import Words, distinct_per_row, parts
+from tidegauge.llm.shared import bounded
 
 STATISTICS = (
     "words", "word_length", "word_length_spread", "long_words", "symbols", "exclamations", "bars", "stops", "capitals", "all_capitals",
@@ -102,7 +103,7 @@ def statistics_table(docs: DataFrame, keys: list[str], text: str = "text") -> Da
                 pa.array(np.arange(0, x.size + 1, len(STATISTICS), dtype=np.int32)), pa.array(x.ravel()))
             yield pa.record_batch([batch.column(f"k{i}") for i in range(len(d))] + [values], [*(f.name for f in d), "x"])
 
-    rows = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(text).alias("text"))
+    rows = bounded(docs).select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(text).alias("text"))
     return rows.mapInArrow(compute, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d) + ", x array<double>")
 
 
@@ -194,7 +195,7 @@ def accepted(docs: DataFrame, model: Discriminant | None, text: str = "text") ->
         for batch in stream:
             yield batch.filter(pa.array(scores(model, statistics(batch.column(text))) >= ACCEPT))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return bounded(docs).mapInArrow(keep, docs.schema)
 
 
-__all__ = ["accepted", "examples", "fit", "held_out", "reduce_rows", "score_table", "scores", "statistics", "statistics_table"]
+__all__ = ["accepted", "examples", "fit", "held_out", "score_table", "scores", "statistics", "statistics_table"]
