@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidegauge.llm.shared import materialise
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # of all words
 MOST = 2  # passes over a source at most
@@ -37,23 +39,23 @@ def prepared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 
 
 def targets(hist: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(__source, source_size, target) from (__source, __size, n).
+    """(__source, __source_size, __target) from (__source, __size, n).
 
     Targets are min(most x size, level x weight) for the one level at which they add up to the share of all words: what
     capping a source frees goes to the others by weight until none is above.  The level is found on one row per source."""
-    sizes = hist.groupBy("__source").agg(F.sum(F.col("__size") * F.col("n")).alias("source_size"))
+    sizes = hist.groupBy("__source").agg(F.sum(F.col("__size") * F.col("n")).alias("__source_size"))
     by_name = Window.orderBy(F.col("__source").asc_nulls_last())
     by_room = Window.orderBy("room", F.col("__source").asc_nulls_last())
     everything = Window.partitionBy()
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    cap = F.col("source_size").cast("double") * most
+    cap = F.col("__source_size").cast("double") * most
     table = sizes.withColumn("w", w).withColumn("room", cap / F.col("w"))
     before = F.coalesce(F.sum(cap).over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     open_w = F.sum("w").over(by_room.rowsBetween(0, Window.unboundedFollowing))
-    level = (F.sum(F.col("source_size").cast("double")).over(everything) * share - before) / open_w
+    level = (F.sum(F.col("__source_size").cast("double")).over(everything) * share - before) / open_w
     table = table.withColumn("level", level).withColumn(
         "level", F.max(F.when(F.col("level") <= F.col("room"), F.col("level"))).over(everything))  # the first source not capped
-    return table.select("__source", "source_size", F.least(cap, F.coalesce(F.col("level") * F.col("w"), cap)).alias("target"))
+    return table.select("__source", "__source_size", F.least(cap, F.coalesce(F.col("level") * F.col("w"), cap)).alias("__target"))
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.ndarray]:
@@ -82,27 +84,30 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack: how many of each length come nearest to the budget from below; exact if the lengths allow."""
+    """Bounded knapsack: how many of each length come nearest to the budget (of two equally near sums, the smaller); exact if the
+    lengths allow.  Sums run to the budget and one more document."""
     take = np.zeros(len(lengths), np.int64)
-    came = np.full(budget + 1, -1, np.int64)  # bundle by which a sum was first reached
-    reached = np.zeros(budget + 1, bool)
+    most = budget + int(lengths[counts > 0].max(initial=0))
+    came = np.full(most + 1, -1, np.int64)  # bundle by which a sum was first reached
+    reached = np.zeros(most + 1, bool)
     reached[0] = True
     bundles: list[tuple[int, int]] = []
     for i in np.argsort(lengths):
         length = int(lengths[i])
-        left, size = (min(int(counts[i]), budget // length), 1) if length else (0, 1)
+        left, size = (min(int(counts[i]), most // length), 1) if length else (0, 1)
         while left > 0 and not reached[budget]:
             k = min(size, left)
             step = k * length
-            new = np.zeros(budget + 1, bool)
-            new[step:] = reached[:budget + 1 - step] & ~reached[step:]
+            new = np.zeros(most + 1, bool)
+            new[step:] = reached[:most + 1 - step] & ~reached[step:]
             came[new] = len(bundles)
             reached |= new
             bundles.append((i, k))
             left, size = left - k, size * 2
         if reached[budget]:
             break
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         i, k = bundles[came[at]]
         take[i] += k
@@ -112,9 +117,9 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("__size").reset_index(drop=True)
-    passes, take = fit_budget(pdf["__size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), float(pdf["target"].iloc[0]))
-    return pd.DataFrame({"__source": pdf["__source"], "__size": pdf["__size"], "source_size": pdf["source_size"], "target": pdf["target"],
-                         "passes": passes, "further": take})
+    passes, take = fit_budget(pdf["__size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), float(pdf["__target"].iloc[0]))
+    return pd.DataFrame({"__source": pdf["__source"], "__size": pdf["__size"], "__source_size": pdf["__source_size"],
+                         "__target": pdf["__target"], "__passes": passes, "further": take})
 
 
 def _same(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
@@ -122,31 +127,31 @@ def _same(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
 
 
 def plan(rows: DataFrame) -> DataFrame:
-    """Decision per (__source, __size, __b): source_size, target, passes, and ``some`` of its documents once more.
+    """Stored decision per (__source, __size, __b): __source_size, __target, __passes, and ``__some`` of its documents once more.
 
     rows: __source, __size, __b.  A source's lengths meet in one task (as many rows as it has different lengths, never its documents)."""
     cells = rows.groupBy("__source", "__size", "__b").agg(F.count(F.lit(1)).alias("n"))
     hist = cells.groupBy("__source", "__size").agg(F.sum("n").alias("n"))
     wanted = targets(hist)
     fitted = hist.join(wanted, _same(hist, wanted, ["__source"])).drop(wanted["__source"]).groupBy("__source").applyInPandas(
-        _fit, f"__source {hist.schema['__source'].dataType.simpleString()}, __size long, source_size long, target double, passes int, further long")
+        _fit, f"__source {hist.schema['__source'].dataType.simpleString()}, __size long, __source_size long, __target double, __passes int, further long")
     ordered = Window.partitionBy("__source", "__size").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("n").over(ordered), F.lit(0)))
     joined = cells.join(fitted, _same(cells, fitted, ["__source", "__size"])).drop(fitted["__source"], fitted["__size"])
     some = F.least(F.col("n"), F.greatest(F.lit(0), F.col("further") - F.col("before")))
-    return joined.select("__source", "__size", "__b", "source_size", "target", "passes", some.alias("some"), (some > 0) & (some < F.col("n")))\
-        .toDF("__source", "__size", "__b", "source_size", "target", "passes", "some", "split")
+    return materialise(joined.select("__source", "__size", "__b", "__source_size", "__target", "__passes", some.alias("__some"),
+                                     ((some > 0) & (some < F.col("n"))).alias("__split")), "mix-plan")
 
 
 def apply(rows: DataFrame, decided: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """rows (as ``prepared`` gives them) with source_size, target and ``copies`` (0 to 2).
+    """rows (as ``prepared`` gives them) with __source_size, __target and ``__copies`` (0 to 2).
 
     Only hash ranges that are taken in part are ranked, inside the range."""
-    out = rows.join(decided, _same(rows, decided, ["__source", "__size", "__b"])).drop(*[decided[c] for c in ("__source", "__size", "__b")])
+    out = rows.join(decided.hint("merge"), _same(rows, decided, ["__source", "__size", "__b"])).drop(*[decided[c] for c in ("__source", "__size", "__b")])
     rank = F.row_number().over(Window.partitionBy("__source", "__size", "__b").orderBy("__h", doc_id))
-    whole = out.where(~F.col("split")).withColumn("copies", F.col("passes") + (F.col("some") > 0).cast("int"))
-    part = out.where("split").withColumn("__r", rank).withColumn("copies", F.col("passes") + (F.col("__r") <= F.col("some")).cast("int")).drop("__r")
-    return whole.unionByName(part).drop("passes", "some", "split")
+    whole = out.where(~F.col("__split")).withColumn("__copies", F.col("__passes") + (F.col("__some") > 0).cast("int"))
+    part = out.where("__split").withColumn("__r", rank).withColumn("__copies", F.col("__passes") + (F.col("__r") <= F.col("__some")).cast("int")).drop("__r")
+    return whole.unionByName(part).drop("__passes", "__some", "__split")
 
 
 __all__ = ["apply", "fit_budget", "knapsack", "plan", "prepared", "size_of", "targets"]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.llm.arrays import Words, distinct_per_row, mix, parts, reduce_rows
-from tidegauge.llm.shared import materialise, row_key
+from tidegauge.llm.shared import bounded, materialise, row_key
 from tidegauge.operators.grouping import components
 
 SHINGLE = 5
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFr
                     pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel().view(np.int64)))],
                     ["rid", "n", "a", "b", "bands"])
 
-    return docs.select(F.col(key).alias("rid"), F.col(text).alias("text")).mapInArrow(
+    return bounded(docs).select(F.col(key).alias("rid"), F.col(text).alias("text")).mapInArrow(
         sign, "rid long, n long, a long, b long, bands array<long>")
 
 
@@ -118,7 +118,8 @@ def links(docs: DataFrame, members: DataFrame, k: int = SHINGLE, threshold: floa
     least = posterior_minimum(threshold)
     keyed = F.aggregate("buckets", F.array_repeat(F.lit(0).cast("long"), BANDS), lambda acc, x: F.transform(
         acc, lambda v, i: F.when(i == x["pos"], x["bucket"]).otherwise(v)))
-    rows = members.join(docs, docs["rid"] == members["rep"]).select("rep", "a", "b", "text", keyed.alias("held"), F.explode("buckets").alias("x"))
+    # both sides grow with the documents: a merge at every size
+    rows = bounded(members).hint("merge").join(docs, docs["rid"] == members["rep"]).select("rep", "a", "b", "text", keyed.alias("held"), F.explode("buckets").alias("x"))
     own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("x.blocks"))
     rows = rows.select("rep", "a", "b", "text", "held", F.col("x.pos").alias("pos"), F.col("x.bucket").alias("bucket"), own.alias("own"),
                        F.explode(F.sequence(F.lit(0), F.col("x.blocks") - 1)).alias("other"))
@@ -249,8 +250,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     """docs with one row of each class: the one with the smallest id."""
     keyed = docs.withColumn("__rid", row_key(key, text))
     decided = classes(docs, key, text, k, threshold).groupBy("rid").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("__rows"))
-    kept = materialise(decided.where("class_id = rid").select("rid", "__rows"), "kept")
-    out = keyed.join(kept, keyed["__rid"] == kept["rid"]).drop("rid")
+    kept = materialise(decided.where("class_id = rid").select(F.col("rid").alias("__rid"), "__rows"), "kept")
+    out = keyed.join(kept.hint("merge"), "__rid")  # both sides grow with the documents
     once, again = out.where(F.col("__rows") == 1), out.where(F.col("__rows") > 1).dropDuplicates(["__rid"])
     return once.unionByName(again).select(*docs.columns)
 
