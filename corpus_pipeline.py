@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = mixing.prepared(docs)
     sizes = materialise(rows.select("__source", "__size", "__b"), "sizes")
     mixed = mixing.apply(rows, mixing.plan(sizes))
-    return mixed.where("copies > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("__copy")).drop("__copy")
+    return mixed.where("__copies > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
