@@ -352,3 +352,42 @@ def _(spark, sf):
     groups = part.groupBy(F.col("p_type").alias("key")).agg(F.count(F.lit(1)).alias("posts"), F.sum("p_size").alias("likes"), F.sort_array(F.collect_set("p_brand")).alias("brands"))
     mapping = part.where("p_size > 25").select(F.col("p_type").alias("key"), F.upper(F.substring("p_type", 1, 2)).alias("cluster")).distinct()
     return me.apply_mapping(groups, mapping, "key", ["posts", "likes"], ["brands"])
+
+
+_NAMED = """p_partkey, CASE p_partkey % 7 WHEN 0 THEN ' ' WHEN 1 THEN 'Parliament' ELSE p_name END AS raw_label, CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) WHEN p_partkey % 5 < 4 THEN concat('Storm over ', p_brand) END AS canonical_name,
+ CASE WHEN p_partkey % 3 = 0 THEN p_type END AS fallback_label, CASE p_partkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'mixed' WHEN 2 THEN 'junk' ELSE 'insufficient_evidence' END AS status, 'ready' AS name_status, CASE p_partkey % 6 WHEN 0 THEN 'historical_exact' WHEN 1 THEN 'x' END AS name_source,
+ CASE WHEN p_partkey % 11 = 0 THEN 'This is Using the cleaned fallback label now' ELSE 'fine' END AS narrative_summary, CASE WHEN p_partkey % 13 = 0 THEN 'Visible runtime AI naming failed' END AS abstain_reason, CASE WHEN p_partkey % 17 = 0 THEN 'Visible_Runtime_OpenAI_Failure' ELSE 'noise' END AS sig,
+ p_partkey % 19 = 0 AS used_fallback, p_size % 2 = 0 AS authoritative, p_size > 5 AS shaped, p_size % 4 AS n_evidence"""
+_BROKEN = "(lower(sig) = 'visible_runtime_openai_failure' OR lower(narrative_summary) LIKE '%using the cleaned fallback label%' OR coalesce(lower(abstain_reason), '') LIKE '%visible runtime ai naming failed%')"
+
+
+@query(
+    "name_state",
+    f"""WITH n AS (SELECT {_NAMED} FROM part), v AS (SELECT *, nullif(trim(raw_label), '') AS l, coalesce(fallback_label, nullif(trim(raw_label), '')) AS fb, CASE WHEN lower(canonical_name) IS DISTINCT FROM lower(nullif(trim(raw_label), '')) THEN canonical_name END AS nm, {_BROKEN} AS broken FROM n),
+    r AS (SELECT *, nm IS NOT NULL AND status IN ('ok', 'mixed') AND NOT used_fallback AND NOT broken AND shaped AS ready FROM v)
+    SELECT p_partkey, CASE WHEN ready THEN nm END AS canonical, fb AS fallback, CASE WHEN ready THEN 'ready' WHEN status IN ('junk', 'insufficient_evidence') AND NOT broken THEN 'failed' ELSE 'pending' END AS name_status,
+    CASE WHEN ready AND name_source = 'historical_exact' THEN name_source WHEN ready AND authoritative THEN 'ai_exact' WHEN ready THEN 'historical_alias' WHEN fb IS NOT NULL THEN 'fallback_cleaned' ELSE 'none' END AS name_source FROM r""",
+)
+def _(spark, sf):
+    from tidegauge.catalog.sqlkit import split_list
+    from tidegauge.operators import merges as me
+
+    n = st.table(spark, sf, "part").selectExpr(*split_list(_NAMED)).withColumn("signals", F.array("sig"))
+    out = me.name_state("raw_label", "canonical_name", "fallback_label", "status", "name_source", "narrative_summary", "abstain_reason", "signals", "used_fallback", "authoritative", "shaped")
+    return n.select("p_partkey", out.alias("r")).select("p_partkey", "r.*")
+
+
+@query(
+    "quarantined_names",
+    f"""WITH n AS (SELECT {_NAMED} FROM part), q AS (SELECT *, CASE WHEN lower(narrative_summary) LIKE '%using the cleaned fallback label%' THEN 'fallback_narrative' WHEN coalesce(lower(abstain_reason), '') LIKE '%visible runtime ai naming failed%' OR lower(sig) = 'visible_runtime_openai_failure' THEN 'runtime_failure'
+      WHEN status IN ('ok', 'mixed') AND lower(canonical_name) = lower(nullif(trim(raw_label), '')) THEN 'canonical_equals_raw' WHEN status IN ('ok', 'mixed') AND n_evidence = 0 THEN 'missing_evidence'
+      WHEN status IN ('ok', 'mixed') AND regexp_matches(regexp_replace(lower(raw_label), '[^a-z0-9]+', '', 'g'), '(?:apital|eneral|etting|hased|arket|tion|ment|ally|ized)$') THEN 'fragment_like_raw_label' END AS reason FROM n)
+    SELECT p_partkey, reason, CASE WHEN reason IS NULL THEN fallback_label ELSE coalesce(fallback_label, nullif(trim(raw_label), '')) END AS fallback_label, CASE WHEN reason IS NULL THEN canonical_name END AS canonical_name,
+    CASE WHEN reason = 'runtime_failure' THEN 'pending' WHEN reason IS NOT NULL THEN 'failed' ELSE name_status END AS name_status, CASE WHEN reason IS NULL THEN name_source WHEN trim(raw_label) <> '' THEN 'fallback_cleaned' ELSE 'none' END AS name_source FROM q""",
+)
+def _(spark, sf):
+    from tidegauge.catalog.sqlkit import split_list
+    from tidegauge.operators import merges as me
+
+    n = st.table(spark, sf, "part").selectExpr(*split_list(_NAMED)).withColumns({"mixed_signals": F.array("sig"), "evidence": F.array_repeat(F.lit(1), F.col("n_evidence").cast("int"))})
+    return me.quarantine_names(n).select("p_partkey", "reason", "fallback_label", "canonical_name", "name_status", "name_source")

@@ -102,3 +102,58 @@ def apply_mapping(groups: DataFrame, mapping: DataFrame, key: str, sums: list[st
     return placed.groupBy("cluster").agg(
         F.max_by(key, F.struct(F.col(sums[0]), F.col(key))).alias("lead"), F.count(F.lit(1)).alias("groups"), *[F.sum(x).alias(x) for x in sums],
         *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(x)))).alias(x) for x in sets])
+
+
+# Phrases and signals of a naming run that failed, and word ends of cut-off labels.
+FAILED_SIGNAL = "visible_runtime_openai_failure"
+FALLBACK_PHRASES = ("safe fallback because ai enrichment was unavailable", "using the cleaned fallback label")
+FAILED_PHRASE = "visible runtime ai naming failed"
+FRAGMENT_END = "(?:apital|eneral|etting|hased|arket|tion|ment|ally|ized)$"
+TRUSTED_NAME_SOURCES = ("ai_exact", "historical_exact", "historical_alias")
+
+
+def _has(text: Col, *phrases: str) -> Column:
+    low = F.lower(F.coalesce(c(text), F.lit("")))
+    out = F.lit(False)
+    for phrase in phrases:
+        out = out | F.contains(low, F.lit(phrase))
+    return out
+
+
+def name_state(raw: Col, canonical: Col, fallback: Col, status: Col, source: Col, summary: Col, abstain: Col, signals: Col, used_fallback: Col,
+               authoritative: Col, shaped: Col) -> Column:
+    """struct(canonical, fallback, name_status, name_source) of an enrichment.
+
+    A name that differs from the raw label, came without a failed run and has the shape of a name (``shaped``) is ready; junk and thin
+    evidence fail; anything else waits."""
+    label, other = blank_to_null(raw), F.coalesce(blank_to_null(fallback), blank_to_null(raw))
+    name = F.when(~F.lower(blank_to_null(canonical)).eqNullSafe(F.lower(label)), blank_to_null(canonical))
+    broken = F.coalesce(F.array_contains(F.transform(signals, lambda s: F.lower(F.trim(s))), FAILED_SIGNAL), F.lit(False)) | _has(
+        summary, *FALLBACK_PHRASES, FAILED_PHRASE) | _has(abstain, *FALLBACK_PHRASES, FAILED_PHRASE)
+    ready = name.isNotNull() & c(status).isin("ok", "mixed") & ~F.coalesce(c(used_fallback), F.lit(False)) & ~broken & c(shaped)
+    ready = F.coalesce(ready, F.lit(False))
+    given = F.lower(F.coalesce(blank_to_null(source), F.lit("")))
+    plain = F.when(other.isNotNull(), "fallback_cleaned").otherwise("none")
+    failed = F.coalesce(c(status).isin("insufficient_evidence", "junk"), F.lit(False)) & ~broken
+    return F.struct(
+        F.when(ready, name).alias("canonical"), other.alias("fallback"), F.when(ready, "ready").when(failed, "failed").otherwise("pending").alias("name_status"),
+        F.when(ready & given.isin(*TRUSTED_NAME_SOURCES), given).when(ready & c(authoritative), "ai_exact").when(ready, "historical_alias").otherwise(plain).alias("name_source"))
+
+
+def quarantine_names(rows: DataFrame) -> DataFrame:
+    """Enrichments with polluted names taken back; ``reason`` says why (null: row unchanged).
+
+    rows: raw_label, canonical_name, fallback_label, status, name_status, name_source, narrative_summary, abstain_reason, mixed_signals, evidence."""
+    good = F.coalesce(F.trim("status").isin("ok", "mixed"), F.lit(False))
+    reason = F.when(_has("narrative_summary", *FALLBACK_PHRASES), "fallback_narrative").when(
+        _has("abstain_reason", FAILED_PHRASE) | F.coalesce(F.exists("mixed_signals", lambda s: F.lower(s) == FAILED_SIGNAL), F.lit(False)), "runtime_failure").when(
+        good & (F.lower(blank_to_null("canonical_name")) == F.lower(blank_to_null("raw_label"))), "canonical_equals_raw").when(
+        good & (F.coalesce(F.size("evidence"), F.lit(0)) <= 0), "missing_evidence").when(
+        good & F.regexp_replace(F.lower(F.coalesce("raw_label", F.lit(""))), "[^a-z0-9]+", "").rlike(FRAGMENT_END), "fragment_like_raw_label")
+    out = rows.withColumn("reason", reason)
+    hit, label = F.col("reason").isNotNull(), blank_to_null("raw_label")
+    return out.withColumns({
+        "fallback_label": F.when(hit, F.coalesce(blank_to_null("fallback_label"), label)).otherwise(F.col("fallback_label")),
+        "canonical_name": F.when(~hit, F.col("canonical_name")),
+        "name_status": F.when(hit & (F.col("reason") == "runtime_failure"), "pending").when(hit, "failed").otherwise(F.col("name_status")),
+        "name_source": F.when(hit & label.isNotNull(), "fallback_cleaned").when(hit, "none").otherwise(F.col("name_source"))})
