@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidegauge.llm.arrays import Words, mix, parts
 from tidegauge.llm.shared import bounded, materialise, row_key
 
-LEAST = 50  # words of a span; a passage of more, in whole sentences, is always found
+LEAST = 40  # words of a span; a passage of over 50 words is found although a sentence at its edge has grown into its neighbour
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
