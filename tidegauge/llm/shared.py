@@ -47,11 +47,11 @@ def file_store(spark: SparkSession, label: str) -> FileStore:
     return FileStore(scratch_path(spark, label))
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df; from now on its session hands Python batches of at most ``ARROW_BYTES`` (a longer row comes alone).
+def bounded(df: DataFrame, size: int = ARROW_BYTES) -> DataFrame:
+    """df; from now on its session hands Python batches of at most so many bytes (a longer row comes alone).
 
     Batches exist on both sides of the pipe for every running task, outside of the heap."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return df
 
 

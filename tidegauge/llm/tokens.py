@@ -25,14 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegauge.llm.arrays import parts
-from tidegauge.llm.shared import FileStore, materialise
+from tidegauge.llm.shared import FileStore, bounded, materialise
 
 END_ID = 0
 LENGTH = 2048
 ROWS = 128  # sequences of a record batch
 SHARD_TOKENS = 1 << 26  # a shard is closed at the first document beyond
-ENCODE_BYTES = 16 << 20  # texts encoded at once
-CACHE = 1_000_000  # pieces that a worker keeps (about 40 MB)
+ENCODE_BYTES = 8 << 20  # texts encoded at once
+CACHE = 600_000  # pieces that a worker keeps (about 25 MB)
 
 
 class PieceEncoder:
@@ -81,8 +81,10 @@ class PieceEncoder:
         self.whole = np.concatenate([self.whole, [c is None for c in codes]])
         self.used = np.concatenate([self.used, np.ones(len(codes), bool)])
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > CACHE:
+    def _learn(self, new: list[str]) -> bool:
+        """Adds new pieces at the end; True when old ones have been dropped before."""
+        clean = len(self.known) + len(new) > CACHE
+        if clean:
             keep = pa.array(self.used)
             self.known, self.coded, self.whole = self.known.filter(keep), self.coded.filter(keep), self.whole[self.used]
             self.used = np.zeros(len(self.known), bool)
@@ -104,6 +106,7 @@ class PieceEncoder:
             whole[p] = a + b[skip:] if a and b else None
         pieces.update(whole)
         self._add(list(pieces), list(pieces.values()))
+        return clean
 
     def encode(self, texts: pa.Array) -> Iterator[bytes | memoryview]:
         """Ids of each text, in order."""
@@ -114,9 +117,15 @@ class PieceEncoder:
         index = pc.index_in(values, value_set=self.known)
         if index.null_count:
             self.used[index.drop_null().to_numpy()] = True
-            self._learn(values.filter(pc.is_null(index)).unique().to_pylist())
-            index = pc.index_in(values, value_set=self.known)
-        index = index.to_numpy().astype(np.int64)
+            missing, n = pc.is_null(index), len(self.known)
+            lost = values.filter(missing)
+            if self._learn(lost.unique().to_pylist()):  # places have changed
+                index = pc.index_in(values, value_set=self.known).to_numpy().astype(np.int64)
+            else:
+                index = index.fill_null(0).to_numpy().astype(np.int64)
+                index[missing.to_numpy(zero_copy_only=False)] = pc.index_in(lost, value_set=self.known.slice(n)).to_numpy() + n
+        else:
+            index = index.to_numpy().astype(np.int64)
         self.used[index] = True
         marks = np.concatenate([[0], np.cumsum(self.whole[index])])
         by_library = marks[at[1:]] > marks[at[:-1]]
@@ -214,7 +223,7 @@ def write_shards(docs: DataFrame, store: FileStore, tokenizer_file: str, doc_id:
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:  # the driver's copy serves every executor; a few MB
         model = spark.sparkContext.broadcast(f.read())
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = bounded(docs, ENCODE_BYTES).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
 
