@@ -79,6 +79,13 @@ def test_edges_and_one_of_each(make):
     assert nj.classes(frame.limit(0)).count() == 0
 
 
+def test_bucket_of_a_million_different_members(spark):
+    reps = spark.range(1_000_000).selectExpr("id AS rep", "5L AS n", "id AS a", "id AS b", "array(11L, 12L, -id - 1) AS bands")
+    got = nj.shared_buckets(reps)
+    assert got.count() == 1_000_000  # both shared buckets have the same members and count once
+    assert {r.n for r in got.selectExpr("size(buckets) AS n").distinct().collect()} == {1}
+
+
 def test_posterior_tolerance():
     least = nj.posterior_minimum()
     assert len(least) == nj.HASHES // nj.STEP and all(a <= b for a, b in zip(least, least[1:]))

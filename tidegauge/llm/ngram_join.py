@@ -100,12 +100,12 @@ def signatures(docs: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFr
 def shared_buckets(reps: DataFrame) -> DataFrame:
     """(rep, a, b, buckets: array<struct<pos,bucket,blocks>>) of representatives that share a bucket with another.
 
-    Buckets with the same members count once (the smallest key stands for them)."""
+    Buckets with the same members count once (the smallest key stands for them); what tells members apart fits into a long for any count."""
     rows = reps.select("rep", "n", F.posexplode("bands").alias("pos", "bucket"))
     member = F.xxhash64("rep")
     buckets = rows.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.sum(F.shiftright(member, 8)).alias("s1"),
-        F.sum(F.xxhash64(member, F.lit(1)) % 2**40).alias("s2")).where("m > 1")
+        F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.bit_xor(member).alias("s1"),
+        F.sum(F.pmod(F.xxhash64(member, F.lit(1)), F.lit(2**31))).alias("s2")).where("m > 1")
     buckets = buckets.groupBy("m", "size", "s1", "s2").agg(F.min("bucket").alias("bucket"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
     buckets = materialise(buckets.select("bucket", blocks.alias("blocks")), "buckets")
