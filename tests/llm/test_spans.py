@@ -60,6 +60,12 @@ def test_sentences_do_not_see_other_rows():
     assert together.tolist() == alone.astype(int).tolist()
 
 
+def test_one_id_with_two_texts(make):
+    a, b = f"{prose(50, 1)}. {prose(50, 2)}.", f"{prose(50, 3)}. {prose(50, 4)}."
+    got = {(r.doc_id, r.text) for r in spans.removed(make([(3, a), (7, a), (7, b)], "doc_id long, text string")).collect()}
+    assert got == {(3, a), (7, ""), (7, b)}
+
+
 def test_edges(make):
     p = prose(60, 4) + "."
     long = " ".join(f"{prose(9, i)}." for i in range(6000))

@@ -5,8 +5,8 @@ sentence the run of consecutive sentences that first reaches ``least`` words is
 a repeated passage is covered to both its ends.  Hashes (128 bits over the words) are joined globally; the first occurrence by
 document id and place stays, and the sentences covered by any other occurrence are removed.  Everything else stays byte for byte.
 
-Words count as in ``arrays``.  Null texts stay null.  Rows that repeat an id are treated as one document (its first text by hash
-order supplies the spans); documents without an id come first and are told apart by their text.
+Words count as in ``arrays``.  Null texts stay null.  Rows that repeat an id and a text are one document; different texts of one id
+are documents of their own, ordered by a hash of the text.  Documents without an id come first and are told apart by their text.
 """
 
 from __future__ import annotations
@@ -85,34 +85,36 @@ class Spans:
 
 
 def span_table(docs: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
-    """(a, b, doc, first, last) of every span."""
+    """(a, b, doc, version, first, last) of every span; version is a hash of the text, as ranges hold for that text only."""
 
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for first, _, data, offsets in parts(batch.column("text")):
                 s = Spans(data, offsets, least)
                 yield pa.record_batch([pa.array(s.a.view(np.int64)), pa.array(s.b.view(np.int64)), batch.column("doc").take(pa.array(s.row + first)),
-                                       pa.array(s.first.astype(np.int32)), pa.array(s.last.astype(np.int32))], ["a", "b", "doc", "first", "last"])
+                                       batch.column("version").take(pa.array(s.row + first)), pa.array(s.first.astype(np.int32)),
+                                       pa.array(s.last.astype(np.int32))], ["a", "b", "doc", "version", "first", "last"])
 
-    return bounded(docs).select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(cut, "a long, b long, doc long, first int, last int")
+    return bounded(docs).select(F.col(key).alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("text")).mapInArrow(
+        cut, "a long, b long, doc long, version long, first int, last int")
 
 
 def repeated(spans: DataFrame) -> DataFrame:
-    """(doc, covered): sentence ranges of every occurrence but the first.
+    """(doc, version, covered): sentence ranges of every occurrence but the first.
 
     Counting is pre-aggregated in each task; only hashes that occur twice come back for the join, where Spark splits a hot one."""
-    twice = spans.groupBy("a", "b").agg(F.min(F.struct("doc", "first")).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    twice = spans.groupBy("a", "b").agg(F.min(F.struct("doc", "version", "first")).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     twice = materialise(twice, "repeated-spans")
-    later = spans.join(twice, ["a", "b"]).where(F.struct("doc", "first") != F.col("origin"))
-    return later.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("covered"))
+    later = spans.join(twice, ["a", "b"]).where(F.struct("doc", "version", "first") != F.col("origin"))
+    return later.groupBy("doc", "version").agg(F.collect_set(F.struct("first", "last")).alias("covered"))
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, count: str = "n_removed") -> DataFrame:
     """docs with covered sentences taken out of the text, and the number of sentences taken out."""
-    keyed = docs.withColumn("__doc", row_key(key, text))
-    covered = repeated(materialise(span_table(keyed, "__doc", text, least), "spans")).toDF("__doc", "__covered")
+    keyed = docs.withColumn("__doc", row_key(key, text)).withColumn("__version", F.xxhash64(text))
+    covered = repeated(materialise(span_table(keyed, "__doc", text, least), "spans")).toDF("__doc", "__version", "__covered")
     fields = docs.schema.fields
-    joined = keyed.join(covered, "__doc", "left").select(*docs.columns, F.col("__covered.first").alias("__first"), F.col("__covered.last").alias("__last"))
+    joined = keyed.join(covered, ["__doc", "__version"], "left").select(*docs.columns, F.col("__covered.first").alias("__first"), F.col("__covered.last").alias("__last"))
 
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
