@@ -66,6 +66,48 @@ def test_one_id_with_two_texts(make):
     assert got == {(3, a), (7, ""), (7, b)}
 
 
+def shared(docs, words):
+    """(document, sentence) of every sentence that an earlier place has too, with so many shared words around and in it."""
+    seen, out = {}, set()
+    for d, text in sorted(docs):
+        s = cut(text)
+        flat, at = [h for x in s for h in x[1]], np.cumsum([0] + [len(x[1]) for x in s])
+        for i, x in enumerate(s):
+            for other, a in seen.setdefault(tuple(x[1]), []) if x[1] else []:
+                left = right = 0
+                while left < words and min(at[i], a) > left and flat[at[i] - left - 1] == other[a - left - 1]:
+                    left += 1
+                while left + right < words and max(at[i] - len(flat), a - len(other)) + right < 0 and flat[at[i] + right] == other[a + right]:
+                    right += 1
+                if left + right >= words:
+                    out.add((d, x[0].decode()))
+                    break
+            seen.setdefault(tuple(x[1]), []).append((flat, at[i]))
+    return out
+
+
+def test_passages_with_grown_edges(make):
+    rows = []
+    for n, (left, inner, right) in enumerate([(20, [11], 20), (22, [8, 8], 20), (1, [30], 20), (35, [1], 15), (25, [3, 9, 5], 9), (40, [10], 1), (26, [39], 0), (10, [10], 10)]):
+        words = lambda k, m: prose(k, f"{n}p{m}")  # noqa: E731, B023
+        passage = ". ".join([words(left, 0), *(words(k, i + 1) for i, k in enumerate(inner)), words(right, 9)]).strip()
+        for copy in (0, 100):
+            rows.append((n + copy, f"Own {prose(9, f'o{n + copy}')} {passage} and {prose(9, f'e{n + copy}')}."))
+    want = shared(rows, 51)
+    got = {r.doc_id: (r.text, r.n_removed) for r in spans.removed(make(rows, "doc_id long, text string"), passage=spans.PASSAGE).collect()}
+    assert len(want) == 10 and all(sentence not in got[d][0] for d, sentence in want)
+    assert sum(n for _, n in got.values()) == len(want)  # 31 shared words stay
+    assert all(got[d] == (text, 0) for d, text in rows if d < 100)
+
+
+def test_query_leaves_no_passage(spark, sf_dir, documents):
+    docs = [tuple(r) for r in documents.select("doc_id", "text").collect() if len(r.text) < 6000]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in spans.removed(frame, passage=spans.PASSAGE).collect()}
+    assert not [1 for d, sentence in shared(docs, spans.PASSAGE) if sentence.encode() in [x[0] for x in cut(got[d])]
+                and [x[0] for x in cut(dict(docs)[d])].count(sentence.encode()) == 1]
+
+
 def test_edges(make):
     p = prose(60, 4) + "."
     long = " ".join(f"{prose(9, i)}." for i in range(6000))

@@ -58,7 +58,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text without repeated spans, n_removed sentences, of every document."""
     docs = given(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return spans.removed(docs)
+    return spans.removed(docs, passage=spans.PASSAGE)
 
 
 @query("op5_near_copies", f"""
