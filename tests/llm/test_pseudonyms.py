@@ -39,6 +39,15 @@ def test_invalid_values_stay(make):
     assert moved(make, values) == values
 
 
+def test_numbers_beside_other_groups(make):
+    card, iban, date = moved(make, ["4111 1111 1111 1111", "BE68 5390 0754 7034", "2024-02-29"])
+    plain = [v.replace(" ", "") for v in (card, iban)]
+    around = ["4111 1111 1111 1111 12/26", "4111111111111111 123", "12 4111111111111111", "7 4111 1111 1111 1111", "BE68 5390 0754 7034 EUR", "BE68539007547034 BIC",
+              "2024-02-29T10:00:00Z", "2024-02-29/x", "2024-02-29/2024-02-29", "BE68 5390 0754 7034 4111 1111 1111 1111"]
+    assert moved(make, around) == [f"{card} 12/26", f"{plain[0]} 123", f"12 {plain[0]}", f"7 {card}", f"{iban} EUR", f"{plain[1]} BIC",
+                                   f"{date}T10:00:00Z", f"{date}/x", f"{date}/{date}", f"{iban} {card}"]
+
+
 def test_feistel_is_a_permutation(spark):
     out = spark.range(17 * 61).select(ps.feistel(F.floor(F.col("id") / 61), F.col("id") % 61, F.lit(17), F.lit(61), "t", "k").alias("s")).select("s.*")
     pairs = {tuple(r) for r in out.collect()}

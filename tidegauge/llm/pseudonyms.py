@@ -22,13 +22,21 @@ ROUNDS = 10
 # How the kinds look.  A value never starts or ends inside a longer run of letters or digits.
 EMAIL = r"(?<![A-Za-z0-9._%+\-À-ɏ])[A-Za-z0-9._%+\-À-ɏ]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-DATE = r"(?<![\w./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./](?:19|20)[0-9]{2})(?![\w/-]|\.[0-9])"
+DATE = r"(?:(?<![\w./-])|(?<=[0-9]-[0-9]{2}/))(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./](?:19|20)[0-9]{2})(?!(?!T[0-9])\w|-|\.[0-9])"
 IPV4 = r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"
 SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
 CARD = r"(?<![\w])[0-9](?:[ -]?[0-9]){12,18}(?![\w])"
 PHONE = r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w])|(?<![\w+])\+[0-9](?:[ .-]?[0-9]){7,13}(?![\w])"
 VALUE = "|".join((EMAIL, IBAN, DATE, IPV4, SSN, CARD, PHONE))
 
+# Lengths by the first digits: what cards have most often, and what they have at times.
+USUAL = r"^(?:4[0-9]{15}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})$"
+RARE = r"^(?:4(?:[0-9]{12}|[0-9]{18})|3[0689][0-9]{12}|6[0-9]{15,18})$"
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+                23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+                28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 33: "RU"}
+IBAN_KNOWN = "^(?:" + "|".join(f"(?:{v.replace(' ', '|')}).{{{n - 2}}}" for n, v in IBAN_LENGTHS.items()) + ")$"
+
 DAYS = (17, 4297)  # days from 1900-01-01 to 2099-12-31: 17 x 4297
 SSN_PARTS = (898, 99 * 9999)  # areas 001-899 without 666; groups 01-99 and serials 0001-9999
 
@@ -96,17 +104,37 @@ def refill(layout: Column, digits: Column) -> Column:
     ).otherwise(F.struct(acc["at"].alias("at"), F.concat(acc["out"], c).alias("out"))), lambda acc: acc["out"])
 
 
+def _runs(groups: Column, first_only: bool) -> Column:
+    """Runs of consecutive groups: struct<i, j, text>."""
+    n = F.size(groups)
+    of = lambda i: F.transform(F.sequence(i, n), lambda j: F.struct(
+        i.cast("int").alias("i"), j.alias("j"), F.array_join(F.slice(groups, i, j - i + 1), "").alias("text")))
+    return of(F.lit(1)) if first_only else F.flatten(F.transform(F.sequence(F.lit(1), n), of))
+
+
 def _card(m: Column, key: str) -> Column:
-    """First digit stays (the kind of card), the others are permuted, the check digit is computed anew; numbers whose check digit
-    is wrong are not cards and stay as they are."""
-    def of(d: Column) -> Column:
-        n = F.length(d)
-        body = F.substring(d, F.lit(2), n - 2)
-        head = F.concat(F.substring(d, 1, 1), permute_digits(body, "card", key))
-        new = _bind(head, lambda h: F.concat(h, ((10 - luhn_sum(F.concat(h, F.lit("0"))) % 10) % 10).cast("string")))
-        return F.when(luhn_sum(d) % 10 == 0, refill(m, new)).otherwise(m)
+    """First digit stays (the kind of card), the others are permuted, the check digit is computed anew.
+
+    The number is the run of whole groups whose check digit is right, that of a card's usual length before others and a longer before
+    a shorter one: an expiry, security code or quantity beside it stays.  Without such a run nothing is a card and all stays."""
+    def moved(piece: Column) -> Column:
+        def of(d: Column) -> Column:
+            body = F.substring(d, F.lit(2), F.length(d) - 2)
+            head = F.concat(F.substring(d, 1, 1), permute_digits(body, "card", key))
+            return refill(piece, _bind(head, lambda h: F.concat(h, ((10 - luhn_sum(F.concat(h, F.lit("0"))) % 10) % 10).cast("string"))))
+
+        return _bind(digits_of(piece), of)
+
+    def of(groups: Column) -> Column:
+        runs = F.transform(_runs(groups, False), lambda r: F.struct(r.alias("r"), digits_of(r["text"]).alias("d")))
+        right = F.filter(F.filter(runs, lambda x: F.length(x["d"]).between(13, 19)), lambda x: luhn_sum(x["d"]) % 10 == 0)
+        ranked = F.transform(right, lambda x: F.struct(
+            F.when(x["d"].rlike(USUAL), 0).when(x["d"].rlike(RARE), 1).otherwise(2).alias("rank"), (-F.length(x["d"])).alias("size"), x["r"].alias("r")))
+        return _bind(F.array_min(ranked), lambda best: F.when(best.isNull(), m).otherwise(F.concat(
+            F.array_join(F.slice(groups, F.lit(1), best["r"]["i"] - 1), ""), moved(best["r"]["text"]),
+            F.array_join(F.slice(groups, best["r"]["j"] + 1, F.size(groups)), ""))))
 
-    return _bind(digits_of(m), of)
+    return _bind(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0)), of)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -168,15 +196,29 @@ def _mod97(x: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    """Country and layout stay, digits of the account are permuted, letters stay, check digits are computed anew."""
-    def of(plain: Column) -> Column:
-        account = F.substring(plain, F.lit(5), F.length(plain))
-        valid = _mod97(F.concat(account, F.substring(plain, 1, 4))) == 1
-        moved = refill(account, permute_digits(digits_of(account), "iban", key))
-        new = _bind(moved, lambda a: F.concat(F.lpad((98 - _mod97(F.concat(a, F.substring(plain, 1, 2), F.lit("00")))).cast("string"), 2, F.lit("0")), digits_of(a)))
-        return F.when(valid, refill(m, new)).otherwise(m)
-
-    return _bind(F.regexp_replace(m, " ", ""), of)
+    """Country and layout stay, digits of the account are permuted, letters stay, check digits are computed anew.
+
+    The number is the longest run of groups from the country on that is right modulo 97, one of the country's length before others; a
+    word behind it stays, a card behind it is moved."""
+    def moved(piece: Column) -> Column:
+        def of(plain: Column) -> Column:
+            account = F.substring(plain, F.lit(5), F.length(plain))
+            new = _bind(refill(account, permute_digits(digits_of(account), "iban", key)), lambda a: F.concat(F.lpad((98 - _mod97(F.concat(
+                a, F.substring(plain, 1, 2), F.lit("00")))).cast("string"), 2, F.lit("0")), digits_of(a)))
+            return refill(piece, new)
+
+        return _bind(F.regexp_replace(piece, " ", ""), of)
+
+    def of(groups: Column) -> Column:
+        runs = F.transform(_runs(groups, True), lambda r: F.struct(r.alias("r"), F.regexp_replace(r["text"], " ", "").alias("d")))
+        right = F.filter(F.filter(runs, lambda x: F.length(x["d"]) >= 12), lambda x: _mod97(F.concat(
+            F.substring(x["d"], F.lit(5), F.length(x["d"])), F.substring(x["d"], 1, 4))) == 1)
+        ranked = F.transform(right, lambda x: F.struct(F.when(x["d"].rlike(IBAN_KNOWN), 0).otherwise(1).alias("rank"), (-F.length(x["d"])).alias("size"), x["r"].alias("r")))
+        rest = lambda t: F.when(t.rlike(f"^(?:{CARD})$"), _card(t, key)).otherwise(t)
+        return _bind(F.array_min(ranked), lambda best: F.when(best.isNull(), m).otherwise(F.concat(
+            moved(best["r"]["text"]), _bind(F.array_join(F.slice(groups, best["r"]["j"] + 1, F.size(groups)), ""), rest))))
+
+    return _bind(F.regexp_extract_all(m, F.lit("[A-Z0-9]+ ?"), F.lit(0)), of)
 
 
 def _email(m: Column, key: str) -> Column:
