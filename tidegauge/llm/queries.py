@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import collision_ann, decontaminate, mixing, ngram_join, pseudonyms, quality, secret_scan, spans, tokens, warc
+from tidegauge.llm import alignment, collision_ann, decontaminate, mixing, ngram_join, pseudonyms, quality, secret_scan, spans, tokens, warc
 from tidegauge.llm.shared import file_store, given, materialise, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,3 +132,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, from the merged index of its archives."""
     index = warc.capture_index(given(spark, sf_dir, "pages"), file_store(spark, "warc"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op13_token_links")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups.cast("binary"), 256))
+    found = alignment.align(given(spark, sf_dir, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"), groups=digest)
+    return found.withColumnRenamed("groups", "groups_sha256")
