@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import alignment, collision_ann, decontaminate, mixing, ngram_join, pseudonyms, quality, secret_scan, spans, tokens, warc
+from tidegauge.llm import alignment, collision_ann, decontaminate, mixing, ngram_join, phrase_mining, pseudonyms, quality, secret_scan, spans, tokens, warc
 from tidegauge.llm.shared import file_store, given, materialise, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,3 +140,24 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups.cast("binary"), 256))
     found = alignment.align(given(spark, sf_dir, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"), groups=digest)
     return found.withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op12_collocations", r"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+    g AS (SELECT lang, unnest(flatten(list_transform(range(1, 5), lambda k: list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])))) AS ph FROM w WHERE len(ws) > 0),
+    f AS MATERIALIZED (SELECT lang, ph, count(*) AS n FROM g GROUP BY ALL),
+    c AS MATERIALIZED (SELECT lang, ph, n AS a FROM f WHERE n >= 30 AND len(ph) > 1),
+    i AS (SELECT lang, ph, max(a) AS m FROM (SELECT lang, a, unnest(flatten(list_transform(range(2, len(ph)), lambda k: list_transform(range(1, len(ph) - k + 2), lambda j: ph[j:j + k - 1])))) AS ph
+        FROM c WHERE len(ph) > 2) GROUP BY ALL),
+    q AS (SELECT lang, ph, a, unnest(range(1, len(ph))) AS k FROM c LEFT JOIN i USING (lang, ph) WHERE m IS NULL OR 100 * m < 80 * a),
+    s AS (SELECT q.lang, q.ph, q.a, k, l.n AS l, r.n AS r, CAST(2000000::HUGEINT * a // (l.n + r.n) AS BIGINT) AS score FROM q
+        JOIN f l ON l.lang = q.lang AND l.ph = q.ph[1:k] JOIN f r ON r.lang = q.lang AND r.ph = q.ph[k + 1:]),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+    t AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE len(ph) = 1 GROUP BY lang)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ph, ' ')) AS rank, array_to_string(ph, ' ') AS phrase, a, l, r, n, score
+    FROM b JOIN t USING (lang) QUALIFY rank <= 2000""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: the first 2000 phrases of every language."""
+    return phrase_mining.collocations(given(spark, sf_dir, "documents"))
