@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import alignment, collision_ann, decontaminate, mixing, ngram_join, phrase_mining, pseudonyms, quality, secret_scan, spans, tokens, warc
+from tidegauge.llm import alignment, collision_ann, decontaminate, mixing, ngram_join, phrase_mining, pseudonyms, quality, secret_scan, spans, substring_dedup, tokens, warc
 from tidegauge.llm.shared import file_store, given, materialise, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,3 +161,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first 2000 phrases of every language."""
     return phrase_mining.collocations(given(spark, sf_dir, "documents"))
+
+
+@query("op11_repeated_bytes")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    docs = given(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return substring_dedup.removed(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
