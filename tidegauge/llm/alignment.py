@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from tidegauge.llm.shared import bounded, materialise
 
 BATCH_BYTES = 4 << 20  # texts of a block (one longer text is a block of its own)
 LANE = 1024  # A tokens that one pointer pair walks
-CACHE = 400_000  # pieces that a worker keeps with their ids
+CACHE = 800_000  # pieces that a worker keeps with their ids
 PIECE = 64  # longer pieces are not kept
 
 
@@ -48,7 +49,7 @@ class Ids:
     def plus(self, lists: list) -> "Ids":
         out = Ids()
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        out.ids = np.concatenate([self.ids, *(np.asarray(x, np.int32) for x in lists)]) if lists else self.ids
+        out.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))])
         out.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
         return out
 
@@ -93,10 +94,10 @@ class PairEncoder:
         out: list = []
         for at in range(0, len(pieces), 4096):
             chunk = pieces[at:at + 4096]
-            lines = np.array(self.a.encode_batch_fast([" " + "\n ".join(chunk) + "\n"], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.flatnonzero(lines == self.line[0]) if len(self.line) == 1 else np.zeros(0, np.int64)
+            lines = self.a.encode_batch_fast([" " + "\n ".join(chunk) + "\n"], add_special_tokens=False)[0].ids
+            ends = np.flatnonzero(np.array(lines, np.int32) == self.line[0]).tolist() if len(self.line) == 1 else []
             if len(ends) == len(chunk) and not any("\n" in p for p in chunk):
-                out += np.split(lines, np.stack([ends, ends + 1], 1).ravel())[0:-1:2]
+                out += [lines[i:j] for i, j in zip([0, *(e + 1 for e in ends)], ends)]
             else:
                 out += [e.ids for e in self.a.encode_batch_fast([" " + p for p in chunk], add_special_tokens=False)]
         return out
