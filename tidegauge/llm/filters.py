@@ -13,7 +13,7 @@ PAGE = 32768  # bits of one page of Spark's bitmap functions
 
 
 class Filter:
-    """Two places for every hash, from its lower and its upper half."""
+    """Two places for every hash, from its lower and its upper half (not from the lowest four bits, where an owner may keep marks)."""
 
     def __init__(self, data: np.ndarray):
         self.data = data
@@ -25,7 +25,7 @@ class Filter:
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         h = hashes.view(np.uint64)
         found = np.ones(len(h), bool)
-        for place in (h & np.uint64(self.mask), (h >> np.uint64(32)) & np.uint64(self.mask)):
+        for place in (h >> np.uint64(4) & np.uint64(self.mask), h >> np.uint64(36) & np.uint64(self.mask)):
             place = place.astype(np.int64)
             found &= (self.data[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
         return found
@@ -37,7 +37,7 @@ def build(members: DataFrame, column: str, count: int) -> Filter:
     while bits < min(16 * count, MOST_BITS):
         bits *= 2
     h = F.col(column)
-    places = members.select(F.explode(F.array(h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1))).alias("p"))
+    places = members.select(F.explode(F.array(*(F.shiftrightunsigned(h, s).bitwiseAND(bits - 1) for s in (4, 36)))).alias("p"))
     # Spark numbers bits from 1
     pages = places.groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits"))
     data = np.zeros(bits // 8, np.uint8)

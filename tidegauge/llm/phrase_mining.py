@@ -2,12 +2,13 @@
 
 A sample of the documents proposes phrases: level by level it finds the phrases that are frequent there at a lowered threshold.  One pass over
 all documents then counts the proposals together with their negative border, that is every phrase that is not proposed although both
-its front and its rest are (all words are: they have no parts).  A border phrase that turns out frequent is a failure: its extensions may
-be frequent too, and were not counted.  Failures join the proposals and a further pass counts what they newly allow, until none is left.  A
-failure of two words can only bring failures of three, so that takes three passes at most; results do not depend on the sample.
+its front and its rest are (all words are: they have no parts).  This pass counts by a 64-bit code, which is never too low for any phrase; a further pass
+counts the phrases themselves that reach the threshold there.  A border phrase that turns out frequent is a failure: its extensions may
+be frequent too, and were not counted.  The further pass counts as well what the failures newly allow, and passes go on until there are no new
+failures.  A failure of two words can only bring failures of three, so that takes three passes at most; results do not depend on the sample.
 
-The proposals reach the tasks as a filter of bounded size (``filters``).  A wrong yes of the filter means one more phrase counted.  Counts are of the
-phrases themselves, never of hashes: words have dictionary codes inside a batch, and a batch's counts per phrase are what is shuffled.
+The proposals reach the tasks as a filter of bounded size (``filters``).  A wrong yes of the filter means one more phrase counted.  Words have
+dictionary codes inside a batch, and a batch's counts per phrase are what is shuffled.
 
 Texts: A-Z become lower case, pieces end at . , ; : ! ? and line ends, words at spaces and tabs.  Null and empty texts have no words,
 a language that is null is ``und`` (so are its rows that say ``und``).  Rows that repeat count every time.
@@ -45,6 +46,7 @@ CLASS = _classes()
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _STEP = np.uint64(0x9FB21C651E98DF25)
+MARKS = np.uint64(7)
 
 
 class Phrases:
@@ -70,14 +72,15 @@ class Phrases:
         piece = (np.cumsum(kind == 2) + np.cumsum(edge[:-1]))[start] if len(data) else start
         self.joined = np.zeros(len(start), bool)
         self.joined[:-1] = piece[1:] == piece[:-1]
+        # the lowest two bits of a phrase's hash are its words less one; a code has whether it is proposed in the third
         salt = np.array([xxhash.xxh3_64_intdigest(x) for x in self.langs], np.uint64)
         hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in coded.dictionary.to_pylist()], np.uint64)
         n = max(1, len(self.words))
-        unique, self.id = np.unique(lang * n + code, return_inverse=True)
+        unique, self.id = coded_keys(lang * n + code)
         # level 1: language, words and hash of every different phrase; ``at``: where phrases of the level stand, ``which``: the phrase there
         self.lang, self.parts = unique // n, [unique % n]
         with np.errstate(over="ignore"):
-            self.word_hash = mix(hashes[unique % n] + salt[unique // n] * _STEP) if len(unique) else np.zeros(0, np.uint64)
+            self.word_hash = mix(hashes[unique % n] + salt[unique // n] * _STEP) & ~MARKS if len(unique) else np.zeros(0, np.uint64)
         self.hash, self.counts = self.word_hash, np.bincount(self.id, minlength=len(unique))
         self.at, self.which = np.arange(len(start)), self.id
 
@@ -94,67 +97,124 @@ class Phrases:
         at, front, rest = at[here], which[here], which[here + 1]
         last = self.id[at + size]
         n = max(1, len(self.word_hash))
-        unique, first, place, counts = np.unique(front * n + last, return_index=True, return_inverse=True, return_counts=True)
-        new = np.ones(len(unique), bool) if wanted is None else wanted[front[first]] | wanted[rest[first]]
+        unique, place = coded_keys(front * n + last)
+        counts = np.bincount(place, minlength=len(unique))
         f, w = unique // n, unique % n
+        if wanted is None:
+            new = np.ones(len(unique), bool)
+        else:
+            r = np.zeros(len(unique), np.int64)
+            r[place] = rest
+            new = wanted[f] | wanted[r]
         word = self.first_words[w] if size > 1 else self.parts[0][w]
         if size == 1:
             self.first_words = self.parts[0]
         self.parts = [p[f] for p in self.parts] + [word]
         with np.errstate(over="ignore"):
-            self.hash = mix(self.hash[f] * _STEP + self.word_hash[w] + np.uint64(size)) if len(unique) else np.zeros(0, np.uint64)
+            self.hash = mix(self.hash[f] * _STEP + self.word_hash[w]) & ~MARKS | np.uint64(size) if len(unique) else np.zeros(0, np.uint64)
         self.lang, self.counts, self.at, self.which = self.lang[f], counts, at, place
         return new
 
-    def table(self, keep: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
-        """Rows (lang, phrase, words, hash, known, n) of the level's phrases."""
+    def texts(self, keep: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+        """Rows (lang, phrase, words, code, n) of the level's phrases."""
         i = np.flatnonzero(keep)
         columns = [pa.array(self.words[p[i]], pa.string()) for p in self.parts]
         phrase = pc.binary_join_element_wise(*columns, " ") if len(columns) > 1 else columns[0]
         return pa.record_batch([pa.array(self.langs[self.lang[i]], pa.string()), phrase, pa.array(np.full(len(i), len(self.parts), np.int32)),
-                                pa.array(self.hash[i].view(np.int64)), pa.array(known[i]), pa.array(self.counts[i].astype(np.int64))],
-                               ["lang", "phrase", "words", "hash", "known", "n"])
+                                pa.array(codes(self.hash[i], known[i])), pa.array(self.counts[i].astype(np.int64))], ["lang", "phrase", "words", "code", "n"])
 
+    def sizes(self) -> pa.RecordBatch:
+        """The number of words of each language, as the count of a phrase without words."""
+        n = np.bincount(self.lang, weights=self.counts, minlength=len(self.langs)).astype(np.int64)
+        return pa.record_batch([pa.array(self.langs, pa.string()), pa.array([""] * len(n)), pa.array(np.zeros(len(n), np.int32)), pa.array(np.zeros(len(n), np.int64)),
+                                pa.array(n)], ["lang", "phrase", "words", "code", "n"])
 
-COUNTED = "lang string, phrase string, words int, hash long, known boolean, n long"
 
+def coded_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, and the place of each key in them."""
+    found = pa.array(keys).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
-def count(docs: DataFrame, proposed: list[filters.Filter], levels: range, sparse: bool = False) -> DataFrame:
-    """Exact counts of the phrases of the given levels whose front and rest are both proposed (words have neither).
 
-    ``known`` says whether a phrase is proposed itself.  With ``sparse`` only phrases are counted whose front or rest is proposed by the last of
-    the filters and by none before it: all others have been counted."""
+def codes(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return (hashes | known.astype(np.uint64) << np.uint64(2)).view(np.int64)
+
+
+def _levels(docs: DataFrame, proposed: list[filters.Filter], levels: range, schema: str, emit) -> DataFrame:
+    """Rows that ``emit`` makes of a level, which phrases of it are newly allowed, and which are proposed.
+
+    Newly allowed: front or rest is proposed by none of the filters but the last, or is itself newly allowed (with one filter: any allowed phrase)."""
     shared = docs.sparkSession.sparkContext.broadcast([f.data for f in proposed])
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = [filters.Filter(data) for data in shared.value]
 
-        def proposals(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            earlier = np.zeros(len(hashes), bool)
-            for test in tests[:-1]:
-                earlier |= test.holds(hashes)
-            new = tests[-1].holds(hashes) & ~earlier if tests else np.zeros(len(hashes), bool)
-            return earlier | new, new
+        def held(hashes: np.ndarray, some: list[filters.Filter]) -> np.ndarray:
+            out = np.zeros(len(hashes), bool)
+            for test in some:
+                out |= test.holds(hashes)
+            return out
 
         for batch in stream:
             for first, end, data, offsets in parts(batch.column("text"), BATCH_BYTES):
                 if not len(data):
                     continue
                 level = Phrases(data, offsets, batch.column("lang").slice(first, end - first))
-                new = np.ones(len(level.hash), bool)
+                new = np.full(len(level.hash), len(tests) < 2)
                 for size in range(1, levels.stop):
-                    known, newly = proposals(level.hash)
-                    if size in levels and new.any():
-                        yield level.table(new, known)
+                    earlier = held(level.hash, tests[:-1])
+                    known = earlier | held(level.hash, tests[-1:])
+                    if size in levels:
+                        yield from emit(level, size, new, known)
                     if size + 1 < levels.stop:
-                        new = level.longer(known, newly if sparse else None)
+                        new = level.longer(known, None if len(tests) < 2 else new | ~earlier)
+
+    return bounded(docs, BATCH_BYTES).mapInArrow(work, schema)
+
+
+def count_codes(docs: DataFrame, proposed: list[filters.Filter], levels: range) -> DataFrame:
+    """(code, n): counts of the phrases of the given levels whose front and rest are both proposed (words have neither), by their codes."""
+
+    def emit(level: Phrases, size: int, new: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch([pa.array(codes(level.hash, known)), pa.array(level.counts.astype(np.int64))], ["code", "n"])
+
+    return _levels(docs, proposed, levels, "code long, n long", emit).groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def count_texts(docs: DataFrame, proposed: list[filters.Filter], also: filters.Filter | None, longest: int) -> DataFrame:
+    """(lang, phrase, words, code, n): exact counts of the newly allowed phrases (of none, with one filter), and of those in ``also``.
+
+    With ``also``, a phrase without words holds the words of its language."""
+    shared = docs.sparkSession.sparkContext.broadcast(also.data if also else None)
+    further = len(proposed) > 1
+
+    def emit(level: Phrases, size: int, new: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keep = new if further else np.zeros(len(new), bool)
+        if shared.value is not None:
+            keep = keep | filters.Filter(shared.value).holds(level.hash)
+            if size == 1:
+                yield level.sizes()
+        if keep.any():
+            yield level.texts(keep, known)
+
+    rows = _levels(docs, proposed, range(1, longest + 1), "lang string, phrase string, words int, code long, n long", emit)
+    return rows.groupBy("lang", "phrase", "words", "code").agg(F.sum("n").alias("n"))
 
-    rows = bounded(docs, BATCH_BYTES).mapInArrow(work, COUNTED)
-    return rows.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.first("hash").alias("hash"), F.first("known").alias("known"), F.sum("n").alias("n"))
+
+def _failed(table: DataFrame, longest: int) -> DataFrame:
+    """Codes of phrases that are not proposed and can be extended."""
+    return table.where((F.col("code").bitwiseAND(4) == 0) & (F.col("code").bitwiseAND(3) < longest - 1))
 
 
 def _filter(table: DataFrame) -> filters.Filter:
-    return filters.build(table, "hash", table.count())
+    return filters.build(table, "code", table.count())
+
+
+def _together(tables: list[DataFrame]) -> DataFrame:
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    return every
 
 
 def propose(docs: DataFrame, least: int, share: float, longest: int) -> filters.Filter:
@@ -164,33 +224,29 @@ def propose(docs: DataFrame, least: int, share: float, longest: int) -> filters.
     found: list[filters.Filter] = []
     tables = []
     for size in range(1, longest):
-        tables.append(materialise(count(sample, found, range(size, size + 1)).where(F.col("n") >= low), f"proposed-{size}"))
-        found.append(_filter(tables[-1]))
-    every = tables[0]
-    for t in tables[1:]:
-        every = every.unionByName(t)
-    return _filter(every)
+        every = [_filter(_together(tables))] if tables else []
+        tables.append(materialise(count_codes(sample, every, range(size, size + 1)).where(F.col("n") >= low), f"proposed-{size}"))
+    return _filter(_together(tables))
 
 
 def frequent(docs: DataFrame, least: int, longest: int = LONGEST, share: float = SAMPLE, lang: str = "lang", text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, n) of every phrase of at most ``longest`` words with n >= least, and (lang, n) words of each language."""
     docs = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.col(key).cast("string").alias("__place"))
-    filters_ = [propose(docs, least, share, longest)]
+    proposed = [propose(docs, least, share, longest)]
     texts = docs.select("lang", "text")
-    counted = materialise(count(texts, filters_, range(1, longest + 1)), "phrases")
-    sizes = counted.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    tables = [counted.where(F.col("n") >= least)]
+    full = materialise(count_codes(texts, proposed, range(1, longest + 1)).where(F.col("n") >= least), "phrase-codes")
+    also, failed, tables = _filter(full), _failed(full, longest), []
     while True:
-        failed = tables[-1].where(~F.col("known") & (F.col("words") < longest))
         n = failed.count()
-        if not n:
+        if not n and tables:
             break
-        filters_.append(filters.build(failed, "hash", n))
-        tables.append(materialise(count(texts, filters_, range(2, longest + 1), sparse=True).where(F.col("n") >= least), "phrases-further"))
-    every = tables[0]
-    for t in tables[1:]:
-        every = every.unionByName(t)
-    return every.select("lang", "phrase", "words", "n"), sizes
+        if n:
+            proposed.append(filters.build(failed, "code", n))
+        tables.append(materialise(count_texts(texts, proposed, None if tables else also, longest).where((F.col("n") >= least) | (F.col("words") == 0)), "phrases"))
+        # what was newly allowed, frequent and not proposed; phrases of the full pass have been dealt with
+        failed = _failed(tables[-1].where("words > 1"), longest).join(_together([full, *[t.select("code", "n") for t in tables[:-1]]]).select("code"), "code", "left_anti")
+    every = _together(tables).where(F.col("n") >= least)
+    return every.where("words > 0").select("lang", "phrase", "words", "n"), tables[0].where("words = 0").select("lang", "n")
 
 
 def collocations(docs: DataFrame, least: int = 30, covered: int = 80, first: int = 2000, longest: int = LONGEST, share: float = SAMPLE,
@@ -225,4 +281,4 @@ def ranked(phrases: DataFrame, sizes: DataFrame, covered: int = 80, first: int =
     return best.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-__all__ = ["collocations", "count", "frequent", "propose", "ranked"]
+__all__ = ["collocations", "count_codes", "count_texts", "frequent", "propose", "ranked"]
