@@ -53,10 +53,11 @@ def corpus(seed):
     return texts + texts[20:30]
 
 
-@pytest.mark.parametrize("shard, windows", [(1 << 16, 1 << 20), (200, 97), (1, 1 << 20)])
-def test_shards_large_groups_and_slices(make, monkeypatch, shard, windows):
-    """The same rows whether groups are sorted in shards or taken apart, and however long texts are sliced."""
+@pytest.mark.parametrize("shard, dealt, windows", [(1 << 16, 1 << 13, 1 << 20), (200, 100, 97), (1, 1, 1 << 20), (1, 400, 1 << 20)])
+def test_shards_large_groups_and_slices(make, monkeypatch, shard, dealt, windows):
+    """The same rows whether groups are one shard or dealt to several, and however long texts are sliced."""
     monkeypatch.setattr(substring_dedup, "SHARD", shard)
+    monkeypatch.setattr(substring_dedup, "DEALT", dealt)
     monkeypatch.setattr(substring_dedup, "WINDOWS", windows)
     texts = corpus(5)
     docs = make([(None if i % 5 == 0 else i % 9, t, "c", i) for i, t in enumerate(texts)], "doc_id long, text string, low string, sid long").repartition(6)

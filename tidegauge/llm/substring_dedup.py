@@ -5,8 +5,9 @@
   places of every least string; keys with a single place cannot repeat and are left out of the second pass by a filter of bounded size.
 * Segments of equal bytes collapse to one with a count.  All segments of a key meet in a shard (a lane of ``suffix_arrays``), whose suffix
   array is made by induced sorting; suffixes that share ``length`` bytes with a neighbour in order, by the permuted common prefixes, are repeated windows.
-* Keys with more than ``SHARD`` bytes of different segments (a passage in very many surroundings) are taken apart: their windows meet by a
-  128-bit hash of their own instead, counted before they are shuffled.
+* Keys with more than ``SHARD`` bytes of different segments (a passage in very many surroundings) are dealt to several shards.  A window that repeats
+  inside its shard is settled there; every shard then sends each of its different windows once, by a 128-bit hash, so those that stand alone find their
+  equals in other shards.
 * The repeated ranges return to the texts.  Everything is judged on the input.
 
 Matches never cross documents.  Null texts are empty.  Rows that repeat are documents of their own, whose texts repeat each other; ids
@@ -28,7 +29,8 @@ from tidegauge.llm.suffix_arrays import common_prefixes, suffix_arrays
 
 LENGTH = 200
 GRAM = 48
-SHARD = 1 << 16  # bytes of the largest shard
+SHARD = 1 << 15  # bytes of the largest group that is a shard of its own
+DEALT = 1 << 13  # bytes of a shard of a larger group, on average
 LANE = 1 << 12  # small groups share a lane of about so many bytes
 CELLS = 1 << 21  # lanes x longest lane that are sorted at once
 WINDOWS = 1 << 20  # windows looked at together, also of one long text
@@ -138,8 +140,8 @@ def segments(texts: DataFrame, wanted: filters.Filter, length: int, gram: int) -
 class Shards:
     """Groups of segments packed into lanes; ``flush`` sorts them and gives the repeated ranges of every segment."""
 
-    def __init__(self, length: int):
-        self.length = length
+    def __init__(self, length: int, windows: bool = False):
+        self.length, self.windows = length, windows
         self.lanes: list[list[tuple[bytes, bytes, bool]]] = []
         self.sizes: list[int] = []
         self.open = False
@@ -157,16 +159,16 @@ class Shards:
     def full(self) -> bool:
         return len(self.sizes) * LANE > 2 * CELLS or sum(self.sizes) > 2 * CELLS
 
-    def flush(self) -> Iterator[tuple[list[bytes], list[list[int]], list[list[int]]]]:
+    def flush(self) -> Iterator[pa.RecordBatch]:
         order = np.argsort(self.sizes, kind="stable")[::-1].tolist()
         at = 0
         while at < len(order):
             many = max(1, CELLS // (self.sizes[order[at]] + 1))
-            yield self._sort([self.lanes[i] for i in order[at:at + many]])
+            yield from self._sort([self.lanes[i] for i in order[at:at + many]])
             at += many
         self.lanes, self.sizes, self.open = [], [], False
 
-    def _sort(self, lanes: list[list[tuple[bytes, bytes, bool]]]) -> tuple[list[bytes], list[list[int]], list[list[int]]]:
+    def _sort(self, lanes: list[list[tuple[bytes, bytes, bool]]]) -> Iterator[pa.RecordBatch]:
         """Symbols are bytes plus 2, 1 behind each segment, 0 at the lane's end."""
         pieces = [x for lane in lanes for x in lane]
         lengths = np.array([len(x[1]) for x in pieces])
@@ -198,6 +200,16 @@ class Shards:
         whole = np.array([x[2] for x in pieces])
         for i in np.flatnonzero(whole).tolist():
             window[begin[i]:ends[i] - self.length] = True
+        if self.windows:  # one of each different window; it needs no answer if it repeats here
+            one = (left >= self.length)
+            one[hit] = False
+            one = np.flatnonzero(one)
+            of = np.searchsorted(begin, one, "right") - 1
+            place, settled = one - begin[of], window[one]
+            hashes = [xxhash.xxh3_128_digest(pieces[i][1][j:j + self.length]) for i, j in zip(of.tolist(), place.tolist())]
+            sids = pa.array([x[0] for x in pieces], pa.binary()).take(pa.array(of, mask=settled))
+            yield pa.record_batch([sids, pa.nulls(len(one), pa.list_(pa.int32())), pa.nulls(len(one), pa.list_(pa.int32())), pa.array(hashes, pa.binary()),
+                                   pa.array(place.astype(np.int32)), pa.array(np.where(settled, 2, 1))], FOUND_NAMES)
         window = np.flatnonzero(window)
         np.add.at(step, window, 1)
         np.add.at(step, window + self.length, -1)
@@ -209,64 +221,65 @@ class Shards:
         some = np.flatnonzero(np.diff(split))
         a, b = (low - begin[of]).tolist(), (high - begin[of]).tolist()
         cut = [(int(split[i]), int(split[i + 1])) for i in some]
-        return [pieces[i][0] for i in some], [a[i:j] for i, j in cut], [b[i:j] for i, j in cut]
+        yield _ranges([pieces[i][0] for i in some], [a[i:j] for i, j in cut], [b[i:j] for i, j in cut])
 
 
-RANGES = "sid binary, low array<int>, high array<int>"
+FOUND = "sid binary, low array<int>, high array<int>, window binary, at int, n long"
+FOUND_NAMES = ["sid", "low", "high", "window", "at", "n"]
 
 
 def _ranges(sids: list[bytes], low: list[list[int]], high: list[list[int]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(sids, pa.binary()), pa.array(low, pa.list_(pa.int32())), pa.array(high, pa.list_(pa.int32()))], ["sid", "low", "high"])
+    none = [pa.nulls(len(sids), kind) for kind in (pa.binary(), pa.int32(), pa.int64())]
+    return pa.record_batch([pa.array(sids, pa.binary()), pa.array(low, pa.list_(pa.int32())), pa.array(high, pa.list_(pa.int32())), *none], FOUND_NAMES)
 
 
-def repeated_in_shards(different: DataFrame, length: int) -> DataFrame:
-    """Repeated ranges (sid, low, high) of segments (key, sid, bytes, copies) whose groups fit into shards."""
+def sorted_shards(different: DataFrame, length: int, windows: bool) -> DataFrame:
+    """Repeated ranges (sid, low, high) of segments (key, part, sid, bytes, copies), a shard for each key and part.
+
+    With ``windows`` also a row (window, at, n) of every different window of a shard, with its sid where it stands alone."""
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, group, of = Shards(length), [], None
+        shards, group, of = Shards(length, windows), [], None
         alone = ([], [], [])
 
         def close():
-            if len(group) == 1 and group[0][2]:  # its copies are all there is
+            if len(group) == 1 and group[0][2] and not windows:  # its copies are all there is
                 for out, x in zip(alone, (group[0][0], [0], [len(group[0][1])])):
                     out.append(x)
             elif group:
                 shards.add(group)
 
         for batch in stream:
-            for key, sid, data, copies in zip(*(batch.column(c).to_pylist() for c in ("key", "sid", "bytes", "copies"))):
-                if key != of:
+            for key, part, sid, data, copies in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "sid", "bytes", "copies"))):
+                if (key, part) != of:
                     close()
-                    group, of = [], key
+                    group, of = [], (key, part)
                 group.append((sid, data, copies > 1))
             if shards.full():
-                for found in shards.flush():
-                    yield _ranges(*found)
+                yield from shards.flush()
             if len(alone[0]) > 10_000:
                 yield _ranges(*alone)
                 alone = ([], [], [])
         close()
-        for found in shards.flush():
-            yield _ranges(*found)
+        yield from shards.flush()
         yield _ranges(*alone)
 
-    return bounded(different.repartition("key").sortWithinPartitions("key"), 1 << 20).mapInArrow(work, RANGES)
-
+    return bounded(different.repartition("key", "part").sortWithinPartitions("key", "part"), 1 << 20).mapInArrow(work, FOUND)
 
-def repeated_windows(different: DataFrame, length: int) -> DataFrame:
-    """The same for segments of any groups, window by window."""
-
-    def windows(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            for sid, data, copies in zip(*(batch.column(c).to_pylist() for c in ("sid", "bytes", "copies"))):
-                n = len(data) - length + 1
-                yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(data[i:i + length]) for i in range(n)], pa.binary()), pa.array([sid] * n, pa.binary()),
-                                       pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, copies, np.int64))], ["window", "sid", "at", "copies"])
 
-    table = materialise(bounded(different, 1 << 20).mapInArrow(windows, "window binary, sid binary, at int, copies long"), "windows")
-    often = table.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
-    at = table.join(often, "window").groupBy("sid").agg(F.array_sort(F.collect_set("at")).alias("low"))  # at most a segment's windows
-    return at.select("sid", "low", F.transform("low", lambda x: x + length).alias("high"))
+def repeated_in_groups(different: DataFrame, length: int) -> DataFrame:
+    """Repeated ranges (sid, low, high) of segments (key, sid, bytes, copies): groups as shards, larger ones dealt by a hash."""
+    sizes = different.groupBy("key").agg(F.sum(F.length("bytes") + 1).alias("size"))
+    large = materialise(sizes.where(F.col("size") > SHARD), "large-groups")
+    small = sorted_shards(different.join(large, "key", "left_anti").withColumn("part", F.lit(0).cast("long")), length, False)
+    part = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / DEALT))
+    dealt = materialise(sorted_shards(different.join(large, "key").withColumn("part", part).drop("size"), length, True), "dealt-groups")
+    often = dealt.where("window IS NOT NULL").groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
+    alone = dealt.where("window IS NOT NULL AND sid IS NOT NULL").select("window", "sid", "at").join(often, "window")
+    met = alone.groupBy("sid").agg(F.array_sort(F.collect_set("at")).alias("low"))  # at most a segment's windows
+    columns = ["sid", "low", "high"]
+    return small.select(columns).unionByName(dealt.where("window IS NULL").select(columns)).unionByName(
+        met.select("sid", "low", F.transform("low", lambda x: x + length).alias("high")))
 
 
 def covered(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -274,9 +287,7 @@ def covered(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     keys = materialise(repeated_keys(texts, length, gram), "repeated-keys")
     found = materialise(segments(texts, filters.build(keys, "key", keys.count()), length, gram), "segments")
     different = materialise(found.groupBy("key", "sid", "bytes").agg(F.count("*").alias("copies")), "different-segments")
-    large = different.groupBy("key").agg(F.sum(F.length("bytes") + 1).alias("n")).where(F.col("n") > SHARD).select("key")
-    large = materialise(large, "large-groups")
-    ranges = repeated_in_shards(different.join(large, "key", "left_anti"), length).unionByName(repeated_windows(different.join(large, "key", "left_semi"), length))
+    ranges = repeated_in_groups(different, length)
     places = found.select("text_id", "start", "sid").distinct()
     back = places.join(materialise(ranges, "ranges"), "sid").select("text_id", F.explode(F.arrays_zip("low", "high")).alias("x"), "start").select(
         "text_id", (F.col("x.low") + F.col("start")).alias("low"), (F.col("x.high") + F.col("start")).alias("high"))
@@ -324,4 +335,4 @@ def removed(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     return out.select(*([F.col(f"row.`{c}`").alias(c) for c in others]), "kept", "n_bytes", "n_removed", "n_spans")
 
 
-__all__ = ["Keys", "Shards", "covered", "removed", "repeated_in_shards", "repeated_keys", "repeated_windows", "runs", "segments"]
+__all__ = ["Keys", "Shards", "covered", "removed", "repeated_in_groups", "repeated_keys", "runs", "segments", "sorted_shards"]
