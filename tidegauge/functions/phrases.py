@@ -13,18 +13,19 @@ from tidegauge.functions.text import collapse_ws
 
 
 class PhraseDictionary:
-    """Groups of phrases.  A phrase that is one word (``pattern``) counts where it is a word of the text; any other wherever its characters stand.
+    """Groups of phrases.  A phrase that is one word (``pattern``) counts where it is a word of the text; any other, and those named ``anywhere``, wherever
+    its characters stand.
 
     Words are looked up in one hash set.  Phrases with a space are found by the characters around their first space: every pair of
     neighbouring words of the text gives one key, and only phrases whose key occurs are searched in the text.  So the cost per text grows with its words,
     not with the number of phrases."""
 
-    def __init__(self, groups: dict[str, Iterable[str]], pattern: str = fixed.PROFILE_WORD_PATTERN):
+    def __init__(self, groups: dict[str, Iterable[str]], pattern: str = fixed.PROFILE_WORD_PATTERN, anywhere: Iterable[str] = ()):
         self.groups = {g: sorted({" ".join(p.lower().split()) for p in phrases} - {""}) for g, phrases in groups.items()}
         self.pattern = pattern
         every = sorted({p for phrases in self.groups.values() for p in phrases})
-        self.words = [p for p in every if re.fullmatch(pattern, p)]
-        longer = [p for p in every if not re.fullmatch(pattern, p)]
+        self.words = [p for p in every if re.fullmatch(pattern, p) and p not in set(anywhere)]
+        longer = [p for p in every if p not in set(self.words)]
         self.spaced, self.solid = [p for p in longer if " " in p], [p for p in longer if " " not in p]
         # characters of a key on either side of the space: as many as every phrase has
         self.left = min([2, *(len(p.split(" ")[0]) for p in self.spaced)])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidegauge.functions import text as tx
 from tidegauge.functions.basic import Col, c, clamp
+from tidegauge.operators.links import top_overlaps
 from tidegauge.operators.windows import best, top_n
 
 PAIR = T.StructType([
@@ -236,19 +237,8 @@ def fallback_match(links: DataFrame, assets: DataFrame, rungs: list[str], link_k
 
 def topic_asset_links(topics: DataFrame, assets: DataFrame, topic: str, topic_text: str, asset: str, asset_text: str, per_topic: int = 5,
                       floor: float = 0.25) -> DataFrame:
-    """Best assets per topic by shared words, weighted by how rare a word is among assets.
-
-    Words are the join key (no pair loop).  A pair's overlap is a count over shared words; a word in n topics and m assets makes n x m rows
-    inside the join, which the partial count folds before the shuffle, so topics should be a board, not every topic there is."""
-    words = lambda df, key, text: df.select(F.col(key), F.explode(tx.tokens(text)).alias("w"))
-    a, b = words(topics, topic, topic_text), words(assets, asset, asset_text)
-    size_a = a.groupBy(topic).agg(F.count(F.lit(1)).alias("na"))
-    size_b = b.groupBy(asset).agg(F.count(F.lit(1)).alias("nb"))
-    shared = a.join(b, "w").groupBy(topic, asset).agg(F.count(F.lit(1)).alias("shared"))
-    scored = shared.join(size_a, topic).join(size_b, asset).withColumn("overlap", F.col("shared") / F.least("na", "nb")).withColumn(
-        "jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
-    scored = scored.withColumn("lexical", F.round(F.col("overlap") * 0.6 + F.col("jaccard") * 0.4, 6)).where(F.col("lexical") >= floor)
-    return top_n(scored, [topic], [F.col("lexical").desc(), F.col("shared").desc(), F.col(asset).asc()], per_topic, "place")
+    """Best assets per topic by shared words (``links.top_overlaps``: exact, and no pairs are formed on frequent words that cannot matter)."""
+    return top_overlaps(topics, assets, topic, tx.tokens(topic_text), asset, tx.tokens(asset_text), per_topic, floor)
 
 
 def link_plausible(match_type: Col, overlaps: Column, name_similarity: Col, support: Col, score: Col) -> Column:
