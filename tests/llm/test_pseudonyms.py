@@ -81,3 +81,25 @@ def test_query_changes_only_values(spark, sf_dir, documents):
         assert all("@" in old for _ in kept)
         for m in value.findall(old):
             assert (m in r.text) != luhn(m)
+
+
+def test_hosts_of_many_labels_do_not_end_the_session(make):
+    long = "jane@" + "a." * 100_000 + "com"
+    got = moved(make, [long, "jane@x.de", "jane@x.de..", "jane@x..de", "jane@x.de...com", "jane@a"])
+    assert got[0].endswith("@" + "a." * 100_000 + "com") and got[0] != long
+    assert got[1] != "jane@x.de" and got[2] == got[1] + ".." and got[3] == "jane@x..de" and got[4] == got[1] + "...com" and got[5] == "jane@a"
+
+
+def test_telephone_numbers_link_however_they_are_written(make):
+    for spellings in (["+1 555 123 4567", "+15551234567", "+1.555.123.4567", "+1-555-123-4567", "+1 (555) 123-4567"], ["+44 20 7946 0958", "+442079460958"], ["+353 1 234 5678", "+35312345678"]):
+        got = moved(make, spellings)
+        assert len({re.sub(r"[^+0-9]", "", x) for x in got}) == 1 and got[0] != spellings[0]
+        code = spellings[0].split(" ")[0]
+        assert all(x.startswith(code) and re.sub(r"[0-9]", "0", x) == re.sub(r"[0-9]", "0", y) for x, y in zip(got, spellings))
+
+
+def test_one_letter_names_are_permuted(make):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    got = [x[0] for x in moved(make, [f"{c}@x.com" for c in letters])]
+    assert sorted(got) == list(letters) and len({(ord(a) - ord(b)) % 26 for a, b in zip(got, letters)}) > 2
+    assert sorted(x[0] for x in moved(make, [f"{d}@x.com" for d in range(10)])) == list("0123456789")

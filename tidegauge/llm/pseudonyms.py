@@ -20,7 +20,7 @@ KEY = "rotate me"
 ROUNDS = 10
 
 # How the kinds look.  A value never starts or ends inside a longer run of letters or digits.
-EMAIL = r"(?<![A-Za-z0-9._%+\-À-ɏ])[A-Za-z0-9._%+\-À-ɏ]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+\-À-ɏ])[A-Za-z0-9._%+\-À-ɏ]++@[A-Za-z0-9\-][A-Za-z0-9.\-]*\.[A-Za-z]{2,}"  # flat: a group repeated for every label would recurse; empty labels are cut off in _email
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 DATE = r"(?:(?<![\w./-])|(?<=[0-9]-[0-9]{2}/))(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./](?:19|20)[0-9]{2})(?!(?!T[0-9])\w|-|\.[0-9])"
 IPV4 = r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"
@@ -29,6 +29,9 @@ CARD = r"(?<![\w])[0-9](?:[ -]?[0-9]){12,18}(?![\w])"
 PHONE = r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w])|(?<![\w+])\+[0-9](?:[ .-]?[0-9]){7,13}(?![\w])"
 VALUE = "|".join((EMAIL, IBAN, DATE, IPV4, SSN, CARD, PHONE))
 
+# Country codes of the international numbering plan: the world's and Russia's one digit, those of two digits, all others of three.
+DIAL = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
 # Lengths by the first digits: what cards have most often, and what they have at times.
 USUAL = r"^(?:4[0-9]{15}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})$"
 RARE = r"^(?:4(?:[0-9]{12}|[0-9]{18})|3[0689][0-9]{12}|6[0-9]{15,18})$"
@@ -138,12 +141,12 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """A leading country code stays."""
-    def of(code: Column) -> Column:
-        rest = F.substring(m, F.length(code) + 1, F.length(m))
-        return F.concat(code, refill(rest, permute_digits(digits_of(rest), "phone", key)))
+    """The country code of a number with a plus stays, by the numbering plan, so a number moves alike however it is written."""
+    def of(digits: Column) -> Column:
+        code = F.when(F.startswith(m, F.lit("+")), F.regexp_extract(digits, DIAL, 0)).otherwise(F.lit(""))
+        return _bind(code, lambda known: refill(m, F.concat(known, permute_digits(F.substring(digits, F.length(known) + 1, F.length(digits)), "phone", key))))
 
-    return _bind(F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0), of)
+    return _bind(digits_of(m), of)
 
 
 def _date(m: Column, key: str) -> Column:
@@ -244,10 +247,24 @@ def _email(m: Column, key: str) -> Column:
             return F.get(F.transform(F.array(stream(seed("a", acc["b"]), acc["a"])), lambda a: F.struct(
                 a.alias("a"), stream(seed("b", a), acc["b"]).alias("b"))), F.lit(0))
 
+        # a single letter or digit has no halves: it is permuted as a number
+        code, base = F.ascii(F.lower(local)), F.when(local.rlike("[0-9]"), 48).otherwise(97)
+        rows = F.when(local.rlike("[0-9]"), 5).otherwise(13)
+        number = code - base
+        one = _bind(feistel(F.floor(number / rows), number % rows, F.lit(2), rows, F.concat_ws("|", F.lit("email-one"), F.lower(host)), key), lambda s: F.char(s["x"] * rows + s["y"] + base))
+        single = F.when(local.rlike("[A-Z]"), F.upper(one)).otherwise(one)
         moved = F.aggregate(F.sequence(F.lit(0), F.lit(3)), start, pair)
-        return _bind(moved, lambda s: F.concat(s["a"], s["b"], F.lit("@"), host))
+        return F.when(local.rlike("^[A-Za-z0-9]$"), F.concat(single, F.lit("@"), host)).otherwise(_bind(moved, lambda s: F.concat(s["a"], s["b"], F.lit("@"), host)))
+
+    def valid(at: Column) -> Column:
+        """What stands before the first empty label, if that is an address, moves."""
+        head = F.when(at > 0, F.substring(m, F.lit(1), at - 1)).otherwise(m)
+        tail = F.when(at > 0, F.substring(m, at, F.length(m))).otherwise(F.lit(""))
+        return F.when(head.rlike(r"@.*\.[A-Za-z]{2,}$"), F.concat(_bind(F.split(head, "@"), of), tail)).otherwise(m)
 
-    return _bind(F.split(m, "@"), of)
+    start_of_host = F.locate("@", m)
+    empty = F.locate("..", F.substring(m, start_of_host, F.length(m)))
+    return _bind(F.when(empty > 0, empty + start_of_host - 1).otherwise(F.lit(0)), valid)
 
 
 KINDS = (("email", EMAIL, _email), ("iban", IBAN, _iban), ("date", DATE, _date), ("ipv4", IPV4, _ipv4), ("ssn", SSN, _ssn),
