@@ -52,3 +52,17 @@ def test_edges(make):
     assert out[100] == [(8, 1.0), (0, 2.0), (1, 2.0), (2, 2.0), (0, 6.0)]
     none = vectors.limit(0)
     assert ann.search(none, none).count() == 0 and ann.search(vectors, none).count() == 0
+
+
+def test_repeated_rows_and_queries(make):
+    """Copies of query and candidate rows change nothing; an id with two vectors asks with the smaller."""
+    r = np.random.default_rng(5)
+    vectors = r.normal(0, 1, (300, 8)).astype(np.float32).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    copies = rows + [rows[100], rows[100], rows[7]] + [(200, [99.0] * 8)]
+    frame = ann.usable(make(copies, "vec_id long, embedding array<float>").repartition(3))
+    got = defaultdict(list)
+    for x in sorted(ann.search(frame, frame.where("vec_id % 100 = 0")).collect(), key=lambda x: x["rank"]):
+        got[x.query_id].append((x["rank"], x.vec_id, x.score))
+    for q in (0, 100, 200):
+        assert got[q] == [(n + 1, i, d) for n, (i, d) in enumerate(exact(np.arange(300), vectors, q))]

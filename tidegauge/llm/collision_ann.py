@@ -9,7 +9,8 @@ with probability below 0.001.  There is no cap on
 candidates; where windows cover a whole block, the search is exact.  The k best of all blocks are merged.
 
 Takes no part: rows without an id, null vectors, null or non-finite components, zero vectors.  Queries are compared with vectors of their
-own dimension.  A query never meets rows with its own id; repeated rows of other ids are candidates each.
+own dimension.  A query never meets rows with its own id.  Rows that repeat an id and a vector are one row; an id with different vectors has a candidate for
+each, and as a query asks with the smallest of them (component by component, those of fewer first).
 """
 
 from __future__ import annotations
@@ -93,6 +94,9 @@ class Block:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries`` among ``vectors`` (both as ``usable`` gives them)."""
+    vectors = vectors.groupBy("vec_id", "d", "v").agg(F.lit(1).alias("one")).drop("one")
+    first = queries.groupBy("vec_id").agg(F.min(F.struct("d", "v")).alias("q"))
+    queries = first.select("vec_id", "q.v", "q.d")
     size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).first()
     block = max(1, min(block, BLOCK_VALUES // (size["d"] or 1)))
     blocks, query_blocks = max(1, -(-size["n"] // block)), max(1, -(-queries.count() // query_block))
