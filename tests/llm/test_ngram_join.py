@@ -90,3 +90,11 @@ def test_posterior_tolerance():
     least = nj.posterior_minimum()
     assert len(least) == nj.HASHES // nj.STEP and all(a <= b for a, b in zip(least, least[1:]))
     assert least[-1] / nj.HASHES > 0.5  # clearly dissimilar pairs are dropped
+
+
+def test_wordless_copies_leave_one(make):
+    rows = [(i, "---") for i in range(50)] + [(60, None), (61, ""), (62, "..."), (63, "a b c d e f"), (64, "..."), (None, "---"), (65, ""), (66, None)]
+    kept = [(r.doc_id, r.text) for r in nj.one_of_each(make(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert [t for _, t in kept].count("---") == 1
+    assert sorted((i, t) for i, t in kept if t != "---" and t is not None) == [(61, ""), (62, "..."), (63, "a b c d e f")]
+    assert sorted(i for i, t in kept if t is None) == [60, 66]

@@ -247,9 +247,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one row of each class: the one with the smallest id."""
+    """docs with one row of each class: the one with the smallest id.  Texts without a word, which have no shingles, are of one class if they are equal;
+    rows without a text (null) each stay."""
     keyed = docs.withColumn("__rid", row_key(key, text))
-    decided = classes(docs, key, text, k, threshold).groupBy("rid").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("__rows"))
+    found = classes(docs, key, text, k, threshold)
+    bare = ~F.col(text).rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")
+    plain = docs.where(bare).select(row_key(key, text).alias("rid"), F.sha2(F.col(text).cast("binary"), 256).alias("same"))
+    first = plain.groupBy("same").agg(F.min("rid").alias("first"))
+    wordless = materialise(plain.join(first, "same").groupBy("rid").agg(F.min("first").alias("first")), "wordless")
+    found = found.join(wordless, "rid", "left").withColumn("class_id", F.least("class_id", F.coalesce("first", "class_id")))
+    decided = found.groupBy("rid").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("__rows"))
     kept = materialise(decided.where("class_id = rid").select(F.col("rid").alias("__rid"), "__rows"), "kept")
     out = keyed.join(kept.hint("merge"), "__rid")  # both sides grow with the documents
     once, again = out.where(F.col("__rows") == 1), out.where(F.col("__rows") > 1).dropDuplicates(["__rid"])
