@@ -4,8 +4,8 @@ A sample of the documents proposes phrases: level by level it finds the phrases
 all documents then counts the proposals together with their negative border, that is every phrase that is not proposed although both
 its front and its rest are (all words are: they have no parts).  This pass counts by a 64-bit code, which is never too low for any phrase; a further pass
 counts the phrases themselves that reach the threshold there.  A border phrase that turns out frequent is a failure: its extensions may
-be frequent too, and were not counted.  The further pass counts as well what the failures newly allow, and passes go on until there are no new
-failures.  A failure of two words can only bring failures of three, so that takes three passes at most; results do not depend on the sample.
+be frequent too, and were not counted.  The further pass counts as well what the failures newly allow, and takes every newly allowed phrase as proposed, so
+what those could allow in turn is counted with them: after it no failure is left.  Results do not depend on the sample.
 
 The proposals reach the tasks as a filter of bounded size (``filters``).  A wrong yes of the filter means one more phrase counted.  Words have
 dictionary codes inside a batch, and a batch's counts per phrase are what is shuffled.
@@ -30,7 +30,7 @@ from tidegauge.llm.shared import bounded, materialise
 
 LONGEST = 4  # words of a phrase
 SAMPLE = 0.1  # share of the documents that proposes
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 UNKNOWN = "und"
 
 
@@ -42,9 +42,8 @@ def _classes() -> np.ndarray:
     return out
 
 
-CLASS = _classes()
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+CLASS = _classes().tobytes()  # tables for bytes.translate
+LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
 _STEP = np.uint64(0x9FB21C651E98DF25)
 MARKS = np.uint64(7)
 
@@ -53,28 +52,35 @@ class Phrases:
     """Words of consecutive rows as codes, and the phrases that they form, level by level."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: pa.Array):
-        kind = CLASS[data]
-        inside = kind == 0
-        edge = np.zeros(len(data) + 1, bool)
-        edge[offsets] = True  # a row's end is a piece's end
-        before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1] if len(data) else inside
-        start = np.flatnonzero(inside & ~before)
-        letters = np.concatenate([[0], np.cumsum(inside)])
-        ends = np.append(letters[start], letters[-1])
-        words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(LOWER[data][inside].tobytes())])
+        raw = data.tobytes()
+        kind = np.frombuffer(raw.translate(CLASS), np.uint8)
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[1:] = kind == 0
+        start = np.flatnonzero(inside[1:] > inside[:-1])
+        end = np.concatenate([np.flatnonzero(inside[1:] < inside[:-1]), np.full(int(inside[-1]), len(data), np.int64)])
+        # a word ends where its row ends
+        inner = offsets[1:-1]
+        inner = np.unique(inner[(inner > 0) & (inner < len(data))])
+        inner = inner[(inside[inner] > 0) & (inside[inner + 1] > 0)]
+        if len(inner):
+            start, end = np.sort(np.concatenate([start, inner])), np.sort(np.concatenate([end, inner]))
+        ends = np.concatenate([[0], np.cumsum(end - start)])
+        letters = np.frombuffer(raw.translate(LOWER), np.uint8)[inside[1:].view(bool)]
+        words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(letters.tobytes())])
         coded = words.dictionary_encode()
-        self.words = np.array([x.decode("utf-8") for x in coded.dictionary.to_pylist()], object)
+        self.words = coded.dictionary
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         names = langs.fill_null(UNKNOWN).dictionary_encode()
         self.langs = np.array(names.dictionary.to_pylist(), object)
         lang = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[np.searchsorted(offsets, start, "right") - 1]
         # pieces are numbered: neighbours of one number stand together
-        piece = (np.cumsum(kind == 2) + np.cumsum(edge[:-1]))[start] if len(data) else start
+        breaks = np.sort(np.concatenate([np.flatnonzero(kind == 2), offsets]))
+        piece = np.searchsorted(breaks, start, "right")
         self.joined = np.zeros(len(start), bool)
         self.joined[:-1] = piece[1:] == piece[:-1]
         # the lowest two bits of a phrase's hash are its words less one; a code has whether it is proposed in the third
         salt = np.array([xxhash.xxh3_64_intdigest(x) for x in self.langs], np.uint64)
-        hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in coded.dictionary.to_pylist()], np.uint64)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
         n = max(1, len(self.words))
         unique, self.id = coded_keys(lang * n + code)
         # level 1: language, words and hash of every different phrase; ``at``: where phrases of the level stand, ``which``: the phrase there
@@ -115,19 +121,19 @@ class Phrases:
         self.lang, self.counts, self.at, self.which = self.lang[f], counts, at, place
         return new
 
-    def texts(self, keep: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
-        """Rows (lang, phrase, words, code, n) of the level's phrases."""
+    def texts(self, keep: np.ndarray) -> pa.RecordBatch:
+        """Rows (lang, phrase, words, n) of the level's phrases."""
         i = np.flatnonzero(keep)
-        columns = [pa.array(self.words[p[i]], pa.string()) for p in self.parts]
+        columns = [self.words.take(pa.array(p[i])).cast(pa.large_string()).cast(pa.string()) for p in self.parts]
         phrase = pc.binary_join_element_wise(*columns, " ") if len(columns) > 1 else columns[0]
         return pa.record_batch([pa.array(self.langs[self.lang[i]], pa.string()), phrase, pa.array(np.full(len(i), len(self.parts), np.int32)),
-                                pa.array(codes(self.hash[i], known[i])), pa.array(self.counts[i].astype(np.int64))], ["lang", "phrase", "words", "code", "n"])
+                                pa.array(self.counts[i].astype(np.int64))], ["lang", "phrase", "words", "n"])
 
     def sizes(self) -> pa.RecordBatch:
         """The number of words of each language, as the count of a phrase without words."""
         n = np.bincount(self.lang, weights=self.counts, minlength=len(self.langs)).astype(np.int64)
-        return pa.record_batch([pa.array(self.langs, pa.string()), pa.array([""] * len(n)), pa.array(np.zeros(len(n), np.int32)), pa.array(np.zeros(len(n), np.int64)),
-                                pa.array(n)], ["lang", "phrase", "words", "code", "n"])
+        return pa.record_batch([pa.array(self.langs, pa.string()), pa.array([""] * len(n)), pa.array(np.zeros(len(n), np.int32)),
+                                pa.array(n)], ["lang", "phrase", "words", "n"])
 
 
 def coded_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +149,8 @@ def codes(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
 def _levels(docs: DataFrame, proposed: list[filters.Filter], levels: range, schema: str, emit) -> DataFrame:
     """Rows that ``emit`` makes of a level, which phrases of it are newly allowed, and which are proposed.
 
-    Newly allowed: front or rest is proposed by none of the filters but the last, or is itself newly allowed (with one filter: any allowed phrase)."""
+    Newly allowed: front or rest is proposed by none of the filters but the last, or is itself newly allowed (with one filter: any allowed phrase).  With several
+    filters, newly allowed phrases count as proposed."""
     shared = docs.sparkSession.sparkContext.broadcast([f.data for f in proposed])
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +171,8 @@ def _levels(docs: DataFrame, proposed: list[filters.Filter], levels: range, sche
                 for size in range(1, levels.stop):
                     earlier = held(level.hash, tests[:-1])
                     known = earlier | held(level.hash, tests[-1:])
+                    if len(tests) > 1:
+                        known |= new
                     if size in levels:
                         yield from emit(level, size, new, known)
                     if size + 1 < levels.stop:
@@ -181,24 +190,24 @@ def count_codes(docs: DataFrame, proposed: list[filters.Filter], levels: range)
     return _levels(docs, proposed, levels, "code long, n long", emit).groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def count_texts(docs: DataFrame, proposed: list[filters.Filter], also: filters.Filter | None, longest: int) -> DataFrame:
-    """(lang, phrase, words, code, n): exact counts of the newly allowed phrases (of none, with one filter), and of those in ``also``.
+def count_texts(docs: DataFrame, proposed: list[filters.Filter], also: filters.Filter, longest: int) -> DataFrame:
+    """(lang, phrase, words, n): exact counts of the newly allowed phrases (of none, with one filter) and of those in ``also``.
 
-    With ``also``, a phrase without words holds the words of its language."""
-    shared = docs.sparkSession.sparkContext.broadcast(also.data if also else None)
+    A phrase without words holds the words of its language."""
+    shared = docs.sparkSession.sparkContext.broadcast(also.data)
     further = len(proposed) > 1
 
     def emit(level: Phrases, size: int, new: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keep = new if further else np.zeros(len(new), bool)
-        if shared.value is not None:
-            keep = keep | filters.Filter(shared.value).holds(level.hash)
-            if size == 1:
-                yield level.sizes()
+        keep = filters.Filter(shared.value).holds(level.hash)
+        if further:
+            keep |= new
+        if size == 1:
+            yield level.sizes()
         if keep.any():
-            yield level.texts(keep, known)
+            yield level.texts(keep)
 
-    rows = _levels(docs, proposed, range(1, longest + 1), "lang string, phrase string, words int, code long, n long", emit)
-    return rows.groupBy("lang", "phrase", "words", "code").agg(F.sum("n").alias("n"))
+    rows = _levels(docs, proposed, range(1, longest + 1), "lang string, phrase string, words int, n long", emit)
+    return rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
 
 
 def _failed(table: DataFrame, longest: int) -> DataFrame:
@@ -235,18 +244,12 @@ def frequent(docs: DataFrame, least: int, longest: int = LONGEST, share: float =
     proposed = [propose(docs, least, share, longest)]
     texts = docs.select("lang", "text")
     full = materialise(count_codes(texts, proposed, range(1, longest + 1)).where(F.col("n") >= least), "phrase-codes")
-    also, failed, tables = _filter(full), _failed(full, longest), []
-    while True:
-        n = failed.count()
-        if not n and tables:
-            break
-        if n:
-            proposed.append(filters.build(failed, "code", n))
-        tables.append(materialise(count_texts(texts, proposed, None if tables else also, longest).where((F.col("n") >= least) | (F.col("words") == 0)), "phrases"))
-        # what was newly allowed, frequent and not proposed; phrases of the full pass have been dealt with
-        failed = _failed(tables[-1].where("words > 1"), longest).join(_together([full, *[t.select("code", "n") for t in tables[:-1]]]).select("code"), "code", "left_anti")
-    every = _together(tables).where(F.col("n") >= least)
-    return every.where("words > 0").select("lang", "phrase", "words", "n"), tables[0].where("words = 0").select("lang", "n")
+    failed = _failed(full, longest)
+    n = failed.count()
+    if n:
+        proposed.append(filters.build(failed, "code", n))
+    counted = materialise(count_texts(texts, proposed, _filter(full), longest).where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+    return counted.where((F.col("words") > 0) & (F.col("n") >= least)).select("lang", "phrase", "words", "n"), counted.where("words = 0").select("lang", "n")
 
 
 def collocations(docs: DataFrame, least: int = 30, covered: int = 80, first: int = 2000, longest: int = LONGEST, share: float = SAMPLE,
