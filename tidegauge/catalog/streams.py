@@ -7,8 +7,9 @@ from tidegauge.catalog.sqlkit import MENTIONS, big, r6, ts
 from tidegauge.operators import mentions as mn
 from tidegauge.operators.windows import best
 from tidegauge.plans import standins as st
-from tidegauge.session import spread
-from tidegauge.streaming import jobs
+from tidegauge.session import scratch_path, spread
+from tidegauge.sources import merging as mg
+from tidegauge.streaming import jobs, snapshots as sn
 
 
 def stream(spark, sf):
@@ -116,3 +117,57 @@ def _(spark, sf):
 def _(spark, sf):
     docs = st.table(spark, sf, "documents").select("source", "doc_id")
     return jobs.merge_pages(docs.where("doc_id % 4 < 2"), docs.where("doc_id % 4 IN (1, 2)"), ["source", "doc_id"], "source", "doc_id")[1]
+
+
+_COUNTERS = {"likes": "view", "reposts": "click", "replies": "error", "quotes": "purchase"}
+
+
+@query(
+    "stream_snapshots",
+    f"""WITH {st.ACTIONS_SQL}, steps AS (SELECT k, date_trunc('minute', ts) + INTERVAL 1 MINUTE AS done, {', '.join(f"count(*) FILTER (WHERE event_type = '{v}') AS d_{n}" for n, v in _COUNTERS.items())}
+      FROM actions WHERE k IS NOT NULL AND event_type IN ({', '.join(f"'{v}'" for v in _COUNTERS.values())}) GROUP BY 1, 2),
+    closed AS (SELECT *, lag(done) OVER (PARTITION BY k ORDER BY done) AS before FROM steps WHERE done <= (SELECT date_trunc('millisecond', max(ts)) FROM actions WHERE k IS NOT NULL AND event_type IN ({', '.join(f"'{v}'" for v in _COUNTERS.values())})) - INTERVAL 3 MINUTE),
+    lives AS (SELECT *, sum(CASE WHEN before IS NULL OR done - before > INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY done) AS life FROM closed)
+    SELECT 'snapshot:' || left(sha256(concat(k, '|', strftime(done, '%Y-%m-%dT%H:%M:%S'))), 16) AS snapshot_id, k, {ts('done')} AS snapshot_at,
+      {', '.join(big(f'sum(d_{n}) OVER w') + f' AS {n}' for n in _COUNTERS)}, {', '.join(f'd_{n} AS delta_{n}' for n in _COUNTERS)},
+      {r6("coalesce(epoch(done - lag(done) OVER w) / 60.0, 0)")} AS delta_minutes FROM lives WINDOW w AS (PARTITION BY k, life ORDER BY done)""",
+)
+def _(spark, sf):
+    steps = sn.activity(stream(spark, sf), "k", "event_type", _COUNTERS, "ts")
+    with sn.timer_state(spark):
+        return jobs.run_to_end(sn.snapshots(steps, "k", list(_COUNTERS), 12 * 60), "snapshots").drop("previous_at")
+
+
+@query(
+    "stream_keyed_merge",
+    f"""WITH {MENTIONS}, edits AS (SELECT * FROM mentions WHERE raw_post_id % 6 = 0)
+    SELECT m.raw_post_id, m.platform, m.topic_key, m.topic_label, m.author_id,
+      {ts('CASE WHEN m.raw_post_id % 12 = 0 THEN m.event_timestamp + INTERVAL 1 DAY ELSE m.event_timestamp END')} AS event_timestamp,
+      {ts('CASE WHEN m.raw_post_id % 6 = 0 THEN m.ingested_at + INTERVAL 1 HOUR ELSE m.ingested_at END')} AS ingested_at,
+      CASE WHEN m.raw_post_id % 6 = 0 THEN 'neutral' ELSE m.sentiment_label END AS sentiment_label,
+      {r6('CASE WHEN m.raw_post_id % 6 = 0 THEN m.quality_score / 2 ELSE m.quality_score END')} AS quality_score, {r6('m.topic_confidence')} AS topic_confidence FROM mentions m""",
+)
+def _(spark, sf):
+    # four deliveries: edits before the facts they edit, every fifth event twice; the table is the same in any order
+    landed = scratch_path(spark, "deliveries")
+    events = st.table(spark, sf, "events")
+    deliveries = F.array_distinct(F.array(F.when(F.col("event_id") % 6 == 0, 0), F.col("event_id") % 3 + 1, F.when(F.col("event_id") % 5 == 0, 3)))
+    for n in range(4):
+        events.where(F.array_contains(F.filter(deliveries, lambda d: d.isNotNull()), n)).withColumn("delivery", F.lit(n)).coalesce(1).write.mode("append").parquet(landed)
+    rows = spark.readStream.schema(spark.read.parquet(landed).schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    rules = mn.merge_rules()
+
+    def publish(batch, batch_id, out):
+        rows = spread(batch).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+        for edit in (True, False):
+            actions = rows.where((F.col("delivery") == 0) if edit else (F.col("delivery") > 0)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+            facts = mn.sync_mentions(st.topics_of(actions), st.processed_of(actions), mn.alias_rules(batch.sparkSession))
+            if edit:
+                facts = facts.withColumns({
+                    "event_timestamp": F.when(F.col("raw_post_id") % 12 == 0, F.expr("event_timestamp + INTERVAL 1 DAY")).otherwise(F.col("event_timestamp")),
+                    "ingested_at": F.expr("ingested_at + INTERVAL 1 HOUR"), "sentiment_label": F.lit("neutral"), "quality_score": F.col("quality_score") / 2,
+                    "topic_confidence": F.col("topic_confidence") - 0.1, "author_id": F.lit(None).cast("string")})
+            mg.merge_days(facts, out, rules, "event_timestamp", horizon_days=2)
+
+    out, _ = jobs.run_batches(rows, "merged-mentions", "append", publish)
+    return mg.read_merged(spark, out, rules).drop("processed_post_id", "is_repost", "is_reply", "has_link")

@@ -109,6 +109,15 @@ def merge_mentions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def merge_rules():
+    """The rules of ``merge_mentions`` for a stored, day-partitioned table; versions are ingestion times, not the order of arrival."""
+    from tidegauge.sources.merging import MergeRules
+
+    return MergeRules(
+        key=("raw_post_id", "platform", "topic_key"), version="ingested_at", greatest=("event_timestamp", "topic_confidence"),
+        latest=("sentiment_label", "quality_score", "is_repost", "is_reply", "has_link"), known=("processed_post_id", "topic_label", "author_id"))
+
+
 def is_garbage(key: str = "topic_key", confidence: str = "topic_confidence") -> Column:
     """Stored mentions that later rules would no longer let in."""
     k = F.lower(F.coalesce(c(key), F.lit("")))
