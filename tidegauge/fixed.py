@@ -298,3 +298,8 @@ ASSET_UTILITY_TERMS = ("protocol, infrastructure, bridge, staking, restaking, va
                        "crosschain, consensus, data availability, rwa, real world asset")
 ASSET_SOCIAL_TERMS = "telegram, discord, twitter, x.com, tiktok, youtube, twitch"
 ASSET_SOURCE_BONUS = {"dex_community_takeovers_latest": 14.0, "dex_boosts_top": 10.0, "dex_boosts_latest": 6.0, "dex_profiles_latest": 4.0}
+
+# -- board rows: words that make a single word a story, and summaries that say nothing --
+STORY_WORDS = ["appeals", "backlash", "campaign", "controversy", "criticism", "debate", "discourse", "escalation", "fallout", "holiday", "mentions", "mission", "policy",
+               "reactions", "rhetoric", "speculation", "trial"]
+EMPTY_SUMMARY_PATTERNS = [r"discussion trend detected from recent social posts\.?$", r"topic key appears malformed\.?$", r"too few unique authors support the cluster\.?$"]
