@@ -9,7 +9,7 @@ from tidegauge.catalog.mentions import mention_facts
 from tidegauge.catalog.sqlkit import MENTIONS, MINUTES, big, r6, ts
 from tidegauge.plans import readmodel as rm, standins as st
 from tidegauge.session import scratch_path
-from tidegauge.sources import datasets as ds
+from tidegauge.sources import datasets as ds, publication as pb
 
 
 @query("landed_json_roundtrip", f"SELECT CAST(doc_id AS VARCHAR) AS id, source, text, n_chars AS score FROM documents")
@@ -99,6 +99,28 @@ def _(spark, sf):
     return count("assets").join(count("brands"), "run_id")
 
 
+@query(
+    "published_runs",
+    f"SELECT p_partkey AS asset, {r6('p_retailprice * 2')} AS price, b.parts AS brand_parts, 'r2' AS run_id FROM part JOIN (SELECT p_brand, count(*) AS parts FROM part GROUP BY 1) b USING (p_brand)",
+)
+def _(spark, sf):
+    root = scratch_path(spark, "runs")
+    part = st.table(spark, sf, "part").selectExpr("p_partkey AS asset", "p_brand", "p_retailprice AS price")
+    brands = part.groupBy("p_brand").agg(F.count(F.lit(1)).alias("parts"))
+    run = lambda factor: {"assets": part.withColumn("price", F.col("price") * factor), "brands": brands}
+    pb.publish(spark, root, "r1", run(1))
+    pb.publish(spark, root, "r2", run(3))
+    pb.publish(spark, root, "r2", run(2))  # the same run again
+    broken = run(5) | {"brands": brands.limit(0)}
+    try:
+        pb.publish(spark, root, "r3", broken, least={"brands": 1})  # its assets are written, its brands are not: it stays unseen
+    except pb.PublicationError:
+        pass
+    seen = pb.read_tables(spark, root)
+    last = pb.visible_runs(spark, root).orderBy(F.desc("seq")).first()["run_id"]
+    return seen["assets"].join(seen["brands"], "p_brand").select("asset", "price", F.col("parts").alias("brand_parts"), F.lit(last).alias("run_id"))
+
+
 @query(
     "read_model_refresh",
     f"""WITH {MINUTES}, r AS (SELECT * FROM minutes WHERE bucket_minute < TIMESTAMP '2024-01-30 11:57:00')
