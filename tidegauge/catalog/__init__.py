@@ -12,7 +12,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 _MODULES = ("mentions", "rollups", "series", "texts", "engagement", "ranking", "grouping", "market", "joins",
-            "windows", "storage", "diagnostics", "streams", "remaining", "support", "profiles", "links", "roots", "fragments")
+            "windows", "storage", "diagnostics", "streams", "remaining", "support", "profiles", "links", "roots", "fragments", "model_outputs")
 
 
 def portable(df: DataFrame) -> DataFrame:
