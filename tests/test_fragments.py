@@ -44,3 +44,13 @@ def test_rows_of_the_query_take_both_ways(spark, sf_dir):
     catalog.load()
     seen = catalog.QUERIES["board_row_filter"](spark, sf_dir).groupBy("shown", "is_cut_alias").count().collect()
     assert {(r.shown, r.is_cut_alias) for r in seen} >= {(True, False), (False, False), (False, True)}
+
+
+def test_every_phrase_of_a_long_text_counts(spark):
+    from tidegauge.operators import queues as qu
+
+    text = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300))
+    df = spark.createDataFrame([(text, "a", 1.0), (text, "b", 2.0), (None, "a", 1.0), ("", "b", 1.0)], "text string, source string, weight double")
+    got = qu.breakout_phrases(df, "text", "source", "weight", ["the"]).collect()
+    assert len(got) == 298 + 299 and all((r.sources, r.weight) == (2, 3.0) for r in got)
+    assert qu.breakout_phrases(df, "text", "source", "weight", ["the"], per_text=8).count() == 8

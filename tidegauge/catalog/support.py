@@ -227,8 +227,8 @@ _W3 = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: leng
 @query(
     "breakout_phrases",
     f"""WITH w AS (SELECT doc_id, source, 1 + log10(n_chars + 1) AS weight, {_W3} AS w FROM documents),
-    c AS (SELECT doc_id, source, weight, array_to_string(w[i:i + n - 1], ' ') AS phrase, 3 - n AS a, i FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM w, (VALUES (3), (2)) v(n) WHERE len(w) >= n)),
-    f AS (SELECT doc_id, source, weight, phrase FROM (SELECT DISTINCT ON (doc_id, phrase) * FROM c ORDER BY doc_id, phrase, a, i) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY a, i) <= 8)
+    c AS (SELECT doc_id, source, weight, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM w, (VALUES (3), (2)) v(n) WHERE len(w) >= n)),
+    f AS (SELECT DISTINCT doc_id, source, weight, phrase FROM c)
     SELECT phrase, count(DISTINCT source) AS sources, {r6('sum(weight)')} AS weight FROM f GROUP BY 1""",
 )
 def _(spark, sf):
@@ -258,7 +258,7 @@ def _(spark, sf):
 @query(
     "source_catalog",
     """WITH b AS (SELECT p_name AS name, 'own' AS category, p_size AS priority, 0 AS found FROM part WHERE p_partkey % 4 = 0 UNION ALL
-      SELECT CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE concat(p_name, ' ', p_brand) END, p_type, p_size + 5, 1 FROM (SELECT *, p_retailprice * 20 AS subs, p_size / 4.0 AS per_day FROM part) WHERE p_type IN (SELECT DISTINCT p_type FROM part ORDER BY 1 LIMIT 3)
+      SELECT CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE concat(p_name, ' ', p_brand) END, p_type, p_size + 5, 1 FROM (SELECT *, p_retailprice * 20 AS subs, p_size / 4.0 AS per_day FROM part) WHERE p_type IS NOT NULL
         AND p_partkey % 9 > 0 AND NOT (subs < 15000 AND per_day < 5) AND NOT (p_partkey % 2 = 0 AND subs < 100000 AND per_day < 12))
     SELECT lower(name) AS key, name, category, priority, found FROM b QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY found, category, priority DESC, name) = 1""",
 )
@@ -266,11 +266,10 @@ def _(spark, sf):
     from tidegauge.operators import merges as me
 
     part = st.table(spark, sf, "part")
-    kinds = [r[0] for r in part.select("p_type").distinct().orderBy("p_type").limit(3).collect()]  # the categories in use: three names
     found = part.selectExpr("CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE concat(p_name, ' ', p_brand) END AS name", "p_type AS category", "p_size + 5 AS priority", "p_retailprice * 20 AS subscribers", "CAST(p_size / 4.0 AS DOUBLE) AS posts_per_day",
                             "p_partkey % 9 = 0 AS blocked", "p_partkey % 2 = 0 AS spam_prone")
     own = part.where("p_partkey % 4 = 0").selectExpr("p_name AS name", "'own' AS category", "p_size AS priority")
-    return me.source_catalog(own, found, kinds).select("key", "name", "category", "priority", "found")
+    return me.source_catalog(own, found).select("key", "name", "category", "priority", "found")
 
 
 @query(

@@ -27,14 +27,16 @@ def refresh_processed(raw: DataFrame) -> DataFrame:
 MIN_SUBSCRIBERS, MIN_POSTS_PER_DAY, SPAM_SUBSCRIBERS, SPAM_POSTS_PER_DAY = 15_000, 5.0, 100_000, 12.0
 
 
-def source_catalog(defined: DataFrame, discovered: DataFrame, categories: list[str]) -> DataFrame:
+def source_catalog(defined: DataFrame, discovered: DataFrame, categories: list[str] | None = None) -> DataFrame:
     """Defined sources, then discovered ones that pass the gates; the first of a name (in any case) stays.
 
-    Both: name, category, priority; discovered also subscribers, posts_per_day, blocked (excluded, private, ...), spam_prone."""
+    Both: name, category, priority; discovered also subscribers, posts_per_day, blocked (excluded, private, ...), spam_prone.  ``categories``: the enabled
+    ones (None: every named one)."""
     few = (F.coalesce("subscribers", F.lit(0)) < MIN_SUBSCRIBERS) & (F.coalesce("posts_per_day", F.lit(0.0)) < MIN_POSTS_PER_DAY)
     spam = F.coalesce("spam_prone", F.lit(False)) & (F.coalesce("subscribers", F.lit(0)) < SPAM_SUBSCRIBERS) & (
         F.coalesce("posts_per_day", F.lit(0.0)) < SPAM_POSTS_PER_DAY)
-    good = discovered.where(F.col("category").isin(*categories) & ~F.coalesce("blocked", F.lit(False)) & ~few & ~spam)
+    enabled = F.col("category").isNotNull() if categories is None else F.col("category").isin(*categories)
+    good = discovered.where(enabled & ~F.coalesce("blocked", F.lit(False)) & ~few & ~spam)
     both = defined.select("name", "category", "priority", F.lit(0).alias("found")).unionByName(good.select("name", "category", "priority", F.lit(1).alias("found")))
     named = both.withColumn("name", blank_to_null("name")).where("name IS NOT NULL").withColumn("key", F.lower("name"))
     return best(named, ["key"], [F.col("found").asc(), F.col("category").asc(), F.col("priority").desc(), F.col("name").asc()])

@@ -209,8 +209,8 @@ def correlation_label(score: Col) -> Column:
     return floor_ladder(score, ((80, "High"), (60, "Medium"), (40, "Speculative")), "Coverage")
 
 
-def breakout_phrases(rows: DataFrame, text: str, source: str, weight: str, stop_words: list[str], per_text: int = 8, limit: int | None = None) -> DataFrame:
-    """(phrase, sources, weight): word triples, then pairs, of the informative words of each text; the first ``per_text`` of a text speak."""
+def breakout_phrases(rows: DataFrame, text: str, source: str, weight: str, stop_words: list[str], per_text: int | None = None, limit: int | None = None) -> DataFrame:
+    """(phrase, sources, weight): word triples and pairs of the informative words of each text, each once a text; with ``per_text`` only its first ones, triples before pairs."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*stop_words) & ~w.rlike("^[0-9]+$"))
     base = rows.select(source, weight, words.alias("w"))
 
@@ -218,6 +218,7 @@ def breakout_phrases(rows: DataFrame, text: str, source: str, weight: str, stop_
         starts = F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - size + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.concat_ws(" ", F.slice("w", i, size)))
 
-    said = base.select(source, weight, F.explode(F.slice(F.array_distinct(F.concat(runs(3), runs(2))), 1, per_text)).alias("phrase"))
+    found = F.array_distinct(F.concat(runs(3), runs(2)))
+    said = base.select(source, weight, F.explode(found if per_text is None else F.slice(found, 1, per_text)).alias("phrase"))
     out = said.groupBy("phrase").agg(F.count_distinct(source).alias("sources"), F.sum(weight).alias("weight"))
     return out if limit is None else out.orderBy(F.col("sources").desc(), F.round("weight", 6).desc(), F.length("phrase").desc(), F.col("phrase").desc()).limit(limit)
