@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidegauge import fixed
 from tidegauge.catalog import query
 from tidegauge.catalog.sqlkit import arr, big, r6, ts
-from tidegauge.catalog.texts import _NTOK, _TOK, labels_in
+from tidegauge.catalog.texts import _LABELS_SQL, _NLABEL, _NTOK, _NWEAK, _TOK, labels_in
 from tidegauge.functions import labels as lb, text as tx
 from tidegauge.operators import grouping as gr
 from tidegauge.plans import standins as st
@@ -19,6 +19,7 @@ def docs(spark, sf):
 _DOCS = "d AS (SELECT doc_id, text, source, doc_id % 97 AS author, doc_id % 211 AS root, 1.0 + least(8.0, n_chars / 1000.0::DOUBLE) AS weight, lang FROM documents)"
 _FOLD = f"translate(lower(regexp_replace(text, '(?i)https?://\\S+', ' ', 'g')), '{lb.ACCENTED}', '{lb.PLAIN}')"
 _INF = f"list_filter(tk, lambda t: (length(t) >= 3 OR list_contains({arr(fixed.NARRATIVE_ACRONYMS)}, t)) AND NOT list_contains({arr(fixed.NARRATIVE_STOP_WORDS + fixed.NARRATIVE_WEAK_WORDS)}, t))"
+_SHOWN = "array_to_string(list_transform(string_split(phrase, ' '), lambda t: CASE t {} ELSE upper(t[1]) || t[2:] END), ' ')".format(" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in fixed.NARRATIVE_DISPLAY.items()))
 _PH = f"""{_DOCS}, t0 AS (SELECT *, {_NTOK.format(x=_FOLD)} AS tk FROM d), t1 AS (SELECT doc_id, source, author, root, weight, {_INF} AS w FROM t0),
 ph AS (SELECT DISTINCT doc_id, source, author, root, weight, array_to_string(w[i:i + n - 1], ' ') AS phrase, array_to_string(list_sort(list_distinct(w[i:i + n - 1])), ' ') AS key
   FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM t1, (VALUES (2), (3), (4)) v(n) WHERE len(w) >= n)),
@@ -26,7 +27,9 @@ pd AS (SELECT key, doc_id, sum(weight) AS w, any_value(root) AS root, any_value(
 st AS (SELECT key, count(*) AS docs, sum(w) AS w, count(DISTINCT root) AS roots, count(DISTINCT author) AS authors, count(DISTINCT source) AS sources FROM pd GROUP BY 1 HAVING count(*) >= 2),
 lab AS (SELECT key, phrase FROM ph WHERE key IN (SELECT key FROM st) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(sum(weight), 6) DESC, phrase) = 1),
 stats AS (SELECT *, w + docs * 28 + roots * 10 + authors * 12 + sources * 16 + least(72, len(string_split(phrase, ' ')) * 12) AS score FROM st JOIN lab USING (key)),
-top AS (SELECT * FROM stats ORDER BY round(score, 6) DESC, key LIMIT 80)"""
+named AS (SELECT key, {_SHOWN} AS label FROM stats), {_NLABEL.removeprefix(_LABELS_SQL + ', ').replace('FROM labels_in', 'FROM (SELECT DISTINCT label FROM named)')},
+gated AS (SELECT s.* FROM stats s JOIN named USING (key) JOIN (SELECT label FROM n2 WHERE NOT frag AND NOT {_NWEAK}) USING (label)),
+top AS (SELECT * FROM gated ORDER BY round(score, 6) DESC, key LIMIT 80)"""
 
 
 def _phrases(spark, sf):
@@ -34,7 +37,7 @@ def _phrases(spark, sf):
 
 
 def _stats(spark, sf, limit=None):
-    return gr.phrase_stats(_phrases(spark, sf), "doc_id", "weight", "root", "author", "source", limit, False)
+    return gr.phrase_stats(_phrases(spark, sf), "doc_id", "weight", "root", "author", "source", limit)
 
 
 @query("phrase_statistics", f"WITH {_PH} SELECT key, docs, roots, authors, sources, {r6('score')} AS score FROM top")
@@ -44,7 +47,7 @@ def _(spark, sf):
 
 @query(
     "phrase_groups",
-    f"""WITH {_PH}, win AS (SELECT doc_id, key FROM (SELECT DISTINCT doc_id, key FROM ph) JOIN stats USING (key) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, key) = 1)
+    f"""WITH {_PH}, win AS (SELECT doc_id, key FROM (SELECT DISTINCT doc_id, key FROM ph) JOIN gated USING (key) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, key) = 1)
     SELECT doc_id, coalesce(key, 'lang:' || lang) AS group_key, key IS NOT NULL AS by_phrase FROM d LEFT JOIN win USING (doc_id)""",
 )
 def _(spark, sf):

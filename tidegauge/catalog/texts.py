@@ -194,15 +194,18 @@ n2 AS (SELECT *, (len(inf) >= 2 OR len(list_filter(inf, lambda t: length(t) >= 4
  (phrase = '' OR (len(inf) BETWEEN 1 AND 3 AND {count_in('inf', fixed.TEMPORAL_LABEL_WORDS)} = len(inf))) AS temp FROM n1)"""
 
 
-@query(
-    "narrative_label_quality",
-    f"""WITH {_NLABEL} SELECT label, frag AS is_fragment, urlish AS is_url_like, plat AS is_platform, temp AS is_temporal,
-    (phrase = '' OR regexp_matches(lower(label), '{fixed.QUESTION_LABEL_PATTERN}') OR list_contains({arr(fixed.NARRATIVE_WEAK_PHRASES)}, phrase) OR plat OR urlish OR temp
+_NWEAK = f"""(phrase = '' OR regexp_matches(lower(label), '{fixed.QUESTION_LABEL_PATTERN}') OR list_contains({arr(fixed.NARRATIVE_WEAK_PHRASES)}, phrase) OR plat OR urlish OR temp
      OR len(toks) = 0 OR len(inf) = 0 OR (len(list_distinct(inf)) <= 1 AND len(inf) >= 2)
      OR (len(inf) <= 2 AND len(list_filter(inf, lambda t: length(t) >= 4 OR regexp_matches(t, '[0-9]'))) = 0
          AND NOT (len(inf) > 0 AND {count_in('inf', fixed.NARRATIVE_ACRONYMS)} = len(inf)))
      OR (frag AND len(inf) < 2) OR (len(toks) <= 3 AND len(toks) - len(inf) >= len(toks) - 1 AND len(inf) < 2)
-     OR ((list_contains({_NSTOP}, toks[1]) OR list_contains({_NSTOP}, toks[-1])) AND NOT anchor) OR (len(toks) = 1 AND NOT anchor)) AS is_weak FROM n2""",
+     OR ((list_contains({_NSTOP}, toks[1]) OR list_contains({_NSTOP}, toks[-1])) AND NOT anchor) OR (len(toks) = 1 AND NOT anchor))"""
+
+
+@query(
+    "narrative_label_quality",
+    f"""WITH {_NLABEL} SELECT label, frag AS is_fragment, urlish AS is_url_like, plat AS is_platform, temp AS is_temporal,
+    {_NWEAK} AS is_weak FROM n2""",
 )
 def _(spark, sf):
     df = labels_in(spark, sf).withColumn("p", lb.label_profile("label"))
