@@ -97,3 +97,10 @@ def test_cache_is_emptied(encoder, monkeypatch):
 
 def test_empty_table(make):
     assert alignment.align(make([], "doc_id long, text string"), BYTE, PIECE).count() == 0
+
+
+def test_two_spaces_before_a_bare_character(encoder):
+    texts = [" 1", "a  1", "a  1 b", " ѫ", "x  23  y", " ́a", " Ω", "a  b", "1  ", " 😀" * 3, "a  " + "1" * 80]
+    a, a_at, b, b_at = encoder.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert (a[a_at[i]:a_at[i + 1]].tolist(), b[b_at[i]:b_at[i + 1]].tolist()) == plain(encoder, t)[:2]
