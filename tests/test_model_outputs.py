@@ -51,3 +51,10 @@ def test_evidence_of_changing_shape(spark):
     assert {r.reason for r in got if r.place} == {"no_summary"}
     key = [r for r in got if r.id == 3 and r.place == 0][0].evidence[0].evidence_key
     assert key == spark.range(1).select(F.substring(F.sha1(F.lit("https://www.A.com/x\nt\ns")), 1, 16)).first()[0]
+
+
+def test_payloads_are_parsed_once(spark, tmp_path):
+    rows = [(1, json.dumps({"candidates": [{"provisional_name": "a b", "summary": "x", "evidence": SOURCE}]}))]
+    spark.createDataFrame(rows, "id long, p string").write.parquet(str(tmp_path / "landed"))
+    out = mo.candidates(spark.read.parquet(str(tmp_path / "landed")), "id", "p", ["joke", "pun"])
+    assert "landed" not in "".join(out.inputFiles()) and out.first().candidate_key == "a-b"

@@ -6,6 +6,7 @@ from tidegauge.catalog import query
 from tidegauge.catalog.sqlkit import big, r6, ts
 from tidegauge.operators import model_outputs as mo
 from tidegauge.plans import standins as st
+from tidegauge.session import spread
 
 _E1 = """'{"url":"https://www.Shop', p_size, '.example/', p_partkey, '","title":"t","snippet":"', p_brand, '","published_at":"2024-01-0', 1 + p_partkey % 9, 'T00:00:00Z"}'"""
 _E2 = """'{"url":"no url","title":" t2 ","snippet":"s","source_domain":"B.org"}'"""
@@ -29,6 +30,6 @@ _SLUG = f"regexp_replace(regexp_replace(lower({_LABEL}), '[^a-z0-9]+', '-', 'g')
       {big('evidence_count')} AS evidence_count, {big('source_count')} AS source_count, {ts('seen')} AS first_seen_at FROM c""",
 )
 def _(spark, sf):
-    landed = st.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr(_PAYLOAD).alias("payload"))
+    landed = spread(st.table(spark, sf, "part")).select(F.col("p_partkey").alias("id"), F.expr(_PAYLOAD).alias("payload"))
     return mo.candidates(landed, "id", "payload", ["joke", "pun"]).select(
         "id", "place", "reason", "name", "candidate_key", "confidence", "meme_score", "visual_score", "meme_archetype", "evidence_count", "source_count", "first_seen_at")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions.basic import Col, c
+from tidegauge.session import materialise
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -107,6 +108,7 @@ def candidates(payloads: DataFrame, key: str, payload: str, archetypes: list[str
         F.when(said.isin(*archetypes), said).otherwise(archetypes[0]).alias("meme_archetype"), hundred(number(at, "visual_score"), 60.0).alias("visual_score"),
         hundred(number(at, "dryness_score"), 30.0).alias("dryness_score"), F.size("evidence").alias("evidence_count"), F.size(domains).alias("source_count"),
         F.array_min(times).alias("first_seen_at"), F.array_max(times).alias("last_seen_at"), domains.alias("domains"), "evidence")
+    out = materialise(out, "model-outputs")  # read twice below, parsed once
     # at most ``limit`` keys of a payload meet in one row
     named = out.where("reason IS NULL").groupBy(F.col(key).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("place", "__base"))).alias("k"))
     named = named.select("__id", F.inline(F.arrays_zip(F.col("k.place").alias("__place"), unique_slugs(F.col("k.__base")).alias("candidate_key"))))
