@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegauge.functions.basic import Col, age_hours, blank_to_null, c, clamp
+from tidegauge.functions.basic import Col, age_hours, barrier, blank_to_null, c, clamp
 from tidegauge.functions.scores import floor_ladder, ladder
 from tidegauge.operators.windows import best, chunked_rank, top_n
 
@@ -209,16 +209,34 @@ def correlation_label(score: Col) -> Column:
     return floor_ladder(score, ((80, "High"), (60, "Medium"), (40, "Speculative")), "Coverage")
 
 
-def breakout_phrases(rows: DataFrame, text: str, source: str, weight: str, stop_words: list[str], per_text: int | None = None, limit: int | None = None) -> DataFrame:
-    """(phrase, sources, weight): word triples and pairs of the informative words of each text, each once a text; with ``per_text`` only its first ones, triples before pairs."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*stop_words) & ~w.rlike("^[0-9]+$"))
-    base = rows.select(source, weight, words.alias("w"))
-
+def _first_phrases(base: DataFrame, source: str, weight: str, per_text: int) -> DataFrame:
     def runs(size: int) -> Column:
         starts = F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - size + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.concat_ws(" ", F.slice("w", i, size)))
 
     found = F.array_distinct(F.concat(runs(3), runs(2)))
-    said = base.select(source, weight, F.explode(found if per_text is None else F.slice(found, 1, per_text)).alias("phrase"))
-    out = said.groupBy("phrase").agg(F.count_distinct(source).alias("sources"), F.sum(weight).alias("weight"))
+    said = base.select(source, weight, F.explode(F.slice(found, 1, per_text)).alias("phrase"))
+    return said.groupBy("phrase").agg(F.count_distinct(source).alias("sources"), F.sum(weight).alias("weight"))
+
+
+def _all_phrases(base: DataFrame, source: str, weight: str) -> DataFrame:
+    """Every pair and triple of words; a row is a pair with the word behind it, so one shuffle by the pair serves both.
+
+    ``first`` marks one row of each pair of a text, so that a pair counts once a text whatever follows it."""
+    starts = F.when(F.size("w") >= 2, F.sequence(F.lit(1), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.slice("w", i, 2)).alias("p"), F.get("w", i + 1).alias("t")))
+    sorted_runs = barrier(base.select(source, weight, F.array_sort(F.array_distinct(runs)).alias("x")))
+    marked = F.transform("x", lambda x, i: F.struct(x["p"].alias("p"), x["t"].alias("t"), (~F.coalesce((i > 0) & (F.get("x", i - 1)["p"] == x["p"]), F.lit(False))).alias("first")))
+    said = sorted_runs.select(F.col(source).alias("s"), F.col(weight).alias("v"), F.inline(marked)).repartition("p")
+    # behind the shuffle a row is its triple (the third word) and, if marked, its pair (no third word)
+    ends = F.array_compact(F.array(F.col("t"), F.when(F.col("first"), F.lit(""))))
+    counted = said.select("p", "s", "v", F.explode(ends).alias("t")).groupBy("p", "t", "s").agg(F.sum("v").alias("v")).groupBy("p", "t").agg(F.count("s").alias("sources"), F.sum("v").alias("weight"))
+    return counted.select(F.concat_ws(" ", "p", F.nullif("t", F.lit(""))).alias("phrase"), "sources", "weight")
+
+
+def breakout_phrases(rows: DataFrame, text: str, source: str, weight: str, stop_words: list[str], per_text: int | None = None, limit: int | None = None) -> DataFrame:
+    """(phrase, sources, weight): word triples and pairs of the informative words of each text, each once a text; with ``per_text`` only its first ones, triples before pairs."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*stop_words) & ~w.rlike("^[0-9]+$"))
+    base = rows.select(source, weight, words.alias("w"))
+    out = _all_phrases(base, source, weight) if per_text is None else _first_phrases(base, source, weight, per_text)
     return out if limit is None else out.orderBy(F.col("sources").desc(), F.round("weight", 6).desc(), F.length("phrase").desc(), F.col("phrase").desc()).limit(limit)
