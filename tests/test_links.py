@@ -59,6 +59,26 @@ def test_containments_equal_plain_search(spark):
     assert sorted(map(tuple, got.collect())) == sorted((p, q) for p, t in texts for q, w in terms if t and w and w in t)
 
 
+def test_posts_that_share_a_run_store_a_row_per_class(spark, monkeypatch):
+    """3,000 posts of 150 texts whose symbols all begin alike: classes and terms are stored, no rows for the characters of posts."""
+    seen = []
+    real = lk.materialise
+    monkeypatch.setattr(lk, "materialise", lambda df, label: seen.append(real(df, label)) or seen[-1])
+    rows = [(f"p{i}", f"t{i % 3}", f"Say $K{i % 150}!", [f"K{i % 50}"], float(i % 7)) for i in range(3000)]
+    assets = [(i, f"K{i}", f"Coin K{i}") for i in range(200)]
+    got = lk.support(spark.createDataFrame(rows, "post string, topic string, text string, cashtags array<string>, weight double"),
+                     spark.createDataFrame(assets, "asset long, symbol string, name string"), "topic", "asset")
+    want = {}
+    for _, topic, text, tags, weight in rows:
+        flat = "".join(ch for ch in text.lower() if ch.isalnum())
+        for a, symbol, name in assets:
+            if symbol in tags or symbol.lower() in flat or name.lower().replace(" ", "") in flat:
+                n, w = want.get((topic, a), (0, 0.0))
+                want[topic, a] = (n + 1, w + weight)
+    assert {(r.topic, r.asset): (r.posts, r.interactions) for r in got.collect()} == want
+    assert max(df.count() for df in seen) <= 2 * len(assets)
+
+
 def test_name_similarity_equals_the_standard_library(spark):
     """100,000 pairs, with and without the bound."""
     rnd = random.Random(8)

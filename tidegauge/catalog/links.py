@@ -66,11 +66,11 @@ def _(spark, sf):
         "post", "topic", "text", "cashtags").agg(F.sum("l_quantity").alias("weight"))
     found = mk.topic_asset_links(topics, assets, "topic", "topic", "asset", "txt", 20).select("topic", "asset")
     named = lk.support(posts, assets, "topic", "asset")
-    pairs = found.unionByName(named.select("topic", "asset")).distinct().join(named, ["topic", "asset"], "left").join(assets, "asset")
     raw = lambda x: F.filter(F.transform(F.regexp_extract_all(F.lower(x), F.lit(fixed.WORD_PATTERN), F.lit(1)), lambda t: F.regexp_replace(t, r"^[._-]+|[._-]+$", "")),
                              lambda t: (F.length(t) >= 2) & ~t.rlike("^[0-9]+$") & ~t.isin(*fixed.STOPWORDS, *fixed.URL_DEBRIS))
     two = lambda x: F.array_distinct(F.zip_with(x, F.slice(x, F.lit(2), F.size(x)), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))))
-    e = lk.barrier(pairs.withColumn("tl", raw("topic")).withColumn("al", raw("txt")))
+    pairs = found.unionByName(named, allowMissingColumns=True).groupBy("topic", "asset").agg(F.max("posts").alias("posts"), F.max("interactions").alias("interactions"))
+    e = lk.barrier(pairs.join(assets.withColumn("al", raw("txt")), "asset").withColumn("tl", raw("topic")))
     e = lk.barrier(e.withColumn("tt", F.array_distinct("tl")).withColumn("at", F.array_distinct("al")).withColumn("sh", F.array_intersect("tl", "al")))
     start = lambda v, w: (v != w) & (F.length(v) >= 4) & (F.length(w) >= 4) & (F.substring(v, 1, 4) == F.substring(w, 1, 4))
     zero = F.lit(0)

@@ -76,34 +76,35 @@ def compact(x: Col) -> Column:
 def containments(texts: DataFrame, terms: DataFrame, text_id: str, text: str, term_id: str, term: str, gram: int = 3) -> DataFrame:
     """(text_id, term_id) of every text that holds a term as a run of characters.
 
-    A term meets texts in its gram that fewest texts hold (terms shorter than a gram in themselves), and only texts with that gram are searched."""
-    grams = lambda x, n: F.when(F.length(x) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substr(x, i, F.lit(n))))).otherwise(
-        F.array().cast("array<string>"))
+    A place of a text counts when some term begins like it (with its first ``gram`` characters, or as a whole if it is shorter).  Such places are cut to the
+    lengths of the terms of that beginning, and cuts meet terms as equals: a text costs rows by its own length, however many texts share its runs."""
     t = materialise(terms.select(c(term_id).alias("b"), c(term).alias("term")).where(F.length("term") > 0), "terms")
-    own = t.select("b", "term", F.explode(F.when(F.length("term") < gram, F.array("term")).otherwise(grams(F.col("term"), gram))).alias("g"))
-    body = texts.select(c(text_id).alias("a"), c(text).alias("text")).where(F.length("text") > 0)
-    every = F.concat(*[grams(F.col("text"), n) for n in range(1, gram + 1)])
-    held = materialise(body.select("a", F.explode(every).alias("g")).join(own.select("g").distinct(), "g", "left_semi"), "grams")
-    often = held.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    # a gram that no text holds rules its term out
-    choice = own.join(often, "g", "left").groupBy("b", "term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("x")).where("x.df > 0")
-    candidates = choice.select("b", "term", F.col("x.g").alias("g")).join(held, "g").select("a", "b", "term")
-    found = candidates.join(body, "a").where(F.contains("text", "term")).select("a", "b").distinct()
-    return found.select(F.col("a").alias(text_id), F.col("b").alias(term_id))
+    heads = materialise(t.groupBy(F.substring("term", 1, gram).alias("g")).agg(F.array_sort(F.collect_set(F.length("term"))).alias("sizes")), "term-heads")
+    shapes = heads.select(F.length("g").alias("n"), F.array_max("sizes").alias("most")).groupBy("n").agg(F.max("most")).collect()  # at most one row for each length up to gram
+    if not shapes:
+        return texts.select(c(text_id)).crossJoin(t.select(F.col("b").alias(term_id))).limit(0)
+    longest = max(most for _, most in shapes)
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring(F.col("text"), i, F.lit(longest))))
+    places = texts.select(c(text_id).alias("a"), c(text).alias("text")).where(F.length("text") > 0).select("a", F.explode(runs).alias("run"))
+    begun = places.select("a", "run", F.explode(F.array(*[F.substring("run", 1, n) for n, _ in shapes])).alias("g")).join(heads, "g")
+    cuts = begun.select("a", "run", F.explode("sizes").alias("n")).where(F.length("run") >= F.col("n")).select("a", F.expr("substring(run, 1, n)").alias("term"))
+    return cuts.join(t, "term").select(F.col("a").alias(text_id), F.col("b").alias(term_id)).distinct()
 
 
 def support(posts: DataFrame, assets: DataFrame, topic: str, asset: str) -> DataFrame:
     """(topic, asset, posts, interactions): how many of a topic's posts name an asset, and the weight of those posts.
 
     posts: post (one row each), topic, text, cashtags (upper case), weight.  assets: symbol, name.  A post names an asset by its cashtag, or when the letters and digits
-    of its text hold those of the symbol or of the name."""
-    by_tag = posts.select("post", F.explode("cashtags").alias("symbol")).join(assets.select(c(asset).alias("asset"), F.upper("symbol").alias("symbol")), "symbol").select("post", "asset")
+    of its text hold those of the symbol or of the name.  Posts of one topic with the same letters and tags count as one class, read once."""
+    classes = posts.groupBy(c(topic).alias("t"), compact("text").alias("text"), "cashtags").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()), "post-classes")
+    by_tag = classes.select("class", F.explode("cashtags").alias("symbol")).join(assets.select(c(asset).alias("asset"), F.upper("symbol").alias("symbol")), "symbol").select("class", "asset")
     terms = assets.select(c(asset).alias("asset"), F.explode(F.array_distinct(F.array(compact("symbol"), compact("name")))).alias("term")).where("term <> ''")
     different = terms.select("term").distinct()
-    held = containments(posts.select("post", compact("text").alias("text")), different.withColumn("term_key", F.col("term")), "post", "text", "term_key", "term")
-    by_text = held.join(terms, held.term_key == terms.term).select("post", "asset")
-    named = by_tag.unionByName(by_text).distinct().join(posts.select("post", c(topic).alias("t"), "weight"), "post")
-    return named.groupBy("t", "asset").agg(F.count(F.lit(1)).alias("posts"), F.sum("weight").alias("interactions")).select(
+    held = containments(classes, different.withColumn("term_key", F.col("term")), "class", "text", "term_key", "term")
+    by_text = held.join(terms, held.term_key == terms.term).select("class", "asset")
+    named = by_tag.unionByName(by_text).distinct().join(classes.select("class", "t", "n", "w"), "class")
+    return named.groupBy("t", "asset").agg(F.sum("n").alias("posts"), F.sum("w").alias("interactions")).select(
         F.col("t").alias(topic), F.col("asset").alias(asset), "posts", "interactions")
 
 
@@ -238,7 +239,7 @@ def chosen_links(links: DataFrame, topic: str, asset: str, order: list[Column],
     Every topic is cut to so many rows before the shuffle, plausible ones first; what else is left of a topic with a plausible link goes afterwards."""
     ready = barrier(links.withColumn("__ok", plausible()))
     one = top_n(ready, [topic, asset], [F.col("__ok").desc(), *order], 1)
-    first = top_n(one, [topic], [F.col("__ok").desc(), *order], limit, "rank")
+    first = materialise(top_n(one, [topic], [F.col("__ok").desc(), *order], limit, "rank"), "first-links")
     any_ok = first.groupBy(F.col(topic).alias("__t")).agg(F.max("__ok").alias("__any"))
     return first.join(any_ok, F.col(topic).eqNullSafe(F.col("__t"))).where("__ok OR NOT __any").drop("__ok", "__any", "__t")
 
