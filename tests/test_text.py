@@ -71,3 +71,23 @@ def test_name_runs_of_a_very_long_capitalised_text(spark):
     text = " ".join(f"Solar{chr(97 + i % 26)} Storm{chr(97 + i % 7)}" for i in range(10_000))
     row = spark.createDataFrame([(text,)], "t string").select(F.size(tp.name_runs("t", [])).alias("n")).first()
     assert row["n"] == 4000  # names of five words
+
+
+def test_words_of_a_name_are_looked_at_and_plain_words_are_not(spark):
+    texts = {
+        "the bank of england and Bank of the England, for 3and Foo-bar of- The Tesla.": ["Bank", "England", "Foo-bar", "Tesla"],
+        "we saw Elon Musk at the office of Tesla Motors in Palo Alto": ["Elon Musk", "Tesla Motors in Palo Alto"],
+        "it is eBay of many\x01Sony Music, plain\x01 words": ["eBay", "Sony Music"],
+    }
+    for text, names in texts.items():
+        assert one(spark, tp.name_runs("t", []), text) == names, text
+    taken = spark.createDataFrame([("so many plain words of a text, and one Name " * 50,)], "t string").select(
+        F.regexp_replace("t", tp._PLAIN, tp._CUT).alias("m")).select(F.size(F.regexp_extract_all("m", F.lit(tp._WORD), F.lit(2))).alias("n")).first()
+    assert taken["n"] == 50
+
+
+def test_word_key_is_the_topic_key_of_a_word(spark):
+    for word in ("--Open-Source-", "rock'n'roll", "o’clock", "a_b", "AT&T", "x", "", None, "don't", "münchen"):
+        df = spark.createDataFrame([(word,)], "t string").select(tx.word_key("t").alias("a"), tx.topic_key("t").alias("b")).first()
+        assert df["a"] == df["b"], word
+    assert not any(r in tp._WORD + tp._PLAIN for r in ("a-z", "A-Z", "0-9"))

@@ -45,8 +45,13 @@ def is_proper(t: Column, key: Column, weak: list[str]) -> Column:
 
 
 # one word, and what stands before it; a flat pattern: repeated groups would recurse once per word
-_WORD = r"([^A-Za-z]*)([A-Za-z][A-Za-z0-9&'-]*)"
+_WORD = tx.spelled_out(r"([^A-Za-z]*)([A-Za-z][A-Za-z0-9&'-]*)")
 _LINKS = [w for w in fixed.CONNECTORS if w != "&"]
+# a whole word without a capital letter that only ends what stands before it: no connector, or one in front of such a word
+_LOWER = "[a-z][a-z0-9&'-]*+(?![A-Z])"
+_PLAIN = tx.spelled_out(
+    rf"(?=[a-z])(?<![A-Za-z0-9&'-])(?!(?:{'|'.join(_LINKS)})(?![A-Za-z0-9&'-])(?![^A-Za-z]*+{_LOWER})){_LOWER} ?")
+_CUT = "\x01"
 
 
 def name_runs(text: Col, weak: list[str]) -> Column:
@@ -54,15 +59,19 @@ def name_runs(text: Col, weak: list[str]) -> Column:
 
     A stretch is a series of words with a capital letter, parted by gaps without sentence marks or by one connector word.
     Inside a stretch a name has at most five words, weak or noise words end it, and a plain capitalised first word of a sentence
-    starts one only when the text repeats it.  Words are taken and flagged once, then folded once, so a text of any length is fine."""
+    starts one only when the text repeats it.  Words are taken and flagged once, then folded once, so a text of any length is fine.
+
+    Most words are plain; each becomes one character of the gap in front of the next word, so that only the others are looked at one by one."""
     marked = F.concat(F.lit("#"), F.ltrim(c(text)))  # '#': start of text counts as a sentence start
-    zipped = F.arrays_zip(
-        F.regexp_extract_all(marked, F.lit(_WORD), F.lit(1)).alias("gap"), F.regexp_extract_all(marked, F.lit(_WORD), F.lit(2)).alias("tok"))
-    lower = F.array_sort(F.regexp_extract_all(F.lower(c(text)), F.lit(r"([a-z][a-z0-9&'-]*)"), F.lit(1)))
+    marked = F.regexp_replace(F.replace(marked, F.lit(_CUT), F.lit("\x02")), _PLAIN, _CUT)
+    zipped = bind(marked, lambda m: F.arrays_zip(
+        F.regexp_extract_all(m, F.lit(_WORD), F.lit(1)).alias("gap"), F.regexp_extract_all(m, F.lit(_WORD), F.lit(2)).alias("tok")))
+    lower = F.sort_array(F.regexp_extract_all(F.lower(c(text)), F.lit(tx.spelled_out(r"([a-z][a-z0-9&'-]*)")), F.lit(1)))
     repeated = bind(lower, lambda ks: F.array_distinct(F.filter(ks, lambda k, i: (i > 0) & (F.get(ks, i - 1) == k))))
 
     def flags(z: Column, rep: Column) -> Column:
         t, gap = z["tok"], z["gap"]
+        cut = gap.contains(_CUT)
 
         def with_key(k: Column) -> Column:
             plain = t.rlike("^[A-Z]") & t.rlike("^.[^A-Z]*[a-z]") & ~t.rlike("^.+[A-Z]")
@@ -70,20 +79,20 @@ def name_runs(text: Col, weak: list[str]) -> Column:
             lead = gap.rlike(r"(^#|[.!?;:])\s*$")
             skip = lead & plain & ~F.array_contains(rep, F.lower(t)) & ~one_of(k, ENT) & ~one_of(k, ACR)
             return F.struct(
-                t.alias("tok"), F.lit(True).alias("name"), F.lit(False).alias("joins"), (~gap.rlike(r"[.!?;:]")).alias("near"),
+                t.alias("tok"), cut.alias("cut"), F.lit(True).alias("name"), F.lit(False).alias("joins"), (~gap.rlike(r"[.!?;:]")).alias("near"),
                 (~gap.rlike("[0-9&'-]$")).alias("opens"), proper.alias("proper"), (proper & ~skip).alias("first"),
                 one_of(k, NOISE).alias("noise"), k.isin(*fixed.CONNECTORS).alias("link"))
 
         other = F.struct(
-            t.alias("tok"), F.lit(False).alias("name"), t.isin(*_LINKS).alias("joins"), (~gap.rlike(r"[.!?;:]")).alias("near"), F.lit(False).alias("opens"),
+            t.alias("tok"), cut.alias("cut"), F.lit(False).alias("name"), t.isin(*_LINKS).alias("joins"), (~gap.rlike(r"[.!?;:]")).alias("near"), F.lit(False).alias("opens"),
             F.lit(False).alias("proper"), F.lit(False).alias("first"), F.lit(False).alias("noise"), F.lit(True).alias("link"))
-        return F.when(t.rlike("[A-Z]"), bind(tx.topic_key(t), with_key)).otherwise(other)
+        return F.when(t.rlike("[A-Z]"), bind(tx.word_key(t), with_key)).otherwise(other)
 
     def fold(fl: Column) -> Column:
         def ahead(z: Column, i: Column) -> Column:
             n = F.get(fl, i + 1)
-            return z.withField("next_name", F.coalesce(n["name"], F.lit(False))).withField(
-                "next_proper", F.coalesce(n["proper"] & (z["joins"] | n["near"]), F.lit(False)))
+            return z.withField("next_name", F.coalesce(n["name"] & ~n["cut"], F.lit(False))).withField(
+                "next_proper", F.coalesce(n["proper"] & ~n["cut"] & (z["joins"] | n["near"]), F.lit(False)))
 
         empty = F.array().cast("array<string>")
         # at: 0 outside of stretches, 1 after a word of one, 2 after a connector inside one
@@ -91,7 +100,7 @@ def name_runs(text: Col, weak: list[str]) -> Column:
         closed = lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["done"], F.array(F.concat_ws(" ", a["cur"])))).otherwise(a["done"])
 
         def step(a: Column, z: Column) -> Column:
-            goes_on = (z["name"] & (((a["at"] == 1) & z["near"]) | (a["at"] == 2))) | (z["joins"] & (a["at"] == 1) & z["near"] & z["next_name"])
+            goes_on = ~z["cut"] & ((z["name"] & (((a["at"] == 1) & z["near"]) | (a["at"] == 2))) | (z["joins"] & (a["at"] == 1) & z["near"] & z["next_name"]))
             begins = ~goes_on & z["name"] & z["opens"]
             room = goes_on & (F.size(a["cur"]) > 0) & (F.size(a["cur"]) < 5) & z["near"] & ~z["noise"]
             grow = goes_on & (F.size(a["cur"]) > 0) & (a["force"] | (room & z["proper"]))
@@ -139,15 +148,13 @@ def show(t: Column) -> Column:
     return F.when(one_of(t, ACR), F.upper(t)).when(t.contains("-"), F.concat_ws("-", F.transform(parts, cap))).otherwise(cap(t))
 
 
-def reduce_to_pair(df: DataFrame, raw: str, kind: str, weak: list[str]) -> DataFrame:
+def reduce_to_pair(df: DataFrame, key: str, kind: str, weak: list[str]) -> DataFrame:
     """Adds ``topic``: the candidate as two keywords, filled up from the text's best own words when it has fewer.
 
-    Needs ``toks`` (array of (key, place in the text)) and ``spare`` (best words of the text with their places)."""
-    sigil = F.regexp_replace(F.col(raw), r"^[$#]", "")
-    key = tx.topic_key(sigil)
+    Needs the candidate's ``key``, ``toks`` (array of (key, place in the text)) and ``spare`` (best words of the text with their places)."""
     listed = words(NOISE + NUMBERS) + weak
-    df = barrier(df.withColumn("__t", F.transform("toks", lambda x: x["key"])).withColumn("__key", key))
-    key = F.col("__key")
+    df = barrier(df.withColumn("__t", F.transform("toks", lambda x: x["key"])))
+    key = F.col(key)
     first = F.filter("__t", lambda t: informative(t, weak))
     second = F.filter("__t", lambda t: ~one_of(t, listed))
     df = df.withColumn("__own", F.slice(F.array_distinct(F.concat(F.slice(F.array_distinct(first), 1, 2), second)), 1, 2))
@@ -165,13 +172,13 @@ def reduce_to_pair(df: DataFrame, raw: str, kind: str, weak: list[str]) -> DataF
     df = df.withColumn("__pair", F.when(F.size("__t") == 2, F.col("__t")).when(F.size("__pick") == 2, ordered))
     df = barrier(df)
     known = _alias(F.concat_ws(" ", "__pair"), 1)
-    known = F.when(F.size(tx.topic_tokens(known)) == 2, known)
+    known = F.when(known.isNotNull() & (F.size(tx.topic_tokens(known)) == 2), known)
     alone = F.coalesce(_alias(key, 1), F.when(F.col(kind) == "cashtag", F.upper(key)).when(one_of(key, ACR), F.upper(key))
                        .when(F.col(kind) == "hashtag", key).otherwise(F.concat_ws(" ", F.transform(F.split(key, " "), show))))
     df = df.withColumn("topic", F.when(
         F.col("__pair").isNotNull(), F.coalesce(known, F.concat_ws(" ", F.transform("__pair", show)))
     ).otherwise(F.when(key == "", "").otherwise(alone)))
-    return barrier(df.drop("__t", "__key", "__own", "__pick", "__place", "__pair"))
+    return barrier(df.drop("__t", "__own", "__pick", "__place", "__pair"))
 
 
 def acceptable(topic: str, kind: str, key: str, tokens: str, score: str, weak: list[str]) -> Column:
@@ -221,35 +228,35 @@ def topic_candidates(posts: DataFrame, post_id: str, text: str, quality: Column
     mark = lambda xs, kind, sign: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(sign), x).alias("raw")))
 
     def found(keys: Column) -> Column:
-        """All candidates with the places of their words, plus the four best words of the text."""
+        """All different candidates in order of their first places, with the places of their words, plus the four best words of the text."""
         cands = F.concat(
-            mark(F.regexp_extract_all("__text", F.lit(fixed.CASHTAG_PATTERN), F.lit(1)), "cashtag", "$"),
-            mark(F.regexp_extract_all("__text", F.lit(fixed.HASHTAG_PATTERN), F.lit(1)), "hashtag", "#"),
-            mark(name_runs("__text", weak), "entity", ""),
+            mark(F.array_distinct(F.regexp_extract_all("__text", F.lit(fixed.CASHTAG_PATTERN), F.lit(1))), "cashtag", "$"),
+            mark(F.array_distinct(F.regexp_extract_all("__text", F.lit(fixed.HASHTAG_PATTERN), F.lit(1))), "hashtag", "#"),
+            mark(F.array_distinct(name_runs("__text", weak)), "entity", ""),
             mark(F.filter(keys, lambda t: strong_keyword(t, weak)), "keyword", ""),
         )
         placed = F.transform(cands, lambda x: bind(tx.topic_key(F.regexp_replace(x["raw"], r"^[$#]", "")), lambda k: F.struct(
-            x["kind"].alias("kind"), x["raw"].alias("raw"),
+            x["kind"].alias("kind"), x["raw"].alias("raw"), k.alias("key"),
             F.transform(
                 F.regexp_extract_all(F.coalesce(_alias(k, 0), k), F.lit(fixed.TOPIC_TOKEN_PATTERN), F.lit(1)),
                 lambda t: F.struct(t.alias("key"), F.array_position(keys, t).alias("place")),
             ).alias("toks"),
         )))
-        ranked = F.array_sort(F.transform(keys, lambda t, i: F.struct(
+        ranked = F.sort_array(F.transform(keys, lambda t, i: F.struct(
             (-keyword_rank(t, weak)).alias("r"), (i + 1).cast("long").alias("place"), t.alias("key"))))
         spare = F.transform(F.slice(ranked, 1, 4), lambda z: F.struct(z["key"].alias("key"), z["place"].alias("place")))
         return F.struct(placed.alias("cands"), spare.alias("spare"))
 
-    keys = F.array_distinct(F.filter(F.transform(tx.tokens("__text"), tx.topic_key), lambda k: k != ""))
+    keys = F.array_distinct(F.filter(F.transform(tx.tokens("__text"), tx.word_key), lambda k: k != ""))
     rows = base.withColumn("f", bind(keys, found)).select(post_id, "__q", "f.spare", F.posexplode("f.cands").alias("pos", "c")).select(
-        post_id, "__q", "spare", "pos", F.col("c.kind").alias("topic_type"), F.col("c.raw").alias("raw"), F.col("c.toks").alias("toks")
+        post_id, "__q", "spare", "pos", F.col("c.kind").alias("topic_type"), F.col("c.raw").alias("raw"), F.col("c.key").alias("raw_key"), F.col("c.toks").alias("toks")
     )
-    rows = reduce_to_pair(rows, "raw", "topic_type", weak)
+    rows = reduce_to_pair(rows, "raw_key", "topic_type", weak)
     rows = rows.withColumn("topic_key", tx.topic_key("topic"))
     rows = barrier(rows.withColumn("tokens", F.regexp_extract_all("topic_key", F.lit(fixed.TOPIC_TOKEN_PATTERN), F.lit(1))))
     rows = rows.withColumn("__alias", F.coalesce(_alias("topic_key", 2), F.lit(0.0)))
-    rows = rows.withColumn("__plain", tx.candidate_score("topic", "topic_type", F.lit(0.0), F.col("__alias")))
-    rows = barrier(rows.withColumn("__score", tx.candidate_score("topic", "topic_type", "__q", F.col("__alias"))))
+    scores = tx.candidate_scores("tokens", "topic_type", [F.lit(0.0), F.col("__q")], F.col("__alias"))
+    rows = barrier(barrier(rows.withColumn("__s", scores)).withColumns({"__plain": F.col("__s.s0"), "__score": F.col("__s.s1")}).drop("__s"))
     key = F.col("topic_key")
     floor = tx._by_type(F.col("topic_type"), CANDIDATE_FLOOR, 0.50)
     floor = F.when(one_of(key, ENT), F.least(floor, F.lit(0.34))).when(F.col("__alias") > 0, F.least(floor, F.lit(0.38))).otherwise(floor)
