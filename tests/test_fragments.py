@@ -21,6 +21,17 @@ def test_a_run_in_half_of_all_names_makes_no_pairs(spark):
     assert pairs.count() == 20_000  # the word itself lies in all of them, and nothing else in anything
 
 
+def test_names_of_the_same_common_runs_make_no_pairs(spark):
+    """Names of one small set of syllables: none has a rare run, and a name still gives a row for each of its own parts only."""
+    syllables = ["stor", "mlan", "dtha", "ting"]
+    names = ["".join(syllables[(i // 4 ** k) % 4] for k in range(6)) for i in range(4 ** 6)]
+    df = spark.createDataFrame([(n, 1) for n in names] + [("stormlan", 1), ("landthat", 5000)], "name string, support long")
+    parts = fr.pieces(df, "name", df, "name")
+    assert parts.count() <= len(names) * 21 * 2  # places x lengths (8, 24)
+    kept = {r.name for r in fr.drop_fragments(df, "name", "support").collect()}
+    assert kept == set(names) | {"landthat"}
+
+
 def test_fragments_go_only_under_enough_support(spark):
     rows = [("Elon Musk", 10), ("Musk", 10), ("usk", 3), ("Elonmusk", 11), ("Storm", None), ("Solar Storm", 0), ("lar Storm", 1), (None, 5), ("", 5), ("MUSK!", 2), ("rocket", 7), ("rockets", 6)]
     kept = [r.label for r in fr.drop_fragments(spark.createDataFrame(rows, "label string, support long"), "label", "support").collect()]

@@ -6,6 +6,7 @@ from tidegauge import fixed
 from tidegauge.catalog import query
 from tidegauge.catalog.sqlkit import arr, big
 from tidegauge.catalog.texts import _LDROP, _SING, _re_any
+from tidegauge.functions import text as tx
 from tidegauge.operators import fragments as fr, merges
 from tidegauge.plans import standins as st
 
@@ -14,7 +15,7 @@ _WORDS = "SELECT w AS name, count(*) AS support FROM (SELECT unnest(regexp_extra
 
 def words(spark, sf):
     docs = st.table(spark, sf, "documents")
-    return docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("support"))
+    return docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(tx.spelled_out("[a-z]+")), F.lit(0))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("support"))
 
 
 @query(

@@ -8,6 +8,7 @@ from tidegauge import fixed
 from tidegauge.functions import labels as lb
 from tidegauge.functions.basic import Col, c, one_of
 from tidegauge.operators.merges import TRUSTED_NAME_SOURCES
+from tidegauge.session import materialise
 
 LOW_SUPPORT = 5
 
@@ -50,29 +51,38 @@ def cut_alias(label: Col, raw_keys: Col, supported: Column) -> Column:
     return F.coalesce((F.size(lb.label_tokens(label)) == 1) & alias & ~supported, F.lit(False))
 
 
+def pieces(names: DataFrame, name: str, shorts: DataFrame, short: str, least: int = 4) -> DataFrame:
+    """names with ``piece``: the parts of a name, shorter than it, that have the first ``least`` characters and the length of one of the shorts.
+
+    What a name gives depends on its own length and on how many lengths there are, never on how many names share its letters."""
+    sizes = shorts.where(F.length(short) >= least).groupBy(F.substring(short, 1, least).alias("__gram")).agg(F.collect_set(F.length(short)).alias("__sizes"))
+    ends = F.transform(F.sequence(F.lit(1), F.length(name) - least + 1), lambda i: F.substr(F.col(name), i, F.length(name)))
+    places = names.where(F.length(name) > least).withColumn("__rest", F.explode(ends)).withColumn("__gram", F.substring("__rest", 1, least))
+    fits = F.filter("__sizes", lambda n: (n <= F.length("__rest")) & (n < F.length(name)))
+    return places.join(sizes, "__gram").select(*names.columns, F.explode(F.transform(fits, lambda n: F.substr(F.col("__rest"), F.lit(1), n))).alias("piece"))
+
+
 def contained_names(names: DataFrame, name: str, least: int = 4) -> DataFrame:
     """Exact pairs ``(short, long)`` of different names, the first of at least ``least`` characters and contained in the second.
 
-    A name can only lie in names that hold its rarest run of ``least`` characters, so it meets those alone: no pairs within a common
-    run, and one index row per different run of a name.  Null and shorter names take no part; equal names are one."""
-    every = names.select(F.col(name).alias("long")).where(F.length("long") >= least).distinct()
-    grams = every.select("long", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("long") - least + 1), lambda i: F.substr(F.col("long"), i, F.lit(least))))).alias("gram"))
-    common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = grams.join(common, "gram").groupBy(F.col("long").alias("short")).agg(F.min(F.struct("n", "gram")).alias("r")).where("r.n > 1").select(
-        "short", F.col("r.gram").alias("gram"))
-    return rarest.join(grams, "gram").where((F.length("long") > F.length("short")) & F.contains("long", "short")).select("short", "long")
+    A name meets others as the equal of one of their parts, so the pairs that are found are the only ones made.  Null and shorter names take no
+    part; equal names are one."""
+    every = materialise(names.select(F.col(name).alias("long")).where(F.length("long") >= least).distinct(), "names")
+    shorts = every.withColumnRenamed("long", "short")
+    found = pieces(every, "long", shorts, "short", least)
+    return found.join(shorts, F.col("piece") == F.col("short")).select("short", "long").distinct()
 
 
 def drop_fragments(rows: DataFrame, label: str, support: str, least: int = 4) -> DataFrame:
     """Rows whose one-word label is no part of a longer label with at least its support.
 
-    Rows without a label stay; a null support is 0; rows of one compact label stand and fall together, by their largest support."""
-    keyed = rows.withColumn("__k", lb.compact_identity(label))
-    weight = keyed.where(F.col("__k") != "").groupBy("__k").agg(F.max(F.coalesce(F.col(support), F.lit(0))).alias("__w"))
-    single = keyed.where(F.size(lb.label_tokens(label)) == 1).select(F.col("__k").alias("short")).distinct()
-    pairs = contained_names(weight, "__k", least).join(single, "short", "left_semi")
-    w = lambda as_key, as_weight: weight.select(F.col("__k").alias(as_key), F.col("__w").alias(as_weight))
-    gone = pairs.join(w("short", "ws"), "short").join(w("long", "wl"), "long").where("wl >= ws").select(F.col("short").alias("__gone")).distinct()
-    ok = F.size(lb.label_tokens(label)) == 1
-    return keyed.join(gone, ok & (F.col("__k") == F.col("__gone")), "left_anti").drop("__k")
+    Rows without a label stay; a null support is 0; rows of one compact label stand and fall together, by their largest support.  Of all labels that
+    hold a part only the largest support counts, so parts are summed up before they meet the labels.  The rows are written once and read three times."""
+    one = F.size(lb.label_tokens(label)) == 1
+    keyed = materialise(rows.withColumns({"__k": lb.compact_identity(label), "__one": one}), "labels")
+    weight = keyed.where(F.col("__k") != "").groupBy("__k").agg(
+        F.max(F.coalesce(F.col(support), F.lit(0))).alias("__w"), F.max("__one").alias("__one"))
+    single = weight.where("__one").select(F.col("__k").alias("short"), F.col("__w").alias("ws"))
+    holders = pieces(weight.select("__k", "__w"), "__k", single, "short", least).groupBy("piece").agg(F.max("__w").alias("wl"))
+    gone = single.join(holders, F.col("short") == F.col("piece")).where("wl >= ws").select(F.col("short").alias("__gone"))
+    return keyed.join(gone, F.col("__one") & (F.col("__k") == F.col("__gone")), "left_anti").drop("__k", "__one")
