@@ -43,3 +43,12 @@ def test_global_rank_is_total(spark):
     df = spark.range(5000).select("id", (F.col("id") % 7).alias("s"))
     got = wi.global_rank(df, [F.col("s").desc(), F.col("id").asc()], "n")
     assert got.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first() == (1, 5000, 5000)
+
+
+def test_momentum_components_are_stages(spark, sf_dir):
+    """As one expression the components repeat each other, in a method that the JVM does not compile."""
+    from tidegauge.catalog import market
+    from tidegauge.operators import market as mk
+
+    df = mk.momentum(market.coins(spark, sf_dir)).select("id", "momentum", "signal")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") == 6

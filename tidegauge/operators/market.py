@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidegauge.functions import text as tx
-from tidegauge.functions.basic import Col, c, clamp
+from tidegauge.functions.basic import barrier, Col, c, clamp
 from tidegauge.operators.links import top_overlaps
 from tidegauge.operators.windows import best, top_n
 
@@ -140,7 +140,10 @@ def _mean(*xs: Column) -> Column:
 
 
 def momentum(df: DataFrame) -> DataFrame:
-    """Seven components, three penalties, score 0..100 and the leading signal."""
+    """Seven components, three penalties, score 0..100 and the leading signal.
+
+    Stages stand apart: as one expression the components repeat each other, in a method too long to be compiled by the JVM."""
+    df = barrier(df)
     p1, p6, p24 = F.col("change_1h"), F.col("change_6h"), F.col("change_24h")
     price = _lin(p1, 0.5, 8.5) * 0.56 + _lin(p6, 1.4, 18) * 0.31 + _lin(p24, 2, 38) * 0.13
     price = price * F.when(p1 < 0, 0.4).otherwise(1.0) * F.when(p6 < 0, 0.6).otherwise(1.0)
@@ -150,7 +153,7 @@ def momentum(df: DataFrame) -> DataFrame:
     vol = _mean(_ratio("volume_1h", v24 / 24, 1.02, 4.4, 0.35), _ratio("volume_6h", v24 / 4, 1, 2.8, 0.34))
     txn = _mean(_ratio("txns_1h", t24 / 24, 1, 4, 0.34), _ratio("txns_6h", t24 / 4, 1, 2.7, 0.34))
     df = df.withColumn("m_price", clamp(price, 0.0, 1.0)).withColumn("m_turn", clamp(_mean(now, six), 0.0, 1.0))
-    df = df.withColumn("m_vol", vol).withColumn("m_txn", txn)
+    df = barrier(df.withColumn("m_vol", vol).withColumn("m_txn", txn))
     df = df.withColumn("m_accel", clamp(F.col("m_turn") * 0.46 + F.col("m_vol") * 0.33 + F.col("m_txn") * 0.21, 0.0, 1.0))
     turnover = _ratio(v24, "liquidity", 0.9, 7.5, 0.3)
     df = df.withColumn("m_volume", clamp(
@@ -161,13 +164,14 @@ def momentum(df: DataFrame) -> DataFrame:
     total = F.col("buys") + F.col("sells")
     raw = clamp((F.col("buys") / total - 0.48) / F.lit(0.18), 0.0, 1.0)
     df = df.withColumn("m_flow", F.when(total <= 0, 0.5).otherwise(clamp(raw * (0.65 + clamp(total / 400, 0.0, 1.0) * 0.35), 0.0, 1.0)))
+    df = barrier(df)
     share = F.col("market_cap") / F.col("fdv")
     sane = (
         F.when((F.col("fdv") <= 0) | (F.col("market_cap") <= 0) | share.isNull(), 0.58).when(share.between(0.55, 1.12), 1.0)
         .when((share >= 0.38) & (share < 0.55), 0.82).when((share >= 0.2) & (share < 0.38), 0.48).when((share > 1.12) & (share <= 1.35), 0.74).otherwise(0.2)
     )
     whole = F.col("url").isNotNull() & F.col("pair").isNotNull()
-    df = df.withColumn("m_sane", sane).withColumn("m_quality", clamp(
+    df = barrier(df.withColumn("m_sane", sane)).withColumn("m_quality", clamp(
         _logs("liquidity", 40_000, 2_500_000) * 0.42 + _lin("market_score", 54, 86) * 0.22 + _ratio(v24, "liquidity", 0.8, 6.5, 0.36) * 0.16
         + F.col("m_sane") * 0.12 + F.when(whole, 1.0).otherwise(0.2) * 0.08, 0.0, 1.0))
     age = F.col("age_hours")
@@ -188,13 +192,13 @@ def momentum(df: DataFrame) -> DataFrame:
     )
     stale = pts(age >= 336, pts(p1.isNull() | (p1 < 0.6), 4.0) + pts(p6.isNull() | (p6 < 2), 4.0) + pts(F.col("m_vol") < 0.34, 3.5)
                 + pts(F.col("m_txn") < 0.34, 3.5)) + pts(age >= 1080, 2.0)
-    df = df.withColumn("m_over", clamp(over, 0.0, 28.0))
+    df = barrier(df.withColumn("m_over", clamp(over, 0.0, 28.0)))
     positive = (
         F.col("m_price") * 0.24 + F.col("m_accel") * 0.19 + F.col("m_volume") * 0.17 + F.col("m_trades") * 0.13 + F.col("m_flow") * 0.09
         + F.col("m_quality") * 0.11 + fresh * 0.07
     ) * 100
     penalty = F.col("m_over") * 0.95 + clamp(rug, 0.0, 38.0) + clamp(stale, 0.0, 18.0) * 0.9
-    df = df.withColumn("momentum", F.floor(F.round(clamp(positive - penalty, 0.0, 100.0), 9) + 0.5).cast("long"))
+    df = barrier(df.withColumn("momentum", F.floor(F.round(clamp(positive - penalty, 0.0, 100.0), 9) + 0.5).cast("long")))
     acc, vo, tr = F.col("m_accel"), F.col("m_volume"), F.col("m_trades")
     signal = (
         F.when((acc >= 0.74) & (vo >= 0.62) & (tr >= 0.56) & (F.col("m_over") <= 8), "Breakout starting").when(acc >= 0.76, "Acceleration")
