@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from tidegauge.functions import labels as lb, text as tx
@@ -91,3 +93,14 @@ def test_word_key_is_the_topic_key_of_a_word(spark):
         df = spark.createDataFrame([(word,)], "t string").select(tx.word_key("t").alias("a"), tx.topic_key("t").alias("b")).first()
         assert df["a"] == df["b"], word
     assert not any(r in tp._WORD + tp._PLAIN for r in ("a-z", "A-Z", "0-9"))
+
+
+def test_title_words_are_cut_once_for_the_whole_text(spark):
+    texts = ["--a-- 'Big' b-c, (Storm)!  $x# ... é", "", " ", "Ends with dash- -begins", "many Ⅳ words—here … \u0085 end\u0085"]
+    for text in texts:
+        got = one(spark, lb.title_check("t"), text)
+        words = [w for w in (re.sub(r"^[^A-Za-z0-9$#]+|[^A-Za-z0-9$#]+$", "", w).lower() for w in re.sub(r"[ \t\n\r\f\v]+", " ", text).strip(" ").split(" ")) if w]
+        assert got["word_count"] == len(words), text
+    df = spark.createDataFrame([("a",)], "t string").select(lb.title_check("t").alias("r")).select("r.*")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tidegauge import fixed
-from tidegauge.functions.basic import Col, blank_to_null, c, count_in, words, one_of
+from tidegauge.functions.basic import Col, bind, blank_to_null, c, count_in, words, one_of
+from tidegauge.functions.text import spelled_out
 
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
@@ -285,24 +286,29 @@ def safe_name(*names: Col) -> Column:
 # -- titles ---------------------------------------------------------------------------------------------
 
 
+# what stands around the letters and digits of a word; the words of a text are parted by single spaces
+_WORD_EDGE = spelled_out(r"(?:^|(?<= ))[^ A-Za-z0-9$#]++|[^ A-Za-z0-9$#]++(?= |$)")
+
+
 def title_check(x: Col) -> Column:
-    """struct(word_count, informative_count, errors)."""
-    text = F.trim(F.regexp_replace(c(x), r"\s+", " "))
-    toks = F.filter(
-        F.transform(F.split(text, " "), lambda t: F.lower(F.regexp_replace(t, r"(?i)^[^a-z0-9$#]+|[^a-z0-9$#]+$", ""))),
-        lambda t: t != "",
-    )
-    inf = F.size(F.filter(toks, lambda t: ~one_of(t, fixed.TITLE_GENERIC_WORDS)))
-    n = F.size(toks)
-    rules = [
-        ("empty", text == ""), ("too few words", n < 4), ("too many words", n > 14), ("too long", F.length(text) > 140),
-        ("punctuation", text.rlike(fixed.TITLE_PUNCTUATION)), ("headline style", text.rlike(fixed.TITLE_HEADLINE_WORDS)),
-        ("too generic", inf < 3),
-    ]
-    return F.struct(
-        n.alias("word_count"), inf.alias("informative_count"),
-        F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules])).alias("errors"),
-    )
+    """struct(word_count, informative_count, errors); the text is cleaned and cut into words once, as a whole."""
+
+    def checked(z: Column) -> Column:
+        text, n = z["text"], F.size(z["toks"])
+        inf = F.size(F.filter(z["toks"], lambda t: ~one_of(t, fixed.TITLE_GENERIC_WORDS)))
+        rules = [
+            ("empty", text == ""), ("too few words", n < 4), ("too many words", n > 14), ("too long", F.length(text) > 140),
+            ("punctuation", text.rlike(fixed.TITLE_PUNCTUATION)), ("headline style", text.rlike(fixed.TITLE_HEADLINE_WORDS)),
+        ]
+        return bind(inf, lambda k: F.struct(
+            n.alias("word_count"), k.alias("informative_count"),
+            F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in [*rules, ("too generic", k < 3)]])).alias("errors")))
+
+    def cut(text: Column) -> Column:
+        toks = F.filter(F.split(F.lower(F.regexp_replace(text, _WORD_EDGE, "")), " "), lambda t: t != "")
+        return F.struct(text.alias("text"), toks.alias("toks"))
+
+    return bind(bind(F.trim(F.regexp_replace(c(x), r"\s+", " ")), cut), checked)
 
 
 # -- urls and numbers -------------------------------------------------------------------------------------
