@@ -52,3 +52,19 @@ def test_momentum_components_are_stages(spark, sf_dir):
 
     df = mk.momentum(market.coins(spark, sf_dir)).select("id", "momentum", "signal")
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") == 6
+
+
+def test_read_model_refresh_reads_written_facts(spark, sf_dir, monkeypatch):
+    from tidegauge import catalog as cat
+    from tidegauge.catalog import storage
+
+    cat.load()
+    seen, refresh = [], storage.rm.refresh
+
+    def look(session, facts, *rest):
+        seen.append(facts._jdf.queryExecution().optimizedPlan().toString())
+        return refresh(session, facts, *rest)
+
+    monkeypatch.setattr(storage.rm, "refresh", look)
+    cat.QUERIES["read_model_refresh"](spark, sf_dir)
+    assert len(seen) == 2 and all("Join" not in plan and "parquet" in plan for plan in seen)

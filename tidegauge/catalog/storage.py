@@ -8,7 +8,7 @@ from tidegauge.catalog import query
 from tidegauge.catalog.mentions import mention_facts
 from tidegauge.catalog.sqlkit import MENTIONS, MINUTES, big, r6, ts
 from tidegauge.plans import readmodel as rm, standins as st
-from tidegauge.session import scratch_path
+from tidegauge.session import materialise, scratch_path
 from tidegauge.sources import datasets as ds, publication as pb
 
 
@@ -128,7 +128,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     root = scratch_path(spark, "readmodel")
-    facts = mention_facts(spark, sf)
+    facts = materialise(mention_facts(spark, sf), "mention-facts")  # written once, read by every step of both runs
     # a first run over everything, then an incremental one that re-reads the overlap only
     _, end = rm.refresh(spark, facts, root, datetime(2024, 1, 28, 12), None)
     rm.refresh(spark, facts, root, datetime(2024, 1, 30, 12), end)
