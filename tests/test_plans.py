@@ -46,7 +46,7 @@ def test_global_rank_is_total(spark):
 
 
 def test_momentum_components_are_stages(spark, sf_dir):
-    """As one expression the components repeat each other, in a method that the JVM does not compile."""
+    """As one expression the components repeat each other."""
     from tidegauge.catalog import market
     from tidegauge.operators import market as mk
 

@@ -142,7 +142,7 @@ def _mean(*xs: Column) -> Column:
 def momentum(df: DataFrame) -> DataFrame:
     """Seven components, three penalties, score 0..100 and the leading signal.
 
-    Stages stand apart: as one expression the components repeat each other, in a method too long to be compiled by the JVM."""
+    Stages stand apart, as in one expression the components repeat each other."""
     df = barrier(df)
     p1, p6, p24 = F.col("change_1h"), F.col("change_6h"), F.col("change_24h")
     price = _lin(p1, 0.5, 8.5) * 0.56 + _lin(p6, 1.4, 18) * 0.31 + _lin(p24, 2, 38) * 0.13
