@@ -75,6 +75,25 @@ def test_one_passage_in_many_surroundings(make):
     assert sorted(found(got)) == sorted(brute(texts, 200))
 
 
+def test_large_groups_cost_rows_by_segments(make, monkeypatch):
+    """No table of the way has a row for every window of a passage in many surroundings; runs of one byte and cut characters go the same way."""
+    rnd = random.Random(4)
+    passage = "é" + " ".join(str(rnd.random()) for _ in range(12)) + "ü"
+    texts = [f"{rnd.random()} {rnd.random()} {passage} {rnd.random()} {rnd.random()}" for _ in range(400)] + ["-" * n for n in range(150, 450)] + ["é" * n for n in range(90, 240)]
+    rows = []
+    write = substring_dedup.materialise
+
+    def counted(df, label):
+        out = write(df, label)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "materialise", counted)
+    got = substring_dedup.removed(make([(t,) for t in texts], "text string"))
+    assert sorted(found(got)) == sorted(brute(texts, 200))
+    assert max(rows) < 20 * len(texts)
+
+
 def test_empty_table(make):
     assert substring_dedup.removed(make([], "doc_id long, text string")).count() == 0
 

@@ -56,7 +56,7 @@ def parts(texts: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int,
     """(first row, end row, bytes, byte offsets of the rows) of runs of rows of about ``limit`` bytes; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
     n = len(texts)
     if not n:
         return

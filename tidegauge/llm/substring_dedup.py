@@ -5,9 +5,9 @@
   places of every least string; keys with a single place cannot repeat and are left out of the second pass by a filter of bounded size.
 * Segments of equal bytes collapse to one with a count.  All segments of a key meet in a shard (a lane of ``suffix_arrays``), whose suffix
   array is made by induced sorting; suffixes that share ``length`` bytes with a neighbour in order, by the permuted common prefixes, are repeated windows.
-* Keys with more than ``SHARD`` bytes of different segments (a passage in very many surroundings) are dealt to several shards.  A window that repeats
-  inside its shard is settled there; every shard then sends each of its different windows once, by a 128-bit hash, so those that stand alone find their
-  equals in other shards.
+* Keys with more than ``SHARD`` bytes of different segments (a passage in very many surroundings) are cut again: their segments go the same way as texts, with
+  strings so much longer that a window has a quarter of them.  Segments that agree only in the shorter string part there; those that stand alone go.  At
+  last a string is a window, whose places are counted.  A large group costs some rows a segment and round, not one a window.
 * The repeated ranges return to the texts.  Everything is judged on the input.
 
 Matches never cross documents.  Null texts are empty.  Rows that repeat are documents of their own, whose texts repeat each other; ids
@@ -30,7 +30,7 @@ from tidegauge.llm.suffix_arrays import common_prefixes, suffix_arrays
 LENGTH = 200
 GRAM = 48
 SHARD = 1 << 15  # bytes of the largest group that is a shard of its own
-DEALT = 1 << 13  # bytes of a shard of a larger group, on average
+DEALT = 1 << 13  # the same, of segments that were cut again
 LANE = 1 << 12  # small groups share a lane of about so many bytes
 CELLS = 1 << 21  # lanes x longest lane that are sorted at once
 WINDOWS = 1 << 20  # windows looked at together, also of one long text
@@ -83,6 +83,8 @@ class Keys:
         self.places = h[_reduced(np.maximum, wide, width) == h]
         change = np.ones(len(key), bool)
         change[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+        if width == 1:  # every window by itself
+            change[:] = True
         first = np.flatnonzero(change)
         last = np.append(first[1:], len(key)) - 1
         real = key[first] > 0
@@ -90,12 +92,15 @@ class Keys:
         self.key, self.row = key[self.first], row[self.first]
 
 
-def _slices(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, first byte in it, bytes, row offsets): short rows together, a long row in slices that overlap by a window less a byte."""
-    for first, _, data, offsets in parts(batch.column("text"), WINDOWS):
-        if len(offsets) == 2 and len(data) > WINDOWS + length:
-            for at in range(0, len(data) - length + 1, WINDOWS):
-                piece = data[at:at + WINDOWS + length - 1]
+def _slices(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, first byte in it, bytes, row offsets): short rows together, a long row in slices that overlap by a window less a byte.
+
+    The fewer strings a window has, the more segments come of a slice, and the shorter it is."""
+    many = max(1, WINDOWS * (length - gram + 2) // length)
+    for first, _, data, offsets in parts(batch.column("text"), many):
+        if len(offsets) == 2 and len(data) > many + length:
+            for at in range(0, len(data) - length + 1, many):
+                piece = data[at:at + many + length - 1]
                 yield first, at, piece, np.array([0, len(piece)])
         else:
             yield first, 0, data, offsets
@@ -106,7 +111,7 @@ def repeated_keys(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def places(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            for _, _, data, offsets in _slices(batch, length):
+            for _, _, data, offsets in _slices(batch, length, gram):
                 keys, n = np.unique(Keys(data, offsets, length, gram).places, return_counts=True)
                 if len(keys):
                     yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.minimum(n, 2))], ["key", "n"])
@@ -115,14 +120,14 @@ def repeated_keys(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def segments(texts: DataFrame, wanted: filters.Filter, length: int, gram: int) -> DataFrame:
-    """(key, text_id, start, sid, bytes) of the segments whose key may be wanted."""
+    """(key, text_id, low, high, n, sid, bytes) of the segments whose key may be wanted: a row for each different one of a text, with the runs of its n places."""
     shared = texts.sparkSession.sparkContext.broadcast(wanted.data)
 
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = filters.Filter(shared.value)
         for batch in stream:
             ids = batch.column("text_id")
-            for first, begin, data, offsets in _slices(batch, length):
+            for first, begin, data, offsets in _slices(batch, length, gram):
                 found = Keys(data, offsets, length, gram)
                 keep = test.holds(found.key)
                 low, high, row = found.first[keep], found.last[keep] + length, found.row[keep]
@@ -130,18 +135,26 @@ def segments(texts: DataFrame, wanted: filters.Filter, length: int, gram: int) -
                     continue
                 buffer = data.tobytes()
                 pieces = [buffer[i:j] for i, j in zip(low.tolist(), high.tolist())]
-                yield pa.record_batch([pa.array(found.key[keep].view(np.int64)), ids.take(pa.array(row + first)), pa.array(low - offsets[row] + begin),
-                                       pa.array([xxhash.xxh3_128_digest(p) for p in pieces], pa.binary()), pa.array(pieces, pa.binary())],
-                                      ["key", "text_id", "start", "sid", "bytes"])
+                digests = [xxhash.xxh3_128_digest(p) for p in pieces]
+                same: dict[tuple[int, bytes], list[int]] = {}
+                for i, x in enumerate(zip(row.tolist(), digests)):
+                    same.setdefault(x, []).append(i)
+                one = [p[0] for p in same.values()]
+                low, high = low - offsets[row] + begin, high - offsets[row] + begin
+                places = [runs(low[p], high[p]) if len(p) > 1 else (low[p[0]:p[0] + 1], high[p[0]:p[0] + 1]) for p in same.values()]
+                a, b = (pa.ListArray.from_arrays(np.cumsum([0, *(len(x[0]) for x in places)]).astype(np.int32), np.concatenate([x[side] for x in places])) for side in (0, 1))
+                yield pa.record_batch([pa.array(found.key[keep][one].view(np.int64)), ids.take(pa.array(row[one] + first)), a, b, pa.array([len(p) for p in same.values()], pa.int64()),
+                                       pa.array([digests[i] for i in one], pa.binary()), pa.array([pieces[i] for i in one], pa.binary())],
+                                      ["key", "text_id", "low", "high", "n", "sid", "bytes"])
 
-    return bounded(texts).mapInArrow(cut, "key long, text_id binary, start long, sid binary, bytes binary")
+    return bounded(texts).mapInArrow(cut, "key long, text_id binary, low array<long>, high array<long>, n long, sid binary, bytes binary")
 
 
 class Shards:
     """Groups of segments packed into lanes; ``flush`` sorts them and gives the repeated ranges of every segment."""
 
-    def __init__(self, length: int, windows: bool = False):
-        self.length, self.windows = length, windows
+    def __init__(self, length: int):
+        self.length = length
         self.lanes: list[list[tuple[bytes, bytes, bool]]] = []
         self.sizes: list[int] = []
         self.open = False
@@ -200,16 +213,6 @@ class Shards:
         whole = np.array([x[2] for x in pieces])
         for i in np.flatnonzero(whole).tolist():
             window[begin[i]:ends[i] - self.length] = True
-        if self.windows:  # one of each different window; it needs no answer if it repeats here
-            one = (left >= self.length)
-            one[hit] = False
-            one = np.flatnonzero(one)
-            of = np.searchsorted(begin, one, "right") - 1
-            place, settled = one - begin[of], window[one]
-            hashes = [xxhash.xxh3_128_digest(pieces[i][1][j:j + self.length]) for i, j in zip(of.tolist(), place.tolist())]
-            sids = pa.array([x[0] for x in pieces], pa.binary()).take(pa.array(of, mask=settled))
-            yield pa.record_batch([sids, pa.nulls(len(one), pa.list_(pa.int32())), pa.nulls(len(one), pa.list_(pa.int32())), pa.array(hashes, pa.binary()),
-                                   pa.array(place.astype(np.int32)), pa.array(np.where(settled, 2, 1))], FOUND_NAMES)
         window = np.flatnonzero(window)
         np.add.at(step, window, 1)
         np.add.at(step, window + self.length, -1)
@@ -224,36 +227,29 @@ class Shards:
         yield _ranges([pieces[i][0] for i in some], [a[i:j] for i, j in cut], [b[i:j] for i, j in cut])
 
 
-FOUND = "sid binary, low array<int>, high array<int>, window binary, at int, n long"
-FOUND_NAMES = ["sid", "low", "high", "window", "at", "n"]
-
-
 def _ranges(sids: list[bytes], low: list[list[int]], high: list[list[int]]) -> pa.RecordBatch:
-    none = [pa.nulls(len(sids), kind) for kind in (pa.binary(), pa.int32(), pa.int64())]
-    return pa.record_batch([pa.array(sids, pa.binary()), pa.array(low, pa.list_(pa.int32())), pa.array(high, pa.list_(pa.int32())), *none], FOUND_NAMES)
+    return pa.record_batch([pa.array(sids, pa.binary()), pa.array(low, pa.list_(pa.int32())), pa.array(high, pa.list_(pa.int32()))], ["sid", "low", "high"])
 
 
-def sorted_shards(different: DataFrame, length: int, windows: bool) -> DataFrame:
-    """Repeated ranges (sid, low, high) of segments (key, part, sid, bytes, copies), a shard for each key and part.
-
-    With ``windows`` also a row (window, at, n) of every different window of a shard, with its sid where it stands alone."""
+def sorted_shards(different: DataFrame, length: int) -> DataFrame:
+    """Repeated ranges (sid, low, high) of segments (key, sid, bytes, copies), a shard for each key."""
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, group, of = Shards(length, windows), [], None
+        shards, group, of = Shards(length), [], None
         alone = ([], [], [])
 
         def close():
-            if len(group) == 1 and group[0][2] and not windows:  # its copies are all there is
+            if len(group) == 1 and group[0][2]:  # its copies are all there is
                 for out, x in zip(alone, (group[0][0], [0], [len(group[0][1])])):
                     out.append(x)
             elif group:
                 shards.add(group)
 
         for batch in stream:
-            for key, part, sid, data, copies in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "sid", "bytes", "copies"))):
-                if (key, part) != of:
+            for key, sid, data, copies in zip(*(batch.column(c).to_pylist() for c in ("key", "sid", "bytes", "copies"))):
+                if key != of:
                     close()
-                    group, of = [], (key, part)
+                    group, of = [], key
                 group.append((sid, data, copies > 1))
             if shards.full():
                 yield from shards.flush()
@@ -264,34 +260,36 @@ def sorted_shards(different: DataFrame, length: int, windows: bool) -> DataFrame
         yield from shards.flush()
         yield _ranges(*alone)
 
-    return bounded(different.repartition("key", "part").sortWithinPartitions("key", "part"), 1 << 20).mapInArrow(work, FOUND)
+    return bounded(different.repartition("key").sortWithinPartitions("key"), 1 << 20).mapInArrow(work, "sid binary, low array<int>, high array<int>")
 
 
-def repeated_in_groups(different: DataFrame, length: int) -> DataFrame:
-    """Repeated ranges (sid, low, high) of segments (key, sid, bytes, copies): groups as shards, larger ones dealt by a hash."""
+def repeated_in_groups(different: DataFrame, length: int, gram: int, shard: int) -> DataFrame:
+    """Repeated ranges (sid, low, high) of segments (key, sid, bytes, copies): groups as shards, the segments of larger ones cut again."""
+    width = length - gram + 1
+    if width == 1:  # a segment is a window
+        return different.where("copies > 1").select("sid", F.array(F.lit(0)).alias("low"), F.array(F.lit(length)).alias("high"))
     sizes = different.groupBy("key").agg(F.sum(F.length("bytes") + 1).alias("size"))
-    large = materialise(sizes.where(F.col("size") > SHARD), "large-groups")
-    small = sorted_shards(different.join(large, "key", "left_anti").withColumn("part", F.lit(0).cast("long")), length, False)
-    part = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / DEALT))
-    dealt = materialise(sorted_shards(different.join(large, "key").withColumn("part", part).drop("size"), length, True), "dealt-groups")
-    often = dealt.where("window IS NOT NULL").groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
-    alone = dealt.where("window IS NOT NULL AND sid IS NOT NULL").select("window", "sid", "at").join(often, "window")
-    met = alone.groupBy("sid").agg(F.array_sort(F.collect_set("at")).alias("low"))  # at most a segment's windows
-    columns = ["sid", "low", "high"]
-    return small.select(columns).unionByName(dealt.where("window IS NULL").select(columns)).unionByName(
-        met.select("sid", "low", F.transform("low", lambda x: x + length).alias("high")))
-
-
-def covered(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    large = materialise(sizes.where(F.col("size") > shard), "large-groups")
+    small = sorted_shards(different.join(large, "key", "left_anti"), length)
+    if large.isEmpty():
+        return small
+    twice = F.explode(F.array_repeat(F.lit(0), F.least("copies", F.lit(2)).cast("int")))  # more copies say no more
+    again = different.join(large, "key").select(F.col("sid").alias("text_id"), F.col("bytes").alias("text"), twice.alias("copy")).drop("copy")
+    cut = covered(again, length, length - max(1, width // 4) + 1, DEALT)
+    return small.unionByName(cut.select(F.col("text_id").alias("sid"), *(F.col(c).cast("array<int>").alias(c) for c in ("low", "high"))))
+
+
+def covered(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int | None = None) -> DataFrame:
     """(text_id, low, high): sorted byte ranges, which may overlap, of every text (text_id, text) that repeated strings cover."""
     keys = materialise(repeated_keys(texts, length, gram), "repeated-keys")
     found = materialise(segments(texts, filters.build(keys, "key", keys.count()), length, gram), "segments")
-    different = materialise(found.groupBy("key", "sid", "bytes").agg(F.count("*").alias("copies")), "different-segments")
-    ranges = repeated_in_groups(different, length)
-    places = found.select("text_id", "start", "sid").distinct()
-    back = places.join(materialise(ranges, "ranges"), "sid").select("text_id", F.explode(F.arrays_zip("low", "high")).alias("x"), "start").select(
-        "text_id", (F.col("x.low") + F.col("start")).alias("low"), (F.col("x.high") + F.col("start")).alias("high"))
-    listed = back.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("r"))
+    different = materialise(found.groupBy("key", "sid", "bytes").agg(F.sum("n").alias("copies")), "different-segments")
+    ranges = repeated_in_groups(different, length, gram, SHARD if shard is None else shard)
+    ranges = materialise(ranges.select("sid", F.arrays_zip("low", "high").alias("r")), "ranges")
+    places = found.select("text_id", "low", "high", "n", "sid").distinct()
+    # a segment with several places in its text is covered at all of them
+    at = F.when(F.col("n") > 1, F.arrays_zip("low", "high")).otherwise(F.transform("r", lambda x: F.struct((x["low"] + F.col("low")[0]).alias("low"), (x["high"] + F.col("low")[0]).alias("high"))))
+    listed = places.join(ranges, "sid").select("text_id", at.alias("r")).groupBy("text_id").agg(F.array_sort(F.flatten(F.collect_list("r"))).alias("r"))
     return listed.select("text_id", F.col("r.low").alias("low"), F.col("r.high").alias("high"))
 
 
