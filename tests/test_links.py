@@ -37,6 +37,28 @@ def test_top_overlaps_equal_all_pairs(spark, floor):
     assert {t: [(a, s, pytest.approx(x, abs=2e-6)) for a, s, x in rows] for t, rows in want.items()} == found
 
 
+def test_assets_of_equal_words_are_the_k_smallest(spark, monkeypatch):
+    """2,000 assets of four sets of words, in any order of the words: at most k of a set go on, and the best of every topic are those of all assets."""
+    rows = {}
+    write = lk.materialise
+
+    def counted(df, label):
+        out = write(df, label)
+        rows[label] = max(rows.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(lk, "materialise", counted)
+    sets = [["x", "y"], ["z", "x"], ["y", "z", "x"], ["z"]]
+    assets = [(7 * i % 2000, sets[i % 4][::-1] if i % 3 else sets[i % 4]) for i in range(2000)]
+    topics = [("a", ["x", "y"]), ("b", ["z"]), ("c", ["q", "y", "z"])]
+    got = lk.top_overlaps(spark.createDataFrame(topics, "topic string, tw array<string>"), spark.createDataFrame(assets, "asset long, aw array<string>"), "topic", "tw", "asset", "aw", 5)
+    found = {}
+    for r in got.orderBy("topic", "place").collect():
+        found.setdefault(r.topic, []).append((r.asset, r.shared, pytest.approx(r.lexical, abs=2e-6)))
+    assert all_pairs(topics, assets, 5, 0.25) == found
+    assert rows["asset-words"] <= 20
+
+
 def test_a_word_of_half_of_all_assets_makes_no_pairs(spark, monkeypatch):
     """2,000 topics and 4,000 assets share one word: 4 million pairs; the stored rounds hold a few rows per topic."""
     seen = []

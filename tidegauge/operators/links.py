@@ -29,9 +29,10 @@ def top_overlaps(topics: DataFrame, assets: DataFrame, topic: str, topic_words:
     A topic's words are taken from the rarest among assets to the most frequent, 1, 1, 2, 4 ... at a time.  After p of its n words any asset not yet met shares at most
     n - p, which bounds its score; a topic stops when k of its assets reach that bound, or when the bound is below the floor.  Of the last word
     alone, only the k smallest assets that hold it can be among the best (equal scores go to the smaller set, then to the smaller id), so a topic's most frequent word costs
-    k rows, however many assets hold it."""
+    k rows, however many assets hold it.  Assets of equal words have equal scores, so the k smallest of every set of words stand for all."""
     t = materialise(topics.select(c(topic).alias("t"), F.array_distinct(c(topic_words)).alias("tw")).where(F.size("tw") > 0), "topic-words")
-    a = materialise(assets.select(c(asset).alias("a"), F.array_distinct(c(asset_words)).alias("aw")).where(F.size("aw") > 0), "asset-words")
+    words = assets.repartition(F.col(asset)).select(c(asset).alias("a"), F.array_sort(F.array_distinct(c(asset_words))).alias("aw"))
+    a = materialise(top_n(words.where(F.size("aw") > 0), ["aw"], [F.col("a").asc()], k), "asset-words")
     postings = a.select("a", F.size("aw").alias("nb"), F.explode("aw").alias("w"))
     frequency = postings.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     least = a.agg(F.min(F.size("aw"))).first()[0]
