@@ -68,3 +68,25 @@ def test_read_model_refresh_reads_written_facts(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(storage.rm, "refresh", look)
     cat.QUERIES["read_model_refresh"](spark, sf_dir)
     assert len(seen) == 2 and all("Join" not in plan and "parquet" in plan for plan in seen)
+
+
+def test_topic_minutes_hold_each_mention_once(spark, monkeypatch):
+    """No row is held once for every distinct count, tasks follow the number of mentions, and blank authors and posts do not count."""
+    from tidegauge.operators import rollups as ru
+
+    monkeypatch.setattr(ru, "TASK_ROWS", 10)
+    rows = [("2024-01-01 00:00:00", "p", f"t{i % 3}", None if i % 5 == 0 else "" if i % 5 == 1 else f"u{i % 4}", i // 2 if i % 7 else None, None if i % 6 == 0 else i / 8, i % 4, i % 2 == 0, False, True,
+             "neutral") for i in range(200)]
+    df = spark.createDataFrame(rows, "bucket_minute string, platform string, normalized_topic string, author_id string, raw_post_id long, quality_score double, topic_priority int, is_repost boolean, "
+                               "is_reply boolean, has_link boolean, sentiment_label string")
+    out = ru.topic_minutes(df.withColumn("bucket_minute", df.bucket_minute.cast("timestamp_ntz")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and ", 20), REPARTITION_BY_NUM" in plan
+    got = {r.topic_key: r for r in out.collect()}
+    for t in ("t0", "t1", "t2"):
+        of = [r for r in rows if r[2] == t]
+        scores = [r[5] for r in of if r[5] is not None]
+        r = got[t]
+        assert (r.mention_count, r.unique_authors, r.unique_posts) == (len(of), len({x[3] for x in of} - {None, ""}), len({x[4] for x in of} - {None}))
+        assert (r.total_quality_score, r.best_topic_priority, r.repost_count, r.link_post_count, r.neutral_count) == (sum(scores), min(x[6] for x in of), sum(x[7] for x in of), len(of), len(of))
+        assert abs(r.avg_quality_score - sum(scores) / len(scores)) < 1e-9

@@ -8,6 +8,9 @@ from tidegauge import fixed
 from tidegauge.functions.basic import blank_to_null, count_true, floor_minutes
 from tidegauge.functions.text import initcap
 from tidegauge.operators.windows import best, modal_label
+from tidegauge.session import materialise
+
+TASK_ROWS = 100_000
 
 
 def platform_metrics(posts: DataFrame, unit: str) -> DataFrame:
@@ -27,16 +30,26 @@ def _sentiments() -> list[Column]:
 
 
 def topic_minutes(mentions: DataFrame, min_total: int = 2) -> DataFrame:
-    """Topic x platform x minute, for topics with at least ``min_total`` mentions on the platform."""
-    per_minute = mentions.groupBy("bucket_minute", "platform", F.col("normalized_topic").alias("topic_key")).agg(
-        F.count(F.lit(1)).alias("mention_count"),
-        F.count_distinct(F.nullif("author_id", F.lit(""))).alias("unique_authors"),
-        F.count_distinct("raw_post_id").alias("unique_posts"),
-        F.sum("quality_score").alias("total_quality_score"), F.avg("quality_score").alias("avg_quality_score"),
-        F.min("topic_priority").alias("best_topic_priority"),
-        count_true(F.col("is_repost")).alias("repost_count"), count_true(F.col("is_reply")).alias("reply_count"),
-        count_true(F.col("has_link")).alias("link_post_count"), *_sentiments(),
-    )
+    """Topic x platform x minute, for topics with at least ``min_total`` mentions on the platform.
+
+    Mentions are dealt once, by minute and topic, to as many tasks as there are ``TASK_ROWS`` of them; authors and posts are values of two kinds, and both aggregations
+    keep that dealing.  The rows of a post carry the measures."""
+    rows = materialise(mentions, "minute-mentions")
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    keys = ["bucket_minute", "platform", "topic_key"]
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.nullif("author_id", F.lit("")).alias("value")), F.struct(F.lit(1).alias("kind"), F.col("raw_post_id").cast("string").alias("value")))
+    dealt = rows.withColumnRenamed("normalized_topic", "topic_key").repartition(tasks, *keys).select("*", F.inline(kinds))
+    counts = {"mention_count": F.count(F.lit(1)), "scored": F.count("quality_score"), "repost_count": count_true(F.col("is_repost")), "reply_count": count_true(F.col("is_reply")),
+              "link_post_count": count_true(F.col("has_link")), **{f"{s}_count": count_true(F.col("sentiment_label") == s) for s in ("positive", "neutral", "negative")}}
+    values = dealt.groupBy(*keys, "kind", "value").agg(
+        *[x.alias(name) for name, x in counts.items()], F.sum("quality_score").alias("quality"), F.min("topic_priority").alias("priority"))
+    post = lambda x: F.when(F.col("kind") == 1, F.col(x))
+    known = lambda i: F.count_if((F.col("kind") == i) & F.col("value").isNotNull())
+    total = lambda x: F.sum(post(x)).alias(x)
+    per_minute = values.groupBy(*keys).agg(
+        total("mention_count"), known(0).alias("unique_authors"), known(1).alias("unique_posts"), F.sum(post("quality")).alias("total_quality_score"),
+        F.try_divide(F.sum(post("quality")), F.sum(post("scored"))).alias("avg_quality_score"), F.min(post("priority")).alias("best_topic_priority"),
+        *[total(x) for x in counts if x not in ("mention_count", "scored")])
     totals = per_minute.groupBy("platform", "topic_key").agg(F.sum("mention_count").alias("total")).where(
         F.col("total") >= min_total
     )
