@@ -1,9 +1,14 @@
+import os
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tidegauge import catalog
 from tidegauge.functions import phrases as ph
+from tidegauge.operators import grouping as gr, phrase_search as ps
+from tidegauge.session import shared_dir
 
 
 def plain(text, phrases, pattern=ph.fixed.PROFILE_WORD_PATTERN):
@@ -41,3 +46,63 @@ def test_profile_scenarios(spark):
 def test_profile_plan_has_no_python(spark):
     df = ph.attention_profile(spark.createDataFrame([(1, "x")], "i long, t string"), ["t"])
     assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def _posts(spark, n=120, seed=3):
+    """Texts of few words in four spellings of their order, short and empty ones, documents that come twice, and missing values."""
+    rnd = random.Random(seed)
+    pool = ["solar", "storm", "market", "rally", "openly", "driver", "ion", "eda", "thursday", "www", "harbour", "lantern", "copper", "meadow"]
+    rows = [(i, " ".join(rnd.choices(pool, range(len(pool), 0, -1), k=rnd.randint(0, 14))) + (f" only{i}x" if i % 3 else ""), rnd.choice(["s1", "s2", "s3", None]), i % 5 or None, i % 7, 1.0 + i % 3) for i in range(n)]
+    rows += [(900, None, "s1", 1, 1, 1.0), (901, "", "s1", 1, 1, 1.0), (902, "ion eda ion eda", "s1", 1, 1, None), (903, "eda ion", "s2", 1, 1, -2.5), *rows[:9], (5, "copper meadow lantern", "s2", 2, 2, 4.0)]
+    return spark.createDataFrame(rows, "doc long, text string, source string, author long, root long, weight double")
+
+
+def _whole(docs):
+    rows = gr.phrase_rows(docs, "doc", "text", ["source", "author", "root", "weight"])
+    return rows, gr.phrase_stats(rows, "doc", "weight", "root", "author", "source", None)
+
+
+def test_searched_phrases_equal_those_of_all(spark, monkeypatch):
+    """At one code kept a document, so that every level of the search is taken, and at the usual number."""
+    docs, columns = _posts(spark), ("doc", "text", "weight", "root", "author", "source")
+    rows, stats = _whole(docs)
+    rounded = lambda df: sorted((r.doc, r.group_key, r.by_phrase) for r in df.collect())
+    want = rounded(gr.phrase_winner(rows, stats, docs, "doc", F.lit("none")))
+    scores = sorted(((r.key, r.docs, r.roots, r.authors, r.sources, round(r.score, 6)) for r in stats.collect()), key=lambda r: (-r[-1], r[0]))
+    assert {w[2] for w in want} == {True, False} and len(scores) > 60
+    full = []
+    monkeypatch.setattr(ps, "codes_of", lambda *a, of=ps.codes_of: full.append(1) or of(*a))
+    for kept, codes in ((1, 1000), (16, 1 << 22)):
+        monkeypatch.setattr(ps, "KEPT", kept)
+        monkeypatch.setattr(ps, "PASS", codes)
+        assert rounded(gr.phrase_groups(docs, *columns, F.lit("none"))) == want
+    assert full  # some documents had to look at all their phrases
+    for n in (20, 100_000):
+        got = [(r.key, r.docs, r.roots, r.authors, r.sources, round(r.score, 6)) for r in gr.top_phrases(docs, *columns, n).collect()]
+        assert sorted(got, key=lambda r: (-r[-1], r[0])) == scores[:n]
+
+
+def test_phrase_queries_keep_no_table_of_all_phrases(spark, sf_dir):
+    """Rows of phrases are written for those that can win, and removed when they are counted; the words of the texts are a table of batches."""
+    catalog.load()
+    at = f"{shared_dir(spark)}/tidegauge"
+    for name in ("phrase_groups", "phrase_statistics"):
+        before = set(os.listdir(at)) if os.path.exists(at) else set()
+        catalog.QUERIES[name](spark, sf_dir).collect()
+        left = {x.rsplit("-", 1)[0] for x in set(os.listdir(at)) - before}
+        assert "informative-words" in left and not left & {"phrases", "phrase-bounds", "phrases-kept", "phrase-stats"}
+
+
+def test_no_text_and_no_phrase(spark):
+    none = spark.createDataFrame([(1, None, "s", 1, 1, 1.0), (2, "solar", "s", 1, 1, 1.0)], "doc long, text string, source string, author long, root long, weight double")
+    assert gr.top_phrases(none, "doc", "text", "weight", "root", "author", "source").count() == 0
+    for docs in (none, none.limit(0)):
+        got = gr.phrase_groups(docs, "doc", "text", "weight", "root", "author", "source", F.lit("own")).collect()
+        assert all(r.group_key == "own" and not r.by_phrase for r in got) and len(got) == docs.count()
+
+
+def test_upper_bounds_are_not_below(spark):
+    rnd = random.Random(2)
+    w = np.array([0.0, 1e-30, 1.0, 1 / 3, 9.123456789, 1e6 + 0.1, -2.5, -1 / 3, *(rnd.uniform(-50, 5000) for _ in range(2000))])
+    short = (ps._short(w).astype(np.uint32) << np.uint32(16)).view(np.float32)
+    assert (short >= w).all() and (short - w <= np.abs(w) / 100 + 1e-20).all()
