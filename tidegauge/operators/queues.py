@@ -224,10 +224,14 @@ def _all_phrases(base: DataFrame, source: str, weight: str) -> DataFrame:
 
     ``first`` marks one row of each pair of a text, so that a pair counts once a text whatever follows it."""
     starts = F.when(F.size("w") >= 2, F.sequence(F.lit(1), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.slice("w", i, 2)).alias("p"), F.get("w", i + 1).alias("t")))
-    sorted_runs = barrier(base.select(source, weight, F.array_sort(F.array_distinct(runs)).alias("x")))
-    marked = F.transform("x", lambda x, i: F.struct(x["p"].alias("p"), x["t"].alias("t"), (~F.coalesce((i > 0) & (F.get("x", i - 1)["p"] == x["p"]), F.lit(False))).alias("first")))
-    said = sorted_runs.select(F.col(source).alias("s"), F.col(weight).alias("v"), F.inline(marked)).repartition("p")
+    runs = F.transform(starts, lambda i: F.concat_ws(" ", F.slice("w", i, 3)))  # the last one is a pair alone
+    # equal pairs stand beside each other in the order of the runs, as a space sorts before what words consist of
+    sorted_runs = barrier(base.select(source, weight, F.sort_array(F.array_distinct(runs)).alias("x")))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("x", F.lit(1), F.greatest(F.size("x") - 1, F.lit(0))))
+    each = sorted_runs.where(F.size("x") > 0).select(F.col(source).alias("s"), F.col(weight).alias("v"), F.inline(F.arrays_zip(F.col("x").alias("x"), before.alias("y"))))
+    pair = lambda x: F.substring_index(x, " ", 2)
+    cut = each.select("s", "v", pair("x").alias("p"), "x", (~pair("x").eqNullSafe(pair("y"))).alias("first"))
+    said = cut.select("s", "v", "p", F.nullif(F.expr("substring(x, length(p) + 2)"), F.lit("")).alias("t"), "first").repartition("p")
     # behind the shuffle a row is its triple (the third word) and, if marked, its pair (no third word)
     ends = F.array_compact(F.array(F.col("t"), F.when(F.col("first"), F.lit(""))))
     counted = said.select("p", "s", "v", F.explode(ends).alias("t")).groupBy("p", "t", "s").agg(F.sum("v").alias("v")).groupBy("p", "t").agg(F.count("s").alias("sources"), F.sum("v").alias("weight"))
