@@ -99,8 +99,8 @@ def batches(docs: DataFrame, doc: str, text: str, keep: list[str]) -> DataFrame:
 class Batch:
     """Words of some documents: ``code`` of every word, and the document of every place."""
 
-    def __init__(self, words, ids: bytes, lens: bytes, n: int):
-        self.words = words if isinstance(words, pa.Array) else pa.array(words, pa.string())
+    def __init__(self, words: pa.Array, ids: bytes, lens: bytes, n: int):
+        self.words = words
         self.ids = np.frombuffer(pa.decompress(ids, decompressed_size=4 * n, codec="zstd", asbytes=True), np.int32)
         self.lens = np.frombuffer(lens, np.int32)
         hashes = pd.util.hash_array(np.asarray(self.words.to_numpy(zero_copy_only=False), dtype=object), categorize=False) if len(self.words) else np.zeros(0, np.uint64)
@@ -431,7 +431,7 @@ def top_phrases(docs: DataFrame, doc: str, text: str, keep: list[str], weight: s
 
 
 def winners(docs: DataFrame, doc: str, text: str, keep: list[str], weight: str, root: str, author: str, source: str, stats: Callable[[DataFrame], DataFrame], scored: Callable[[DataFrame, DataFrame], DataFrame], sizes=(2, 3, 4)) -> DataFrame:
-    """(row, doc, s, key): the best phrase of every document that has one; ``scored`` gives (row, doc, best) from rows and what ``stats`` gives for them.
+    """(row, doc, best), best a struct of s and key: the best phrase of every document that has one; ``scored`` gives (row, doc, best) from rows and what ``stats`` gives for them.
 
     Documents are searched at three levels: the codes that reach their best lower bound, all codes kept, all codes."""
     base, limits = batches(docs, doc, text, keep), limits_of(docs, doc, root, author, source, sizes)
